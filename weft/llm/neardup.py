@@ -150,7 +150,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _links_in_block(frame: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links between the probing rows of a block and its rows of another class; one for each probe and class."""
+    """Links between the probing rows of a block and its other rows: as many as join everything that links in it, no more."""
     codes, at = np.unique(np.concatenate([*frame["members"]]), return_inverse=True)
     starts = np.cumsum([0, *frame["n"].iloc[:-1]])
     sizes, classes, keys = frame["n"].to_numpy(), pd.factorize(frame["class"])[0], frame["set_key"].to_list()
@@ -162,8 +162,10 @@ def _links_in_block(frame: pd.DataFrame, percent: int) -> list[tuple[bytes, byte
         shared = np.add.reduceat(flags[at], starts)[base]
         flags[own] = 0
         hit = base[linked(sizes[base], sizes[p], shared, percent) & (classes[base] != classes[p])]
-        for k in hit[np.unique(classes[hit], return_index=True)[1]]:
-            links.append((keys[p], keys[k]))
+        while len(hit):
+            links.append((keys[p], keys[hit[0]]))
+            classes[classes == classes[hit[0]]] = classes[p]
+            hit = hit[classes[hit] != classes[p]]
     return links
 
 
@@ -197,10 +199,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     links = stored(sure.union(more))
     final = connected_components(links)
 
-    labelled = signed.select("doc_id", "set_key", "n_shingles").join(final.withColumnRenamed("node", "set_key"), "set_key", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "set_key"))
-    least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    least = nodes_least = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    least = final.withColumnRenamed("node", "set_key").join(nodes_least, "set_key").groupBy("component").agg(F.min("least").alias("least"))
+    named = final.withColumnRenamed("node", "set_key").join(least, "component").select("set_key", F.col("least").alias("joined"))
+    named = nodes_least.join(named, "set_key", "left").select("set_key", F.coalesce("joined", "least").alias("component_id"))
+    out = signed.select("doc_id", "set_key", "n_shingles").join(stored(named), "set_key", "left")
+    out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
