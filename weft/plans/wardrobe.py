@@ -107,7 +107,7 @@ def category_mix(spark, d):
 
 def style_evolution(spark, d):
     scored = view(spark, d, "purchases").select("user_id", F.col("purchased_on").alias("at"), F.col("price").alias("score"))
-    return W.style_evolution(scored, 6).select("user_id", F.col("month").cast("string").alias("month"), F.round("score", 2).alias("score"))
+    return W.style_evolution(scored, 6).select("user_id", F.col("month").cast("string").alias("month"), F.floor("score").alias("score"))
 
 
 def _signals(spark, d):
@@ -171,7 +171,7 @@ QUERIES = {
     color_palettes: "WITH n AS (SELECT user_id, color, count(*) AS n FROM items GROUP BY 1, 2) SELECT user_id, string_agg(color || ':' || n, ',' ORDER BY n DESC, color) AS palette FROM n GROUP BY 1",
     category_mix: "SELECT category, color_family, count(*) AS n FROM items GROUP BY 1, 2",
     style_evolution: """WITH b AS (SELECT user_id, CAST(date_trunc('month', purchased_on) AS DATE) AS month, avg(price) AS score FROM purchases GROUP BY 1, 2), l AS (SELECT user_id, max(month) AS last FROM b GROUP BY 1),
-      s AS (SELECT user_id, CAST(last - to_months(CAST(k AS INT)) AS DATE) AS month FROM l, range(6) r(k)) SELECT s.user_id, CAST(s.month AS VARCHAR) AS month, round(b.score, 2) AS score FROM s LEFT JOIN b ON b.user_id = s.user_id AND b.month = s.month""",
+      s AS (SELECT user_id, CAST(last - to_months(CAST(k AS INT)) AS DATE) AS month FROM l, range(6) r(k)) SELECT s.user_id, CAST(s.month AS VARCHAR) AS month, CAST(floor(b.score) AS BIGINT) AS score FROM s LEFT JOIN b ON b.user_id = s.user_id AND b.month = s.month""",
     style_memory: f"WITH {_SIGNAL} SELECT user_id, preference, round(avg(signal), 6) AS value, count(*) AS observations, round(1 - 1 / (1 + count(*)), 6) AS confidence, arg_max(source, row(seen, source)) AS source FROM s GROUP BY 1, 2",
     style_memory_merge: f"""WITH {_SIGNAL}, b AS (SELECT user_id, preference, avg(signal) AS v, count(*) AS n FROM s WHERE preference IN ('view', 'click') GROUP BY 1, 2 UNION ALL SELECT user_id, preference, avg(signal), count(*) FROM s WHERE preference <> 'view' GROUP BY 1, 2)
       SELECT user_id, preference, round(sum(v * n) / sum(n), 6) AS value, CAST(sum(n) AS BIGINT) AS observations, round(1 - 1 / (1 + sum(n)), 6) AS confidence FROM b GROUP BY 1, 2""",
