@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.text import MAX_UPLOAD, upload_verdict
-from weft.schemas import ANALYSIS, ANNOTATIONS
+from weft.schemas import ANALYSIS, ANNOTATIONS, IMAGE
 
 REQUIRED_ATTRIBUTES = ["category", "material", "pattern", "style"]
 #: Rows of a report that may be collected.
@@ -28,7 +28,7 @@ def write_annotations(df: DataFrame, path: str) -> None:
 
 def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:
     """What write_annotations() wrote."""
-    return spark.read.schema(ANNOTATIONS["images"].dataType.elementType).json(path)
+    return spark.read.schema(IMAGE).json(path)
 
 
 def read_images(spark: SparkSession, path: str, decode: bool = True) -> DataFrame:
