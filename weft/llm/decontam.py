@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from weft.llm.common import byte_texts, small_batches
+from weft.llm.common import byte_texts, free_name, small_batches
 
 SEED_WORDS, MIN_SCORE, BLOCK_SEEDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -181,8 +181,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
         memo = _WordHash()
         items = {i: h for i, t in block.items() if len(h := word_hashes(t, memo)) >= SEED_WORDS}
         kept = rare_seeds(items, seed_frequencies(docs.select(F.col(text_col).alias("text")), Seeds(items)))
-        out = _with_leaks(out, text_col, items, Seeds(items, kept), f"leaks_{k}")
-        names.append(f"leaks_{k}")
+        names.append(free_name(out, f"leaks_{k}"))
+        out = _with_leaks(out, text_col, items, Seeds(items, kept), names[-1])
     empty = F.from_json(F.lit("[]"), LEAKS)
     return out.withColumn("leaks", F.concat(empty, *names)).drop(*names)
 
@@ -210,4 +210,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no test item."""
-    return scan(docs, benchmark).where(F.size("leaks") == 0).drop("leaks")
+    return scan(docs, benchmark).where(F.size("leaks") == 0).select(docs.columns)

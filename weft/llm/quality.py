@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import hash_mod, stored
+from weft.llm.common import free_name, hash_mod, stored
 from weft.llm.textstats import CLASSES, text_stats
 
 #: Labelled rows to learn from, trees and their depth, lasso strength.
@@ -125,7 +125,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are predicted good."""
-    keyed = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
-    rejected = score_quality(keyed, labels, ["row_id", "doc_id"]).where("predicted = 0").select("row_id").distinct()
-    return keyed.join(rejected, "row_id", "left_anti").drop("row_id")
+    """The rows of `docs` that are predicted good, with all their columns."""
+    key = free_name(docs, "row_id")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    rejected = score_quality(keyed.select(key, "doc_id", "text"), labels, [key, "doc_id"]).where("predicted = 0").select(key).distinct()
+    return keyed.join(rejected, key, "left_anti").select(docs.columns)

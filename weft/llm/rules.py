@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import stored
+from weft.llm.common import free_name, stored
 from weft.llm.textstats import text_stats
 
 #: Guards, and the distances from which a document is rejected; a short text's own
@@ -81,6 +81,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose texts pass."""
-    rejected = judge(docs).where("not kept").select("row_id").distinct()
-    return docs.withColumn("row_id", F.xxhash64("doc_id", "text")).join(rejected, "row_id", "left_anti").drop("row_id")
+    """The rows of `docs` whose texts pass, with all their columns."""
+    key = free_name(docs, "row_id")
+    rejected = judge(docs).where("not kept").select(F.col("row_id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(rejected, key, "left_anti").select(docs.columns)
