@@ -45,8 +45,8 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_
         encoder = TextEncoder(shared.value)
         for batch in (small for big in batches for small in small_batches(big, 256)):
             rows: list[tuple] = []
-            for key, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
-                ids += b"\0\0\0\0"
+            for key, text in enumerate(batch.column("text").to_pylist()):
+                ids = encoder.encode(text) + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))

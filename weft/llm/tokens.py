@@ -68,18 +68,55 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class TextEncoder:
-    """Packed ids (uint32, little-endian) of whole texts, as the library gives them without begin, end or added tokens.
+class WordIds(dict):
+    """Packed ids (uint32, little-endian) by word; a missing word is cut into pre-tokens that are proven, remembered or merged now.
 
-    No pre-token spans white space, so a text's ids are those of its words in turn.
-    memo: ids by word or pre-token; a pre-token that stands alone as a word is the same to the tokenizer.
+    A pre-token that stands alone as a word is the same to the tokenizer, so both share the memo.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.v, self.memo = vocabulary, {}
-        self.library = Tokenizer.from_str(vocabulary.spec)
+        super().__init__()
+        self.whole, self.library = vocabulary.whole, Tokenizer.from_str(vocabulary.spec)
         self.model, self.alphabet = self.library.model, _byte_alphabet()
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        pieces = [word] if word.isascii() and word.isalpha() else self._cut(word)
+        ids = self._merged(word) if pieces == [word] else b"".join(map(self._piece, pieces))
+        self[word] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.get(piece)
+        if ids is None:
+            ids = self[piece] = self._merged(piece)
+        return ids
+
+    def _merged(self, piece: str) -> bytes:
+        ids = self.whole.get(piece)
+        if ids is None:
+            standing = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+            ids = b"".join([self.packed[t.id] for t in self.model.tokenize(standing)])
+        return ids
+
+    def _cut(self, word: str) -> list[str]:
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return [w for w, _ in self.library.pre_tokenizer[0].pre_tokenize_str(word)]
+        return _PRE_TOKEN.findall(word)
+
+
+class TextEncoder:
+    """Packed ids of whole texts, as the library gives them without begin, end or added tokens.
+
+    No pre-token spans white space, so a text's ids are those of its words in turn.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.words = vocabulary, WordIds(vocabulary)
         self.special = re.compile("|".join(map(re.escape, vocabulary.special))) if vocabulary.special else None
 
     def _split(self, text: str) -> list[str]:
@@ -88,62 +125,22 @@ class TextEncoder:
             try:
                 text.encode("latin-1")  # nothing to compose, and lower() is the tokenizer's
             except UnicodeEncodeError:
-                return self.library.normalizer.normalize_str(text).split(" ")
+                return self.words.library.normalizer.normalize_str(text).split(" ")
         return text.lower().split() if not _ODD_SPACE.search(text) else re.split(f"[{_SPACE}]", text.lower())
 
-    def _cut(self, word: str) -> list[str]:
-        """Pre-tokens of a word."""
-        try:
-            word.encode("latin-1")
-        except UnicodeEncodeError:
-            return [w for w, _ in self.library.pre_tokenizer[0].pre_tokenize_str(word)]
-        return _PRE_TOKEN.findall(word)
+    def _ids(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self._split(text)))
 
-    def _parts(self, text: str | None) -> list[list[str] | int]:
+    def encode(self, text: str | None) -> bytes:
         if not text:
-            return []
+            return b""
         if self.special is None or "<" not in text or not self.special.search(text):
-            return [self._split(text)]
+            return self._ids(text)
         parts, at = [], 0
         for hit in self.special.finditer(text):
-            parts += [self._split(text[at : hit.start()]), self.v.special[hit[0]]]
+            parts += [self._ids(text[at : hit.start()]), self.v.special[hit[0]].to_bytes(4, "little")]
             at = hit.end()
-        return [*parts, self._split(text[at:])]
-
-    def _merged(self, piece: str) -> bytes:
-        """One pre-token: proven, remembered or merged now."""
-        ids = self.v.whole.get(piece) or self.memo.get(piece)
-        if ids is None:
-            standing = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            ids = self.memo[piece] = b"".join([self.packed[t.id] for t in self.model.tokenize(standing)])
-        return ids
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
-        for word in words.difference(self.memo):
-            if word.isascii() and word.isalpha():
-                self.memo[word] = self._merged(word)
-            else:
-                self.memo[word] = b"".join(map(self._merged, self._cut(word)))
-
-    def _join(self, parts: list[list[str] | int]) -> bytes:
-        known = self.memo.__getitem__
-        return b"".join([self.packed[p] if isinstance(p, int) else b"".join(map(known, p)) for p in parts])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For a small batch of texts: those whose words are all known at once, the rest after their new words are cut and merged."""
-        out: list = []
-        for text in texts:
-            parts = self._parts(text)
-            try:
-                out.append(self._join(parts))
-            except KeyError:
-                out.append(parts)
-        late = [x for x in out if isinstance(x, list)]
-        if late:
-            self._learn(set().union(*(p for x in late for p in x if isinstance(p, list))))
-        return [self._join(x) if isinstance(x, list) else x for x in out]
+        return b"".join([*parts, self._ids(text[at:])])
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,7 +151,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(shared.value)
         for batch in (small for big in batches for small in small_batches(big, 256)):
-            n = [len(ids) // 4 for ids in encoder.encode(batch.column("text").to_pylist())]
+            n = [len(encoder.encode(text)) // 4 for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
