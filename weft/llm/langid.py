@@ -99,8 +99,9 @@ def fit_languages(docs: DataFrame) -> dict:
         return model
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1, TRAIN_ROWS / n)))])
-    sample = _features(known.where(place < limit[F.col("lang")])).toPandas()
-    x, own = np.stack(sample["x"].to_list()).astype(np.float32), sample["lang"].to_numpy(str)
+    sample = _features(known.where(place < limit[F.col("lang")])).toArrow()
+    own = np.array(sample["lang"].to_pylist(), dtype=str)
+    x = sample["x"].combine_chunks().flatten().to_numpy().reshape(len(own), DIMS)
     kin = np.array([family(a) for a in own])
     part = lambda rows, yes: linear_svm(x[rows], np.where(yes[rows], 1, -1).astype(np.float32))
     every = np.ones(len(own), bool)
