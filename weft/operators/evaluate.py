@@ -91,10 +91,12 @@ def honesty_rates(out: DataFrame) -> DataFrame:
 def latency(out: DataFrame) -> DataFrame:
     """mean and nearest-rank p95 of scored photos: rows are counted by value first, so the running sum is over distinct values."""
     values = out.where("outcome = 'scored'").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    total = values.agg(F.sum("n").alias("total"), F.round(F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n"), 4).alias("mean_ms"))
-    ranked = values.withColumn("upto", F.sum("n").over(Window.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)))
-    joined = ranked.join(F.broadcast(total))  # one row
-    return joined.where(F.col("upto") > F.bround(0.95 * (F.col("total") - 1), 0)).groupBy("mean_ms").agg(F.min("latency_ms").alias("p95_ms"))
+    every = Window.partitionBy(F.lit(0))
+    ranked = values.withColumns({
+        "upto": F.sum("n").over(every.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(every),
+        "mean_ms": F.round(F.sum(F.col("latency_ms") * F.col("n")).over(every) / F.sum("n").over(every), 4),
+    })
+    return ranked.where(F.col("upto") > F.bround(0.95 * (F.col("total") - 1), 0)).groupBy("mean_ms").agg(F.min("latency_ms").alias("p95_ms"))
 
 
 def calibration(long: DataFrame, bins: int = 5) -> DataFrame:

@@ -11,27 +11,32 @@ from weft.functions.color import colors_agree
 
 #: The detector score from which its group gates the category.
 GATE_SCORE = 0.45
+#: The most labels of a vocabulary.
+MAX_LABELS = 1_000
 
 
 def gate_category(df: DataFrame, groups: DataFrame, scores: Column | None = None, allow_correction: bool = True) -> DataFrame:
     """Adds gated_category, gated_group and gate_applied.
 
-    df: category, detector_group, detector_conf; groups: label, grp (small, broadcast).
+    df: category, detector_group, detector_conf; groups: label, grp (a vocabulary, at most MAX_LABELS), which becomes a literal of the plan.
     scores: a map label -> score; with it a category outside the detected group becomes
     the best label inside it.  The confidence stays that of the old label.
     """
-    lookup = groups.agg(F.map_from_arrays(F.collect_list("label"), F.collect_list("grp")).alias("group_of"), F.collect_list(F.struct("label", "grp")).alias("labels"))
-    out = df.crossJoin(F.broadcast(lookup))  # one row: the vocabulary
-    own = F.coalesce(F.try_element_at("group_of", F.col("category")), F.lit("other"))
+    known = [(r["label"], r["grp"]) for r in groups.limit(MAX_LABELS + 1).collect()]
+    if len(known) > MAX_LABELS:
+        raise ValueError(f"a vocabulary has at most {MAX_LABELS} labels")
+    group_of = F.create_map(*[F.lit(x) for pair in known for x in pair])
+    group = lambda c: F.coalesce(F.try_element_at(group_of, c), F.lit("other"))
     gate = F.col("category").isNotNull() & (F.col("detector_conf") >= GATE_SCORE) & F.lit(allow_correction) & (F.col("detector_group") != "other")
     gate = F.coalesce(gate, F.lit(False))
     new = F.col("category")
     if scores is not None:
-        inside = F.filter("labels", lambda x: (x["grp"] == F.col("detector_group")) & F.map_contains_key(scores, x["label"]))
-        ranked = F.transform(inside, lambda x: F.struct((-F.try_element_at(scores, x["label"])).alias("s"), F.array_position(F.transform("labels", lambda y: y["label"]), x["label"]).alias("i"), x["label"].alias("label")))
-        new = F.when(gate & (own != F.col("detector_group")), F.coalesce(F.array_min(ranked)["label"], F.col("category"))).otherwise(F.col("category"))
-    out = out.withColumn("gated_category", new).withColumn("gate_applied", gate)
-    return out.withColumn("gated_group", F.coalesce(F.try_element_at("group_of", F.col("gated_category")), F.lit("other"))).drop("group_of", "labels")
+        labels = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("label"), F.lit(g).alias("grp")) for i, (name, g) in enumerate(known)])
+        inside = F.filter(labels, lambda x: (x["grp"] == F.col("detector_group")) & F.map_contains_key(scores, x["label"]))
+        best = F.array_min(F.transform(inside, lambda x: F.struct((-F.try_element_at(scores, x["label"])).alias("s"), x["i"].alias("i"), x["label"].alias("label"))))["label"]
+        new = F.when(gate & (group(F.col("category")) != F.col("detector_group")), F.coalesce(best, F.col("category"))).otherwise(F.col("category"))
+    out = df.withColumn("gated_category", new).withColumn("gate_applied", gate)
+    return out.withColumn("gated_group", group(F.col("gated_category")))
 
 
 def garment_context(df: DataFrame) -> dict[str, Column]:
