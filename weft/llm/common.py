@@ -5,23 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a text, over UTF-8 bytes: `bytes.split()` cuts at 0x20 and 0x09-0x0D
-#: alone and `bytes.lower()` lowers A-Z alone, which is what the contracts ask.
-WORD = r"[^\x20\x09-\x0D]+"
+
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-weft-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-weft-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -48,7 +47,10 @@ def hash_mod(doc_id: Column, n: int) -> Column:
 
 
 def byte_texts(column: pa.Array) -> Iterator[bytes]:
-    """UTF-8 bytes of every text, null as empty, with no detour over `str`."""
+    """UTF-8 bytes of every text, null as empty, with no detour over `str`.
+
+    `bytes.split()` cuts at 0x20 and 0x09-0x0D alone, and `bytes.lower()` lowers A-Z alone, which is what the operators call words and case.
+    """
     for value in column.cast(pa.large_binary()):
         yield value.as_py() or b""
 

@@ -199,10 +199,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     links = stored(sure.union(more))
     final = connected_components(links)
 
-    least = nodes_least = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    least = final.withColumnRenamed("node", "set_key").join(nodes_least, "set_key").groupBy("component").agg(F.min("least").alias("least"))
-    named = final.withColumnRenamed("node", "set_key").join(least, "component").select("set_key", F.col("least").alias("joined"))
-    named = nodes_least.join(named, "set_key", "left").select("set_key", F.coalesce("joined", "least").alias("component_id"))
+    own = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    classed = final.withColumnRenamed("node", "set_key")
+    joined = classed.join(own, "set_key").groupBy("component").agg(F.min("least").alias("joined"))
+    named = own.join(classed.join(joined, "component"), "set_key", "left").select("set_key", F.coalesce("joined", "least").alias("component_id"))
     out = signed.select("doc_id", "set_key", "n_shingles").join(stored(named), "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
