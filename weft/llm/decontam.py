@@ -19,11 +19,11 @@ may hold several items; a row's other columns pass through `scan`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
@@ -34,54 +34,56 @@ SEED_WORDS, MIN_SCORE, BLOCK_SEEDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A seed is rare if it is in at most so many documents, or so many times its item's median.
 ALWAYS_RARE, TIMES_MEDIAN = 20, 4
-MEMO_ENTRIES = 300_000
 LEAKS = ArrayType(StructType().add("item_id", LongType()).add("score", DoubleType()).add("first_word", IntegerType()).add("end_word", IntegerType()))
-_PLACE = np.random.default_rng(7).integers(1, 2**63, SEED_WORDS, dtype=np.uint64) | np.uint64(1)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def index_words(texts: Iterable[bytes]) -> dict[bytes, int]:
+    """A number from 1 for each word of the test items; any other word is 0."""
+    index: dict[bytes, int] = {}
+    for text in texts:
+        for word in text.lower().split():
+            index.setdefault(word, len(index) + 1)
+    return index
 
 
-def word_hashes(text: bytes, memo: _WordHash) -> np.ndarray:
+def word_codes(text: bytes, index: dict[bytes, int]) -> np.ndarray:
     words = text.lower().split()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(index.get, words, repeat(0)), np.int64, len(words))
 
 
-def seeds_of(h: np.ndarray) -> np.ndarray:
-    """A hash for each n-gram of the words `h`."""
-    n = len(h) - SEED_WORDS + 1
+def seeds_of(codes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, keys) of the n-grams made of known words alone; a key is the words' numbers as digits."""
+    n = len(codes) - SEED_WORDS + 1
     if n < 1:
-        return np.empty(0, np.uint64)
-    x = sum((h[j : n + j] * _PLACE[j] for j in range(1, SEED_WORDS)), h[:n] * _PLACE[0])
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    known = codes > 0
+    at = np.flatnonzero(np.logical_and.reduce([known[j : n + j] for j in range(SEED_WORDS)]))
+    key = codes[at]
+    for j in range(1, SEED_WORDS):
+        key = key * (n_words + 1) + codes[at + j]
+    return at, key
 
 
 class Seeds:
-    """Sorted seed hashes with the items that have them; most n-grams are turned away by a table of 2^20 bits."""
+    """The seeds of a block of items, sorted, with the items that have them; kept: (key, item) pairs, all if None."""
 
-    def __init__(self, items: dict[int, np.ndarray], kept: set[int] | None = None) -> None:
-        pairs = sorted({(int(s), i) for i, h in items.items() for s in seeds_of(h) if kept is None or (int(s), i) in kept})
-        self.hash = np.array([p[0] for p in pairs], np.uint64)
+    def __init__(self, index: dict[bytes, int], items: dict[int, np.ndarray], kept: set[tuple[int, int]] | None = None) -> None:
+        self.index, self.items = index, items
+        pairs = sorted({(int(s), i) for i, c in items.items() for s in seeds_of(c, len(index))[1] if kept is None or (int(s), i) in kept})
+        self.key = np.array([p[0] for p in pairs], np.int64)
         self.item = [p[1] for p in pairs]
-        self.distinct = np.unique(self.hash)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.distinct >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, found: np.ndarray) -> np.ndarray:
-        """Positions in `found` of seeds."""
-        maybe = np.flatnonzero(self.table[(found >> np.uint64(44)).astype(np.int64)])
-        if not len(maybe):
-            return maybe
-        at = np.minimum(np.searchsorted(self.distinct, found[maybe]), len(self.distinct) - 1)
-        return maybe[self.distinct[at] == found[maybe]]
-
-    def items(self, seed: np.uint64) -> list[int]:
-        a, b = np.searchsorted(self.hash, seed, "left"), np.searchsorted(self.hash, seed, "right")
+        self.distinct = np.unique(self.key)
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, keys) of seeds among the words `codes`."""
+        at, key = seeds_of(codes, len(self.index))
+        if not len(self.distinct) or not len(at):
+            return at[:0], key[:0]
+        own = self.distinct[np.minimum(np.searchsorted(self.distinct, key), len(self.distinct) - 1)] == key
+        return at[own], key[own]
+
+    def items_of(self, key: int) -> list[int]:
+        a, b = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         return self.item[a:b]
 
 
@@ -109,22 +111,22 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (MATCH * len(item)), best[1], best[2]
 
 
-def leaks_in(h: np.ndarray, items: dict[int, np.ndarray], seeds: Seeds) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word + 1) of every item that the words `h` hold."""
-    found = seeds_of(h)
+def leaks_in(codes: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, last word + 1) of every item that the words `codes` hold."""
     near: dict[int, list[int]] = {}
-    for at in seeds.hits(found):
-        for i in seeds.items(found[at]):
+    for at, key in zip(*seeds.hits(codes)):
+        for i in seeds.items_of(key):
             near.setdefault(i, []).append(int(at))
     out = []
     for i, places in near.items():
-        reach, best, k = len(items[i]) * 3 // 2 + SEED_WORDS, (0.0, 0, 0), 0
+        item, best, k = seeds.items[i], (0.0, 0, 0), 0
+        reach = len(item) * 3 // 2 + SEED_WORDS
         while k < len(places):
             first, last = places[k], places[k]
             while k < len(places) and places[k] <= last + reach:
                 last, k = places[k], k + 1
-            lo, hi = max(0, first - reach), min(len(h), last + reach)
-            score, a, b = align(items[i], h[lo:hi])
+            lo, hi = max(0, first - reach), min(len(codes), last + reach)
+            score, a, b = align(item, codes[lo:hi])
             best = max(best, (score, lo + a, lo + b))
         if best[0] >= MIN_SCORE:
             out.append((i, *best))
@@ -149,24 +151,23 @@ def seed_frequencies(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = shared.value, _WordHash()
+        own = shared.value
         n = np.zeros(len(own.distinct), np.int64)
         for batch in (small for big in batches for small in small_batches(big)):
             for text in byte_texts(batch.column("text")):
-                found = seeds_of(word_hashes(text, memo))
-                n[np.searchsorted(own.distinct, np.unique(found[own.hits(found)]))] += 1
+                n[np.searchsorted(own.distinct, np.unique(own.hits(word_codes(text, own.index))[1]))] += 1
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(own.distinct[some].view(np.int64)), pa.array(n[some])], ["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(own.distinct[some]), pa.array(n[some])], ["seed", "n"])
 
     counted = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"] & (2**64 - 1): r["n"] for r in counted.collect()}
+    return {r["seed"]: r["n"] for r in counted.collect()}
 
 
-def rare_seeds(items: dict[int, np.ndarray], df: dict[int, int]) -> set[tuple[int, int]]:
-    """(seed, item) for the seeds that are rare among their item's own."""
+def rare_seeds(seeds: Seeds, df: dict[int, int]) -> set[tuple[int, int]]:
+    """(key, item) for the seeds that are rare among their item's own."""
     kept = set()
-    for i, h in items.items():
-        own = {int(s): df.get(int(s), 0) for s in seeds_of(h)}
+    for i, codes in seeds.items.items():
+        own = {int(s): df.get(int(s), 0) for s in seeds_of(codes, len(seeds.index))[1]}
         if own:
             most = max(ALWAYS_RARE, TIMES_MEDIAN * sorted(own.values())[(len(own) - 1) // 2])
             kept |= {(s, i) for s, n in own.items() if n <= most}
@@ -178,24 +179,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
     out = docs
     names = []
     for k, block in enumerate(_item_blocks(benchmark)):
-        memo = _WordHash()
-        items = {i: h for i, t in block.items() if len(h := word_hashes(t, memo)) >= SEED_WORDS}
-        kept = rare_seeds(items, seed_frequencies(docs.select(F.col(text_col).alias("text")), Seeds(items)))
+        index = index_words(block.values())
+        items = {i: c for i, t in block.items() if len(c := word_codes(t, index)) >= SEED_WORDS}
+        every = Seeds(index, items)
+        kept = rare_seeds(every, seed_frequencies(docs.select(F.col(text_col).alias("text")), every))
         names.append(free_name(out, f"leaks_{k}"))
-        out = _with_leaks(out, text_col, items, Seeds(items, kept), names[-1])
+        out = _with_leaks(out, text_col, Seeds(index, items, kept), names[-1])
     empty = F.from_json(F.lit("[]"), LEAKS)
     return out.withColumn("leaks", F.concat(empty, *names)).drop(*names)
 
 
-def _with_leaks(docs: DataFrame, text_col: str, items: dict, seeds: Seeds, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, seeds))
+def _with_leaks(docs: DataFrame, text_col: str, seeds: Seeds, name: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_items, own_seeds = shared.value
-        memo = _WordHash()
+        own = shared.value
         for batch in (small for big in batches for small in small_batches(big)):
-            leaks = [[dict(zip(("item_id", "score", "first_word", "end_word"), x)) for x in leaks_in(word_hashes(t, memo), own_items, own_seeds)] for t in byte_texts(batch.column(text_col))]
+            leaks = [[dict(zip(("item_id", "score", "first_word", "end_word"), x)) for x in leaks_in(word_codes(t, own.index), own)] for t in byte_texts(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], [*batch.schema.names, name])
 
     schema = StructType(list(docs.schema.fields)).add(name, LEAKS)
