@@ -145,7 +145,7 @@ QUERIES = {
     zero_shot_heads: f"""WITH {_SOFT.format(where='')}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, idx) AS k FROM soft)
       SELECT item_id, max(label) FILTER (k = 1) AS label, round(least(round(max(score), 5), 0.9), 4) AS confidence, round(greatest(0, least(1, sum(-score * ln(score + 1e-12)) / ln(count(*)))), 4) AS entropy,
         round(max(score) FILTER (k = 1) - max(score) FILTER (k = 2), 4) AS margin FROM r GROUP BY item_id""",
-    normalised_vectors: "SELECT item_id, 1.0 AS norm, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS first FROM item_vectors",
+    normalised_vectors: "SELECT item_id, CAST(1 AS DOUBLE) AS norm, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS first FROM item_vectors",
     similar_items: """WITH p AS (SELECT q.item_id AS query_id, i.item_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS s FROM item_vectors q JOIN item_vectors i ON q.item_id <> i.item_id WHERE q.item_id % 20 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM p) SELECT query_id, item_id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 5""",
     duplicate_items: """SELECT a.user_id, a.item_id AS a, b.item_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity

@@ -152,9 +152,9 @@ QUERIES = {
       k AS (SELECT *, row_number() OVER (PARTITION BY garment_id ORDER BY attempt DESC) AS r FROM b WHERE broken = 0)
       SELECT garment_id, CAST(attempt AS BIGINT) AS attempt, confidence, CAST(attempt + CASE WHEN wants_retry AND attempt <= 3 THEN 1 ELSE 0 END AS BIGINT) AS attempts FROM k WHERE r = 1""",
     retry_decisions: f"WITH {JUDGED} SELECT status, garment_id % 3 < 2 AND (status = 'uncertain' OR 1 - detector_conf >= 0.62 OR style_conf < 0.12 OR NOT consistent) AS retry, count(*) AS n FROM judged GROUP BY 1, 2",
-    image_quality_verdicts: f"""WITH {_ISSUES} SELECT garment_id, array_to_string(l, ',') AS issues, round(greatest(0, 1 - coalesce(list_sum(list_transform(l, lambda x:
+    image_quality_verdicts: f"""WITH {_ISSUES} SELECT garment_id, array_to_string(l, ',') AS issues, round(CAST(greatest(0, 1 - coalesce(list_sum(list_transform(l, lambda x:
       CASE split_part(x, ':', 1) WHEN 'low_resolution' THEN 0.35 WHEN 'blurry' THEN 0.30 WHEN 'low_contrast' THEN 0.20 WHEN 'no_foreground' THEN 1.0 ELSE 0.25 END
-      * CASE split_part(x, ':', 2) WHEN 'error' THEN 1.5 ELSE 1 END)), 0)), 4) AS score, len(list_filter(l, lambda x: contains(x, ':error'))) = 0 AS usable FROM i""",
+      * CASE split_part(x, ':', 2) WHEN 'error' THEN 1.5 ELSE 1 END)), 0)) AS DOUBLE), 4) AS score, len(list_filter(l, lambda x: contains(x, ':error'))) = 0 AS usable FROM i""",
     color_naming: None,
     hex_round_trip: """WITH h AS (SELECT item_id, CAST(item_id * 7919 % 16777216 AS INT) AS v FROM items)
       SELECT item_id, format('#{:06x}', v) AS hex, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b, format('#{:06x}', v) AS again FROM h""",
