@@ -88,6 +88,19 @@ def test_colors(spark):
     assert one(spark, color.color_spread(F.lit(None).cast("map<string,double>"))) == 1.0
 
 
+def test_color_names_equal_plain_search(spark):
+    from weft.operators import images
+
+    rng = random.Random(2)
+    rows = [tuple(rng.randrange(256) for _ in range(3)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "r int, g int, b int").withColumn("lab", color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))).withColumn("name", color.nearest_color(F.col("lab"))["name"])
+    for r in df.collect():
+        lab = images.lab_of(images.np.array([[r["r"], r["g"], r["b"]]]))[0]
+        assert (r["lab"]["l"], r["lab"]["a"], r["lab"]["b"]) == pytest.approx(tuple(lab), abs=1.0)
+        own = images.np.array([r["lab"]["l"], r["lab"]["a"], r["lab"]["b"]])
+        assert r["name"] == color.PALETTE[images.name_of(own)][0]
+
+
 def test_geometry(spark):
     rng = random.Random(1)
     for _ in range(5):

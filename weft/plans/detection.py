@@ -92,7 +92,7 @@ def similar_items(spark, d):
 
 
 def duplicate_items(spark, d):
-    return embed.duplicate_items(view(spark, d, "item_vectors"), 0.5).select("user_id", "a", "b", F.round("similarity", 5).alias("similarity"))
+    return embed.duplicate_items(view(spark, d, "item_vectors"), 0.3).select("user_id", "a", "b", F.round("similarity", 5).alias("similarity"))
 
 
 def item_clusters(spark, d):
@@ -149,6 +149,6 @@ QUERIES = {
     similar_items: """WITH p AS (SELECT q.item_id AS query_id, i.item_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS s FROM item_vectors q JOIN item_vectors i ON q.item_id <> i.item_id WHERE q.item_id % 20 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM p) SELECT query_id, item_id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 5""",
     duplicate_items: """SELECT a.user_id, a.item_id AS a, b.item_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity
-      FROM item_vectors a JOIN item_vectors b ON a.user_id = b.user_id AND a.item_id < b.item_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5""",
+      FROM item_vectors a JOIN item_vectors b ON a.user_id = b.user_id AND a.item_id < b.item_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""",
     item_clusters: None,
 }

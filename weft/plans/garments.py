@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions import color, quality, scoring
 from weft.operators import garments as G
 from weft.plans.fixtures import view
+from weft.sources.io import flatten_results, predictions_long
 
 ATTRS = ["category", "material", "pattern", "style"]
 
@@ -122,6 +123,38 @@ def hex_round_trip(spark, d):
     return rgb.select("item_id", "hex", "c.r", "c.g", "c.b", color.rgb_to_hex(F.col("c.r"), F.col("c.g"), F.col("c.b")).alias("again"))
 
 
+def _results(spark, d):
+    """Analysis results a photo, nested as the analysis gives them; photos of a number divisible by 50 have no item."""
+    g = view(spark, d, "garments")
+    head = lambda a: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("value"), F.col(f"{a}_conf").alias("confidence"), F.create_map(F.col(a), F.col(f"{a}_conf"), F.lit("rest"), 1 - F.col(f"{a}_conf")).alias("scores"))).alias(a)
+    item = F.struct(F.format_string("garment_%03d", "garment_id").alias("id"), F.struct(*[head(a) for a in ATTRS]).alias("attributes"))
+    nested = g.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("garment_id", item.alias("item"))), lambda a, b: F.signum(a["garment_id"] - b["garment_id"]).cast("int")).alias("i"))
+    items = F.when(F.col("image_id") % 50 == 0, F.filter("i", lambda x: F.lit(False))).otherwise(F.col("i"))
+    return nested.select(F.col("image_id").cast("string").alias("request_id"), (F.col("image_id") % 50 != 0).alias("success"), F.lit(None).cast("string").alias("reason"), F.transform(items, lambda x: x["item"]).alias("items"))
+
+
+def flattened_results(spark, d):
+    flat = flatten_results(_results(spark, d))
+    return flat.select("request_id", "success", F.col("position").cast("long").alias("position"), "id", F.col("attributes.category.value").alias("category"))
+
+
+def prediction_rows(spark, d):
+    long = predictions_long(flatten_results(_results(spark, d)))
+    return long.groupBy("attribute", "value", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("score"))
+
+
+def color_spreads(spark, d):
+    g = view(spark, d, "garments")
+    m = F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("other")), F.array("color_share", "seg_quality", F.lit(0.5)))
+    return g.select("garment_id", F.round(color.color_spread(m), 6).alias("spread"))
+
+
+def color_distances(spark, d):
+    lab = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, "lab")])
+    g = view(spark, d, "garments")
+    return g.select("garment_id", F.round(color.delta_e(lab("category_conf", "material_conf", "pattern_conf"), lab("style_conf", "color_share", "detector_conf")), 6).alias("distance"))
+
+
 _ISSUES = """
 m AS (SELECT garment_id, CAST(garment_id % 400 AS INT) AS w, CAST(garment_id % 300 + 40 AS INT) AS h, CAST(garment_id % 256 AS DOUBLE) AS b,
   CAST(garment_id % 40 AS DOUBLE) AS c, CAST(garment_id % 200 AS DOUBLE) AS s, color_share / 10 AS f FROM garments),
@@ -156,6 +189,12 @@ QUERIES = {
       CASE split_part(x, ':', 1) WHEN 'low_resolution' THEN 0.35 WHEN 'blurry' THEN 0.30 WHEN 'low_contrast' THEN 0.20 WHEN 'no_foreground' THEN 1.0 ELSE 0.25 END
       * CASE split_part(x, ':', 2) WHEN 'error' THEN 1.5 ELSE 1 END)), 0)) AS DOUBLE), 4) AS score, len(list_filter(l, lambda x: contains(x, ':error'))) = 0 AS usable FROM i""",
     color_naming: None,
+    flattened_results: """SELECT CAST(image_id AS VARCHAR) AS request_id, true AS success, row_number() OVER (PARTITION BY image_id ORDER BY garment_id) - 1 AS position, format('garment_{:03d}', garment_id) AS id, category FROM garments WHERE image_id % 50 <> 0
+      UNION ALL SELECT DISTINCT CAST(image_id AS VARCHAR), false, CAST(NULL AS BIGINT), NULL, NULL FROM garments WHERE image_id % 50 = 0""",
+    prediction_rows: "WITH " + ", ".join(f"q_{a} AS (SELECT '{a}' AS attribute, {a} AS value, {a}_conf AS c FROM garments WHERE {a} IS NOT NULL AND image_id % 50 <> 0)" for a in ATTRS)
+    + ", q AS (" + " UNION ALL ".join(f"SELECT * FROM q_{a}" for a in ATTRS) + ") SELECT attribute, value, value AS label, count(*) AS n, round(sum(c), 4) AS score FROM q GROUP BY 1, 2 UNION ALL SELECT attribute, value, 'rest', count(*), round(sum(1 - c), 4) FROM q GROUP BY 1, 2",
+    color_spreads: "SELECT garment_id, round(abs(color_share - seg_quality) / 2, 6) AS spread FROM garments",
+    color_distances: "SELECT garment_id, round(sqrt(pow(category_conf - style_conf, 2) + pow(material_conf - color_share, 2) + pow(pattern_conf - detector_conf, 2)), 6) AS distance FROM garments",
     hex_round_trip: """WITH h AS (SELECT item_id, CAST(item_id * 7919 % 16777216 AS INT) AS v FROM items)
       SELECT item_id, format('#{:06x}', v) AS hex, v // 65536 AS r, v // 256 % 256 AS g, v % 256 AS b, format('#{:06x}', v) AS again FROM h""",
 }
