@@ -120,6 +120,13 @@ def test_duplicates_against_all_pairs(spark):
         embed.BLOCK = old
 
 
+def test_similar_items_settle_ties_by_id(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(30 + i, [0.0, 1.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "item_id long, embedding array<float>").repartition(3)
+    got = embed.similar_items(df.where("item_id in (7, 31)"), df, 4).orderBy("query_id", "rank").collect()
+    assert [r["item_id"] for r in got] == [0, 1, 2, 3, 30, 32, 33, 34]
+
+
 def photo(rgb, size=64):
     return np.tile(np.array(rgb, np.uint8), (size, size, 1))
 

@@ -37,18 +37,18 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             for frame in batches:
+                frame = frame.sort_values("item_id")  # a stable sort then settles ties by id, as the final ranking does
                 own = frame["item_id"].to_numpy(np.int64)
-                sim = np.where(ids[:, None] == own[None, :], -np.inf, q @ _unit(frame["embedding"]).T)
-                top = np.argpartition(-sim, min(k, sim.shape[1] - 1), axis=1)[:, : k + 1] if sim.shape[1] > k + 1 else np.tile(np.arange(sim.shape[1]), (len(ids), 1))
-                at = np.take_along_axis(sim, top, axis=1).ravel()
-                out = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "item_id": own[top].ravel(), "similarity": at})
-                yield out[np.isfinite(at)]
+                sim = np.where(ids[:, None] == own[None, :], -np.inf, np.round(q @ _unit(frame["embedding"]).T, 6))
+                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                out = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "item_id": own[top].ravel(), "similarity": np.take_along_axis(sim, top, axis=1).ravel()})
+                yield out[np.isfinite(out["similarity"])]
 
         some = items.select("item_id", "embedding").mapInPandas(best, "query_id long, item_id long, similarity double")
         found = some if found is None else found.union(some)
     if found is None:
         found = items.limit(0).select(F.col("item_id").alias("query_id"), "item_id", F.lit(0.0).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "item_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
