@@ -88,7 +88,7 @@ def normalised_vectors(spark, d):
 def similar_items(spark, d):
     v = view(spark, d, "item_vectors").select("item_id", "embedding")
     out = embed.similar_items(v.where("item_id % 20 = 0"), v, 5)
-    return out.select("query_id", "item_id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+    return out.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 def duplicate_items(spark, d):
@@ -147,7 +147,7 @@ QUERIES = {
         round(max(score) FILTER (k = 1) - max(score) FILTER (k = 2), 4) AS margin FROM r GROUP BY item_id""",
     normalised_vectors: "SELECT item_id, CAST(1 AS DOUBLE) AS norm, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS first FROM item_vectors",
     similar_items: """WITH p AS (SELECT q.item_id AS query_id, i.item_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS s FROM item_vectors q JOIN item_vectors i ON q.item_id <> i.item_id WHERE q.item_id % 20 = 0),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM p) SELECT query_id, item_id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 5""",
+      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM p) SELECT query_id, item_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""",
     duplicate_items: """SELECT a.user_id, a.item_id AS a, b.item_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity
       FROM item_vectors a JOIN item_vectors b ON a.user_id = b.user_id AND a.item_id < b.item_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""",
     item_clusters: None,
