@@ -233,6 +233,30 @@ def test_leaks(spark, monkeypatch):
     assert decontam.find_leaks(empty(spark), bench).count() == 0
 
 
+def test_leaks_of_an_edit_in_many_documents(spark):
+    rng = random.Random(8)
+    item = [f"w{k}" for k in range(40)]
+    edited = [w if k % 4 else f"other{k}" for k, w in enumerate(item)]
+    noise = [f"n{k}" for k in range(500)] + item[:6]
+    texts = [" ".join([*rng.choices(noise, k=30), *edited, *rng.choices(noise, k=30)]) for _ in range(3000)]
+    texts += [" ".join([*rng.choices(noise, k=30), *item[10:31], *rng.choices(noise, k=30)]) for _ in range(60)] + [" ".join(item)] * 5
+    texts += [" ".join([*item[:4], *rng.choices(noise, k=60)]) for _ in range(100)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    index = decontam.index_words([bench.first()["text"].encode()])
+    whole = decontam.word_codes(" ".join(item).encode(), index)
+    want = {k + 1 for k, t in enumerate(texts) if decontam.align(whole, decontam.word_codes(t.encode(), index))[0] >= decontam.MIN_SCORE}
+    assert want >= set(range(1, 3066))
+    assert {r["doc_id"] for r in decontam.find_leaks(docs(spark, texts), bench).collect()} == want
+
+
+def test_bound_of_alignment():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        item, stretch = rng.integers(1, 9, rng.integers(3, 20)), rng.integers(0, 12, rng.integers(0, 60))
+        score = decontam.align(item, stretch)[0] * decontam.MATCH * len(item)
+        assert decontam.can_reach(np.unique(item), stretch, score)
+
+
 def brute_stats(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
     tri = Counter(zip(words, words[1:], words[2:]))

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, an upper bound, then Smith-Waterman alignment.
 
-Seeds are the word n-grams of the test items.  A first pass over all documents counts
-in how many of them each seed occurs; an item keeps the seeds that are rare among its
-own, so that runs of function words fetch nobody, while a passage that many documents
-hold is rare in no relative sense and stays.  A second pass finds the kept seeds,
-aligns the stretch around them with the item and scores the best local alignment
-against that of the item with itself.  A document with a score of `MIN_SCORE` or more
-holds the item, whole, edited or paraphrased.
+Seeds are the word n-grams of the test items, and every seed counts, however many
+documents have it.  One pass finds the seeds of a document, bounds from above what the
+stretch around them can score (`can_reach`, so that runs of function words cost no
+alignment and no item is lost), aligns what is left with the item and scores the best
+local alignment against that of the item with itself.  A document with a score of
+`MIN_SCORE` or more holds the item, whole, edited or paraphrased.  An edit that leaves
+no `SEED_WORDS` successive words of the item intact is not found.
 
 The test items are the small side: their seeds are broadcast in blocks of at most
 `BLOCK_SEEDS`, each block a pass of its own, so that a large benchmark costs passes
@@ -32,8 +32,6 @@ from weft.llm.common import byte_texts, free_name, small_batches
 
 SEED_WORDS, MIN_SCORE, BLOCK_SEEDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A seed is rare if it is in at most so many documents, or so many times its item's median.
-ALWAYS_RARE, TIMES_MEDIAN = 20, 4
 LEAKS = ArrayType(StructType().add("item_id", LongType()).add("score", DoubleType()).add("first_word", IntegerType()).add("end_word", IntegerType()))
 
 
@@ -65,11 +63,12 @@ def seeds_of(codes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Seeds:
-    """The seeds of a block of items, sorted, with the items that have them; kept: (key, item) pairs, all if None."""
+    """The seeds of a block of items, sorted, with the items that have them and each item's distinct words."""
 
-    def __init__(self, index: dict[bytes, int], items: dict[int, np.ndarray], kept: set[tuple[int, int]] | None = None) -> None:
+    def __init__(self, index: dict[bytes, int], items: dict[int, np.ndarray]) -> None:
         self.index, self.items = index, items
-        pairs = sorted({(int(s), i) for i, c in items.items() for s in seeds_of(c, len(index))[1] if kept is None or (int(s), i) in kept})
+        self.words = {i: np.unique(c) for i, c in items.items()}
+        pairs = sorted({(int(s), i) for i, c in items.items() for s in seeds_of(c, len(index))[1]})
         self.key = np.array([p[0] for p in pairs], np.int64)
         self.item = [p[1] for p in pairs]
         self.distinct = np.unique(self.key)
@@ -111,6 +110,16 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (MATCH * len(item)), best[1], best[2]
 
 
+def can_reach(words: np.ndarray, stretch: np.ndarray, least: float) -> bool:
+    """Whether a local alignment with an item of these distinct words may score `least`; never wrongly False.
+
+    A word of the aligned part scores MATCH at most if the item has it, and costs a mismatch or a gap if not.
+    """
+    own = words[np.minimum(np.searchsorted(words, stretch), len(words) - 1)] == stretch
+    sums = np.cumsum(np.concatenate(([0], np.where(own, MATCH, max(MISMATCH, GAP)))))
+    return bool((sums - np.minimum.accumulate(sums)).max() >= least)
+
+
 def leaks_in(codes: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word + 1) of every item that the words `codes` hold."""
     near: dict[int, list[int]] = {}
@@ -120,12 +129,15 @@ def leaks_in(codes: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int
     out = []
     for i, places in near.items():
         item, best, k = seeds.items[i], (0.0, 0, 0), 0
-        reach = len(item) * 3 // 2 + SEED_WORDS
+        reach = 2 * len(item) + SEED_WORDS  # an alignment that scores enough has at most twice the item's words
+        least = MIN_SCORE * MATCH * len(item)
         while k < len(places):
             first, last = places[k], places[k]
             while k < len(places) and places[k] <= last + reach:
                 last, k = places[k], k + 1
             lo, hi = max(0, first - reach), min(len(codes), last + reach)
+            if not can_reach(seeds.words[i], codes[lo:hi], least):
+                continue
             score, a, b = align(item, codes[lo:hi])
             best = max(best, (score, lo + a, lo + b))
         if best[0] >= MIN_SCORE:
@@ -146,34 +158,6 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[dict[int, bytes]]:
         yield block
 
 
-def seed_frequencies(docs: DataFrame, seeds: Seeds) -> dict[int, int]:
-    """In how many rows of `docs` (text) each seed occurs; as many entries as there are seeds at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        n = np.zeros(len(own.distinct), np.int64)
-        for batch in (small for big in batches for small in small_batches(big)):
-            for text in byte_texts(batch.column("text")):
-                n[np.searchsorted(own.distinct, np.unique(own.hits(word_codes(text, own.index))[1]))] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(own.distinct[some]), pa.array(n[some])], ["seed", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in counted.collect()}
-
-
-def rare_seeds(seeds: Seeds, df: dict[int, int]) -> set[tuple[int, int]]:
-    """(key, item) for the seeds that are rare among their item's own."""
-    kept = set()
-    for i, codes in seeds.items.items():
-        own = {int(s): df.get(int(s), 0) for s in seeds_of(codes, len(seeds.index))[1]}
-        if own:
-            most = max(ALWAYS_RARE, TIMES_MEDIAN * sorted(own.values())[(len(own) - 1) // 2])
-            kept |= {(s, i) for s, n in own.items() if n <= most}
-    return kept
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of `docs` and `leaks`: array of (item_id, score, first_word, end_word), empty for clean rows."""
     out = docs
@@ -181,10 +165,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
     for k, block in enumerate(_item_blocks(benchmark)):
         index = index_words(block.values())
         items = {i: c for i, t in block.items() if len(c := word_codes(t, index)) >= SEED_WORDS}
-        every = Seeds(index, items)
-        kept = rare_seeds(every, seed_frequencies(docs.select(F.col(text_col).alias("text")), every))
         names.append(free_name(out, f"leaks_{k}"))
-        out = _with_leaks(out, text_col, Seeds(index, items, kept), names[-1])
+        out = _with_leaks(out, text_col, Seeds(index, items), names[-1])
     empty = F.from_json(F.lit("[]"), LEAKS)
     return out.withColumn("leaks", F.concat(empty, *names)).drop(*names)
 
