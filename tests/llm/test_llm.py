@@ -249,6 +249,17 @@ def test_leaks_of_an_edit_in_many_documents(spark):
     assert {r["doc_id"] for r in decontam.find_leaks(docs(spark, texts), bench).collect()} == want
 
 
+def test_leaks_of_items_that_share_an_id(spark, monkeypatch):
+    items = [(1, "a b c d e f"), (1, "g h i j k l"), (1, "a b c d e f"), (None, "m n o p q r"), (None, "s t u v w x"), (2, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["0 a b c d e f 0", "g h i j k l", "m n o p q r", "s t u v w x", "y z"]
+    for block in (500_000, 5):
+        monkeypatch.setattr(decontam, "BLOCK_SEEDS", block)
+        found = decontam.find_leaks(docs(spark, texts), bench).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 1), (3, None), (4, None)]
+        assert [r["doc_id"] for r in decontam.keep_clean(docs(spark, texts), bench).collect()] == [5]
+
+
 def test_bound_of_alignment():
     rng = np.random.default_rng(5)
     for _ in range(300):

@@ -12,6 +12,9 @@ The test items are the small side: their seeds are broadcast in blocks of at mos
 `BLOCK_SEEDS`, each block a pass of its own, so that a large benchmark costs passes
 and not memory.  Documents are never shuffled, and whole texts are read.
 
+Test items are the distinct (item_id, text) rows: a repeated row is one item, texts that
+share an id are each searched and reported under it, and so are items with a null id.
+
 Null and empty texts hold nothing.  Items with fewer words than a seed are in no
 document, as such few words name none.  Repeated rows are judged each; a document
 may hold several items; a row's other columns pass through `scan`.
@@ -145,15 +148,15 @@ def leaks_in(codes: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int
     return sorted(out)
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[dict[int, bytes]]:
-    """Items in blocks whose seeds are bounded; streamed, never held whole."""
-    block, size = {}, 0
-    for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id").toLocalIterator():
-        block[row[0]] = row[1].encode()
+def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
+    """(item_id, text) of the distinct items in blocks whose seeds are bounded; streamed, never held whole."""
+    block, size = [], 0
+    for row in benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
+        block.append((row[0], row[1].encode()))
         size += row[1].count(" ") + 1
         if size >= BLOCK_SEEDS:
             yield block
-            block, size = {}, 0
+            block, size = [], 0
     if block:
         yield block
 
@@ -163,22 +166,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataF
     out = docs
     names = []
     for k, block in enumerate(_item_blocks(benchmark)):
-        index = index_words(block.values())
-        items = {i: c for i, t in block.items() if len(c := word_codes(t, index)) >= SEED_WORDS}
+        index = index_words(t for _, t in block)
+        items = {n: c for n, (_, t) in enumerate(block) if len(c := word_codes(t, index)) >= SEED_WORDS}
         names.append(free_name(out, f"leaks_{k}"))
-        out = _with_leaks(out, text_col, Seeds(index, items), names[-1])
+        out = _with_leaks(out, text_col, Seeds(index, items), [i for i, _ in block], names[-1])
     empty = F.from_json(F.lit("[]"), LEAKS)
     return out.withColumn("leaks", F.concat(empty, *names)).drop(*names)
 
 
-def _with_leaks(docs: DataFrame, text_col: str, seeds: Seeds, name: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+def _with_leaks(docs: DataFrame, text_col: str, seeds: Seeds, ids: list[int | None], name: str) -> DataFrame:
+    """Adds the leaks of a block; its items are numbered, `ids` has the item_id of each."""
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, ids))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, ids = shared.value
         for batch in (small for big in batches for small in small_batches(big)):
-            leaks = [[dict(zip(("item_id", "score", "first_word", "end_word"), x)) for x in leaks_in(word_codes(t, own.index), own)] for t in byte_texts(batch.column(text_col))]
+            leaks = [[dict(zip(("item_id", "score", "first_word", "end_word"), (ids[n], *x))) for n, *x in leaks_in(word_codes(t, own.index), own)] for t in byte_texts(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], [*batch.schema.names, name])
 
     schema = StructType(list(docs.schema.fields)).add(name, LEAKS)
