@@ -391,6 +391,25 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch, hot):
     assert ppm.score(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [40, 10**7])
+def test_lm_keeps_every_context(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    monkeypatch.setattr(ppm, "MAX_CONTEXTS", 20)  # the model has no such bound
+    rng = random.Random(3)
+    texts = [t for t in ODD if len(t or "") < 1000] + ["the cat sat on the mat", "the hat", "zebra"] * 3
+    texts += [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 20))) for _ in range(60)]
+    order, counts = ppm.ORDER, {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i + 1).encode()) % 10:
+            data = bytes([ppm.BEFORE]) * order + (t or "").encode().lower() + bytes([ppm.END])
+            for j in range(order, len(data)):
+                for k in range(order + 1):
+                    counts.setdefault(data[j - k : j], Counter())[data[j]] += 1
+    got = {r["doc_id"]: r["score"] for r in ppm.score(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i + 1] == pytest.approx(brute_ppm(counts, (t or "").encode().lower(), order), abs=1e-4, rel=1e-5), t
+
+
 def test_stats_cover_columns():
     counts, classes, common = textstats.measure("The the é\n|".encode(), textstats._WordCode())
     assert len(counts) == len(textstats.COUNTS) and classes.sum() == 11 and common[textstats.COMMON[b"the"]] == 2 and common.sum() == 4

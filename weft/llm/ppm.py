@@ -1,14 +1,20 @@
 """Language-model scores: prediction by partial matching over a byte-context trie.
 
 The model is pretrained on all training documents.  Every byte (and one end symbol a
-document) is counted in its contexts of 0 to `ORDER` bytes; the trie holds the
-contexts seen most, at most `MAX_CONTEXTS`, which is the model's stated size and the
-bound of what is broadcast.  A symbol not seen in a context escapes to the next
-shorter one by the number of distinct symbols seen (method C), and symbols already
-seen there no longer take part (symbol exclusion); below order 0 all remaining
-symbols are equally likely.  As the counts are fixed, `compile_trie` turns the trie
-into two arrays, log-probability and next state by (state, byte), and a task scores
-many stretches of text in step, each started by the `ORDER` bytes before it.
+document) is counted in its contexts of 0 to `ORDER` bytes, and the model holds all of
+them, however many: it grows with the corpus.  A symbol not seen in a context escapes
+to the next shorter one by the number of distinct symbols seen (method C), and symbols
+already seen there no longer take part (symbol exclusion); below order 0 all remaining
+symbols are equally likely.
+
+A symbol's probability depends on it and the `ORDER` bytes before it alone, its gram.
+The rows are dealt into chunks of about `CHUNK` bytes and written once; a chunk's
+distinct grams, with their training counts, are dealt by the two bytes before the
+symbol (`gram_scores`), where all their contexts of two bytes and more meet, and the
+256 x 256 counts of shorter ones are broadcast.  Each chunk gets the values of its own
+grams back and is scored by them, so that no task holds more of the model than a chunk
+or one pair of bytes needs.  `trie_counts`, `compile_trie` and `score_texts` are the same
+model in one process, for a small corpus.
 
 The unigram base needs the exact count of every token.  Tokens seen `n` times or more
 (the smallest n that leaves at most `HOT_TOKENS` of them) are broadcast with their
@@ -26,8 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructType
 
 from weft.llm.common import byte_texts, hash_mod, small_batches, stored
 
@@ -39,6 +48,8 @@ BEFORE, END = 0xFE, 0xFF
 END_TOKEN = b" "
 #: Distinct keys that a task counts before it passes them on, and bytes that one step scores.
 FLUSH, STRETCH = 400_000, 128
+#: Bytes of text that share one table of values.
+CHUNK = 16_000_000
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -51,8 +62,187 @@ def _grams(text: bytes) -> np.ndarray:
     return code
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """gram long, token binary, n: partial counts over `docs` (text); each row has a gram or a token."""
+def chunked(rows: DataFrame) -> DataFrame:
+    """`rows` (text and others) and chunk: successive rows of a task with about CHUNK bytes of text.  Store it before it is read twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in (small for big in batches for small in small_batches(big)):
+            of = []
+            for text in byte_texts(batch.column("text")):
+                if size > CHUNK:
+                    chunk, size = chunk + 1, 0
+                size += len(text) + 1
+                of.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], [*batch.schema.names, "chunk"])
+
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("chunk", LongType()))
+
+
+def _merged(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, with the sums of their n."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.empty(0, np.int64)
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _pack(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Stretches of 4-byte values between `cuts` as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _full(last: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """Grams from their last two context bytes and their other four."""
+    tails = tails.astype(np.int64)
+    return (tails >> 8) << 24 | last << 8 | tails & 255
+
+
+def pair_counts(rows: DataFrame) -> np.ndarray:
+    """How often each symbol follows each byte in `rows` (text): 256 x 256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for batch in (small for big in batches for small in small_batches(big)):
+            n += np.bincount(np.concatenate([_grams(t.lower()) & 0xFFFF for t in byte_texts(batch.column("text"))]), minlength=1 << 16)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["pair", "n"])
+
+    found = np.zeros(1 << 16, np.int64)
+    for r in rows.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        found[r["pair"]] = r["n"]
+    return found.reshape(256, 256)
+
+
+def chunk_grams(rows: DataFrame) -> DataFrame:
+    """last, chunk, tails, counts: the distinct grams of each chunk of `rows` (chunk, held_out, text) and how often its training rows have them.
+
+    A row holds the grams that share the last two context bytes, `last`, as their other four bytes; a chunk that several tasks read has rows of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, texts, size = None, [], {False: [], True: []}, 0
+
+        def settle() -> None:
+            for held, of in texts.items():
+                if of:
+                    grams, n = np.unique(np.concatenate(of), return_counts=True)
+                    parts.append((grams, n * (not held)))
+                    of.clear()
+
+        def chunk_out() -> pa.RecordBatch:
+            settle()
+            grams, n = _merged(*(np.concatenate(x) for x in zip(*parts)))
+            parts.clear()
+            last, tails = (grams >> 8) & 0xFFFF, (grams >> 24) << 8 | grams & 255
+            order = np.argsort(last << 32 | tails)
+            begin, _ = _runs(last[order])
+            cuts = np.append(begin, len(order))
+            return pa.RecordBatch.from_arrays([pa.array(last[order][begin], pa.int32()), pa.array(np.full(len(begin), now)), _pack(tails[order].astype(np.uint32), cuts), _pack(n[order].astype(np.uint32), cuts)], ["last", "chunk", "tails", "counts"])
+
+        for batch in (small for big in batches for small in small_batches(big)):
+            for chunk, held, text in zip(batch.column("chunk").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch.column("text"))):
+                if chunk != now:
+                    if now is not None:
+                        yield chunk_out()
+                    now, size = chunk, 0
+                texts[held].append(_grams(text.lower()))
+                size += len(text)
+                if size > 4_000_000:
+                    settle()
+                    size = 0
+        if now is not None:
+            yield chunk_out()
+
+    return rows.select("chunk", "held_out", "text").mapInArrow(run, "last int, chunk long, tails binary, counts binary")
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the run of each row."""
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def gram_values(grams: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's symbol after its context, for distinct grams that share the last two context bytes.
+
+    `n` are the grams' training counts, 0 where only other rows have them; all training grams of the two bytes must be there.
+    `low` (256 x 256) has the counts of a symbol by the byte before it.
+    """
+    symbol = grams & 255
+    log = lambda x: np.log10(np.maximum(x, 1))
+    # order 0 and 1, by symbol: counts, totals and numbers of distinct symbols
+    before = int(grams[0] >> 8) & 255
+    zero, one = low.sum(axis=0), low[before]
+    counts = [zero[symbol], one[symbol]]
+    totals, kinds = [np.full(len(grams), zero.sum()), np.full(len(grams), one.sum())], [np.full(len(grams), (zero > 0).sum()), np.full(len(grams), (one > 0).sum())]
+    # what is left of an order's shorter context once the symbols seen in it are excluded
+    rest = [None, np.full(len(grams), zero[one == 0].sum())]
+    for k in range(2, ORDER + 1):
+        key = grams & ((1 << (8 * (k + 1))) - 1)
+        order = np.argsort(key, kind="stable")
+        begin, run = _runs(key[order])
+        sums = np.add.reduceat(n[order], begin)
+        one_key = key[order][begin]
+        context_begin, context = _runs(one_key >> 8)
+        shorter = counts[k - 1][order][begin]
+        per = (sums, np.add.reduceat(sums, context_begin)[context], np.add.reduceat((sums > 0).astype(np.int64), context_begin)[context], np.add.reduceat(np.where(sums > 0, shorter, 0), context_begin)[context])
+        back = np.empty(len(grams), np.int64)
+        back[order] = run
+        count, total, kind, seen = (x[back] for x in per)
+        counts.append(count)
+        totals.append(total)
+        kinds.append(kind)
+        rest.append(totals[k - 1] - seen)
+    out = np.zeros(len(grams))
+    done = np.zeros(len(grams), bool)  # the symbol was found in a longer context
+    entered = np.zeros(len(grams), bool)  # a longer context was seen
+    for k in range(ORDER, -1, -1):
+        fresh = ~entered & (totals[k] > 0)
+        hit = fresh & (counts[k] > 0)
+        out += np.where(fresh, np.where(hit, log(counts[k]), log(kinds[k])) - log(totals[k] + kinds[k]), 0)
+        if k < ORDER:
+            left = kinds[k] - kinds[k + 1]
+            late = entered & ~done & (left > 0)
+            found = late & (counts[k] > 0)
+            out += np.where(late, np.where(found, log(counts[k]), log(left)) - log(rest[k + 1] + left), 0)
+            hit |= found
+        done |= hit
+        entered |= fresh
+    return np.where(done, out, out - np.log10(max(1, 255 - int((zero > 0).sum()))))
+
+
+def gram_scores(asked: DataFrame, low: np.ndarray) -> DataFrame:
+    """last, chunk, tails, scores for every row of `asked` (of chunk_grams()): the grams' log10 probabilities; `low` of pair_counts()."""
+    shared = asked.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, now, parts = shared.value, None, []
+
+        def scores_out() -> Iterator[pa.RecordBatch]:
+            distinct, n = _merged(*(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
+            value = gram_values(_full(np.int64(now), distinct), n, low).astype(np.float32)
+            for at in range(0, len(parts), 64):
+                some = parts[at : at + 64]
+                tails = np.concatenate([p[1] for p in some])
+                cuts = np.cumsum([0, *(len(p[1]) for p in some)])
+                yield pa.RecordBatch.from_arrays([pa.array([now] * len(some), pa.int32()), pa.array([p[0] for p in some], pa.int64()), _pack(tails, cuts), _pack(value[np.searchsorted(distinct, tails)], cuts)], ["last", "chunk", "tails", "scores"])
+            parts.clear()
+
+        for batch in batches:
+            for last, chunk, tails, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if parts and last != now:
+                    yield from scores_out()
+                now = last
+                parts.append((chunk, np.frombuffer(tails, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64)))
+        if parts:
+            yield from scores_out()
+
+    return asked.repartition("last").sortWithinPartitions("last").mapInArrow(run, "last int, chunk long, tails binary, scores binary")
+
+
+def corpus_counts(docs: DataFrame, with_grams: bool = True) -> DataFrame:
+    """gram long, token binary, n: partial counts over `docs` (text); each row has a gram or a token, a token alone if not `with_grams`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["gram", "token", "n"]
@@ -73,8 +263,9 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 text = text.lower()
                 tokens.update(text.split())
                 tokens[END_TOKEN] += 1
-                grams.append(_grams(text))
-                size += len(text)
+                if with_grams:
+                    grams.append(_grams(text))
+                    size += len(text)
             if len(tokens) > FLUSH:
                 yield tokens_out()
             if size > 6_000_000:
@@ -183,25 +374,32 @@ def score_texts(texts: list[bytes], column: np.ndarray, logp: np.ndarray, follow
     return np.bincount(owner, weights=sums, minlength=len(texts))
 
 
+def gram_sums(texts: list[bytes], grams: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """log10 probability of each text and its end, from the values of all their grams (sorted)."""
+    return np.array([values[np.searchsorted(grams, _grams(t))].sum() for t in texts], np.float64)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`."""
     spark = docs.sparkSession
     held = hash_mod(F.col(id_col), HELD_OUT[0]) == HELD_OUT[1]
-    rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    partial = stored(corpus_counts(rows.where(~F.col("held_out"))))
-    tokens = stored(partial.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")))
+    rows = stored(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))))
+    tokens = stored(corpus_counts(rows.where(~F.col("held_out")), with_grams=False).groupBy("token").agg(F.sum("n").alias("n")))
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     hot = tokens.where(F.col("n") >= _least_count(tokens, HOT_TOKENS)).toPandas()
-    trie = trie_counts(partial.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))).toPandas()
-    trie = compile_trie(trie)
+    values = gram_scores(chunk_grams(rows), pair_counts(rows.where(~F.col("held_out"))))
     shift = np.log10(total + 0.1 * (distinct + 1))
     known = {bytes(t): np.log10(n + 0.1) for t, n in zip(hot["token"], hot["n"])}
-    shared = spark.sparkContext.broadcast((known, trie))
+    shared = spark.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, trie = shared.value
-        value = known.get
-        for batch in (small for big in batches for small in small_batches(big)):
+    def run(table: pa.Table, own: pa.Table) -> pa.Table:
+        value = shared.value.get
+        tails, scores = (own.column(c).to_pylist() for c in ("tails", "scores"))
+        last = np.repeat(own.column("last").to_numpy().astype(np.int64), [len(t) // 4 for t in tails])
+        grams, at = np.unique(_full(last, np.frombuffer(b"".join(tails), np.uint32)), return_index=True)
+        values = np.frombuffer(b"".join(scores), np.float32)[at].astype(np.float64)
+        done = [pa.RecordBatch.from_pylist([], schema=kinds)]
+        for batch in (small for big in table.to_batches() for small in small_batches(big, 64)):
             texts = [t.lower() for t in byte_texts(batch.column("text"))]
             n_tokens, n_known, sums, rest = [], [], [], []
             for text in texts:
@@ -214,11 +412,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 rest.append(late)
             offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
             late = pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for r in rest for w in r], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), late, pa.array(score_texts(texts, *trie))], names)
+            score = gram_sums(texts, grams, values)
+            done.append(pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), late, pa.array(score)], schema=kinds))
+        return pa.Table.from_batches(done, kinds)
 
     names = ["id", "held_out", "n_tokens", "n_hot", "hot_sum", "late", "score"]
     kind = rows.schema["id"].dataType.simpleString()
-    scored = stored(rows.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_hot long, hot_sum double, late array<binary>, score double"))
+    kinds = pa.schema(list(zip(names, [to_arrow_type(rows.schema["id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.float64()])))
+    paired = rows.groupBy("chunk").cogroup(values.groupBy("chunk"))
+    scored = stored(paired.applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_hot long, hot_sum double, late array<binary>, score double"))
     scored = scored.withColumn("row_id", F.xxhash64("id", "n_tokens", "n_hot", "hot_sum", "score"))
     late = scored.where(F.size("late") > 0).dropDuplicates(["row_id"]).select("row_id", F.explode("late").alias("token"))
     late = late.groupBy("row_id", "token").agg(F.count(F.lit(1)).alias("k")).join(tokens, "token", "left")
