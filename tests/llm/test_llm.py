@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import chat, decontam, langid, neardup, packing, ppm, quality, queries, rules, textstats, tokens, urlrules
+from weft.llm import chat, common, decontam, langid, neardup, packing, pipeline, ppm, quality, queries, rules, textstats, tokens, urlrules
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "one", "two words", "a b c d e", "A b C d E", "a b c d e", "<|endoftext|> x", "naïve 中文 ﬁ É", "x" * 20_000, "w " * 9_000]
@@ -50,7 +50,7 @@ def test_tokens_equal_library(spark, library):
 
 
 def test_small_memo_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 3)
+    monkeypatch.setattr(common, "MEMO_BYTES", 500)
     encoder = tokens.TextEncoder(tokens.load_vocabulary(queries.TOKENIZER))
     texts = ["the quick brown foxling jumped's over", "unheardofwords abcdxyz, the end!!"] * 3
     assert [np.frombuffer(x, "<u4").tolist() for x in map(encoder.encode, texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
@@ -118,6 +118,19 @@ def test_chat_round_trips(spark):
     assert got[8]["n_turns"] == 2 and got[None]["n_turns"] == 1
 
 
+def test_chat_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, extra string")
+    assert chat.format_turns(none).count() == 0 and chat.read_back(chat.format_turns(none)).count() == 0
+
+
+def test_parser_reads_whole_conversations():
+    rng = random.Random(4)
+    bits = [chat.START, chat.END, "<\\|im_end|>", "\n", "assistant", "ok", "\\"]
+    for _ in range(200):
+        turns = [("".join(rng.choices(bits, k=rng.randint(0, 2))), "".join(rng.choices(bits, k=rng.randint(0, 5)))) for _ in range(rng.randint(0, 6))]
+        assert chat.parse("".join(chat.render(*t)[0] for t in turns)) == turns
+
+
 @pytest.mark.parametrize("name", ["op4_chat_formatting", "op5_url_filters", "op6_minhash_near_dedup"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
@@ -184,6 +197,32 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_keep_one_goes_by_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    x, y, near = "a b c d e f g h i j k l m n o p q r s t", "totally other words stand here and there now", "a b c d e f g h i j k l m n o p q r s u"
+    df = spark.createDataFrame([(3, x), (7, x), (7, y), (None, x), (None, x), (9, near), (5, None), (5, None), (6, "")], "doc_id long, text string").withColumns({"row_number": F.lit("mine"), "a.b": F.lit(1)})
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted([(3, x), (7, y), (5, None), (5, None), (6, "")], key=str)
+    only_null = neardup.keep_one(df.where("doc_id is null")).collect()
+    assert [(r[0], r[1]) for r in only_null] == [(None, x)]
+
+
+def test_near_duplicates_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 3_000)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2_500)]
+    texts = []
+    for _ in range(12):
+        own = list(base)
+        for _ in range(rng.choice([5, 60, 90, 200])):
+            own[rng.randrange(2_500)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
@@ -226,7 +265,7 @@ def test_leaks(spark, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("score", F.lit(1))
     want = {(2, 0), (3, 1), (4, 2), (8, 0), (8, 1)} | {(9 + k, 1) for k in range(60)}
     for block in (10**6, 40):  # one pass, and a pass for every few items
-        monkeypatch.setattr(decontam, "BLOCK_SEEDS", block)
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
         assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs(spark, texts), bench).collect()} == want
     assert {r["doc_id"] for r in decontam.keep_clean(docs(spark, texts), bench).collect()} == {1, 5, 6, 7}
     assert decontam.keep_clean(docs(spark, texts), bench.limit(0)).count() == len(texts)
@@ -254,12 +293,50 @@ def test_leaks_of_items_that_share_an_id(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = ["0 a b c d e f 0", "g h i j k l", "m n o p q r", "s t u v w x", "y z"]
     for block in (500_000, 5):
-        monkeypatch.setattr(decontam, "BLOCK_SEEDS", block)
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
         found = decontam.find_leaks(docs(spark, texts), bench).collect()
         assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 1), (3, None), (4, None)]
         assert [r["doc_id"] for r in decontam.keep_clean(docs(spark, texts), bench).collect()] == [5]
 
 
+def brute_leaks(texts, items):
+    found = set()
+    for i, t in enumerate(texts):
+        words = (t or "").encode().lower().split()
+        for k, item in items:
+            own = (item or "").encode().lower().split()
+            if 0 < len(own) < 3:
+                held = any(words[j : j + len(own)] == own for j in range(len(words)))
+            else:
+                seeds = {tuple(own[j : j + 3]) for j in range(len(own) - 2)}
+                held = any(tuple(words[j : j + 3]) in seeds for j in range(len(words) - 2)) and brute_alignment(own, words) >= decontam.MIN_SCORE
+            if held:
+                found.add((i + 1, k))
+    return found
+
+
+@pytest.mark.parametrize("block", [10**6, 25])
+def test_leaks_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(40)]
+    items = [(f"mmlu-{i % 9}", "\n".join(rng.choices(words, k=rng.choice([1, 2, 3, 4, 8, 20])))) for i in range(14)] + [(None, "v1 v2 v3 v4"), ("x", ""), ("y", " \n"), (None, None)]
+    texts = [None, "", *[" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(40)]]
+    for _, item in items[:14]:
+        own = item.split()
+        for k in range(0, len(own), 5):
+            own[k] = "edit"
+        texts.append(" ".join([*rng.choices(words, k=6), *own, *rng.choices(words, k=6)]))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontam.find_leaks(docs(spark, texts), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute_leaks(texts, items)
+    df = docs(spark, texts).withColumns({"leaks": F.lit("mine"), "item_id": F.lit(1), "a.b": F.lit(2)})
+    kept = decontam.keep_clean(df, bench)
+    assert kept.columns == df.columns and {r["leaks"] for r in kept.collect()} <= {"mine"}
+    long_items = [x for x in items if len((x[1] or "").split()) >= 3]
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i + 1 for i in range(len(texts))} - {d for d, _ in brute_leaks(texts, long_items)}
+
+
 def test_bound_of_alignment():
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -280,24 +357,86 @@ def brute_stats(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(hit)
 
 
-def test_quality_rules(spark):
+def brute_histograms(text, words):
+    """Characters by class and words by place in `words`, all others last."""
+    classes = [0] * len(textstats.CLASSES)
+    for c in text or "":
+        b = c.encode()[0]
+        kind = next((k for k, yes in {"upper": "A" <= c <= "Z", "lower": "a" <= c <= "z", "digit": "0" <= c <= "9", "newline": c == "\n", "space": c in " \t\x0b\x0c\r", "symbol": c in "#*$%&|<>", "stop": c in ".,;:!?", "latin_ext": 0xC0 <= b < 0xE0, "wide": b >= 0xE0, "punctuation": 32 < b < 127}.items() if yes), "other")
+        classes[textstats.CLASSES.index(kind)] += 1
+    own = [plain(w) for w in (text or "").encode().split()]
+    return classes, [*(own.count(w) for w in words), sum(w not in words for w in own)]
+
+
+def plain(word):
+    return word.lower().strip(bytes(b for b in range(33, 127) if not chr(b).isalnum()))
+
+
+def brute_divergence(a, b):
+    p, q = ([x / max(1, sum(v)) for x in v] for v in (a, b))
+    m = [(x + y) / 2 for x, y in zip(p, q)]
+    half = lambda v: sum(x * math.log2(x / z) for x, z in zip(v, m) if x > 0)
+    return math.sqrt(max(0, (half(p) + half(q)) / 2))
+
+
+@pytest.mark.parametrize("a_pass", [64, 1])
+def test_quality_rules_equal_brute_force(spark, monkeypatch, a_pass):
+    monkeypatch.setattr(rules, "LANGUAGES_A_PASS", a_pass)
+    monkeypatch.setattr(rules, "FLUSH", 50)
     rng = random.Random(9)
-    good = [" ".join(rng.choice("the of and to in a is that it for was on water house garden évé running looked after bread small".split()) for _ in range(90)) + ".\nIt was.\nIt was." for _ in range(60)]
-    junk = [" ".join("#$%&" + rng.choice("abcdef") + "|<>*" for _ in range(120))]
-    texts = ODD + good + junk + ["a\nb\na\n\n\na"]
-    got = {r["doc_id"]: r for r in rules.judge(docs(spark, texts)).collect()}
+    vocabulary = {"en": "the of and to in a is that it for was on water house garden évé running looked after bread small".split(), "fr": "le la les des et un une que pour dans maison jardin pain petit été courir".split()}
+    texts, langs = list(ODD), ["en"] * len(ODD)
+    for lang in ("en", "fr", "en", None):
+        for _ in range(30):
+            texts.append(" ".join(rng.choice(vocabulary[lang or "fr"]) for _ in range(rng.randint(40, 160))) + ".\nIt was.\nIt was.")
+            langs.append(lang)
+    texts += [" ".join("#$%&" + rng.choice("abcdef") + rng.choice("xyz") + str(rng.random()) + "|<>*" for _ in range(120)), "a\nb\na\n\n\na", texts[20]]
+    langs += ["xx", "en", "en"]
+    rows = [(i + 1, t, lang, "mine") for i, (t, lang) in enumerate(zip(texts, langs))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, verdict string")
+    stats = [brute_stats(t) for t in texts]
+    failed = [s[0] < 50 or 100 * s[4] > 50 * s[0] for s in stats]
+    refs = {}
+    for lang in ("en", "fr", "xx"):
+        df_of = Counter(w for t, x in zip(texts, langs) if x == lang for w in {plain(w) for w in (t or "").encode().split()} if w)
+        common = [w for w, n in sorted(df_of.items(), key=lambda x: (-x[1], x[0])) if n >= rules.MIN_HELD][: rules.COMMON_OF_LANGUAGE]
+        own = [brute_histograms(t, common) for t, x, f in zip(texts, langs, failed) if x == lang and not f]
+        if common and own:
+            refs[lang] = (common, *([sum(v) for v in zip(*(h[k] for h in own))] for k in (0, 1)))
+    assert set(refs) == {"en", "fr"}
+    got = {r["doc_id"]: r["v"] for r in rules.judge(df, ["doc_id"], name="v").collect()}
+    kept = set()
     for i, t in enumerate(texts):
-        r = got[i + 1]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_stats(t), repr(t)[:40]
-        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
-    assert all(got[len(ODD) + 1 + k]["kept"] for k in range(60)) or all(got[len(ODD) + 1 + k]["base_failed"] for k in range(60))
-    assert not got[len(ODD) + 61]["kept"]
-    assert rules.judge(empty(spark)).count() == 0
-    assert rules.keep_good(docs(spark, texts)).columns == docs(spark, texts).columns
+        r, n_chars, n_words = got[i + 1], len(t or ""), stats[i][0]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == stats[i], repr(t)[:40]
+        assert r["base_failed"] == failed[i]
+        far = []
+        for common, classes, words in refs.values():
+            h = brute_histograms(t, common)
+            far.append((brute_divergence(h[0], classes), brute_divergence(h[1], words)))
+        a, b = min(far, key=sum)
+        assert (r["class_distance"], r["word_distance"]) == pytest.approx((a, b), abs=1e-9)
+        chance = lambda k, n: math.sqrt(k / (8 * n * math.log(2))) if n else 0
+        rejected = n_chars >= 200 and a > 0.25 + chance(len(classes), n_chars) or n_words >= 60 and b > 0.15 + chance(33, n_words)
+        assert r["kept"] == (not failed[i] and not rejected)
+        kept |= {i + 1} if r["kept"] else set()
+    assert len(kept) > 60 and len(texts) - 2 not in kept
+    good = rules.keep_good(df)
+    assert good.columns == df.columns and {(r["doc_id"], r["verdict"]) for r in good.collect()} == {(k, "mine") for k in kept}
+    assert rules.judge(df.where("doc_id < 0"), name="v").count() == 0
+    assert [r["v"]["class_distance"] for r in rules.judge(docs(spark, ODD[:2]), ["doc_id"], name="v").collect()] == [None, None]
+
+
+def test_quality_rules_of_a_text_between_two_references(spark):
+    texts = ["aa bb " * 30] * 6 + ["cc dd " * 30] * 6
+    df = docs(spark, [" ".join(f"{w}" for w in t.split()) for t in texts]).withColumn("lang", F.when(F.col("doc_id") <= 6, "x").otherwise("y"))
+    assert rules.judge(df).count() == 12  # all fail the base rules, so no language has a reference
+    a, b = np.array([[[1.0, 1, 0]]]), np.array([[1.0, 0, 0], [0, 1, 0]])
+    assert rules._distances(a, b)[0] == pytest.approx([rules._distances(a, b)[0][0]] * 2)
 
 
 def test_divergence():
-    d = rules._distances(np.array([[1.0, 0], [1, 1], [0, 0]]), np.array([[1.0, 0], [0, 1]]))
+    d = rules._distances(np.array([[[1.0, 0]], [[1, 1]], [[0, 0]]]), np.array([[1.0, 0], [0, 1]]))
     assert d[0] == pytest.approx([0, 1]) and d[1] == pytest.approx([math.sqrt(0.311278)] * 2, abs=1e-4)
 
 
@@ -311,6 +450,50 @@ def test_quality_classifier(spark):
     assert quality.score_quality(empty(spark), l).count() == 0
 
 
+def brute_features(text):
+    """The classifier's features in plain Python, by name."""
+    text = text or ""
+    words, n_chars = text.encode().split(), len(text)
+    n = len(words)
+    _, word_chars, n_symbols, n_dup_lines, n_repeat_words = brute_stats(text)
+    n_lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in text.split("\n"))
+    classes, common = brute_histograms(text, list(textstats.COMMON))
+    of = dict(zip(textstats.CLASSES, classes))
+    share = lambda a, b: a / max(b, 1)
+    return {
+        "log_words": math.log1p(n), "word_length": share(word_chars, n), "symbols": share(n_symbols, n), "pipes": share(text.count("|"), n), "exclaims": share(text.count("!"), n),
+        "upper": share(of["upper"], of["upper"] + of["lower"]), "digits": share(of["digit"], n_chars), "stops": share(of["stop"], n), "other_marks": share(of["punctuation"], n_chars),
+        "line_words": share(n, n_lines), "dup_lines": share(n_dup_lines, n_lines), "repeated": share(n_repeat_words, n), "distinct": share(len(set(words)), n), "common": share(n - common[-1], n),
+    }
+
+
+def test_quality_scores_equal_rules_applied_in_python(spark):
+    sf = "/root/testdata/sf0.01"
+    d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.learn_quality(d, l)
+    assert len(model.rules) > 3
+    texts = ODD + [r["text"] for r in d.orderBy("doc_id").limit(150).collect()]
+    got = {r["doc_id"]: r["score"] for r in quality.with_score(docs(spark, texts), model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        x = brute_features(t)
+        total = model.intercept + sum(w for w, tests in model.rules if all((x[f] <= c) if at_most else (x[f] > c) for f, at_most, c in tests))
+        assert got[i + 1] == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9), repr(t)[:40]
+
+
+def test_quality_filter_of_odd_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    d, l = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = docs(spark, ODD, first=10**9).select("doc_id", "text")
+    df = d.union(odd).union(odd).union(d.limit(3).selectExpr("null", "text")).withColumns({"score": F.lit("mine"), "stats": F.lit(1), "a.b": F.lit(2)})
+    kept = quality.keep_good(df, l)
+    assert kept.columns == df.columns and 0 < kept.count() < df.count()
+    scores = quality.with_score(df, quality.learn_quality(df, l), ["doc_id", "text"]).where("score >= 0.7").count()
+    assert kept.count() == scores
+    for none in (l.limit(0), l.withColumn("quality", F.lit(0)), l.withColumn("quality", F.lit(None).cast("int"))):
+        assert quality.keep_good(df, none).count() == df.count()
+    assert quality.keep_good(df.limit(0), l).count() == 0
+
+
 def test_rule_paths():
     text = "Tree\n  If (feature 0 <= 0.5)\n   If (feature 1 <= 2.0)\n    Predict: 0.0\n   Else (feature 1 > 2.0)\n    Predict: 1.0\n  Else (feature 0 > 0.5)\n   Predict: 1.0\n"
     assert quality.tree_rules(text, ["a", "b"]) == [[("a", True, 0.5)], [("a", True, 0.5), ("b", True, 2.0)], [("a", True, 0.5), ("b", False, 2.0)], [("a", False, 0.5)]]
@@ -330,6 +513,50 @@ def test_language_id(spark):
     assert [r["lang_pred"] for r in langid.identify(docs(spark, ["und die", "che la", "что на"]), m).orderBy("doc_id").collect()] == ["de", "it", "ru"]
 
 
+def test_languages_equal_votes_in_python(spark):
+    """Families by the largest margin, then votes and margins of the pairs inside, in plain Python on the given weights."""
+    rng = np.random.default_rng(5)
+    langs = ["de", "en", "fr", "nl", "ru"]
+    families = sorted({langid.family(x) for x in langs})
+    plane = lambda: (rng.normal(size=langid.DIMS) / 20, float(rng.normal()))
+    pairs = [(a, b) for i, a in enumerate(langs) for b in langs[i + 1 :] if langid.family(a) == langid.family(b)]
+    model = {"langs": langs, "families": families, "ovr": [(f, *plane()) for f in families], "pairs": [(a, b, *plane()) for a, b in pairs]}
+    texts = [t for t in ODD if t] + ["".join(rng.choice(list("abc defé .\nZ"), size=80)) for _ in range(60)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t):
+            assert got[i + 1] == ("und", 0.0)
+            continue
+        plain_text = " " + " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in t.lower() if True).split()) + " "
+        x = bytes(ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in plain_text).decode() if plain_text.isascii() else None
+        shares = np.zeros(langid.DIMS)
+        raw = x.encode() if x is not None else b" " + b" ".join(t.encode().translate(langid._LETTERS).split()) + b" "
+        for k in range(len(raw)):
+            shares[raw[k]] += 1
+            if k + 1 < len(raw):
+                two = raw[k] * 257 + raw[k + 1]
+                shares[(two * 2246822519 & 0xFFFFFFFF) >> 21] += 1
+            if k + 2 < len(raw):
+                shares[((two * 257 + raw[k + 2]) * 2654435761 & 0xFFFFFFFF) >> 21] += 1
+        shares *= 100 / len(raw)
+        margin = lambda plane: float(shares @ plane[-2] + plane[-1])
+        best = max(model["ovr"], key=margin)
+        inside = [a for a in langs if langid.family(a) == best[0]]
+        sure = margin(best)
+        if len(inside) > 1:
+            votes = {a: [0, 0.0] for a in inside}
+            for p in model["pairs"]:
+                if p[0] in inside:
+                    m = margin(p)
+                    votes[p[0] if m > 0 else p[1]][0] += 1
+                    votes[p[0]][1] += m
+                    votes[p[1]][1] -= m
+            inside.sort(key=lambda a: votes[a])
+            sure = min(sure, votes[inside[-1]][1] / (len(inside) - 1))
+        assert got[i + 1][0] == inside[-1], repr(t)[:40]
+        assert got[i + 1][1] == pytest.approx(1 / (1 + math.exp(-2 * max(-20, min(20, sure)))), abs=1e-4)
+
+
 def brute_ppm(counts, text, order):
     """Plain escape chain: counts[context] is a Counter of symbols."""
     data, total = bytes([ppm.BEFORE]) * order + text + bytes([ppm.END]), 0.0
@@ -353,26 +580,6 @@ def brute_ppm(counts, text, order):
     return total
 
 
-def test_ppm_equals_escape_chain(spark, monkeypatch):
-    train = ["the cat sat on the mat", "the hat", "a cat, é", "", "the the the"]
-    order = ppm.ORDER
-    counts = {}
-    for t in train:
-        data = bytes([ppm.BEFORE]) * order + t.encode() + bytes([ppm.END])
-        for i in range(order, len(data)):
-            for k in range(order + 1):
-                counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
-    monkeypatch.setattr(ppm, "STRETCH", 4)
-    grams = ppm.corpus_counts(docs(spark, train)).where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    trie = ppm.compile_trie(ppm.trie_counts(grams, 10**6).toPandas())
-    texts = [t.encode() for t in ["the cat", "zebra", "", "the the hat on é", "qqq" * 9]]
-    assert ppm.score_texts(texts, *trie) == pytest.approx([brute_ppm(counts, t, order) for t in texts], abs=1e-4)
-    column, logp, _ = trie
-    weights = np.bincount(column, minlength=logp.shape[1])
-    weights[column[ppm.BEFORE]] = 0
-    assert (10.0 ** logp.astype(float) @ weights) == pytest.approx(np.ones(len(logp)), abs=1e-3)
-
-
 @pytest.mark.parametrize("hot", [3, 10**6])
 def test_lm_scores_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(ppm, "HOT_TOKENS", hot)
@@ -394,7 +601,6 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch, hot):
 @pytest.mark.parametrize("chunk", [40, 10**7])
 def test_lm_keeps_every_context(spark, monkeypatch, chunk):
     monkeypatch.setattr(ppm, "CHUNK", chunk)
-    monkeypatch.setattr(ppm, "MAX_CONTEXTS", 20)  # the model has no such bound
     rng = random.Random(3)
     texts = [t for t in ODD if len(t or "") < 1000] + ["the cat sat on the mat", "the hat", "zebra"] * 3
     texts += [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 20))) for _ in range(60)]
@@ -411,8 +617,26 @@ def test_lm_keeps_every_context(spark, monkeypatch, chunk):
 
 
 def test_stats_cover_columns():
-    counts, classes, common = textstats.measure("The the é\n|".encode(), textstats._WordCode())
-    assert len(counts) == len(textstats.COUNTS) and classes.sum() == 11 and common[textstats.COMMON[b"the"]] == 2 and common.sum() == 4
+    counts, classes, common = textstats.measure("The The the é\n|".encode(), textstats.word_codes(textstats.COMMON), len(textstats.COMMON))
+    assert len(counts) == len(textstats.COUNTS) and classes.sum() == 15 and common[textstats.COMMON[b"the"]] == 3 and common.sum() == 5
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(common, "MEMO_BYTES", 10_000)
+    memo = common.Memo(len)
+    for k in range(3_000):
+        assert memo["x" * (k % 700)] == k % 700 and sum(150 + 4 * len(w) for w in memo) <= 10_000
+
+
+def test_stored_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        conf = type("Conf", (), {"get": lambda self, key, default: default})()
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})()
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        Session.sparkContext.master = master
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(Session)
 
 
 def test_pipeline(spark):
@@ -422,7 +646,7 @@ def test_pipeline(spark):
     kept = spark.read.parquet(f"{sf}/documents.parquet")
     columns = kept.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before, kept = kept, corpus_pipeline.stored(stage(spark, kept, sf))
+        before, kept = kept, common.stored(stage(spark, kept, sf))
         if k < 4:
             assert kept.columns == columns and 0 < kept.count() <= before.count(), name
         if name == "benchmark_decontamination":
@@ -435,3 +659,22 @@ def test_pipeline(spark):
     run = corpus_pipeline.run(spark, sf)
     assert run.count() == kept.count()
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_stages_take_odd_rows(spark, name):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, columns of clashing names."""
+    stage = dict(pipeline.STAGES)[name]
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    rows = [(i % 9 if i % 5 else None, t, None if i % 3 else "en", None, None) for i, t in enumerate([*ODD, *good, *ODD, *good])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    df = df.withColumns({c: F.lit("mine") for c in ("verdict", "score", "row_number", "leaks", "stats", "piece", "id", "chunk", "set_key", "a.b")})
+    got = stage(spark, df, SF)
+    none = stage(spark, df.where("doc_id < -1"), SF)
+    assert none.count() == 0
+    if name == "best_fit_packing":
+        assert got.where("piece = 0").count() == len(rows)
+    else:
+        assert got.schema.names == df.columns and none.columns == df.columns and 0 < got.count() <= len(rows)
+        assert {r["verdict"] for r in got.select("verdict").collect()} == {"mine"}
+        assert Counter(got.select("text").toPandas()["text"]) <= Counter(df.select("text").toPandas()["text"])

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import cache, wraps
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that a memo of a worker may hold, and bytes of text in one slice of a batch.
+MEMO_BYTES, SLICE_BYTES = 16_000_000, 4_000_000
+#: Rows of a list that is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 @cache
 def _own_dir(application: str) -> str:
@@ -18,18 +26,42 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only in local mode, where they are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local-cluster") or not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    return _written(df, f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A `stored` whose tables are deleted at the end of the block; what leaves the block is stored outside of it."""
+    folder = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+    try:
+        yield lambda df: _written(df, f"{folder}/{uuid.uuid4().hex}")
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_enough(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """`rows` (stored), marked for broadcast if there are few; joins give the same either way."""
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if limit is None else limit) else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +73,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def any_names(rows_of: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a function of `docs` that returns the columns of `docs`: dotted names and the like, which Python maps can't take, are others meanwhile."""
+
+    @wraps(rows_of)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        plain = [c if c.isidentifier() else free_name(docs, f"column_{i}") for i, c in enumerate(docs.columns)]
+        return rows_of(docs.toDF(*plain), *args, **options).toDF(*docs.columns)
+
+    return run
+
+
 def hash_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 for a null id, so that it is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
@@ -55,7 +98,34 @@ def byte_texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def small_batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, so that working arrays stay small whatever the texts' lengths."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def small_batches(batch: pa.RecordBatch, rows: int = 512, text_col: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most `rows` rows and, where `text_col` is given, about SLICE_BYTES of its text, so that working arrays stay small."""
+    start, n = 0, batch.num_rows
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if text_col else None
+    while start < n:
+        stop = min(n, start + rows)
+        if ends is not None:
+            full = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right"))
+            stop = min(stop, max(full, start + 1))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+class Memo(dict):
+    """What `make` gives for each key (text or bytes), forgotten whenever keys and values may hold more than MEMO_BYTES, so that long words cost no memory."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make, self.held = make, 0
+
+    def __missing__(self, key):
+        return self.remember(key, self.make(key))
+
+    def remember(self, key, value):
+        size = 150 + 4 * len(key)
+        if self.held + size > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        self.held += size
+        self[key] = value
+        return value

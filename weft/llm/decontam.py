@@ -8,16 +8,18 @@ local alignment against that of the item with itself.  A document with a score o
 `MIN_SCORE` or more holds the item, whole, edited or paraphrased.  An edit that leaves
 no `SEED_WORDS` successive words of the item intact is not found.
 
-The test items are the small side: their seeds are broadcast in blocks of at most
-`BLOCK_SEEDS`, each block a pass of its own, so that a large benchmark costs passes
-and not memory.  Documents are never shuffled, and whole texts are read.
-
-Test items are the distinct (item_id, text) rows: a repeated row is one item, texts that
-share an id are each searched and reported under it, and so are items with a null id.
-
-Null and empty texts hold nothing.  Items with fewer words than a seed are in no
-document, as such few words name none.  Repeated rows are judged each; a document
-may hold several items; a row's other columns pass through `scan`.
+The test items are the small side: they are broadcast in blocks of about `BLOCK_WORDS`
+words, each block a pass of its own, so that a large benchmark costs passes and not
+memory.  Documents are never shuffled, and whole texts are read.
+
+Test items are the distinct (item_id, text) rows, ids of any type: a repeated row is one
+item, texts that share an id are each searched and reported under it, and so are items
+with a null id.  Items without words are in no document.  An item shorter than a seed is
+found where all its words stand in a row, with score 1; as one or two words are no sign
+of a leak, `keep_clean` leaves such items out unless `min_words` says otherwise.
+
+Null and empty texts hold nothing.  Repeated rows are judged each; a document may hold
+several items; a row's other columns pass through `scan`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructType
 
-from weft.llm.common import byte_texts, free_name, small_batches
+from weft.llm.common import any_names, byte_texts, free_name, small_batches
 
-SEED_WORDS, MIN_SCORE, BLOCK_SEEDS = 3, 0.5, 500_000
+SEED_WORDS, MIN_SCORE, BLOCK_WORDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAKS = ArrayType(StructType().add("item_id", LongType()).add("score", DoubleType()).add("first_word", IntegerType()).add("end_word", IntegerType()))
+
+
+def leaks_type(item_id: DataType) -> ArrayType:
+    return ArrayType(StructType().add("item_id", item_id).add("score", DoubleType()).add("first_word", IntegerType()).add("end_word", IntegerType()))
 
 
 def index_words(texts: Iterable[bytes]) -> dict[bytes, int]:
@@ -52,33 +58,35 @@ def word_codes(text: bytes, index: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(index.get, words, repeat(0)), np.int64, len(words))
 
 
-def seeds_of(codes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+def seeds_of(codes: np.ndarray, n_words: int, width: int = SEED_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(positions, keys) of the n-grams made of known words alone; a key is the words' numbers as digits."""
-    n = len(codes) - SEED_WORDS + 1
+    n = len(codes) - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     known = codes > 0
-    at = np.flatnonzero(np.logical_and.reduce([known[j : n + j] for j in range(SEED_WORDS)]))
+    at = np.flatnonzero(np.logical_and.reduce([known[j : n + j] for j in range(width)]))
     key = codes[at]
-    for j in range(1, SEED_WORDS):
+    for j in range(1, width):
         key = key * (n_words + 1) + codes[at + j]
     return at, key
 
 
 class Seeds:
-    """The seeds of a block of items, sorted, with the items that have them and each item's distinct words."""
+    """The n-grams of `width` words of a block of items, sorted, with the items that have them and each item's distinct words."""
 
-    def __init__(self, index: dict[bytes, int], items: dict[int, np.ndarray]) -> None:
-        self.index, self.items = index, items
+    def __init__(self, index: dict[bytes, int], items: dict[int, np.ndarray], width: int = SEED_WORDS) -> None:
+        self.index, self.items, self.width = index, items, width
         self.words = {i: np.unique(c) for i, c in items.items()}
-        pairs = sorted({(int(s), i) for i, c in items.items() for s in seeds_of(c, len(index))[1]})
-        self.key = np.array([p[0] for p in pairs], np.int64)
-        self.item = [p[1] for p in pairs]
+        keys = [np.unique(seeds_of(c, len(index), width)[1]) for c in items.values()]
+        key = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        item = np.repeat(np.array([*items], np.int64), [len(k) for k in keys])
+        order = np.lexsort((item, key))
+        self.key, self.item = key[order], item[order]
         self.distinct = np.unique(self.key)
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, keys) of seeds among the words `codes`."""
-        at, key = seeds_of(codes, len(self.index))
+        at, key = seeds_of(codes, len(self.index), self.width)
         if not len(self.distinct) or not len(at):
             return at[:0], key[:0]
         own = self.distinct[np.minimum(np.searchsorted(self.distinct, key), len(self.distinct) - 1)] == key
@@ -86,7 +94,14 @@ class Seeds:
 
     def items_of(self, key: int) -> list[int]:
         a, b = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-        return self.item[a:b]
+        return self.item[a:b].tolist()
+
+
+def seeds_by_width(texts: list[bytes]) -> list[Seeds]:
+    """Of a block of items, numbered in order: the whole items of one word, of two, ..., and last the seeds of all longer ones."""
+    index = index_words(texts)
+    codes = {n: c for n, t in enumerate(texts) if len(c := word_codes(t, index))}
+    return [Seeds(index, {n: c for n, c in codes.items() if min(len(c), SEED_WORDS) == width}, width) for width in range(1, SEED_WORDS + 1)]
 
 
 def align(item: np.ndarray, stretch: np.ndarray) -> tuple[float, int, int]:
@@ -125,6 +140,12 @@ def can_reach(words: np.ndarray, stretch: np.ndarray, least: float) -> bool:
 
 def leaks_in(codes: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word + 1) of every item that the words `codes` hold."""
+    if seeds.width < SEED_WORDS:
+        found: dict[int, tuple[int, float, int, int]] = {}
+        for at, key in zip(*seeds.hits(codes)):
+            for i in seeds.items_of(key):
+                found.setdefault(i, (i, 1.0, int(at), int(at) + seeds.width))
+        return sorted(found.values())
     near: dict[int, list[int]] = {}
     for at, key in zip(*seeds.hits(codes)):
         for i in seeds.items_of(key):
@@ -148,53 +169,59 @@ def leaks_in(codes: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int
     return sorted(out)
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
-    """(item_id, text) of the distinct items in blocks whose seeds are bounded; streamed, never held whole."""
+def _item_blocks(benchmark: DataFrame, min_words: int) -> Iterator[list[tuple[object, bytes]]]:
+    """(item_id, text) of the distinct items of `min_words` words or more, in blocks of bounded words; streamed, never held whole."""
     block, size = [], 0
-    for row in benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1].encode()))
-        size += row[1].count(" ") + 1
-        if size >= BLOCK_SEEDS:
+    for row in benchmark.where("text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
+        text = row[1].encode()
+        words = len(text.split())
+        if words >= max(1, min_words):
+            block.append((row[0], text))
+            size += words
+        if size >= BLOCK_WORDS:
             yield block
             block, size = [], 0
     if block:
         yield block
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and `leaks`: array of (item_id, score, first_word, end_word), empty for clean rows."""
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", name: str = "leaks", min_words: int = 1) -> DataFrame:
+    """All columns of `docs` and `name`: array of (item_id, score, first_word, end_word), empty for clean rows."""
+    kind = leaks_type(benchmark.schema["item_id"].dataType)
     out = docs
-    names = []
-    for k, block in enumerate(_item_blocks(benchmark)):
-        index = index_words(t for _, t in block)
-        items = {n: c for n, (_, t) in enumerate(block) if len(c := word_codes(t, index)) >= SEED_WORDS}
-        names.append(free_name(out, f"leaks_{k}"))
-        out = _with_leaks(out, text_col, Seeds(index, items), [i for i, _ in block], names[-1])
-    empty = F.from_json(F.lit("[]"), LEAKS)
-    return out.withColumn("leaks", F.concat(empty, *names)).drop(*names)
+    for block in _item_blocks(benchmark, min_words):
+        out = _with_leaks(out, text_col, block, kind, name)
+    return out if name in out.columns else out.withColumn(name, F.from_json(F.lit("[]"), kind))
 
 
-def _with_leaks(docs: DataFrame, text_col: str, seeds: Seeds, ids: list[int | None], name: str) -> DataFrame:
-    """Adds the leaks of a block; its items are numbered, `ids` has the item_id of each."""
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, ids))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]))
+def _with_leaks(docs: DataFrame, text_col: str, block: list[tuple[object, bytes]], kind: ArrayType, name: str) -> DataFrame:
+    """Adds the leaks of a block of items to the column `name`, which the first block makes."""
+    shared = docs.sparkSession.sparkContext.broadcast((seeds_by_width([t for _, t in block]), [i for i, _ in block]))
+    more, fields, arrow = name in docs.columns, kind.elementType.names, to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids = shared.value
-        for batch in (small for big in batches for small in small_batches(big)):
-            leaks = [[dict(zip(("item_id", "score", "first_word", "end_word"), (ids[n], *x))) for n, *x in leaks_in(word_codes(t, own.index), own)] for t in byte_texts(batch.column(text_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaks, kind)], [*batch.schema.names, name])
+        widths, ids = shared.value
+        for batch in (small for big in batches for small in small_batches(big, text_col=text_col)):
+            leaks = []
+            for text in byte_texts(batch.column(text_col)):
+                codes = word_codes(text, widths[0].index)
+                leaks.append([dict(zip(fields, (ids[n], *x))) for seeds in widths for n, *x in leaks_in(codes, seeds)])
+            if more:
+                leaks = [a + b for a, b in zip(batch.column(name).to_pylist(), leaks)]
+            kept = [c for c in batch.schema.names if c != name]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(leaks, arrow)], [*kept, name])
 
-    schema = StructType(list(docs.schema.fields)).add(name, LEAKS)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([f for f in docs.schema.fields if f.name != name]).add(name, kind))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """id, item_id, score, first_word, end_word: one row for each document and test item it holds."""
-    found = scan(docs.select(id_col, text_col), benchmark, text_col).select(id_col, F.explode("leaks").alias("leak"))
-    return found.select(id_col, "leak.*")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return scan(rows, benchmark, min_words=min_words).select(F.col("id").alias(id_col), F.explode("leaks").alias("leak")).select(id_col, "leak.*")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` that hold no test item."""
-    return scan(docs, benchmark).where(F.size("leaks") == 0).select(docs.columns)
+@any_names
+def keep_clean(docs: DataFrame, benchmark: DataFrame, min_words: int = SEED_WORDS) -> DataFrame:
+    """The rows of `docs` that hold no test item of `min_words` words or more, with all their columns."""
+    name = free_name(docs, "leaks")
+    return scan(docs, benchmark, name=name, min_words=min_words).where(F.size(name) == 0).drop(name)

@@ -6,8 +6,9 @@ apart by one linear SVM each against the rest; languages of a family by one SVM
 each pair, by votes and then by margins.  All weights sit in one small matrix, which
 is broadcast: `DIMS` rows and a column for each SVM.
 
-Learns from about `TRAIN_ROWS` texts for each language (an even sample by a hash of
-the id; no language has more), whose features are the one thing that the driver collects.  Null texts and texts without a letter are `und` with score 0.  If nothing
+Learns from about `TRAIN_ROWS` texts for each language, and `TRAIN_TOTAL` in all where
+there are many (an even sample by a hash of the id), whose features, 8 KB each, are the
+one thing that the driver collects.  Null texts and texts without a letter are `und` with score 0.  If nothing
 can be learned every text is `und`; with one language every text with a letter is it.
 Languages are the learned values; repeated rows are judged each.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import byte_texts, hash_mod, small_batches
 
-DIMS, TRAIN_ROWS, STEPS, RIDGE = 2048, 600, 150, 0.01
+DIMS, TRAIN_ROWS, TRAIN_TOTAL, STEPS, RIDGE = 2048, 600, 12_000, 150, 0.01
 HELD_OUT = (4, 2)
 #: Families of common languages (fixed values); any other language is a family of its own.
 FAMILIES = {
@@ -91,14 +92,15 @@ def linear_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit_languages(docs: DataFrame) -> dict:
     """langs, families, and for each SVM its kind, names, weights and intercept; from `docs` (doc_id, text, lang)."""
-    known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").isNotNull() & (hash_mod(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (hash_mod(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1]))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
     model = {"langs": langs, "families": sorted({family(x) for x in langs}), "ovr": [], "pairs": []}
     if len(langs) < 2:
         return model
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1, TRAIN_ROWS / n)))])
+    most = min(TRAIN_ROWS, TRAIN_TOTAL / len(langs))
+    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1, most / n)))])
     sample = _features(known.where(place < limit[F.col("lang")])).toArrow()
     own = np.array(sample["lang"].to_pylist(), dtype=str)
     x = sample["x"].combine_chunks().flatten().to_numpy().reshape(len(own), DIMS)

@@ -13,14 +13,18 @@
    and never lists pairs.  A bucket's largest class meets its other members only.
 5. Classes are connected components over nodes (alternating large and small stars).
 
-No cap on buckets, partners or candidates.  Null or wordless texts have an empty set
-and are linked with nothing.  Rows with a null id keep a null id; a class's id is its
-least non-null id.  Repeated rows are members like any other.
+No cap on buckets, partners or candidates.  Blocks are bounded by members and by shingles,
+and what joins by the key of a group is stored and broadcast if it is small, or salted, so
+that no group of copies is one task.
+
+Null or wordless texts have an empty set and are linked with nothing.  Rows with a null
+id keep a null id; a class's id is its least non-null id.  Repeated rows are members like
+any other: each is `kept` if its id is the class's.  `keep_one` goes by rows instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import byte_texts, small_batches, stored
+from weft.llm.common import Memo, any_names, byte_texts, free_name, scratch, small_batches, small_enough, stored
 
 BINS, ROWS = 240, 5
 BANDS = BINS // ROWS
-#: Members of a class, or members that meet it, in one block.
-BLOCK = 512
-#: Word hashes that a worker remembers.
-MEMO_ENTRIES = 300_000
+#: Members of a class, or members that meet it, in one block, and their shingles in all, about.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Parts into which the rows of a hub are dealt.
+SALTS = 16
 
 _RNG = np.random.default_rng(20240229)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -45,21 +49,13 @@ _PROBE = np.stack([_RNG.permutation(BINS) for _ in range(BINS)])
 _EDGES = np.array([(i << 64) // BINS for i in range(BINS)], dtype=np.uint64)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: bytes, width: int, memo: _WordHash) -> np.ndarray:
+def shingles(text: bytes, width: int, memo: Memo) -> np.ndarray:
     """Sorted distinct hashes of the text's word shingles; a shorter text is one shingle, a wordless one none."""
     words = text.lower().split()
     if not words:
@@ -89,8 +85,8 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """row_id, doc_id, set_key, n_shingles, bands: one row for each of `docs` (row_id, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
-        for batch in (small for big in batches for small in small_batches(big)):
+        memo = Memo(xxhash.xxh3_64_intdigest)
+        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
             keys, sizes, bands = [], [], []
             for text in byte_texts(batch.column("text")):
                 found = shingles(text, width, memo)
@@ -111,8 +107,8 @@ def full_sets(texts: DataFrame, width: int = 5) -> DataFrame:
     """set_key, n, members: the sorted shingle hashes of each text of `texts` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
-        for batch in (small for big in batches for small in small_batches(big)):
+        memo = Memo(xxhash.xxh3_64_intdigest)
+        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
             sets = [shingles(text, width, memo) for text in byte_texts(batch.column("text"))]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -129,24 +125,29 @@ def linked(n_a, n_b, shared, percent: int):
     return shared * 100 >= (n_a + n_b - shared) * percent
 
 
+def _salted_join(rows: DataFrame, few: DataFrame, on: str, by: str) -> DataFrame:
+    """`rows` joined with the one row of `few` for their key `on`; the rows of a key are dealt by the column `by`."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [on, "salt"]).drop("salt")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for undirected `edges` (a, b); nodes without an edge are not listed.
 
     Alternates large and small stars until the edges no longer change.  Every step is
-    a grouped minimum, combined before it is shuffled, and a join on the node.
+    a grouped minimum, combined before it is shuffled, and a salted join on the node.
     """
-    now, before = stored(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()), None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == before:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
-        before = mark
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        now = stored(small.select("e.*").where("hi <> lo").distinct())
+    with scratch(edges.sparkSession) as keep:
+        now, before = keep(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()), None
+        while (mark := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()) != before:
+            before = mark
+            both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = _salted_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+            least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+            small = _salted_join(large, least, "hi", "lo").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+            now = keep(small.select("e.*").where("hi <> lo").distinct())
+        return stored(now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct()))
 
 
 def _links_in_block(frame: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
@@ -175,64 +176,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     Texts are linked if their shingle sets' similarity is `percent` / 100 or more.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    source = source.withColumn("row_id", F.coalesce(F.xxhash64("doc_id", F.length("text")), F.xxhash64("text")))
-    signed = stored(signatures(source, width))
-    nodes = signed.where("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
-    rows = nodes.select("set_key", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("set_key").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(rows.join(buckets, "bucket").select("bucket", "set_key", "centre"))
-
-    wanted = stored(members.select("set_key").distinct().join(nodes.select("set_key", "row_id"), "set_key"))
-    texts = source.join(wanted.select("row_id").distinct(), "row_id", "left_semi")
-    sets = full_sets(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"])
-    sets = stored(sets)
-
-    stars = members.where("set_key <> centre").groupBy("set_key", "centre").count()
-    stars = stars.groupBy("set_key").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
-    a = sets.select("set_key", F.col("n").alias("n_a"), F.col("members").alias("s_a"))
-    b = sets.select(F.col("set_key").alias("centre"), F.col("n").alias("n_b"), F.col("members").alias("s_b"))
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    sure = stored(stars.join(a, "set_key").join(b, "centre").where(linked(F.col("n_a"), F.col("n_b"), shared, percent)).select(F.col("set_key").alias("a"), F.col("centre").alias("b")))
-
-    classes = stored(connected_components(sure))
-    more = _links_of_rest(members, sets, classes, percent)
-    links = stored(sure.union(more))
-    final = connected_components(links)
-
-    own = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    classed = final.withColumnRenamed("node", "set_key")
-    joined = classed.join(own, "set_key").groupBy("component").agg(F.min("least").alias("joined"))
-    named = own.join(classed.join(joined, "component"), "set_key", "left").select("set_key", F.coalesce("joined", "least").alias("component_id"))
-    out = signed.select("doc_id", "set_key", "n_shingles").join(stored(named), "set_key", "left")
-    out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
-
-
-def _links_of_rest(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    source = source.withColumn("row_id", F.xxhash64("doc_id", F.length("text")))  # finds texts again; that others may share it costs time only
+    with scratch(docs.sparkSession) as keep:
+        signed = keep(signatures(source, width))
+        nodes = keep(signed.where("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("row_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("doc_id").alias("least")))
+        rows = nodes.select("set_key", F.explode("bands").alias("bucket"))
+        buckets = rows.groupBy("bucket").agg(F.min("set_key").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        members = keep(rows.join(buckets, "bucket").select("bucket", "set_key", "centre"))
+        wanted = keep(members.select("set_key").distinct().join(nodes.select("set_key", "row_id"), "set_key"))
+        texts = source.join(small_enough(wanted).select("row_id"), "row_id", "left_semi")
+        sets = keep(full_sets(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]))
+
+        stars = members.where("set_key <> centre").groupBy("set_key", "centre").count()
+        stars = stars.groupBy("set_key").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
+        a = sets.select("set_key", F.col("n").alias("n_a"), F.col("members").alias("s_a"))
+        b = sets.select(F.col("set_key").alias("centre"), F.col("n").alias("n_b"), F.col("members").alias("s_b"))
+        shared = F.size(F.array_intersect("s_a", "s_b"))
+        sure = keep(stars.join(a, "set_key").join(b, "centre").where(linked(F.col("n_a"), F.col("n_b"), shared, percent)).select(F.col("set_key").alias("a"), F.col("centre").alias("b")))
+
+        links = keep(sure.union(_links_of_rest(members, sets, connected_components(sure), percent, keep)))
+        classed = connected_components(links).withColumnRenamed("node", "set_key").join(nodes.select("set_key", "least"), "set_key")
+        joined = keep(classed.groupBy("component").agg(F.min("least").alias("component_id")))
+        named = keep(classed.join(small_enough(joined), "component").select("set_key", "component_id"))  # nodes in a class with others
+        out = signed.select("doc_id", "set_key", "n_shingles").join(nodes.select("set_key", "least"), "set_key", "left").join(named, "set_key", "left")
+        out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "least")))
+        kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+        return stored(out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept")))
+
+
+@any_names
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One row of `docs` (doc_id, text and others) for each class of near-duplicates, with all its columns: one of the least id, never a null one if there is another.
+
+    Goes by rows: of rows that repeat an id and differ in text each stays unless it has a near-duplicate, and of equal rows one stays.  Texts without words all stay.
+    Rows are numbered in a stored copy; the numbers of those that go are broadcast if they are few, and joined otherwise.
+    """
+    key = free_name(docs, "row_number")
+    numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+    rows = numbered.select(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(key).alias("c")).alias("doc_id"), "text")
+    gone = stored(near_duplicates(rows, width, percent).where("not kept").select(F.col("doc_id")["c"].alias(key)))
+    return numbered.join(small_enough(gone), key, "left_anti").drop(key)
+
+
+def _links_of_rest(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between members that share a bucket but no class yet."""
-    classed = members.join(classes.withColumnRenamed("node", "set_key"), "set_key", "left").select("bucket", "set_key", F.coalesce("component", "set_key").alias("class"))
+    classes = classes.withColumnRenamed("node", "set_key")
+    classed = keep(members.join(classes, "set_key", "left").select("bucket", "set_key", F.coalesce("component", "set_key").alias("class")))
     sizes = classed.groupBy("bucket", "class").count()
     largest = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("count", "class")).alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "home")
-    probes = stored(classed.join(largest, "bucket").where(F.col("class") != F.col("home")).select("home", "set_key", "class").distinct())
+    probes = keep(classed.join(largest, "bucket").where(F.col("class") != F.col("home")).select("home", "set_key", "class").distinct())
     # A class that is home to probes comes whole, and its probes also meet each other.
-    homes = probes.select("home").distinct()
-    own = members.select("set_key").distinct().join(classes.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.coalesce("component", "set_key").alias("class"))
-    own = own.join(homes, F.col("class") == F.col("home")).select("home", "set_key", "class")
-    base = own.withColumn("probe", F.lit(False)).union(probes.withColumn("probe", F.lit(True)))
-    blocks = base.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_base"), F.greatest(F.ceil(F.sum(F.col("probe").cast("int")) / BLOCK), F.lit(1)).cast("int").alias("n_probe"))
-    base = base.join(blocks, "home").join(sets, "set_key")
+    homes = keep(probes.select("home").distinct())
+    own = classed.select("set_key", "class").distinct().join(small_enough(homes), F.col("class") == F.col("home")).select("home", "set_key", "class")
+    base = keep(own.withColumn("probe", F.lit(False)).union(probes.withColumn("probe", F.lit(True))).join(sets.select("set_key", "n"), "set_key"))
+    parts = lambda some: F.greatest(F.ceil(F.sum(some.cast("int")) / BLOCK), F.ceil(F.sum(F.when(some, F.col("n"))) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    blocks = keep(base.groupBy("home").agg(parts(F.lit(True)).alias("n_base"), parts(F.col("probe")).alias("n_probe")))
+    base = base.drop("n").join(small_enough(blocks), "home")
     by = lambda n: F.pmod(F.xxhash64("set_key"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = ["home", "set_key", "class", "n", "members"]
-    as_base = base.withColumn("i", by("n_base")).withColumn("j", span("n_probe")).select(*row, "i", "j", F.lit(True).alias("base"), F.lit(False).alias("probe"))
-    as_probe = base.where("probe").withColumn("j", by("n_probe")).withColumn("i", span("n_base")).select(*row, "i", "j", F.lit(False).alias("base"), F.lit(True).alias("probe"))
+    row = ["home", "set_key", "class", "i", "j"]
+    as_base = base.withColumn("i", by("n_base")).withColumn("j", span("n_probe")).select(*row, F.lit(True).alias("base"), F.lit(False).alias("probe"))
+    as_probe = base.where("probe").withColumn("j", by("n_probe")).withColumn("i", span("n_base")).select(*row, F.lit(False).alias("base"), F.lit(True).alias("probe"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_groups(batches, ["home", "i", "j"]):
             yield pd.DataFrame(_links_in_block(frame, percent), columns=["a", "b"])
 
-    dealt = as_base.union(as_probe).repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+    dealt = as_base.union(as_probe).join(sets, "set_key").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
     return dealt.mapInPandas(run, "a binary, b binary")
 
 

@@ -13,8 +13,7 @@ distinct grams, with their training counts, are dealt by the two bytes before th
 symbol (`gram_scores`), where all their contexts of two bytes and more meet, and the
 256 x 256 counts of shorter ones are broadcast.  Each chunk gets the values of its own
 grams back and is scored by them, so that no task holds more of the model than a chunk
-or one pair of bytes needs.  `trie_counts`, `compile_trie` and `score_texts` are the same
-model in one process, for a small corpus.
+or one pair of bytes needs.
 
 The unigram base needs the exact count of every token.  Tokens seen `n` times or more
 (the smallest n that leaves at most `HOT_TOKENS` of them) are broadcast with their
@@ -28,26 +27,26 @@ a null id is in the training part and not held out.  Other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructType
 
-from weft.llm.common import byte_texts, hash_mod, small_batches, stored
+from weft.llm.common import byte_texts, hash_mod, scratch, small_batches, stored
 
-ORDER, MAX_CONTEXTS, HOT_TOKENS = 5, 32_000, 100_000
+ORDER, HOT_TOKENS = 5, 100_000
 HELD_OUT = (10, 0)
 #: Bytes that UTF-8 never holds (fixed values): the blank before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 #: The end token of the unigram base; no word can hold a blank.
 END_TOKEN = b" "
-#: Distinct keys that a task counts before it passes them on, and bytes that one step scores.
-FLUSH, STRETCH = 400_000, 128
+#: Distinct tokens, and bytes of text, that a task counts before it passes them on.
+FLUSH, FLUSH_BYTES = 200_000, 64_000_000
 #: Bytes of text that share one table of values.
 CHUNK = 16_000_000
 
@@ -63,20 +62,20 @@ def _grams(text: bytes) -> np.ndarray:
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """`rows` (text and others) and chunk: successive rows of a task with about CHUNK bytes of text.  Store it before it is read twice."""
+    """`rows` (text and others), chunk and place: successive rows of a task with about CHUNK bytes of text, numbered.  Store it before it is read twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
+        chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in (small for big in batches for small in small_batches(big)):
             of = []
             for text in byte_texts(batch.column("text")):
                 if size > CHUNK:
-                    chunk, size = chunk + 1, 0
-                size += len(text) + 1
-                of.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], [*batch.schema.names, "chunk"])
+                    chunk, place, size = chunk + 1, 0, 0
+                of.append((chunk, place))
+                place, size = place + 1, size + len(text) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in zip(*of))], [*batch.schema.names, "chunk", "place"])
 
-    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("chunk", LongType()))
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("chunk", LongType()).add("place", LongType()))
 
 
 def _merged(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +102,7 @@ def pair_counts(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
-        for batch in (small for big in batches for small in small_batches(big)):
+        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
             n += np.bincount(np.concatenate([_grams(t.lower()) & 0xFFFF for t in byte_texts(batch.column("text"))]), minlength=1 << 16)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["pair", "n"])
@@ -241,42 +240,29 @@ def gram_scores(asked: DataFrame, low: np.ndarray) -> DataFrame:
     return asked.repartition("last").sortWithinPartitions("last").mapInArrow(run, "last int, chunk long, tails binary, scores binary")
 
 
-def corpus_counts(docs: DataFrame, with_grams: bool = True) -> DataFrame:
-    """gram long, token binary, n: partial counts over `docs` (text); each row has a gram or a token, a token alone if not `with_grams`."""
+def token_counts(rows: DataFrame) -> DataFrame:
+    """token binary, n: how often each token stands in `rows` (text), the end of a text included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "token", "n"]
-        tokens, grams, size = Counter(), [], 0
+        tokens, size = Counter(), 0
 
         def tokens_out() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.nulls(len(tokens), pa.int64()), pa.array(list(tokens), pa.binary()), pa.array(list(tokens.values()), pa.int64())], names)
+            out = pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.binary()), pa.array(list(tokens.values()), pa.int64())], ["token", "n"])
             tokens.clear()
             return out
 
-        def grams_out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(grams), return_counts=True)
-            grams.clear()
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.nulls(len(code), pa.binary()), pa.array(n)], names)
-
         for batch in (small for big in batches for small in small_batches(big)):
             for text in byte_texts(batch.column("text")):
-                text = text.lower()
-                tokens.update(text.split())
+                tokens.update(text.lower().split())
                 tokens[END_TOKEN] += 1
-                if with_grams:
-                    grams.append(_grams(text))
-                    size += len(text)
-            if len(tokens) > FLUSH:
-                yield tokens_out()
-            if size > 6_000_000:
-                yield grams_out()
-                size = 0
+                size += len(text)
+                if len(tokens) > FLUSH or size > FLUSH_BYTES:
+                    yield tokens_out()
+                    size = 0
         if tokens:
             yield tokens_out()
-        if grams:
-            yield grams_out()
 
-    return docs.select("text").mapInArrow(run, "gram long, token binary, n long")
+    return rows.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -291,89 +277,6 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def trie_counts(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
-    """order, context, symbol, n for the most seen contexts of all orders, from `grams` (gram, n); contexts are closed under dropping bytes."""
-    by_order = None
-    for k in range(ORDER + 1):
-        own = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("g")).agg(F.sum("n").alias("n"))
-        own = own.select(F.lit(k).alias("order"), F.shiftright("g", 8).alias("context"), F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
-        by_order = own if by_order is None else by_order.union(own)
-    by_order = stored(by_order)
-    totals = by_order.groupBy("order", "context").agg(F.sum("n").alias("n"))
-    least = _least_count(totals, max_contexts)
-    return by_order.join(totals.where((F.col("n") >= least) | (F.col("order") == 0)).select("order", "context"), ["order", "context"])
-
-
-def compile_trie(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(column of each byte, log10 probability, next state) from the rows of trie_counts() as pandas; the last two by state and column.
-
-    All bytes that training never saw share one column, as they are equally likely everywhere.  State 0 is the empty context.
-    """
-    state = {(0, 0): 0}
-    for order, context in sorted(set(zip(rows["order"].tolist(), rows["context"].tolist()))):
-        state.setdefault((order, context), len(state))
-    seen_bytes = sorted({*rows.loc[rows["order"] == 0, "symbol"].tolist()} | {BEFORE})
-    column = np.full(256, len(seen_bytes), np.int64)
-    column[seen_bytes] = np.arange(len(seen_bytes))
-    width = len(seen_bytes) + 1
-    counts = np.zeros((len(state), width), np.int64)
-    at = np.array([state[k] for k in zip(rows["order"].tolist(), rows["context"].tolist())], np.int64)
-    np.add.at(counts, (at, column[rows["symbol"].to_numpy(np.int64)]), rows["n"].to_numpy(np.int64))
-    logp = np.empty((len(state), width), np.float32)
-    below = np.empty((len(state), width), np.float32)  # after an escape from the state
-    follow = np.zeros((len(state), width), np.uint16)
-    possible = 255  # every byte but BEFORE
-    for (order, context), s in sorted(state.items()):
-        seen = counts[s] > 0
-        total, distinct = int(counts[s].sum()), int(seen.sum())
-        if order == 0:
-            below[s] = -np.log10(max(1, possible - distinct))
-            follow[s, : len(seen_bytes)] = [state.get((1, x), 0) for x in seen_bytes]
-        else:
-            shorter = state[order - 1, context & ((1 << (8 * (order - 1))) - 1)]
-            c, left = counts[shorter], int((counts[shorter] > 0).sum()) - distinct
-            below[s] = below[shorter]
-            if left:
-                rest = np.log10(int(c.sum()) - int(c[seen].sum()) + left)
-                below[s] = np.where(c > 0, np.log10(np.maximum(c, 1)) - rest, np.log10(left) - rest + below[shorter])
-            follow[s] = follow[shorter]
-            for k in np.flatnonzero(seen):
-                longer = state.get((order + 1, (context << 8) | seen_bytes[k]))
-                if longer is not None:
-                    follow[s, k] = longer
-        escape = np.log10(distinct) - np.log10(total + distinct) if distinct else 0.0
-        logp[s] = np.where(seen, np.log10(np.maximum(counts[s], 1)) - np.log10(max(1, total + distinct)), escape + below[s])
-    return column, logp, follow
-
-
-def score_texts(texts: list[bytes], column: np.ndarray, logp: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    """log10 probability of each text and its end; stretches of all texts advance together."""
-    padded = [bytes([BEFORE]) * ORDER + t + bytes([END]) for t in texts]
-    data, width = column[np.frombuffer(b"".join(padded), np.uint8)], logp.shape[1]
-    lengths = np.array([len(t) + 1 for t in texts])
-    begins = np.cumsum([0, *(len(p) for p in padded[:-1])]) + ORDER
-    parts = -(-lengths // STRETCH)
-    owner = np.repeat(np.arange(len(texts)), parts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = begins[owner] + nth * STRETCH
-    size = np.minimum(STRETCH, lengths[owner] - nth * STRETCH)
-    order = np.argsort(-size, kind="stable")
-    begin, size, owner = begin[order], size[order], owner[order]
-    active = np.searchsorted(-size, -np.arange(1, STRETCH + 1), side="right")
-    flat_p, flat_f = logp.ravel(), follow.ravel()
-    now, sums = np.zeros(len(begin), np.int64), np.zeros(len(begin))
-    for k in range(-ORDER, 0):
-        now = flat_f[now * width + data[begin + k]].astype(np.int64)
-    for k in range(STRETCH):
-        a = active[k]
-        if not a:
-            break
-        at = now[:a] * width + data[begin[:a] + k]
-        sums[:a] += flat_p[at]
-        now = flat_f[at].astype(np.int64)
-    return np.bincount(owner, weights=sums, minlength=len(texts))
-
-
 def gram_sums(texts: list[bytes], grams: np.ndarray, values: np.ndarray) -> np.ndarray:
     """log10 probability of each text and its end, from the values of all their grams (sorted)."""
     return np.array([values[np.searchsorted(grams, _grams(t))].sum() for t in texts], np.float64)
@@ -381,16 +284,19 @@ def gram_sums(texts: list[bytes], grams: np.ndarray, values: np.ndarray) -> np.n
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`."""
-    spark = docs.sparkSession
+    with scratch(docs.sparkSession) as keep:
+        return stored(_scored(docs, id_col, text_col, keep))
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     held = hash_mod(F.col(id_col), HELD_OUT[0]) == HELD_OUT[1]
-    rows = stored(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))))
-    tokens = stored(corpus_counts(rows.where(~F.col("held_out")), with_grams=False).groupBy("token").agg(F.sum("n").alias("n")))
+    rows = keep(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))))
+    tokens = keep(token_counts(rows.where(~F.col("held_out"))))
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     hot = tokens.where(F.col("n") >= _least_count(tokens, HOT_TOKENS)).toPandas()
     values = gram_scores(chunk_grams(rows), pair_counts(rows.where(~F.col("held_out"))))
     shift = np.log10(total + 0.1 * (distinct + 1))
-    known = {bytes(t): np.log10(n + 0.1) for t, n in zip(hot["token"], hot["n"])}
-    shared = spark.sparkContext.broadcast(known)
+    shared = docs.sparkSession.sparkContext.broadcast({bytes(t): np.log10(n + 0.1) for t, n in zip(hot["token"], hot["n"])})
 
     def run(table: pa.Table, own: pa.Table) -> pa.Table:
         value = shared.value.get
@@ -413,18 +319,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
             late = pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for r in rest for w in r], pa.binary()))
             score = gram_sums(texts, grams, values)
-            done.append(pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), late, pa.array(score)], schema=kinds))
+            same = [batch.column(c) for c in ("chunk", "place", "id", "held_out")]
+            done.append(pa.RecordBatch.from_arrays([*same, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), late, pa.array(score)], schema=kinds))
         return pa.Table.from_batches(done, kinds)
 
-    names = ["id", "held_out", "n_tokens", "n_hot", "hot_sum", "late", "score"]
-    kind = rows.schema["id"].dataType.simpleString()
-    kinds = pa.schema(list(zip(names, [to_arrow_type(rows.schema["id"].dataType), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.float64()])))
+    kind = rows.schema["id"].dataType
+    types = StructType().add("chunk", "long").add("place", "long").add("id", kind).add("held_out", "boolean").add("n_tokens", "long").add("n_hot", "long").add("hot_sum", "double").add("late", "array<binary>").add("score", "double")
+    kinds = to_arrow_schema(types)
     paired = rows.groupBy("chunk").cogroup(values.groupBy("chunk"))
-    scored = stored(paired.applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_hot long, hot_sum double, late array<binary>, score double"))
-    scored = scored.withColumn("row_id", F.xxhash64("id", "n_tokens", "n_hot", "hot_sum", "score"))
-    late = scored.where(F.size("late") > 0).dropDuplicates(["row_id"]).select("row_id", F.explode("late").alias("token"))
-    late = late.groupBy("row_id", "token").agg(F.count(F.lit(1)).alias("k")).join(tokens, "token", "left")
-    late = late.groupBy("row_id").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_late"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("late_sum"))
-    out = scored.drop("late").join(late, "row_id", "left")
+    scored = keep(paired.applyInArrow(run, types))
+    late = scored.where(F.size("late") > 0).select("chunk", "place", F.explode("late").alias("token"))
+    late = late.groupBy("chunk", "place", "token").agg(F.count(F.lit(1)).alias("k")).join(tokens, "token", "left")
+    late = late.groupBy("chunk", "place").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_late"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("late_sum"))
+    out = scored.drop("late").join(late, ["chunk", "place"], "left")
     base = F.col("hot_sum") + F.coalesce("late_sum", F.lit(0.0)) - F.col("n_tokens") * float(shift)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_hot") + F.coalesce("n_late", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

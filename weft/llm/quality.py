@@ -5,11 +5,16 @@ from a root to a node is a rule, a conjunction of threshold tests.  A lasso logi
 regression over the rules keeps a few of them, and the score of a document is the
 logistic of their weights, as a plain column expression over its statistics.
 
-Learns from at most `TRAIN_ROWS` labelled rows (an even sample by a hash of the id),
-all rows outside the held-out fold if there are fewer.  If they hold one label only,
-the score is that label's share; if there are none, it is 0.5.  A document with
-several labels counts as good only if all say so.  Null and empty texts have all
-statistics 0 and are scored like others; repeated rows are scored each.
+Learns from the documents of at most about `TRAIN_ROWS` labelled ids (an even sample by
+a hash of the id), all ids outside the held-out fold if there are fewer.  If these hold
+one label only, the score is that label's share; if there are none, it is 0.5; in either
+case nothing was learned that tells documents apart, and `keep_good` rejects none.  A
+document with several labels counts as good only if all say so.  Null and empty texts
+have all statistics 0 and are scored like others; repeated rows are scored each; a null
+id is in no fold and has no label; other columns pass through, whatever their names.
+
+Texts are read twice and never shuffled: the labelled ones to learn from, whose ids are
+broadcast, and all of them to be scored where they lie.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import free_name, hash_mod, stored
+from weft.llm.common import any_names, free_name, hash_mod, scratch
 from weft.llm.textstats import CLASSES, text_stats
 
 #: Labelled rows to learn from, trees and their depth, lasso strength.
@@ -32,12 +37,12 @@ TRAIN_ROWS, TREES, DEPTH, LASSO = 20_000, 12, 3, 0.002
 HELD_OUT = (4, 2)
 
 
-def features() -> dict[str, Column]:
-    """Statistics of text_stats() as ratios that do not depend on the length."""
-    c, of = F.col, lambda name: F.col("classes")[CLASSES.index(name)]
+def features(stats: Column) -> dict[str, Column]:
+    """The struct of text_stats() as ratios that do not depend on the length."""
+    c, of = lambda name: stats[name], lambda name: stats["classes"][CLASSES.index(name)]
     share = lambda a, b: a / F.greatest(b, F.lit(1))
     return {
-        "log_words": F.log1p("n_words"),
+        "log_words": F.log1p(c("n_words")),
         "word_length": share(c("word_chars"), c("n_words")),
         "symbols": share(c("n_symbols"), c("n_words")),
         "pipes": share(c("n_pipes"), c("n_words")),
@@ -50,7 +55,7 @@ def features() -> dict[str, Column]:
         "dup_lines": share(c("n_dup_lines"), c("n_lines")),
         "repeated": share(c("n_repeat_words"), c("n_words")),
         "distinct": share(c("n_distinct_words"), c("n_words")),
-        "common": share(c("n_words") - F.element_at("common", -1), c("n_words")),
+        "common": share(c("n_words") - F.element_at(c("common"), -1), c("n_words")),
     }
 
 
@@ -61,18 +66,20 @@ class RuleModel:
     intercept: float
     rules: list[tuple[float, list[tuple[str, bool, float]]]]
 
-    def score(self) -> Column:
-        """The score as a column over the features' columns."""
+    def score(self, values: Column) -> Column:
+        """The score as a column over a struct of the features."""
         total = F.lit(float(self.intercept))
         for weight, tests in self.rules:
-            total = total + F.when(rule_column(tests), F.lit(float(weight))).otherwise(0.0)
+            total = total + F.when(rule_column(tests, values), F.lit(float(weight))).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
 
-def rule_column(tests: list[tuple[str, bool, float]]) -> Column:
+def rule_column(tests: list[tuple[str, bool, float]], values: Column | None = None) -> Column:
+    """Whether all tests hold, for features in a struct or, without one, in columns of their own."""
     held = F.lit(True)
     for name, at_most, threshold in tests:
-        held = held & ((F.col(name) <= threshold) if at_most else (F.col(name) > threshold))
+        value = F.col(name) if values is None else values[name]
+        held = held & ((value <= threshold) if at_most else (value > threshold))
     return held
 
 
@@ -105,26 +112,38 @@ def fit_rules(rows: DataFrame, names: list[str], seed: int = 7) -> RuleModel:
     return RuleModel(lasso.intercept, [(float(w), list(r)) for w, r in zip(weights, rules) if abs(w) > 1e-6])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, min_score: float = 0.7) -> DataFrame:
-    """doc_id (or the columns `keep`), held_out, score, predicted for every row of `docs`; learns from labels.quality."""
-    keep = keep or ["doc_id"]
-    ratios = features()
-    stats = stored(text_stats(docs, keep).select(*keep, *[e.alias(k) for k, e in ratios.items()]))
-    fold = hash_mod(F.col("doc_id"), HELD_OUT[0])
+def learn_quality(docs: DataFrame, labels: DataFrame) -> RuleModel:
+    """A model learned from the labelled rows of `docs` (doc_id, text) outside the held-out fold, by labels.quality."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     marked = marked.where(hash_mod(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1])
     rate = TRAIN_ROWS / max(1, marked.count())
     if rate < 1:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
-    learned = stored(stats.join(marked, "doc_id").select(*ratios, "label"))
-    model = fit_rules(learned, list(ratios))
-    scored = stats.withColumn("score", model.score())
-    return scored.select(*keep, (fold == HELD_OUT[1]).alias("held_out"), "score", (F.col("score") >= min_score).cast("int").alias("predicted"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are predicted good, with all their columns."""
-    key = free_name(docs, "row_id")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    rejected = score_quality(keyed.select(key, "doc_id", "text"), labels, [key, "doc_id"]).where("predicted = 0").select(key).distinct()
-    return keyed.join(rejected, key, "left_anti").select(docs.columns)
+    with scratch(docs.sparkSession) as keep:
+        rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("label", "text")  # about TRAIN_ROWS ids
+        values = features(F.col("stats"))
+        return fit_rules(keep(text_stats(rows, ["label"]).select("label", *[e.alias(k) for k, e in values.items()])), list(values))
+
+
+def with_score(docs: DataFrame, model: RuleModel, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` (all, if not given) of `docs` (text and others) and their score."""
+    scored = text_stats(docs, keep, name=name)
+    scored = scored.withColumn(name, F.struct(*[e.alias(k) for k, e in features(F.col(name)).items()]))
+    return scored.withColumn(name, model.score(F.col(name)))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, min_score: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of `docs`; learns from labels.quality."""
+    docs = docs.select("doc_id", "text")
+    held = hash_mod(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
+    return with_score(docs, learn_quality(docs, labels), ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= min_score).cast("int").alias("predicted"))
+
+
+@any_names
+def keep_good(docs: DataFrame, labels: DataFrame, min_score: float = 0.7) -> DataFrame:
+    """The rows of `docs` that are predicted good, with all their columns; all rows if no rule could be learned."""
+    model = learn_quality(docs, labels)
+    if not model.rules:
+        return docs
+    name = free_name(docs, "score")
+    return with_score(docs, model, name=name).where(F.col(name) >= min_score).drop(name)

@@ -69,8 +69,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", *base, "class_distance", "word_distance")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    digest = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
+    return judge(docs, ["doc_id"]).select("doc_id", *[f"verdict.{c}" for c in digest])
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

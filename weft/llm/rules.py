@@ -1,87 +1,203 @@
 """Quality rules: a document's character classes and common words against language references.
 
-References are made from all documents: for each language, the class and common-word
-counts of its documents that pass the base rules, summed.  A document is compared by
-Jensen-Shannon distance (base 2, so from 0 to 1) with every reference and judged by
-the nearest one, so that a wrong or missing language code does it no harm.  Histograms
-of few characters or words say little: below `MIN_CHARS` and `MIN_WORDS` the guards
-leave the verdict to the base rules.
-
-Null and empty texts have all counts 0 and fail the base rules.  Without any
-reference (an empty table, no language) the divergence rejects nothing.  Repeated
-rows are judged each; other columns pass through `judge` untouched if asked for.
+References are made from all documents.  A language's common words are the
+`COMMON_OF_LANGUAGE` that most of its documents hold; its reference is the sum, over its
+documents that pass the base rules, of their characters by class and of their words by
+common word, with all others as one more class.  A document is compared by Jensen-Shannon
+distance (base 2, so from 0 to 1) with every reference and judged by the nearest one, so
+that a wrong or missing language code does it no harm.
+
+Guards: below `MIN_CHARS` and `MIN_WORDS` the verdict is left to the base rules.  A
+histogram of n counts in k classes is off its source by about sqrt(k / (8 n ln 2)) by
+chance alone, which is granted on top of the limits.  A word that fewer than `MIN_HELD`
+documents of a language hold is not common, and without any there is no reference.
+
+Three passes over the texts and no shuffle of them: common words, references, verdicts.
+Any number of languages is compared with; each further `LANGUAGES_A_PASS` cost a pass.
+
+Null and empty texts have all counts 0 and fail the base rules.  Without any reference
+(an empty table, no language) the divergence rejects nothing and the distances are null.
+Ties of nearness go to the first language by name.  Repeated rows are judged each, and
+rows with null ids like any other; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import log
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from weft.llm.common import free_name, stored
-from weft.llm.textstats import text_stats
-
-#: Guards, and the distances from which a document is rejected; a short text's own
-#: scatter, about 1 / sqrt(n), is granted on top.
-MIN_CHARS, MIN_WORDS = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.25
-#: References that are broadcast: languages with the most documents (a language list is short; this is its proven bound).
-MAX_LANGUAGES = 256
-
-
-def base_failed():
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
-def language_references(stats: DataFrame) -> pd.DataFrame:
-    """lang, classes, common: shares by language over rows of text_stats() that pass the base rules; at most MAX_LANGUAGES rows."""
-    good = stats.where(~base_failed() & F.col("lang").isNotNull())
-    sums = lambda c: good.select("lang", F.posexplode(c).alias("k", "n")).groupBy("lang", "k").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "n"))).getField("n").alias(c))
-    sizes = good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    return sizes.join(sums("classes"), "lang").join(sums("common"), "lang").orderBy("lang").toPandas()
+from pyspark.sql.types import DoubleType, LongType, StructType
+
+from weft.llm.common import Memo, any_names, byte_texts, free_name, small_batches
+from weft.llm.textstats import CLASSES, COUNTS, measure, normal_word, word_codes
+
+#: Guards, and the distances beyond chance from which a document is rejected.
+MIN_CHARS, MIN_WORDS, MIN_HELD = 200, 60, 5
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.15
+#: Common words that a language is told by, and languages that one pass compares with.
+COMMON_OF_LANGUAGE, LANGUAGES_A_PASS = 32, 64
+#: Distinct words that a task counts before it passes them on.
+FLUSH = 100_000
+
+DISTANCES = ["class_distance", "word_distance"]
+MEASURED = StructType()
+for _name in COUNTS:
+    MEASURED.add(_name, LongType())
+for _name in DISTANCES:
+    MEASURED.add(_name, DoubleType())
+
+
+def base_failed(n_words, n_repeat_words):
+    """For columns and for numbers alike."""
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+@dataclass
+class References:
+    """Of at most LANGUAGES_A_PASS languages: names, all common words with their places, each language's places, and both histograms.
+
+    A language with fewer common words than others has the place behind the last one instead, which no text holds.
+    """
+
+    langs: list[str]
+    words: dict[bytes, int]
+    places: np.ndarray
+    classes: np.ndarray
+    common: np.ndarray
+
+    def own_words(self, common: np.ndarray) -> np.ndarray:
+        """Rows of counts by common word and others (n x words + 1) as rows by language and its own words and others."""
+        held = np.concatenate([common[:, :-1], np.zeros((len(common), 1), common.dtype)], axis=1)[:, self.places]
+        return np.concatenate([held, common.sum(axis=1)[:, None, None] - held.sum(axis=2, keepdims=True)], axis=2)
+
+
+def _common_words(docs: DataFrame) -> DataFrame:
+    """lang, words: the common words of each language, first those that most of its documents hold; `docs` (lang, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, plain = Counter(), Memo(normal_word)
+
+        def counts_out() -> pa.RecordBatch:
+            langs, words = zip(*seen)
+            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+            seen.clear()
+            return out
+
+        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
+            for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text"))):
+                seen.update([(lang, w) for w in set(map(plain.__getitem__, set(text.split())))])
+                if len(seen) > FLUSH:
+                    yield counts_out()
+        if seen:
+            yield counts_out()
+
+    held = docs.mapInArrow(run, "lang string, word binary, n long").where(F.octet_length("word") > 0)
+    held = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HELD)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    first = held.withColumn("place", place).where(F.col("place") <= COMMON_OF_LANGUAGE)
+    return first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).getField("word").alias("words"))
+
+
+def _histograms(docs: DataFrame, refs: References) -> DataFrame:
+    """lang, k, n: sums over the documents of each language that pass the base rules, by class and then by own common word; `docs` (lang, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(refs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = shared.value
+        row = {lang: i for i, lang in enumerate(refs.langs)}
+        codes, sums = word_codes(refs.words), np.zeros((len(row), len(CLASSES) + COMMON_OF_LANGUAGE + 1), np.int64)
+        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
+            for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text"))):
+                counts, classes, common = measure(text, codes, len(refs.words))
+                if not base_failed(counts[COUNTS.index("n_words")], counts[COUNTS.index("n_repeat_words")]):
+                    sums[row[lang]] += np.concatenate([classes, refs.own_words(common[None])[0, row[lang]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(refs.langs, sums.shape[1])), pa.array(np.tile(np.arange(sums.shape[1]), len(row))), pa.array(sums.ravel())], ["lang", "k", "n"])
+
+    return docs.where(F.col("lang").isin(refs.langs)).mapInArrow(run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+
+
+def language_references(docs: DataFrame) -> list[References]:
+    """References of all languages by name, in blocks; from all of `docs` (lang, text).  What the driver gets is one short row a language."""
+    docs = docs.where("lang is not null").select("lang", "text")
+    words = [(r["lang"], [bytes(w) for w in r["words"]]) for r in _common_words(docs).orderBy("lang").collect()]
+    blocks = []
+    for at in range(0, len(words), LANGUAGES_A_PASS):
+        langs, lists = zip(*words[at : at + LANGUAGES_A_PASS])
+        index = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
+        places = np.array([[index[w] for w in x] + [len(index)] * (COMMON_OF_LANGUAGE - len(x)) for x in lists])
+        refs = References([*langs], index, places, np.zeros((len(langs), len(CLASSES))), np.zeros((len(langs), COMMON_OF_LANGUAGE + 1)))
+        row = {lang: i for i, lang in enumerate(langs)}
+        for r in _histograms(docs, refs).collect():
+            own, k = (refs.classes, r["k"]) if r["k"] < len(CLASSES) else (refs.common, r["k"] - len(CLASSES))
+            own[row[r["lang"]], k] = r["n"]
+        some = refs.common.sum(axis=1) > 0
+        if some.any():
+            blocks.append(References([x for x, s in zip(langs, some) if s], index, places[some], refs.classes[some], refs.common[some]))
+    return blocks
 
 
 def _distances(rows: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row of counts to each reference."""
-    p = (rows / np.maximum(rows.sum(axis=1, keepdims=True), 1))[:, None, :]
+    """Jensen-Shannon distance of each row of counts (n x 1 or languages x k) to each reference (languages x k)."""
+    p = rows / np.maximum(rows.sum(axis=2, keepdims=True), 1)
     q = (refs / np.maximum(refs.sum(axis=1, keepdims=True), 1))[None, :, :]
     m = (p + q) / 2
     part = lambda a: np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0).sum(axis=2)
     return np.sqrt(np.maximum(0, (part(p) + part(q)) / 2))
 
 
-def with_divergence(stats: DataFrame, references: pd.DataFrame) -> DataFrame:
-    """Adds class_distance and word_distance to the nearest reference (the one of least sum); null without references."""
-    if not len(references):
-        return stats.withColumn("class_distance", F.lit(None).cast("double")).withColumn("word_distance", F.lit(None).cast("double"))
-    refs = [np.array(references[c].tolist(), float) for c in ("classes", "common")]
+def nearest(refs: References, classes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Class and word distance of each row of counts to its nearest reference, the one of least sum."""
+    a, b = _distances(classes[:, None, :], refs.classes), _distances(refs.own_words(common), refs.common)
+    best = (a + b).argmin(axis=1)[:, None]
+    return np.concatenate([np.take_along_axis(x, best, axis=1) for x in (a, b)], axis=1)
+
+
+def _measured(docs: DataFrame, refs: References | None, keep: list[str], text_col: str, name: str) -> DataFrame:
+    """The columns `keep` of `docs` and a struct `name` of counts and distances; if `docs` has that struct, the lesser distances stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(refs)
+    again = name in docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = shared.value
+        codes, n_common = word_codes(refs.words if refs else {}), len(refs.words) if refs else 0
+        for batch in (small for big in batches for small in small_batches(big, 256, text_col)):
+            found = [measure(text, codes, n_common) for text in byte_texts(batch.column(text_col))]
+            far = nearest(refs, *(np.stack([f[k] for f in found]) for k in (1, 2))) if refs else np.full((len(found), 2), np.nan)
+            if again:
+                before = np.stack([batch.column(name).field(d).to_numpy(zero_copy_only=False) for d in DISTANCES], axis=1)
+                far = np.where((before.sum(axis=1) <= far.sum(axis=1))[:, None], before, far)
+            arrays = [pa.array(x, pa.int64()) for x in zip(*(f[0] for f in found))] + [pa.array(x, from_pandas=True) for x in far.T]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.StructArray.from_arrays(arrays, MEASURED.names)], [*keep, name])
+
+    return docs.mapInArrow(run, StructType([docs.schema[c] for c in keep]).add(name, MEASURED))
 
-    @F.pandas_udf("class_distance double, word_distance double")
-    def nearest(classes: pd.Series, common: pd.Series) -> pd.DataFrame:
-        found = [[], []]
-        for at in range(0, len(classes), 1024):
-            a, b = (_distances(np.stack(x.iloc[at : at + 1024].to_list()), r) for x, r in zip((classes, common), refs))
-            best = (a + b).argmin(axis=1)
-            for f, x in zip(found, (a, b)):
-                f.append(x[np.arange(len(best)), best])
-        return pd.DataFrame({"class_distance": np.concatenate(found[0]), "word_distance": np.concatenate(found[1])})
 
-    return stats.withColumn("d", nearest("classes", "common")).select("*", "d.*").drop("d")
+def _chance(classes: int, n: Column) -> Column:
+    return F.sqrt(classes / (8 * log(2)) / n)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """row_id, id, the counts of text_stats(), base_failed, class_distance, word_distance, kept for every row of `docs`."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_id"))
-    stats = stored(text_stats(rows, ["row_id", "doc_id", "lang"]))
-    judged = with_divergence(stats, language_references(stats)).withColumn("base_failed", base_failed())
-    far = (F.col("class_distance") > MAX_CLASS_DISTANCE + 1 / F.sqrt("n_chars")) & (F.col("n_chars") >= MIN_CHARS)
-    far = far | (F.col("word_distance") > MAX_WORD_DISTANCE + 1 / F.sqrt("n_words")) & (F.col("n_words") >= MIN_WORDS)
-    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).withColumnRenamed("doc_id", id_col)
+def judge(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", name: str = "verdict") -> DataFrame:
+    """The columns `keep` (all, if not given) of `docs` and a struct `name`: COUNTS, class_distance, word_distance, base_failed, kept."""
+    blocks = language_references(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
+    out, keep = docs, keep or docs.columns
+    for k, refs in enumerate(blocks or [None]):
+        last = k + 1 >= len(blocks)
+        out = _measured(out, refs, keep if last else docs.columns, text_col, name)
+    v = F.col(name)
+    far = (v["class_distance"] > MAX_CLASS_DISTANCE + _chance(len(CLASSES), v["n_chars"])) & (v["n_chars"] >= MIN_CHARS)
+    far = far | (v["word_distance"] > MAX_WORD_DISTANCE + _chance(COMMON_OF_LANGUAGE + 1, v["n_words"])) & (v["n_words"] >= MIN_WORDS)
+    failed = base_failed(v["n_words"], v["n_repeat_words"])
+    return out.withColumn(name, v.withField("base_failed", failed).withField("kept", ~failed & ~F.coalesce(far, F.lit(False))))
 
 
+@any_names
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose texts pass, with all their columns."""
-    key = free_name(docs, "row_id")
-    rejected = judge(docs).where("not kept").select(F.col("row_id").alias(key)).distinct()
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(rejected, key, "left_anti").select(docs.columns)
+    """The rows of `docs` (text, lang and others) whose texts pass, with all their columns."""
+    name = free_name(docs, "verdict")
+    return judge(docs, name=name).where(F.col(name)["kept"]).drop(name)

@@ -14,10 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from weft.llm.common import byte_texts, small_batches
+from weft.llm.common import Memo, byte_texts, small_batches
 
-MEMO_ENTRIES = 300_000
-#: Function words of the languages a crawl holds most (fixed values), one line a language.
+NO_WORD = 0xFFFF
+#: Function words of the languages a crawl holds most (fixed values), one line a language: a feature of the quality classifier.
+#: Quality rules count the common words of each language in the corpus instead.
 COMMON_WORDS = (
     "the of and to in a is that it for was on are as with be by this or from at an not have has"
     " der die das und in zu den von ist mit für auf im sich ein eine des dem nicht als auch wird an"
@@ -66,17 +67,17 @@ def _class_table() -> np.ndarray:
 _CLASS, _SPACES, _SYMBOL_BYTES = _class_table(), np.array([9, 10, 11, 12, 13, 32]), np.frombuffer(SYMBOLS, np.uint8)
 
 
-class _WordCode(dict):
-    """Word to a 64-bit hash whose low byte is its place among the common words, or 255."""
+def normal_word(word: bytes) -> bytes:
+    """A word lower-cased (A-Z) and without ASCII marks at its ends."""
+    return word.lower().strip(_STRIP)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word) & ~0xFF | COMMON.get(word.lower().strip(_STRIP), 255)
-        return code
 
+def word_codes(common: dict[bytes, int]) -> Memo:
+    """Word to a 64-bit hash whose low two bytes are its place among the `common` words, or NO_WORD."""
+    return Memo(lambda word: xxhash.xxh3_64_intdigest(word) & ~0xFFFF | common.get(normal_word(word), NO_WORD))
 
-def measure(text: bytes, codes: _WordCode) -> tuple[list[int], np.ndarray, np.ndarray]:
+
+def measure(text: bytes, codes: Memo, n_common: int) -> tuple[list[int], np.ndarray, np.ndarray]:
     """COUNTS of the text, its characters by class, its words by common word (the last place: all others)."""
     bytes_of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n_chars = len(text) - int(bytes_of[0x80:0xC0].sum())
@@ -94,23 +95,32 @@ def measure(text: bytes, codes: _WordCode) -> tuple[list[int], np.ndarray, np.nd
         repeated = int(covered.sum())
     lines = [x for x in text.split(b"\n") if x.strip()]
     classes = np.bincount(_CLASS, weights=np.where((np.arange(256) & 0xC0) == 0x80, 0, bytes_of), minlength=len(CLASSES)).astype(np.int64)
-    common = np.bincount((h & np.uint64(0xFF)).astype(np.int64), minlength=256)
-    common = np.append(common[: len(COMMON)], common[255])
+    places = (h & np.uint64(NO_WORD)).astype(np.int64)
+    common = np.bincount(places[places < NO_WORD], minlength=n_common)
+    common = np.append(common, len(words) - int(common.sum()))
     counts = [len(text), n_chars, len(words), n_chars - int(bytes_of[_SPACES].sum()), int(bytes_of[_SYMBOL_BYTES].sum()), len(lines), len(lines) - len(set(lines)), repeated, len(np.unique(h)), int(bytes_of[ord("|")]), int(bytes_of[ord("!")])]
     return counts, classes, common
 
 
-def text_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of `docs`, COUNTS, classes array<long>, common array<long> for every row."""
+#: What the struct of statistics holds.
+STATS = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField(c, ArrayType(LongType())) for c in ("classes", "common")])
+
+
+def stats_array(found: list[tuple[list[int], np.ndarray, np.ndarray]]) -> pa.StructArray:
+    """An array of the type STATS from what measure() found."""
+    counts = [pa.array(x, pa.int64()) for x in zip(*(f[0] for f in found))]
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(found[0][k])), pa.array(np.concatenate([f[k] for f in found]))) for k in (1, 2)]
+    return pa.StructArray.from_arrays([*counts, *lists], STATS.names)
+
+
+def text_stats(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", name: str = "stats") -> DataFrame:
+    """The columns `keep` (all, if not given) of `docs` and a struct `name` of COUNTS, classes array<long>, common array<long> (by COMMON) for every row."""
+    keep = keep or docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _WordCode()
-        for batch in (small for big in batches for small in small_batches(big)):
-            found = [measure(text, codes) for text in byte_texts(batch.column(text_col))]
-            counts = [pa.array(x, pa.int64()) for x in zip(*(f[0] for f in found))]
-            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(found[0][k])), pa.array(np.concatenate([f[k] for f in found]))) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *counts, *arrays], [*keep, *COUNTS, "classes", "common"])
-
-    rows = docs.select(*keep, text_col)
-    fields = [rows.schema[c] for c in keep] + [StructField(c, LongType()) for c in COUNTS] + [StructField(c, ArrayType(LongType())) for c in ("classes", "common")]
-    return rows.mapInArrow(run, StructType(fields))
+        codes = word_codes(COMMON)
+        for batch in (small for big in batches for small in small_batches(big, text_col=text_col)):
+            found = [measure(text, codes, len(COMMON)) for text in byte_texts(batch.column(text_col))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats_array(found)], [*keep, name])
+
+    return docs.mapInArrow(run, StructType([docs.schema[c] for c in keep]).add(name, STATS))

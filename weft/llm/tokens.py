@@ -20,10 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weft.llm.common import small_batches
+from weft.llm.common import Memo, small_batches
 
-#: Words between white space that a worker remembers, beside the proven tokens.
-MEMO_ENTRIES = 600_000
 #: White space to `str.split()`, but not to the tokenizer (fixed values).
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters, numbers and white space of Latin-1 as Unicode has them (fixed values).
@@ -68,31 +66,25 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Packed ids (uint32, little-endian) by word; a missing word is cut into pre-tokens that are proven, remembered or merged now.
+class WordIds(Memo):
+    """Packed ids (uint32, little-endian) by word, remembered within the bounds of a memo; a missing word is cut into pre-tokens that are proven, remembered or merged now.
 
     A pre-token that stands alone as a word is the same to the tokenizer, so both share the memo.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
+        super().__init__(self._encoded)
         self.whole, self.library = vocabulary.whole, Tokenizer.from_str(vocabulary.spec)
         self.model, self.alphabet = self.library.model, _byte_alphabet()
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+    def _encoded(self, word: str) -> bytes:
         pieces = [word] if word.isascii() and word.isalpha() else self._cut(word)
-        ids = self._merged(word) if pieces == [word] else b"".join(map(self._piece, pieces))
-        self[word] = ids
-        return ids
+        return self._merged(word) if pieces == [word] else b"".join(map(self._piece, pieces))
 
     def _piece(self, piece: str) -> bytes:
         ids = self.get(piece)
-        if ids is None:
-            ids = self[piece] = self._merged(piece)
-        return ids
+        return self.remember(piece, self._merged(piece)) if ids is None else ids
 
     def _merged(self, piece: str) -> bytes:
         ids = self.whole.get(piece)
