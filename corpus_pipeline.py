@@ -6,56 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import decontam, neardup, packing, quality, rules
-from weft.llm.common import stored, table
-from weft.llm.queries import TOKENIZER
+from weft.llm.pipeline import STAGES, run
 
+__all__ = ["ORACLE_SQL", "STAGES", "oracle_sql", "queries", "run"]
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are near a language reference."""
-    return rules.keep_good(docs)
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, learned from the labelled ones among them, predicts good."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the least id; rows that repeat an id are one document and stay or go together."""
-    drop = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document's pieces, with their sequence and place."""
-    return packing.pack(docs, TOKENIZER, 2048)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules),
-    ("quality_classifier", quality_classifier),
-    ("near_dedup", near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("best_fit_packing", best_fit_packing),
-]
 #: Learned weights, tokens and alignments are beyond SQL; the stages are tested against plain Python versions.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": run}
 
