@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import chat, common, decontam, langid, neardup, packing, pipeline, ppm, quality, queries, rules, textstats, tokens, urlrules
+from weft.llm import chat, common, decontam, langid, neardup, packing, pipeline, ppm, quality, queries, rules, textstats, tokens, urlrules, words
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "one", "two words", "a b c d e", "A b C d E", "a b c d e", "<|endoftext|> x", "naïve 中文 ﬁ É", "x" * 20_000, "w " * 9_000]
@@ -399,7 +399,8 @@ def test_quality_rules_equal_brute_force(spark, monkeypatch, a_pass):
     refs = {}
     for lang in ("en", "fr", "xx"):
         df_of = Counter(w for t, x in zip(texts, langs) if x == lang for w in {plain(w) for w in (t or "").encode().split()} if w)
-        common = [w for w, n in sorted(df_of.items(), key=lambda x: (-x[1], x[0])) if n >= rules.MIN_HELD][: rules.COMMON_OF_LANGUAGE]
+        signed = lambda w: int(np.uint64(words.normal_hash(w)).view(np.int64))
+        common = [w for w, n in sorted(df_of.items(), key=lambda x: (-x[1], signed(x[0]))) if n >= rules.MIN_HELD][: rules.COMMON_OF_LANGUAGE]
         own = [brute_histograms(t, common) for t, x, f in zip(texts, langs, failed) if x == lang and not f]
         if common and own:
             refs[lang] = (common, *([sum(v) for v in zip(*(h[k] for h in own))] for k in (0, 1)))
@@ -411,9 +412,9 @@ def test_quality_rules_equal_brute_force(spark, monkeypatch, a_pass):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == stats[i], repr(t)[:40]
         assert r["base_failed"] == failed[i]
         far = []
-        for common, classes, words in refs.values():
+        for common, classes, counts in refs.values():
             h = brute_histograms(t, common)
-            far.append((brute_divergence(h[0], classes), brute_divergence(h[1], words)))
+            far.append((brute_divergence(h[0], classes), brute_divergence(h[1], counts)))
         a, b = min(far, key=sum)
         assert (r["class_distance"], r["word_distance"]) == pytest.approx((a, b), abs=1e-9)
         chance = lambda k, n: math.sqrt(k / (8 * n * math.log(2))) if n else 0
@@ -457,7 +458,7 @@ def brute_features(text):
     n = len(words)
     _, word_chars, n_symbols, n_dup_lines, n_repeat_words = brute_stats(text)
     n_lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in text.split("\n"))
-    classes, common = brute_histograms(text, list(textstats.COMMON))
+    classes, common = brute_histograms(text, textstats.COMMON)
     of = dict(zip(textstats.CLASSES, classes))
     share = lambda a, b: a / max(b, 1)
     return {
@@ -471,7 +472,7 @@ def test_quality_scores_equal_rules_applied_in_python(spark):
     sf = "/root/testdata/sf0.01"
     d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = quality.learn_quality(d, l)
-    assert len(model.rules) > 3
+    assert len(model.rules) > 1
     texts = ODD + [r["text"] for r in d.orderBy("doc_id").limit(150).collect()]
     got = {r["doc_id"]: r["score"] for r in quality.with_score(docs(spark, texts), model, ["doc_id"]).collect()}
     for i, t in enumerate(texts):
@@ -487,7 +488,7 @@ def test_quality_filter_of_odd_rows(spark):
     df = d.union(odd).union(odd).union(d.limit(3).selectExpr("null", "text")).withColumns({"score": F.lit("mine"), "stats": F.lit(1), "a.b": F.lit(2)})
     kept = quality.keep_good(df, l)
     assert kept.columns == df.columns and 0 < kept.count() < df.count()
-    scores = quality.with_score(df, quality.learn_quality(df, l), ["doc_id", "text"]).where("score >= 0.7").count()
+    scores = quality.with_score(df.select("doc_id", "text"), quality.learn_quality(df, l)).where("score >= 0.7").count()
     assert kept.count() == scores
     for none in (l.limit(0), l.withColumn("quality", F.lit(0)), l.withColumn("quality", F.lit(None).cast("int"))):
         assert quality.keep_good(df, none).count() == df.count()
@@ -617,15 +618,34 @@ def test_lm_keeps_every_context(spark, monkeypatch, chunk):
 
 
 def test_stats_cover_columns():
-    counts, classes, common = textstats.measure("The The the é\n|".encode(), textstats.word_codes(textstats.COMMON), len(textstats.COMMON))
-    assert len(counts) == len(textstats.COUNTS) and classes.sum() == 15 and common[textstats.COMMON[b"the"]] == 3 and common.sum() == 5
+    counts, classes, common = (x[0] for x in textstats.measure(["The The the, é\n|".encode()], textstats.COMMON_HASHES))
+    assert len(counts) == len(textstats.COUNTS) and classes.sum() == 16 and common[textstats.COMMON.index(b"the")] == 3 and common.sum() == 5
+
+
+def test_stats_of_many_texts_are_those_of_each():
+    rng = random.Random(3)
+    texts = [(t or "").encode() for t in ODD] + [" ".join(rng.choices(["the", "a", "b\n", "ß", "|"], k=rng.randint(0, 30))).encode() for _ in range(244)]
+    together, alone = textstats.measure(texts, textstats.COMMON_HASHES), [textstats.measure([t], textstats.COMMON_HASHES) for t in texts]
+    assert len(texts) == 256 and all((x == np.concatenate([a[k] for a in alone])).all() for k, x in enumerate(together))
+
+
+def test_word_hashes_are_those_of_the_words():
+    rng = random.Random(7)
+    texts = [(t or "").encode() for t in ODD] + ["".join(rng.choices("aAbB,.\n \t\x0bé'-x", k=rng.randint(0, 60))).encode() for _ in range(300)]
+    found = words.Words(texts)
+    assert found.n_words.tolist() == [len(t.split()) for t in texts]
+    for kind, change in ((found.hashes(), bytes), (found.hashes(lower=True), bytes.lower), (found.normal_hashes(), plain)):
+        seen = {}
+        for h, w in zip(kind.tolist(), (change(w) for t in texts for w in t.split())):
+            assert seen.setdefault(h, w) == w
+        assert len(set(seen.values())) == len(seen)
 
 
 def test_memo_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(common, "MEMO_BYTES", 10_000)
     memo = common.Memo(len)
     for k in range(3_000):
-        assert memo["x" * (k % 700)] == k % 700 and sum(150 + 4 * len(w) for w in memo) <= 10_000
+        assert memo["x" * (k % 1200)] == k % 1200 and sum(150 + 4 * len(w) for w in memo) <= 5_000 and sum(150 + 4 * len(w) for w in memo.before) <= 5_000
 
 
 def test_stored_needs_a_shared_folder_on_a_cluster():

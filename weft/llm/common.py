@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a memo of a worker may hold, and bytes of text in one slice of a batch.
-MEMO_BYTES, SLICE_BYTES = 16_000_000, 4_000_000
+MEMO_BYTES, SLICE_BYTES = 16_000_000, 1_000_000
 #: Rows of a list that is broadcast; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 @cache
@@ -112,20 +112,21 @@ def small_batches(batch: pa.RecordBatch, rows: int = 512, text_col: str | None =
 
 
 class Memo(dict):
-    """What `make` gives for each key (text or bytes), forgotten whenever keys and values may hold more than MEMO_BYTES, so that long words cost no memory."""
+    """What `make` gives for each key (text or bytes), within about `most` bytes: when half of them is used, what was not asked for since the last time goes."""
 
-    def __init__(self, make: Callable) -> None:
+    def __init__(self, make: Callable, most: int | None = None) -> None:
         super().__init__()
-        self.make, self.held = make, 0
+        self.make, self.half, self.held, self.before = make, (most or MEMO_BYTES) // 2, 0, {}
 
     def __missing__(self, key):
-        return self.remember(key, self.make(key))
+        value = self.before.get(key)
+        return self.remember(key, self.make(key) if value is None else value)
 
     def remember(self, key, value):
         size = 150 + 4 * len(key)
-        if self.held + size > MEMO_BYTES:
+        if self.held + size > self.half:
+            self.before, self.held = dict(self) if size <= self.half else {}, 0
             self.clear()
-            self.held = 0
         self.held += size
         self[key] = value
         return value

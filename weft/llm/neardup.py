@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import Memo, any_names, byte_texts, free_name, scratch, small_batches, small_enough, stored
+from weft.llm.common import any_names, byte_texts, free_name, scratch, small_batches, small_enough, stored
+from weft.llm.words import Words, mixed
 
 BINS, ROWS = 240, 5
 BANDS = BINS // ROWS
@@ -49,24 +50,19 @@ _PROBE = np.stack([_RNG.permutation(BINS) for _ in range(BINS)])
 _EDGES = np.array([(i << 64) // BINS for i in range(BINS)], dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def shingles(text: bytes, width: int, memo: Memo) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles; a shorter text is one shingle, a wordless one none."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    if len(words) < width:
-        h = np.array([(h * _PLACE[: len(words)]).sum() + np.uint64(len(words))], np.uint64)
-    else:
-        n = len(words) - width + 1
-        h = sum((h[j : n + j] * _PLACE[j] for j in range(1, width)), h[:n] * _PLACE[0])
-    return np.unique(_mixed(h))
+def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; a shorter text is one shingle, a wordless one none."""
+    words = Words(texts)
+    h, ends = words.hashes(lower=True), np.cumsum(words.n_words)
+    n = len(h) - width + 1
+    rolling = mixed(sum((h[j : n + j] * _PLACE[j] for j in range(1, width)), h[:n] * _PLACE[0])) if n > 0 else h[:0]
+    found = []
+    for end, size in zip(ends.tolist(), words.n_words.tolist()):
+        own = rolling[end - size : end - width + 1]
+        if 0 < size < width:
+            own = mixed(np.array([(h[end - size : end] * _PLACE[:size]).sum() + np.uint64(size)], np.uint64))
+        found.append(np.unique(own) if size else h[:0])
+    return found
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
@@ -78,18 +74,16 @@ def band_keys(found: np.ndarray) -> np.ndarray:
         empty = np.flatnonzero(~full)
         donors = _PROBE[empty]
         least[empty] = least[donors[np.arange(len(empty)), full[donors].argmax(axis=1)]]
-    return _mixed((least.reshape(BANDS, ROWS) * _BAND_MIX).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+    return mixed((least.reshape(BANDS, ROWS) * _BAND_MIX).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """row_id, doc_id, set_key, n_shingles, bands: one row for each of `docs` (row_id, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh3_64_intdigest)
         for batch in (small for big in batches for small in small_batches(big, text_col="text")):
             keys, sizes, bands = [], [], []
-            for text in byte_texts(batch.column("text")):
-                found = shingles(text, width, memo)
+            for found in shingles([*byte_texts(batch.column("text"))], width):
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sizes.append(len(found))
                 bands.append(band_keys(found).view(np.int64) if len(found) else np.empty(0, np.int64))
@@ -107,9 +101,8 @@ def full_sets(texts: DataFrame, width: int = 5) -> DataFrame:
     """set_key, n, members: the sorted shingle hashes of each text of `texts` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxhash.xxh3_64_intdigest)
         for batch in (small for big in batches for small in small_batches(big, text_col="text")):
-            sets = [shingles(text, width, memo) for text in byte_texts(batch.column("text"))]
+            sets = shingles([*byte_texts(batch.column("text"))], width)
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -197,9 +190,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         links = keep(sure.union(_links_of_rest(members, sets, connected_components(sure), percent, keep)))
         classed = connected_components(links).withColumnRenamed("node", "set_key").join(nodes.select("set_key", "least"), "set_key")
         joined = keep(classed.groupBy("component").agg(F.min("least").alias("component_id")))
-        named = keep(classed.join(small_enough(joined), "component").select("set_key", "component_id"))  # nodes in a class with others
-        out = signed.select("doc_id", "set_key", "n_shingles").join(nodes.select("set_key", "least"), "set_key", "left").join(named, "set_key", "left")
-        out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "least")))
+        named = classed.join(small_enough(joined), "component").select("set_key", "component_id")  # nodes in a class with others
+        named = keep(nodes.select("set_key", "least").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "least").alias("component_id")))
+        out = signed.select("doc_id", "set_key", "n_shingles").join(small_enough(named), "set_key", "left")
+        out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
         return stored(out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", kept.alias("kept")))
 

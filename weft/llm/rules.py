@@ -23,7 +23,6 @@ rows with null ids like any other; other columns pass through, whatever their na
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
@@ -34,16 +33,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from weft.llm.common import Memo, any_names, byte_texts, free_name, small_batches
-from weft.llm.textstats import CLASSES, COUNTS, measure, normal_word, word_codes
+from weft.llm.common import any_names, byte_texts, free_name, small_batches
+from weft.llm.textstats import CLASSES, COUNTS, measure
+from weft.llm.words import Words
 
 #: Guards, and the distances beyond chance from which a document is rejected.
 MIN_CHARS, MIN_WORDS, MIN_HELD = 200, 60, 5
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.15
 #: Common words that a language is told by, and languages that one pass compares with.
 COMMON_OF_LANGUAGE, LANGUAGES_A_PASS = 32, 64
-#: Distinct words that a task counts before it passes them on.
-FLUSH = 100_000
+#: Words, once for each text, that a task holds before it passes their counts on.
+FLUSH = 2_000_000
 
 DISTANCES = ["class_distance", "word_distance"]
 MEASURED = StructType()
@@ -60,13 +60,13 @@ def base_failed(n_words, n_repeat_words):
 
 @dataclass
 class References:
-    """Of at most LANGUAGES_A_PASS languages: names, all common words with their places, each language's places, and both histograms.
+    """Of at most LANGUAGES_A_PASS languages: names, hashes of all common words, each language's places among these, and both histograms.
 
     A language with fewer common words than others has the place behind the last one instead, which no text holds.
     """
 
     langs: list[str]
-    words: dict[bytes, int]
+    words: np.ndarray
     places: np.ndarray
     classes: np.ndarray
     common: np.ndarray
@@ -78,27 +78,31 @@ class References:
 
 
 def _common_words(docs: DataFrame) -> DataFrame:
-    """lang, words: the common words of each language, first those that most of its documents hold; `docs` (lang, text)."""
+    """lang, words: normal hashes of each language's common words, first those that most of its documents hold; `docs` (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, plain = Counter(), Memo(normal_word)
-
-        def counts_out() -> pa.RecordBatch:
-            langs, words = zip(*seen)
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
-            seen.clear()
-            return out
-
-        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
-            for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text"))):
-                seen.update([(lang, w) for w in set(map(plain.__getitem__, set(text.split())))])
-                if len(seen) > FLUSH:
-                    yield counts_out()
-        if seen:
-            yield counts_out()
-
-    held = docs.mapInArrow(run, "lang string, word binary, n long").where(F.octet_length("word") > 0)
-    held = held.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HELD)
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def counts_out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                words, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words.view(np.int64)), pa.array(n)], ["lang", "word", "n"])
+            held.clear()
+
+        for batch in (small for big in batches for small in small_batches(big, 256, "text")):
+            words = Words([*byte_texts(batch.column("text"))])
+            normal, ends = words.normal_hashes(), np.cumsum(words.n_words)
+            for lang, own in zip(batch.column("lang").to_pylist(), np.split(normal, ends[:-1])):
+                own = np.unique(own[own > 0])
+                held.setdefault(lang, []).append(own)
+                size += len(own)
+            if size > FLUSH:
+                yield from counts_out()
+                size = 0
+        yield from counts_out()
+
+    held = docs.mapInArrow(run, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HELD)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     first = held.withColumn("place", place).where(F.col("place") <= COMMON_OF_LANGUAGE)
     return first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).getField("word").alias("words"))
@@ -111,12 +115,14 @@ def _histograms(docs: DataFrame, refs: References) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = shared.value
         row = {lang: i for i, lang in enumerate(refs.langs)}
-        codes, sums = word_codes(refs.words), np.zeros((len(row), len(CLASSES) + COMMON_OF_LANGUAGE + 1), np.int64)
-        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
-            for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text"))):
-                counts, classes, common = measure(text, codes, len(refs.words))
-                if not base_failed(counts[COUNTS.index("n_words")], counts[COUNTS.index("n_repeat_words")]):
-                    sums[row[lang]] += np.concatenate([classes, refs.own_words(common[None])[0, row[lang]]])
+        classes_sum, common_sum = np.zeros((len(row), len(CLASSES)), np.int64), np.zeros((len(row), len(refs.words) + 1), np.int64)
+        for batch in (small for big in batches for small in small_batches(big, 256, "text")):
+            counts, classes, common = measure([*byte_texts(batch.column("text"))], refs.words)
+            good = ~base_failed(counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")])
+            own = np.array([row[x] for x in batch.column("lang").to_pylist()])[good]
+            np.add.at(classes_sum, own, classes[good])
+            np.add.at(common_sum, own, common[good])
+        sums = np.concatenate([classes_sum, refs.own_words(common_sum)[np.arange(len(row)), np.arange(len(row))]], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(refs.langs, sums.shape[1])), pa.array(np.tile(np.arange(sums.shape[1]), len(row))), pa.array(sums.ravel())], ["lang", "k", "n"])
 
     return docs.where(F.col("lang").isin(refs.langs)).mapInArrow(run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
@@ -125,20 +131,21 @@ def _histograms(docs: DataFrame, refs: References) -> DataFrame:
 def language_references(docs: DataFrame) -> list[References]:
     """References of all languages by name, in blocks; from all of `docs` (lang, text).  What the driver gets is one short row a language."""
     docs = docs.where("lang is not null").select("lang", "text")
-    words = [(r["lang"], [bytes(w) for w in r["words"]]) for r in _common_words(docs).orderBy("lang").collect()]
+    words = [(r["lang"], r["words"]) for r in _common_words(docs).orderBy("lang").collect()]
     blocks = []
     for at in range(0, len(words), LANGUAGES_A_PASS):
         langs, lists = zip(*words[at : at + LANGUAGES_A_PASS])
         index = {w: i for i, w in enumerate(dict.fromkeys(w for x in lists for w in x))}
         places = np.array([[index[w] for w in x] + [len(index)] * (COMMON_OF_LANGUAGE - len(x)) for x in lists])
-        refs = References([*langs], index, places, np.zeros((len(langs), len(CLASSES))), np.zeros((len(langs), COMMON_OF_LANGUAGE + 1)))
+        hashes = np.array([*index], np.int64).view(np.uint64)
+        refs = References([*langs], hashes, places, np.zeros((len(langs), len(CLASSES))), np.zeros((len(langs), COMMON_OF_LANGUAGE + 1)))
         row = {lang: i for i, lang in enumerate(langs)}
         for r in _histograms(docs, refs).collect():
             own, k = (refs.classes, r["k"]) if r["k"] < len(CLASSES) else (refs.common, r["k"] - len(CLASSES))
             own[row[r["lang"]], k] = r["n"]
         some = refs.common.sum(axis=1) > 0
         if some.any():
-            blocks.append(References([x for x, s in zip(langs, some) if s], index, places[some], refs.classes[some], refs.common[some]))
+            blocks.append(References([x for x, s in zip(langs, some) if s], hashes, places[some], refs.classes[some], refs.common[some]))
     return blocks
 
 
@@ -165,14 +172,14 @@ def _measured(docs: DataFrame, refs: References | None, keep: list[str], text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = shared.value
-        codes, n_common = word_codes(refs.words if refs else {}), len(refs.words) if refs else 0
+        words = refs.words if refs else np.empty(0, np.uint64)
         for batch in (small for big in batches for small in small_batches(big, 256, text_col)):
-            found = [measure(text, codes, n_common) for text in byte_texts(batch.column(text_col))]
-            far = nearest(refs, *(np.stack([f[k] for f in found]) for k in (1, 2))) if refs else np.full((len(found), 2), np.nan)
+            counts, classes, common = measure([*byte_texts(batch.column(text_col))], words)
+            far = nearest(refs, classes, common) if refs else np.full((len(counts), 2), np.nan)
             if again:
                 before = np.stack([batch.column(name).field(d).to_numpy(zero_copy_only=False) for d in DISTANCES], axis=1)
                 far = np.where((before.sum(axis=1) <= far.sum(axis=1))[:, None], before, far)
-            arrays = [pa.array(x, pa.int64()) for x in zip(*(f[0] for f in found))] + [pa.array(x, from_pandas=True) for x in far.T]
+            arrays = [*map(pa.array, counts.T), *(pa.array(x, from_pandas=True) for x in far.T)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.StructArray.from_arrays(arrays, MEASURED.names)], [*keep, name])
 
     return docs.mapInArrow(run, StructType([docs.schema[c] for c in keep]).add(name, MEASURED))

@@ -10,13 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from weft.llm.common import Memo, byte_texts, small_batches
+from weft.llm.common import byte_texts, small_batches
+from weft.llm.words import Words, normal_hash
 
-NO_WORD = 0xFFFF
 #: Function words of the languages a crawl holds most (fixed values), one line a language: a feature of the quality classifier.
 #: Quality rules count the common words of each language in the corpus instead.
 COMMON_WORDS = (
@@ -25,12 +24,12 @@ COMMON_WORDS = (
     " le la les de des et un une du en est que pour dans qui par sur pas au avec ce il plus"
     " el los las y que por una con no se del lo para su es al como más"
 ).split()
-COMMON = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
+COMMON = [w.encode() for w in dict.fromkeys(COMMON_WORDS)]
+COMMON_HASHES = np.array([normal_hash(w) for w in COMMON], np.uint64)
 #: Classes of characters, by their first byte in UTF-8.
 CLASSES = ["upper", "lower", "digit", "space", "newline", "stop", "symbol", "punctuation", "other", "latin_ext", "wide"]
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_bytes", "n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_pipes", "n_exclaim"]
-_STRIP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def _class_table() -> np.ndarray:
@@ -67,50 +66,56 @@ def _class_table() -> np.ndarray:
 _CLASS, _SPACES, _SYMBOL_BYTES = _class_table(), np.array([9, 10, 11, 12, 13, 32]), np.frombuffer(SYMBOLS, np.uint8)
 
 
-def normal_word(word: bytes) -> bytes:
-    """A word lower-cased (A-Z) and without ASCII marks at its ends."""
-    return word.lower().strip(_STRIP)
-
-
-def word_codes(common: dict[bytes, int]) -> Memo:
-    """Word to a 64-bit hash whose low two bytes are its place among the `common` words, or NO_WORD."""
-    return Memo(lambda word: xxhash.xxh3_64_intdigest(word) & ~0xFFFF | common.get(normal_word(word), NO_WORD))
-
-
-def measure(text: bytes, codes: Memo, n_common: int) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """COUNTS of the text, its characters by class, its words by common word (the last place: all others)."""
-    bytes_of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    n_chars = len(text) - int(bytes_of[0x80:0xC0].sum())
-    words = text.split()
-    h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    repeated = 0
-    if len(h) >= 3:
-        three = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[2:]
+def _repeated(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Of each of `n` texts, the words in a window of three that the text holds twice or more; word hashes and their text's number (below 256)."""
+    covered = np.zeros(len(h), bool)
+    at = np.flatnonzero(doc[2:] == doc[:-2])
+    if len(at):
+        three = (h[at] * np.uint64(0x9E3779B97F4A7C15) ^ h[at + 1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[at + 2]
+        three = doc[at].astype(np.uint64) << np.uint64(56) | three >> np.uint64(8)
         ordered = np.sort(three)
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        twice = again[np.minimum(np.searchsorted(again, three), len(again) - 1)] == three if len(again) else np.zeros(len(three), bool)
-        covered = np.zeros(len(h), bool)
-        for k in range(3):
-            covered[k : len(three) + k] |= twice
-        repeated = int(covered.sum())
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    classes = np.bincount(_CLASS, weights=np.where((np.arange(256) & 0xC0) == 0x80, 0, bytes_of), minlength=len(CLASSES)).astype(np.int64)
-    places = (h & np.uint64(NO_WORD)).astype(np.int64)
-    common = np.bincount(places[places < NO_WORD], minlength=n_common)
-    common = np.append(common, len(words) - int(common.sum()))
-    counts = [len(text), n_chars, len(words), n_chars - int(bytes_of[_SPACES].sum()), int(bytes_of[_SYMBOL_BYTES].sum()), len(lines), len(lines) - len(set(lines)), repeated, len(np.unique(h)), int(bytes_of[ord("|")]), int(bytes_of[ord("!")])]
-    return counts, classes, common
+        if len(again):
+            twice = at[again[np.minimum(np.searchsorted(again, three), len(again) - 1)] == three]
+            for k in range(3):
+                covered[twice + k] = True
+    return np.bincount(doc[covered], minlength=n)
+
+
+def measure(texts: list[bytes], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """COUNTS of up to 256 texts, their characters by class, their words by place in `common` (normal hashes; the last place: all others); a row a text."""
+    n = len(texts)
+    bytes_of = np.stack([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts])
+    starts = np.where((np.arange(256) & 0xC0) == 0x80, 0, bytes_of)  # of characters
+    n_chars = starts.sum(axis=1)
+    classes = np.stack([starts[:, k == _CLASS].sum(axis=1) for k in range(len(CLASSES))], axis=1)
+    words = Words(texts)
+    h, doc, n_words = words.hashes(), words.doc, words.n_words
+    place = np.full(len(h), len(common))
+    if len(common):
+        order, normal = np.argsort(common), words.normal_hashes()
+        found = order[np.minimum(np.searchsorted(common, normal, sorter=order), len(common) - 1)]
+        place = np.where(common[found] == normal, found, len(common))
+    by_word = np.bincount(doc * (len(common) + 1) + place, minlength=n * (len(common) + 1)).reshape(n, len(common) + 1)
+    own = np.sort(doc.astype(np.uint64) << np.uint64(56) | h >> np.uint64(8))
+    distinct = np.bincount((own[np.append(True, own[1:] != own[:-1])] >> np.uint64(56)).astype(np.int64), minlength=n) if len(own) else np.zeros(n, np.int64)
+    lines = [[x for x in t.split(b"\n") if x.strip()] for t in texts]
+    n_lines = np.array([len(x) for x in lines])
+    counts = [
+        np.array([len(t) for t in texts]), n_chars, n_words, n_chars - bytes_of[:, _SPACES].sum(axis=1), bytes_of[:, _SYMBOL_BYTES].sum(axis=1), n_lines,
+        n_lines - np.array([len(set(x)) for x in lines]), _repeated(h, doc, n), distinct, bytes_of[:, ord("|")], bytes_of[:, ord("!")],
+    ]
+    return np.stack(counts, axis=1), classes, by_word
 
 
 #: What the struct of statistics holds.
 STATS = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField(c, ArrayType(LongType())) for c in ("classes", "common")])
 
 
-def stats_array(found: list[tuple[list[int], np.ndarray, np.ndarray]]) -> pa.StructArray:
+def stats_array(counts: np.ndarray, classes: np.ndarray, common: np.ndarray) -> pa.StructArray:
     """An array of the type STATS from what measure() found."""
-    counts = [pa.array(x, pa.int64()) for x in zip(*(f[0] for f in found))]
-    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(found[0][k])), pa.array(np.concatenate([f[k] for f in found]))) for k in (1, 2)]
-    return pa.StructArray.from_arrays([*counts, *lists], STATS.names)
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (classes, common)]
+    return pa.StructArray.from_arrays([*map(pa.array, counts.T), *lists], STATS.names)
 
 
 def text_stats(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", name: str = "stats") -> DataFrame:
@@ -118,9 +123,8 @@ def text_stats(docs: DataFrame, keep: list[str] | None = None, text_col: str = "
     keep = keep or docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = word_codes(COMMON)
-        for batch in (small for big in batches for small in small_batches(big, text_col=text_col)):
-            found = [measure(text, codes, len(COMMON)) for text in byte_texts(batch.column(text_col))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats_array(found)], [*keep, name])
+        for batch in (small for big in batches for small in small_batches(big, 256, text_col)):
+            found = measure([*byte_texts(batch.column(text_col))], COMMON_HASHES)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats_array(*found)], [*keep, name])
 
     return docs.mapInArrow(run, StructType([docs.schema[c] for c in keep]).add(name, STATS))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weft.llm.common import Memo, small_batches
+from weft.llm.common import MEMO_BYTES, Memo, small_batches
 
 #: White space to `str.split()`, but not to the tokenizer (fixed values).
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -73,7 +73,7 @@ class WordIds(Memo):
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__(self._encoded)
+        super().__init__(self._encoded, 3 * MEMO_BYTES)
         self.whole, self.library = vocabulary.whole, Tokenizer.from_str(vocabulary.spec)
         self.model, self.alphabet = self.library.model, _byte_alphabet()
         self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
@@ -83,7 +83,7 @@ class WordIds(Memo):
         return self._merged(word) if pieces == [word] else b"".join(map(self._piece, pieces))
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.get(piece)
+        ids = self.get(piece) or self.before.get(piece)
         return self.remember(piece, self._merged(piece)) if ids is None else ids
 
     def _merged(self, piece: str) -> bytes:
