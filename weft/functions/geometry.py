@@ -39,6 +39,11 @@ def crop_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, heig
     return [left, top, F.greatest(left + 1, F.least(x2.cast("int"), width.cast("int"))), F.greatest(top + 1, F.least(y2.cast("int"), height.cast("int")))]
 
 
+def mask_row_in_crop(y: Column, box: list[Column], mask_height: Column, height: Column) -> Column:
+    """Row of a mask (of any height) that a crop's row y shows, by nearest pixel; `box` of crop_box().  Columns go alike, with box[0] and the widths."""
+    return F.least(F.floor((y + box[1]) * mask_height / height), mask_height - 1).cast("int")
+
+
 def mask_quality(predicted_iou: Column, coverage: Column, solidity: Column) -> Column:
     clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     head = F.coalesce(clip(predicted_iou), F.lit(0.5))

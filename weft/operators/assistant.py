@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.ranks import nearest_rank
+
 
 def conversation_rollup(turns: DataFrame) -> DataFrame:
-    """conv_id, messages, users, assistants, chars, last_role, last_text of each conversation."""
+    """conv_id, messages, users, assistants, chars, last_role, last_text of each conversation; also tokens and mean_ms where `turns` has tokens and latency_ms."""
+    extra = {"tokens": F.sum("tokens").alias("tokens"), "latency_ms": F.avg("latency_ms").alias("mean_ms")}
+    more = [c for k, c in extra.items() if k in turns.columns]
     last = F.max_by(F.struct("role", "text"), "turn")
-    return turns.groupBy("conv_id").agg(
+    rows = turns.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("messages"), F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"),
-        F.sum(F.length("text")).alias("chars"), last.alias("last"),
-    ).select("conv_id", "messages", "users", "assistants", "chars", F.col("last.role").alias("last_role"), F.col("last.text").alias("last_text"))
+        F.sum(F.length("text")).alias("chars"), *more, last.alias("last"),
+    )
+    return rows.withColumns({"last_role": F.col("last.role"), "last_text": F.col("last.text")}).drop("last")
 
 
 def usage_report(calls: DataFrame) -> DataFrame:
@@ -27,12 +32,9 @@ def usage_by_day(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.to_date("created_at").alias("day"), "endpoint").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
 
 
-def latency_p95(calls: DataFrame) -> DataFrame:
-    """endpoint, p95_ms by nearest rank, half-even: counted by value before the running sum."""
-    values = calls.groupBy("endpoint", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("endpoint")
-    ranked = values.withColumns({"upto": F.sum("n").over(w.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
-    return ranked.where(F.col("upto") > F.bround(0.95 * (F.col("total") - 1), 0)).groupBy("endpoint").agg(F.min("latency_ms").alias("p95_ms"))
+def latency_p95(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by (endpoint, if not given), p95_ms by nearest rank, half-even."""
+    return nearest_rank(calls, "latency_ms", 0.95, by or ["endpoint"], "p95_ms")
 
 
 def unread_notifications(notes: DataFrame, now: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.geometry import area, iou
@@ -18,6 +18,18 @@ def profile_limits(profile: str, min_score: float, max_items: int) -> tuple[floa
     return (max(floor, min_score + shift) if shift else min_score), (max(items, least) if least else items)
 
 
+def filter_by_profile(kept: DataFrame, profile: str, min_score: float, min_ratio: float, max_ratio: float, max_items: int) -> DataFrame:
+    """filter_detections() with the score and the number of garments that a speed profile makes of the given ones."""
+    least, most = profile_limits(profile, min_score, max_items)
+    return filter_detections(kept, least, min_ratio, max_ratio, most)
+
+
+def coarse_label(label: Column, groups: dict[str, str]) -> Column:
+    """The coarse group of a detector's label, trimmed and lower-cased; `other` for one that `groups` lacks."""
+    known = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair]) if groups else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(label))), F.lit("other"))
+
+
 def pairwise_iou(detections: DataFrame) -> DataFrame:
     """image_id, det_a, det_b, iou for the overlapping pairs of a photo's boxes (a before b)."""
     a = detections.select("image_id", F.col("det_no").alias("det_a"), *[F.col(c).alias(f"a_{c}") for c in BOX])

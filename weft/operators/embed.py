@@ -15,6 +15,8 @@ from weft.functions.vectors import normalise
 
 #: Query vectors that one pass broadcasts; more queries take more passes.
 QUERY_BLOCK = 20_000
+#: Queries and items of one product of matrices.
+TILE_QUERIES, TILE_ITEMS = 512, 2_048
 #: Vectors of one owner in one block of the duplicate search.
 BLOCK = 1_024
 
@@ -24,11 +26,23 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
 
 
+def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest of each row and their ids, ties by id; only what reaches a row's k-th value is put in order.  `ids` are those of all columns, or of each cell."""
+    k = min(k, sim.shape[1])
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+    row, col = np.nonzero(sim >= least[:, None])
+    own, value = (ids[col] if ids.ndim == 1 else ids[row, col]), sim[row, col]
+    order = np.lexsort((own, -value, row))
+    begin = np.searchsorted(row, np.arange(len(sim)))
+    first = order[begin[:, None] + np.arange(k)]
+    return value[first], own[first]
+
+
 def similar_items(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     """query_id, item_id, similarity, rank: the k items most like each query, itself left out.
 
-    queries, items: item_id, embedding.  Queries are broadcast in blocks; each batch of
-    items gives its own k best for every query, which alone are shuffled and ranked.
+    queries, items: item_id, embedding.  Queries are broadcast in blocks and met in tiles; a task passes on the k best
+    of its own items for each query, which alone are shuffled and ranked.
     """
     found = None
     for block in _blocks(queries):
@@ -36,13 +50,21 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
+            top_sim, top_id = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
             for frame in batches:
-                frame = frame.sort_values("item_id")  # a stable sort then settles ties by id, as the final ranking does
-                own = frame["item_id"].to_numpy(np.int64)
-                sim = np.where(ids[:, None] == own[None, :], -np.inf, np.round(q @ _unit(frame["embedding"]).T, 6))
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "item_id": own[top].ravel(), "similarity": np.take_along_axis(sim, top, axis=1).ravel()})
-                yield out[np.isfinite(out["similarity"])]
+                for at in range(0, len(frame), TILE_ITEMS):
+                    own, v = frame["item_id"].to_numpy(np.int64)[at : at + TILE_ITEMS], _unit(frame["embedding"].iloc[at : at + TILE_ITEMS])
+                    sims, names = [], []
+                    for to in range(0, len(ids), TILE_QUERIES):
+                        some = slice(to, to + TILE_QUERIES)
+                        sim = np.where(ids[some, None] == own[None, :], -np.inf, np.round(q[some] @ v.T, 6))
+                        sim, name = _best(sim, own, k)
+                        sim, name = _best(np.concatenate([top_sim[some], sim], axis=1), np.concatenate([top_id[some], name], axis=1), k)
+                        sims.append(sim)
+                        names.append(name)
+                    top_sim, top_id = np.concatenate(sims), np.concatenate(names)
+            out = pd.DataFrame({"query_id": np.repeat(ids, top_sim.shape[1]), "item_id": top_id.ravel(), "similarity": top_sim.ravel()})
+            yield out[np.isfinite(out["similarity"])]
 
         some = items.select("item_id", "embedding").mapInPandas(best, "query_id long, item_id long, similarity double")
         found = some if found is None else found.union(some)
@@ -65,16 +87,17 @@ def duplicate_items(items: DataFrame, threshold: float = 0.95, by: str = "user_i
     """by, a, b, similarity: pairs of an owner's items at the threshold or above (a < b).
 
     Owners are cut into blocks of BLOCK items, and each pair of an owner's blocks is one
-    group, so that an owner with a third of all items is spread over many tasks.
+    group, so that an owner with a third of all items is spread over many tasks.  A vector
+    is in one group for each block of its owner.  Rows that repeat an item count once.
     """
     sizes = items.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     rows = items.select(by, "item_id", "embedding").join(sizes, by).withColumn("p", F.pmod(F.xxhash64("item_id"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    rows = rows.withColumn("q", other).select(by, "item_id", "embedding", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p").distinct()
+    rows = rows.withColumn("q", other).select(by, "item_id", "embedding", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p")
     kind = items.schema[by].dataType.simpleString()
 
     def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item_id")
+        frame = frame.drop_duplicates("item_id").sort_values("item_id")
         left, right = frame[frame["p"] == key[1]], frame[frame["p"] == key[2]]
         sim = _unit(left["embedding"]) @ _unit(right["embedding"]).T if len(left) and len(right) else np.zeros((0, 0))
         x, y = np.nonzero(sim >= threshold)

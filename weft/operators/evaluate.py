@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.ranks import nearest_rank
+
 ATTRIBUTES = ["category", "color", "pattern", "style", "material"]
 BUCKETS = ["detector_missed_garment", "detector_found_something_in_a_non_garment", "wrong_category", "wrong_colour", "wrong_pattern", "wrong_style", "wrong_material", "abstained_on_a_garment", "over_confident", "under_confident", "crashed"]
-ADVICE = [
-    ("detector_found_something_in_a_non_garment", "Boxes on photos without a garment: raise the least score or the least area first."),
-    ("crashed", "Some photos raised an error; look for it in the log."),
-    ("detector_missed_garment", "Garments were missed: lower the least score, and see whether the quality gate turned them away."),
-    ("wrong_category", "Category errors: check how wide each coarse group is."),
-    ("wrong_colour", "Colour errors: check the palette's anchors and whether masks hold background."),
-    ("over_confident", "Confident wrong answers: lower that head's cap or tighten a rule."),
-    ("under_confident", "Right answers sent to review: the safe side; act only if the queue is a burden."),
-    ("abstained_on_a_garment", "Nothing was said of some garments: check the report floor and the caps."),
-]
+#: Buckets that call for advice, in the order in which it is given.
+ADVICE = ["detector_found_something_in_a_non_garment", "crashed", "detector_missed_garment", "wrong_category", "wrong_colour", "over_confident", "under_confident", "abstained_on_a_garment"]
+
+
+def join_results(annotations: DataFrame, results: DataFrame, files: DataFrame) -> DataFrame:
+    """A row for each annotation with its result, and `skipped`: why it takes no part (null for those that do).
+
+    annotations: id, file, split, no_clothing, truth_*; results: file, n_items, pred_*, confidence, latency_ms, attempts, error;
+    files: file, of the photos that are there.  An annotation of an absent photo is skipped, and so is one without a
+    result; one whose analysis ended in an error stays, as crashed.
+    """
+    there = files.select("file").distinct().withColumn("there", F.lit(True))
+    joined = annotations.join(there, "file", "left").join(results.withColumn("analysed", F.lit(True)), "file", "left")
+    reason = F.when(F.col("there").isNull(), "image not found").when(F.col("analysed").isNull(), "no result")
+    return joined.withColumn("skipped", reason).drop("there", "analysed")
 
 
 def outcomes(rows: DataFrame) -> DataFrame:
@@ -89,14 +96,8 @@ def honesty_rates(out: DataFrame) -> DataFrame:
 
 
 def latency(out: DataFrame) -> DataFrame:
-    """mean and nearest-rank p95 of scored photos: rows are counted by value first, so the running sum is over distinct values."""
-    values = out.where("outcome = 'scored'").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    ranked = values.withColumns({
-        "upto": F.sum("n").over(every.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(every),
-        "mean_ms": F.round(F.sum(F.col("latency_ms") * F.col("n")).over(every) / F.sum("n").over(every), 4),
-    })
-    return ranked.where(F.col("upto") > F.bround(0.95 * (F.col("total") - 1), 0)).groupBy("mean_ms").agg(F.min("latency_ms").alias("p95_ms"))
+    """mean_ms and nearest-rank p95_ms of scored photos."""
+    return nearest_rank(out.where("outcome = 'scored'"), "latency_ms", 0.95, [], "p95_ms", mean_ms=F.round(F.avg("latency_ms"), 4))
 
 
 def calibration(long: DataFrame, bins: int = 5) -> DataFrame:
@@ -138,9 +139,9 @@ def bucket_examples(bucketed: DataFrame, k: int = 25) -> DataFrame:
 
 
 def advice(counts: DataFrame) -> list[str]:
-    """Advice in a fixed order from the bucket counts (at most one row a bucket)."""
+    """Codes of the buckets that call for advice, in order, from the bucket counts (at most one row a bucket); wording is the caller's."""
     some = {r["bucket"] for r in counts.where("n > 0").collect()}
-    return [text for name, text in ADVICE if name in some] or ["No pattern of failures stands out; label more photos."]
+    return [name for name in ADVICE if name in some]
 
 
 def accuracy_rollup(long: DataFrame) -> DataFrame:

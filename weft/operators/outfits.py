@@ -28,6 +28,12 @@ def slot_conflicts(outfit_items: DataFrame) -> DataFrame:
     return outfit_items.groupBy("outfit_id", "slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def layer_order(outfit_items: DataFrame) -> DataFrame:
+    """outfit_id, slots: an outfit's slots from the innermost layer out; of equal layers by slot, a null layer counts as 0."""
+    order = F.struct(F.coalesce("layer_order", F.lit(0)).alias("layer"), F.col("slot").alias("slot"))
+    return outfit_items.groupBy("outfit_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["slot"]).alias("slots"))
+
+
 def outfits_per_item(outfit_items: DataFrame) -> DataFrame:
     return outfit_items.groupBy("item_id").agg(F.count_distinct("outfit_id").alias("n_outfits"))
 
@@ -40,16 +46,21 @@ def pair_harmony(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(a.isin(NEUTRAL_FAMILIES) | b.isin(NEUTRAL_FAMILIES), 0.8).when(clash, 0.0).otherwise(0.5)
 
 
+def mean_harmony(families: Column) -> Column:
+    """Mean harmony of the unordered pairs of an array of families; null for fewer than two."""
+    size = F.size(families)
+    later = lambda i: F.slice(families, i + 2, F.greatest(size - i - 1, F.lit(0)))
+    pairs = F.flatten(F.transform(families, lambda x, i: F.transform(later(i), lambda y: pair_harmony(x, y))))
+    return F.when(size > 1, F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / F.size(pairs))
+
+
 def color_harmony(outfit_items: DataFrame) -> DataFrame:
     """outfit_id, value: mean harmony of the unordered item pairs, made inside one row of families; null for one item.
 
     An outfit has at most one item a slot, so the array is short.
     """
     one = outfit_items.groupBy("outfit_id").agg(F.array_sort(F.collect_list("color_family")).alias("f"))
-    size = F.size("f")
-    later = lambda i: F.slice(F.col("f"), i + 2, F.greatest(size - i - 1, F.lit(0)))
-    pairs = F.flatten(F.transform("f", lambda x, i: F.transform(later(i), lambda y: pair_harmony(x, y))))
-    return one.select("outfit_id", F.when(size > 1, F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / F.size(pairs)).alias("value"))
+    return one.select("outfit_id", mean_harmony(F.col("f")).alias("value"))
 
 
 def style_compatibility(outfit_items: DataFrame) -> DataFrame:
@@ -84,6 +95,22 @@ def user_feedback(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("outfit_id").agg(F.coalesce(F.avg("rating") / 5, likes / F.nullif(likes + dislikes, F.lit(0))).alias("value"))
 
 
+def item_factors(outfit_items: DataFrame, liked: DataFrame, counters: DataFrame, as_of: str) -> DataFrame:
+    """outfit_id and five factors of the match score, each as its own function has it, in one grouping.
+
+    outfit_items: outfit_id, item_id, user_id, color, color_family, style, status; liked: user_id, color, preferred; counters: item_id, last_worn_at.
+    """
+    rows = outfit_items.join(liked.select("user_id", "color", "preferred"), ["user_id", "color"], "left").join(counters.select("item_id", "last_worn_at"), "item_id", "left")
+    days = F.datediff(F.to_date(F.lit(as_of)), F.to_date("last_worn_at"))
+    one = rows.groupBy("outfit_id").agg(
+        F.array_sort(F.collect_list("color_family")).alias("f"), F.collect_list(F.coalesce("style", F.lit(""))).alias("s"),
+        F.avg(F.when(F.col("preferred"), 1.0).when(~F.col("preferred"), 0.0).otherwise(0.5)).alias("personal_preference"),
+        F.avg(F.coalesce(F.least(F.lit(1.0), days / 14), F.lit(1.0))).alias("recent_usage"), F.avg((F.col("status") == "active").cast("double")).alias("wardrobe_availability"),
+    )
+    most = F.array_max(F.transform(F.array_distinct("s"), lambda x: F.size(F.filter("s", lambda y: y == x))))
+    return one.select("outfit_id", mean_harmony(F.col("f")).alias("color_harmony"), (most / F.size("s")).alias("style_compatibility"), "personal_preference", "recent_usage", "wardrobe_availability")
+
+
 def match_score(factors: DataFrame) -> DataFrame:
     """outfit_id, score 0..100 from long rows (outfit_id, factor, value in 0..1); missing factors drop out and the weights are scaled."""
     weights = F.create_map(*[F.lit(x) for item in FACTORS.items() for x in item])
@@ -99,12 +126,12 @@ def recommend(scored: DataFrame, now: str, min_score: int = 55, k: int = 12) ->
     return fit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def candidate_outfits(items: DataFrame, per_slot: int = 40) -> DataFrame:
-    """user_id, top, bottom, shoes: every combination of a user's `per_slot` first active items of each slot.
+def candidate_outfits(items: DataFrame, per_slot: int = 40, order: list[Column] | None = None) -> DataFrame:
+    """user_id, top, bottom, shoes: every combination of a user's `per_slot` first active items of each slot, in the caller's `order`, then by id.
 
     The number of items a slot is the feature's own limit: it bounds the product of one user.
     """
-    w = Window.partitionBy("user_id", "slot").orderBy("item_id")
+    w = Window.partitionBy("user_id", "slot").orderBy(*(order or []), "item_id")
     first = items.where((F.col("status") == "active") & F.col("slot").isin(REQUIRED)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_slot)
     parts = [first.where(F.col("slot") == s).select("user_id", F.col("item_id").alias(s)) for s in REQUIRED]
     return parts[0].join(parts[1], "user_id").join(parts[2], "user_id")

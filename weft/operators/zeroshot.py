@@ -38,6 +38,15 @@ def softmax_scores(items: DataFrame, labels: DataFrame, allowed: list[str] | Non
     return pairs.select("item_id", F.col("p.l.label").alias("label"), F.col("p.l.idx").alias("idx"), F.col("p.score").alias("score"))
 
 
+def active_heads(heads: DataFrame, active: list[str], colour: str = "color") -> tuple[DataFrame, DataFrame]:
+    """(reported heads, colour heads) of long rows with an `attribute`: those of active attributes alone.
+
+    Colour only corroborates the measured one, so it is kept apart; `subcategory` waits for a second pass.
+    """
+    own = heads.where(F.col("attribute").isin([a for a in active if a != "subcategory"]))
+    return own.where(F.col("attribute") != colour), own.where(F.col("attribute") == colour)
+
+
 def top_labels(scores: DataFrame, k: int = 3) -> DataFrame:
     """item_id, label, score, rank of the k best labels; ties by vocabulary order."""
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "idx")

@@ -42,9 +42,27 @@ def fallback_union(spark, d):
 
 
 def coarse_labels(spark, d):
-    known = F.create_map(*[F.lit(x) for k, v in (("0", "top"), ("1", "outer"), ("2", "bottom"), ("3", "dress"), ("4", "shoes")) for x in (k, v)])
-    label = F.lower(F.trim(F.concat(F.lit(" "), F.col("label_idx").cast("string"))))
-    return view(spark, d, "detections").groupBy(F.coalesce(F.try_element_at(known, label), F.lit("other")).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    label = F.concat(F.lit(" "), F.col("label_idx").cast("string"))
+    grp = detect.coarse_label(label, {"0": "top", "1": "outer", "2": "bottom", "3": "dress", "4": "shoes"})
+    return view(spark, d, "detections").groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def profile_detections(spark, d):
+    """Of each speed profile: the garments that its limits leave."""
+    boxes, out = view(spark, d, "detections"), None
+    for profile in detect.PROFILES:
+        rows = detect.filter_by_profile(boxes, profile, 0.3, 0.05, 0.9, 6).select(F.lit(profile).alias("profile"), "image_id", "det_no", F.col("position").cast("long").alias("position"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def active_heads(spark, d):
+    """Heads of active attributes: those that are reported, and the colour that corroborates."""
+    g, heads = view(spark, d, "garments"), ["category", "color", "pattern", "style", "material", "subcategory"]
+    told = {"color": F.col("zero_shot_color"), "subcategory": F.col("category")}
+    parts = F.array(*[F.struct(F.lit(a).alias("attribute"), told.get(a, F.col(a)).alias("label")) for a in heads])
+    reported, colour = zeroshot.active_heads(g.select("garment_id", F.explode(parts).alias("h")).select("garment_id", "h.*"), ["category", "color", "style", "subcategory"])
+    return reported.withColumn("role", F.lit("reported")).union(colour.withColumn("role", F.lit("corroborates"))).groupBy("role", "attribute", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mask_evidence(spark, d):
@@ -129,6 +147,11 @@ QUERIES = {
     fallback_union: """WITH p AS (SELECT * FROM detections WHERE score >= 0.7), s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_no) AS r FROM detections
         WHERE score < 0.7 AND (x2 - x1) * (y2 - y1) / (img_w * img_h) >= 0.08 AND image_id NOT IN (SELECT image_id FROM p))
       SELECT 'primary' AS source, count(*) AS boxes, count(DISTINCT image_id) AS photos FROM p UNION ALL SELECT 'fallback', count(*), count(DISTINCT image_id) FROM s WHERE r = 1""",
+    profile_detections: """WITH d AS (SELECT *, (x2 - x1) * (y2 - y1) AS a FROM detections), p AS (SELECT * FROM (VALUES ('standard', 0.3, 6), ('fast', 0.3, 4), ('thorough', 0.15, 8)) AS v(profile, least, most)),
+      r AS (SELECT p.profile, p.most, d.image_id, d.det_no, row_number() OVER (PARTITION BY p.profile, d.image_id ORDER BY a DESC, score DESC, x1, y1, det_no) AS position FROM d JOIN p ON d.score >= CAST(p.least AS DOUBLE) WHERE a / (img_w * img_h) BETWEEN 0.05 AND 0.9)
+      SELECT profile, image_id, det_no, position FROM r WHERE position <= most""",
+    active_heads: """SELECT 'reported' AS role, 'category' AS attribute, category AS label, count(*) AS n FROM garments GROUP BY 3 UNION ALL SELECT 'reported', 'style', style, count(*) FROM garments GROUP BY 3
+      UNION ALL SELECT 'corroborates', 'color', zero_shot_color, count(*) FROM garments GROUP BY 3""",
     coarse_labels: "SELECT CASE label_idx WHEN 0 THEN 'top' WHEN 1 THEN 'outer' WHEN 2 THEN 'bottom' WHEN 3 THEN 'dress' WHEN 4 THEN 'shoes' ELSE 'other' END AS grp, count(*) AS n FROM detections GROUP BY 1",
     mask_evidence: """SELECT garment_id, seg_quality < 0.08 OR seg_quality > 0.99 AS filled, round(CASE WHEN seg_quality < 0.08 OR seg_quality > 0.99 THEN 0.25
       ELSE greatest(0, least(1, 0.55 * least(1, detector_conf) + 0.30 * (1 - least(1, abs(seg_quality - 0.75) / 0.75)) + 0.15 * color_share)) END, 6) AS quality FROM garments""",

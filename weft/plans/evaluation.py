@@ -83,7 +83,40 @@ def calibration_error(spark, d):
 
 
 def color_confusion(spark, d):
-    return evaluate.confusion(_long(spark, d), "pattern")
+    return evaluate.confusion(_long(spark, d), "color")
+
+
+def _joined(spark, d):
+    """Annotations joined with results; made up: every 37th photo is gone, every 53rd has no result, every 41st analysis crashed."""
+    rows = view(spark, d, "eval_rows").withColumn("file", F.format_string("img-%d.png", "id"))
+    told = rows.select("id", "file", "split", "no_clothing", *[f"truth_{a}" for a in A])
+    crash = F.col("id") % 41 == 0
+    results = rows.where("id % 53 <> 0").select("file", "n_items", *[f"pred_{a}" for a in A], "confidence", "latency_ms", "attempts", F.when(crash, "RuntimeError: decode").alias("error"))
+    return evaluate.join_results(told, results, rows.where("id % 37 <> 0").select("file"))
+
+
+def joined_outcomes(spark, d):
+    out = evaluate.outcomes(_joined(spark, d).where("skipped is null"))
+    return out.groupBy("split", "outcome").agg(F.count(F.lit(1)).alias("n"), F.sum("n_items").alias("items"))
+
+
+def joined_metrics(spark, d):
+    return evaluate.detection_counts(evaluate.outcomes(_joined(spark, d).where("skipped is null")), ["split"])
+
+
+def skipped_annotations(spark, d):
+    return _joined(spark, d).where("skipped is not null").select("id", "skipped")
+
+
+def detection_metrics_by_label(spark, d):
+    labels = view(spark, d, "garments").select(F.col("garment_id").alias("id"), "coarse_label")
+    return evaluate.detection_counts(evaluate.outcomes(view(spark, d, "eval_rows").join(labels, "id")), ["coarse_label"])
+
+
+def accuracy_by_version(spark, d):
+    """Made up: three model versions, by photo."""
+    out = _out(spark, d).withColumn("split", F.format_string("v%d", F.col("id") % 3))
+    return evaluate.accuracy(evaluate.attribute_rows(out).withColumnRenamed("split", "version"), ["version"])
 
 
 def error_buckets(spark, d):
@@ -100,6 +133,7 @@ def accuracy_rollup(spark, d):
 
 _OUT = """out AS (SELECT *, CASE WHEN no_clothing AND n_items > 0 THEN 'negative_hit' WHEN no_clothing THEN 'negative_rejected' WHEN n_items = 0 THEN 'miss' ELSE 'scored' END AS outcome,
   CASE WHEN confidence >= 0.70 THEN 'accepted' WHEN confidence >= 0.45 THEN 'accepted_with_uncertainty' ELSE 'uncertain' END AS status FROM eval_rows)"""
+_JOINED = _OUT.replace("CASE WHEN no_clothing AND", "CASE WHEN id % 41 = 0 THEN 'crashed' WHEN no_clothing AND").replace("FROM eval_rows)", "FROM eval_rows WHERE id % 37 <> 0 AND id % 53 <> 0)")
 _LONG = _OUT + ",\nlng AS (" + " UNION ALL ".join(f"SELECT id, split, confidence, '{a}' AS attribute, truth_{a} AS truth, pred_{a} AS pred FROM out WHERE outcome = 'scored'" for a in A) + "),\nw AS (SELECT *, truth IS NOT NULL AS labelled, coalesce(truth = pred, false) AS correct FROM lng)"
 _DET = """count(*) AS images, count(*) FILTER (outcome = 'scored') AS tp, count(*) FILTER (outcome = 'miss') AS fn,
   CAST(sum(CASE outcome WHEN 'negative_hit' THEN n_items WHEN 'scored' THEN n_items - 1 ELSE 0 END) AS BIGINT) AS fp"""
@@ -140,7 +174,13 @@ QUERIES = {
       SELECT round(m, 4) AS mean_ms, latency_ms AS p95_ms FROM s WHERE k = round_even(0.95 * (n - 1), 0)""",
     calibration_bins: f"WITH {_CAL} SELECT bin, n, round(c, 6) AS confidence, round(a, 6) AS accuracy FROM cal",
     calibration_error: f"WITH {_CAL} SELECT round(sum(abs(c - a) * n) / sum(n), 4) AS calibration_error FROM cal",
-    color_confusion: f"WITH {_LONG} SELECT truth, coalesce(pred, '<withheld>') AS pred, count(*) AS n FROM w WHERE attribute = 'pattern' AND labelled GROUP BY 1, 2",
+    color_confusion: f"WITH {_LONG} SELECT truth, coalesce(pred, '<withheld>') AS pred, count(*) AS n FROM w WHERE attribute = 'color' AND labelled GROUP BY 1, 2",
+    joined_outcomes: f"WITH {_JOINED} SELECT split, outcome, count(*) AS n, CAST(sum(n_items) AS BIGINT) AS items FROM out GROUP BY 1, 2",
+    joined_metrics: f"WITH {_JOINED}, c AS (SELECT split, {_DET.replace("outcome = 'miss'", "outcome IN ('miss', 'crashed')")} FROM out GROUP BY split) SELECT split, {_DET2} FROM c",
+    skipped_annotations: "SELECT id, CASE WHEN id % 37 = 0 THEN 'image not found' ELSE 'no result' END AS skipped FROM eval_rows WHERE id % 37 = 0 OR id % 53 = 0",
+    detection_metrics_by_label: f"WITH {_OUT}, c AS (SELECT coarse_label, {_DET} FROM out JOIN garments g ON g.garment_id = out.id GROUP BY coarse_label) SELECT coarse_label, {_DET2} FROM c",
+    accuracy_by_version: f"""WITH {_LONG} SELECT 'v' || (id % 3) AS version, attribute, count(*) FILTER (labelled AND correct) AS correct, count(*) FILTER (labelled) AS total, count(*) FILTER (NOT labelled) AS unlabelled, count(*) FILTER (labelled AND pred IS NULL) AS withheld,
+      CASE WHEN count(*) FILTER (labelled) > 0 THEN round(count(*) FILTER (labelled AND correct) / count(*) FILTER (labelled), 4) ELSE 0 END AS accuracy FROM w GROUP BY 1, attribute""",
     error_buckets: f"WITH {_BUCKETS} SELECT bucket, count(*) AS n FROM bk GROUP BY 1",
     error_examples: f"WITH {_BUCKETS}, r AS (SELECT bucket, id, row_number() OVER (PARTITION BY bucket ORDER BY id) AS rank FROM bk) SELECT id, bucket, rank FROM r WHERE rank <= 25",
     accuracy_rollup: f"WITH {_LONG} SELECT split, attribute, count(*) AS total, count(*) FILTER (correct) AS correct FROM w WHERE labelled GROUP BY ROLLUP (split, attribute)",

@@ -49,17 +49,16 @@ def _liked(spark, d):
     return pairs.where("(user_id + length(color)) % 3 <> 0").withColumn("preferred", (F.col("user_id") + F.length("color")) % 3 == 1)
 
 
+def _wide(spark, d):
+    """All factors that the tables tell, one row an outfit: one join and one grouping of its items, and its feedback."""
+    told = O.item_factors(_worn(spark, d), _liked(spark, d), wear_counters(view(spark, d, "wear_events")), AS_OF).withColumn("worn", F.lit(True))
+    return told.join(O.user_feedback(_feedback(spark, d)).withColumnRenamed("value", "user_feedback").withColumn("rated", F.lit(True)), "outfit_id", "full")
+
+
 def _factors(spark, d):
-    worn = _worn(spark, d)
-    parts = {
-        "color_harmony": O.color_harmony(worn), "style_compatibility": O.style_compatibility(worn), "personal_preference": O.personal_preference(worn, _liked(spark, d)),
-        "recent_usage": O.recent_usage(worn, wear_counters(view(spark, d, "wear_events")), AS_OF), "wardrobe_availability": O.availability(worn), "user_feedback": O.user_feedback(_feedback(spark, d)),
-    }
-    out = None
-    for name, df in parts.items():
-        rows = df.select("outfit_id", F.lit(name).alias("factor"), F.col("value").cast("double").alias("value"))
-        out = rows if out is None else out.union(rows)
-    return out
+    part = lambda name, told: F.when(F.col(told), F.struct(F.lit(name).alias("factor"), F.col(name).cast("double").alias("value")))
+    parts = [*(part(n, "worn") for n in ("color_harmony", "style_compatibility", "personal_preference", "recent_usage", "wardrobe_availability")), part("user_feedback", "rated")]
+    return _wide(spark, d).select("outfit_id", F.explode(F.array_compact(F.array(*parts))).alias("p")).select("outfit_id", "p.*")
 
 
 def match_factors(spark, d):
@@ -77,7 +76,14 @@ def recommendations(spark, d):
 
 
 def candidate_outfits(spark, d):
-    return O.candidate_outfits(view(spark, d, "items"), 5)
+    """The operator's own limit, the cheapest items first; the combinations are many, so they are told by user and top."""
+    made = O.candidate_outfits(view(spark, d, "items"), order=[F.col("price")])
+    return made.groupBy("user_id", "top").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bottom").alias("bottoms"), F.sum("bottom").alias("bottom_sum"), F.count_distinct("shoes").alias("pairs"), F.sum("shoes").alias("shoe_sum"))
+
+
+def layers(spark, d):
+    rows = view(spark, d, "outfit_items").withColumn("layer_order", F.when(F.col("item_id") % 5 != 0, F.col("item_id") % 3))
+    return O.layer_order(rows).select("outfit_id", F.array_join("slots", ",").alias("slots"))
 
 
 def feedback_summary(spark, d):
@@ -145,8 +151,10 @@ QUERIES = {
     match_scores: f"WITH {_ALL} SELECT outfit_id, score FROM score",
     recommendations: f"""WITH {_ALL}, r AS (SELECT o.user_id, o.outfit_id, s.score, row_number() OVER (PARTITION BY o.user_id ORDER BY s.score DESC, o.outfit_id) AS rank FROM score s JOIN outfits o ON o.outfit_id = s.outfit_id
       WHERE s.score >= 55 AND CAST(o.created_at AS DATE) + 400 > TIMESTAMP '1997-01-01') SELECT * FROM r WHERE rank <= 12""",
-    candidate_outfits: """WITH f AS (SELECT user_id, item_id, slot, row_number() OVER (PARTITION BY user_id, slot ORDER BY item_id) AS r FROM items WHERE status = 'active' AND slot IN ('top', 'bottom', 'shoes'))
-      SELECT a.user_id, a.item_id AS top, b.item_id AS bottom, c.item_id AS shoes FROM f a JOIN f b ON a.user_id = b.user_id AND b.slot = 'bottom' AND b.r <= 5 JOIN f c ON a.user_id = c.user_id AND c.slot = 'shoes' AND c.r <= 5 WHERE a.slot = 'top' AND a.r <= 5""",
+    candidate_outfits: """WITH f AS (SELECT user_id, item_id, slot, row_number() OVER (PARTITION BY user_id, slot ORDER BY price, item_id) AS r FROM items WHERE status = 'active' AND slot IN ('top', 'bottom', 'shoes')),
+      p AS (SELECT * FROM f WHERE r <= 40), b AS (SELECT user_id, count(*) AS n, sum(item_id) AS s FROM p WHERE slot = 'bottom' GROUP BY 1), c AS (SELECT user_id, count(*) AS n, sum(item_id) AS s FROM p WHERE slot = 'shoes' GROUP BY 1)
+      SELECT p.user_id, p.item_id AS top, b.n * c.n AS n, b.n AS bottoms, CAST(b.s * c.n AS BIGINT) AS bottom_sum, c.n AS pairs, CAST(c.s * b.n AS BIGINT) AS shoe_sum FROM p JOIN b ON b.user_id = p.user_id JOIN c ON c.user_id = p.user_id WHERE p.slot = 'top'""",
+    layers: "SELECT outfit_id, string_agg(slot, ',' ORDER BY CASE WHEN item_id % 5 <> 0 THEN item_id % 3 ELSE 0 END, slot) AS slots FROM outfit_items GROUP BY 1",
     feedback_summary: f"WITH {_FB} SELECT outfit_id, count(*) FILTER (type = 'liked') AS liked, count(*) FILTER (type = 'disliked') AS disliked, count(*) FILTER (type = 'worn') AS worn, count(*) FILTER (type = 'rated') AS rated, round(avg(rating), 6) AS mean_rating FROM fb GROUP BY 1",
     wardrobe_gaps: """WITH i AS (SELECT * FROM items WHERE NOT (user_id % 4 = 0 AND slot = 'shoes')) SELECT u.user_id, s.slot FROM (SELECT DISTINCT user_id FROM i) u, (VALUES ('top'), ('bottom'), ('shoes')) s(slot)
       WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = u.user_id AND i.slot = s.slot AND i.status = 'active')""",

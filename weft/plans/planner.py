@@ -65,6 +65,11 @@ def usage_by_day(spark, d):
     return A.usage_by_day(view(spark, d, "ai_usage")).withColumn("day", F.col("day").cast("string"))
 
 
+def usage_latency_p95_by_day(spark, d):
+    calls = view(spark, d, "ai_usage").withColumn("day", F.to_date("created_at").cast("string"))
+    return A.latency_p95(calls, ["provider", "day"])
+
+
 def usage_latency_p95(spark, d):
     return A.latency_p95(view(spark, d, "ai_usage"))
 
@@ -95,6 +100,7 @@ QUERIES = {
     keyword_routes: "SELECT CASE WHEN contains(lower(text), 'the') THEN 'the' WHEN contains(lower(text), 'der') THEN 'der' WHEN contains(lower(text), 'que') THEN 'que' WHEN contains(lower(text), 'les') THEN 'les' ELSE 'fallback' END AS route, count(*) AS n FROM interactions WHERE role = 'user' GROUP BY 1",
     usage_report: "SELECT endpoint, provider, count(*) AS calls, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 4) AS success_rate, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 5) AS cost, round(avg(latency_ms), 3) AS mean_ms FROM ai_usage GROUP BY ROLLUP (endpoint, provider)",
     usage_by_day: "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, endpoint, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens FROM ai_usage GROUP BY 1, 2",
+    usage_latency_p95_by_day: "WITH r AS (SELECT provider, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, latency_ms, row_number() OVER (PARTITION BY provider, CAST(created_at AS DATE) ORDER BY latency_ms) - 1 AS k, count(*) OVER (PARTITION BY provider, CAST(created_at AS DATE)) AS n FROM ai_usage) SELECT provider, day, latency_ms AS p95_ms FROM r WHERE k = round_even(0.95 * (n - 1), 0)",
     usage_latency_p95: "WITH r AS (SELECT endpoint, latency_ms, row_number() OVER (PARTITION BY endpoint ORDER BY latency_ms) - 1 AS k, count(*) OVER (PARTITION BY endpoint) AS n FROM ai_usage) SELECT endpoint, latency_ms AS p95_ms FROM r WHERE k = round_even(0.95 * (n - 1), 0)",
     unread_notifications: f"SELECT user_id % 50 AS user_id, count(*) AS unread, count(*) FILTER (event_id % 4 = 0 OR ts <= TIMESTAMP '{NOW}') AS due FROM events WHERE event_id % 3 <> 0 GROUP BY 1",
     identity_keys: "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(c_name || '@example.com') WHEN 1 THEN '490' || c_custkey ELSE substr(sha256('apple:' || c_name), 1, 20) END AS key FROM customer",

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.rules import Rule
 from weft.functions.text import MAX_UPLOAD, upload_verdict
 from weft.schemas import ANALYSIS, ANNOTATIONS, IMAGE
 
@@ -26,6 +27,35 @@ def write_annotations(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
+def write_annotation_document(df: DataFrame, path: str, version: int = 1) -> None:
+    """An annotation set as the one document that read_annotations() reads; for a set of at most MAX_REPORT_ROWS images (larger ones as lines)."""
+    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).limit(MAX_REPORT_ROWS + 1).collect()]
+    if len(rows) > MAX_REPORT_ROWS:
+        raise ValueError("an annotation document has few images; write this set as lines")
+    text = json.dumps({"version": version, "images": rows}, ensure_ascii=False, indent=2)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """vocabulary() of a JSON file: {"attributes": {name: {"labels": [{"value", "prompt", "group"}], "confidence_cap", "enabled"}}}; attributes that are not enabled are left out."""
+    payload = json.loads(_whole_text(spark, path))
+    entries = {}
+    for name, spec in payload.get("attributes", {}).items():
+        if spec.get("enabled", True) or name in REQUIRED_ATTRIBUTES:
+            entries[name] = [{"label": x["value"], "prompt": x.get("prompt"), "group": x.get("group", "other"), "cap": spec.get("confidence_cap", 1.0)} for x in spec.get("labels", [])]
+    return vocabulary(spark, entries)
+
+
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Consistency rules of a JSON file: {"rules": [{"code", "severity", "penalty", "when", "require", "message"}]}, in order."""
+    return [Rule(x["code"], x.get("severity", "error"), float(x.get("penalty", 0.1)), x.get("when") or {}, x.get("require") or {}, x.get("message", "")) for x in json.loads(_whole_text(spark, path)).get("rules", [])]
+
+
+def _whole_text(spark: SparkSession, path: str) -> str:
+    """A small configuration file, by any path that Spark reads."""
+    return spark.read.option("wholetext", True).text(path).first()[0].removeprefix("\ufeff")
+
+
 def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:
     """What write_annotations() wrote."""
     return spark.read.schema(IMAGE).json(path)
@@ -69,9 +99,9 @@ def vocabulary(spark: SparkSession, entries: dict[str, list[dict]]) -> DataFrame
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A small report as one JSON file; larger tables go to Parquet."""
+    """A small report as one JSON document in the folder `path`, by any path that Spark writes; larger tables go to Parquet."""
     rows = [json.loads(r[0]) for r in report.select(F.to_json(F.struct("*"))).limit(MAX_REPORT_ROWS + 1).collect()]
     if len(rows) > MAX_REPORT_ROWS:
         raise ValueError("a report has few rows; write this table as Parquet")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=1)
+    text = json.dumps(rows, ensure_ascii=False, indent=1)
+    report.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
