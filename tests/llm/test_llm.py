@@ -200,6 +200,7 @@ def test_near_duplicates_odd_rows(spark):
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_keep_one_goes_by_rows(spark, monkeypatch, limit):
     monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "BROADCAST_WIDE", limit)
     x, y, near = "a b c d e f g h i j k l m n o p q r s t", "totally other words stand here and there now", "a b c d e f g h i j k l m n o p q r s u"
     df = spark.createDataFrame([(3, x), (7, x), (7, y), (None, x), (None, x), (9, near), (5, None), (5, None), (6, "")], "doc_id long, text string").withColumns({"row_number": F.lit("mine"), "a.b": F.lit(1)})
     got = neardup.keep_one(df)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.common import arrow_map
+
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
 _ESCAPED = re.compile(r"<\\(\\*)\|(im_start|im_end)\|>")
@@ -98,7 +100,7 @@ def format_turns(conversations: DataFrame, loss_role: str = "assistant") -> Data
             )
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long")
+    return arrow_map(rows, run, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
@@ -134,4 +136,4 @@ def read_back(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done), kinds)], names)
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "loss_start", "loss_end")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow_map(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

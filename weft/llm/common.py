@@ -13,11 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes that a memo of a worker may hold, and bytes of text in one slice of a batch.
 MEMO_BYTES, SLICE_BYTES = 16_000_000, 1_000_000
-#: Rows of a list that is broadcast; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 250_000
+#: Rows of a list of numbers, and of wider rows, that is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_WIDE = 500_000, 50_000
+#: Rows of a batch that Spark hands to a Python task.
+ARROW_ROWS = 512
 
 
 @cache
@@ -57,9 +60,20 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_enough(rows: DataFrame, limit: int | None = None) -> DataFrame:
+def small_enough(rows: DataFrame, wide: bool = True) -> DataFrame:
     """`rows` (stored), marked for broadcast if there are few; joins give the same either way."""
-    return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if limit is None else limit) else rows
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_WIDE if wide else BROADCAST_ROWS) else rows
+
+
+def arrow_map(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """rows.mapInArrow(run, schema), with Arrow batches of at most ARROW_ROWS rows in this session from now on.
+
+    Long texts in Spark's usual batches of 10,000 fill memory outside the heap, in the executor and its Python workers alike.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, ARROW_ROWS)
+    return rows.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructType
 
-from weft.llm.common import any_names, byte_texts, free_name, small_batches
+from weft.llm.common import any_names, arrow_map, byte_texts, free_name, small_batches
 
 SEED_WORDS, MIN_SCORE, BLOCK_WORDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -211,7 +211,7 @@ def _with_leaks(docs: DataFrame, text_col: str, block: list[tuple[object, bytes]
             kept = [c for c in batch.schema.names if c != name]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(leaks, arrow)], [*kept, name])
 
-    return docs.mapInArrow(run, StructType([f for f in docs.schema.fields if f.name != name]).add(name, kind))
+    return arrow_map(docs, run, StructType([f for f in docs.schema.fields if f.name != name]).add(name, kind))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import byte_texts, hash_mod, small_batches
+from weft.llm.common import arrow_map, byte_texts, hash_mod, small_batches
 
 DIMS, TRAIN_ROWS, TRAIN_TOTAL, STEPS, RIDGE = 2048, 600, 12_000, 150, 0.01
 HELD_OUT = (4, 2)
@@ -65,7 +65,7 @@ def _features(rows: DataFrame) -> DataFrame:
             x = [ngram_shares(t) if has_letter(t) else np.zeros(DIMS) for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * DIMS), pa.array(np.concatenate(x).astype(np.float32)))], ["lang", "x"])
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, x array<float>")
+    return arrow_map(rows.select("lang", "text"), run, "lang string, x array<float>")
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -160,4 +160,4 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).alias("id"), (hash_mod(F.col(id_col), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return arrow_map(rows, run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

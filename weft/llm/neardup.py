@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import any_names, byte_texts, free_name, scratch, small_batches, small_enough, stored
+from weft.llm.common import any_names, arrow_map, byte_texts, free_name, scratch, small_batches, small_enough, stored
 from weft.llm.words import Words, mixed
 
 BINS, ROWS = 240, 5
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("row_id", "doc_id", "text").mapInArrow(run, f"row_id long, doc_id {kind}, set_key binary, n_shingles long, bands array<long>")
+    return arrow_map(docs.select("row_id", "doc_id", "text"), run, f"row_id long, doc_id {kind}, set_key binary, n_shingles long, bands array<long>")
 
 
 def full_sets(texts: DataFrame, width: int = 5) -> DataFrame:
@@ -110,7 +110,7 @@ def full_sets(texts: DataFrame, width: int = 5) -> DataFrame:
                 ["set_key", "n", "members"],
             )
 
-    return texts.select("text").mapInArrow(run, "set_key binary, n long, members array<long>")
+    return arrow_map(texts.select("text"), run, "set_key binary, n long, members array<long>")
 
 
 def linked(n_a, n_b, shared, percent: int):
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         buckets = rows.groupBy("bucket").agg(F.min("set_key").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
         members = keep(rows.join(buckets, "bucket").select("bucket", "set_key", "centre"))
         wanted = keep(members.select("set_key").distinct().join(nodes.select("set_key", "row_id"), "set_key"))
-        texts = source.join(small_enough(wanted).select("row_id"), "row_id", "left_semi")
+        texts = source.join(small_enough(wanted.select("row_id"), wide=False), "row_id", "left_semi")
         sets = keep(full_sets(texts, width).join(wanted.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]))
 
         stars = members.where("set_key <> centre").groupBy("set_key", "centre").count()
@@ -209,7 +209,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()))
     rows = numbered.select(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(key).alias("c")).alias("doc_id"), "text")
     gone = stored(near_duplicates(rows, width, percent).where("not kept").select(F.col("doc_id")["c"].alias(key)))
-    return numbered.join(small_enough(gone), key, "left_anti").drop(key)
+    return numbered.join(small_enough(gone, wide=False), key, "left_anti").drop(key)
 
 
 def _links_of_rest(members: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import small_batches, stored
+from weft.llm.common import arrow_map, small_batches, stored
 from weft.llm.tokens import TextEncoder, load_vocabulary
 
 #: Pieces that the sum-of-squares rule places one by one, for each level of the plan.
@@ -58,7 +58,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(rows, run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_unit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

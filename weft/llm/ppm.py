@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from weft.llm.common import byte_texts, hash_mod, scratch, small_batches, stored
+from weft.llm.common import arrow_map, byte_texts, hash_mod, scratch, small_batches, stored
 
 ORDER, HOT_TOKENS = 5, 100_000
 HELD_OUT = (10, 0)
@@ -75,7 +75,7 @@ def chunked(rows: DataFrame) -> DataFrame:
                 place, size = place + 1, size + len(text) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in zip(*of))], [*batch.schema.names, "chunk", "place"])
 
-    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("chunk", LongType()).add("place", LongType()))
+    return arrow_map(rows, run, StructType(list(rows.schema.fields)).add("chunk", LongType()).add("place", LongType()))
 
 
 def _merged(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def pair_counts(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["pair", "n"])
 
     found = np.zeros(1 << 16, np.int64)
-    for r in rows.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+    for r in arrow_map(rows.select("text"), run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         found[r["pair"]] = r["n"]
     return found.reshape(256, 256)
 
@@ -153,7 +153,7 @@ def chunk_grams(rows: DataFrame) -> DataFrame:
         if now is not None:
             yield chunk_out()
 
-    return rows.select("chunk", "held_out", "text").mapInArrow(run, "last int, chunk long, tails binary, counts binary")
+    return arrow_map(rows.select("chunk", "held_out", "text"), run, "last int, chunk long, tails binary, counts binary")
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +237,7 @@ def gram_scores(asked: DataFrame, low: np.ndarray) -> DataFrame:
         if parts:
             yield from scores_out()
 
-    return asked.repartition("last").sortWithinPartitions("last").mapInArrow(run, "last int, chunk long, tails binary, scores binary")
+    return arrow_map(asked.repartition("last").sortWithinPartitions("last"), run, "last int, chunk long, tails binary, scores binary")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
         if tokens:
             yield tokens_out()
 
-    return rows.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return arrow_map(rows.select("text"), run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -324,7 +324,7 @@ def _scored(docs: DataFrame, id_col: str, text_col: str, keep: Callable[[DataFra
         return pa.Table.from_batches(done, kinds)
 
     kind = rows.schema["id"].dataType
-    types = StructType().add("chunk", "long").add("place", "long").add("id", kind).add("held_out", "boolean").add("n_tokens", "long").add("n_hot", "long").add("hot_sum", "double").add("late", "array<binary>").add("score", "double")
+    types = StructType().add("chunk", "long").add("place", "long").add("id", kind).add("held_out", "boolean").add("n_tokens", "long").add("n_hot", "long").add("hot_sum", "double").add("late", ArrayType(BinaryType())).add("score", "double")
     kinds = to_arrow_schema(types)
     paired = rows.groupBy("chunk").cogroup(values.groupBy("chunk"))
     scored = keep(paired.applyInArrow(run, types))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from weft.llm.common import any_names, byte_texts, free_name, small_batches
+from weft.llm.common import any_names, arrow_map, byte_texts, free_name, small_batches
 from weft.llm.textstats import CLASSES, COUNTS, measure
 from weft.llm.words import Words
 
@@ -102,7 +102,7 @@ def _common_words(docs: DataFrame) -> DataFrame:
                 size = 0
         yield from counts_out()
 
-    held = docs.mapInArrow(run, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HELD)
+    held = arrow_map(docs, run, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_HELD)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     first = held.withColumn("place", place).where(F.col("place") <= COMMON_OF_LANGUAGE)
     return first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).getField("word").alias("words"))
@@ -125,7 +125,7 @@ def _histograms(docs: DataFrame, refs: References) -> DataFrame:
         sums = np.concatenate([classes_sum, refs.own_words(common_sum)[np.arange(len(row)), np.arange(len(row))]], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(refs.langs, sums.shape[1])), pa.array(np.tile(np.arange(sums.shape[1]), len(row))), pa.array(sums.ravel())], ["lang", "k", "n"])
 
-    return docs.where(F.col("lang").isin(refs.langs)).mapInArrow(run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.where(F.col("lang").isin(refs.langs)), run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
 
 def language_references(docs: DataFrame) -> list[References]:
@@ -182,7 +182,7 @@ def _measured(docs: DataFrame, refs: References | None, keep: list[str], text_co
             arrays = [*map(pa.array, counts.T), *(pa.array(x, from_pandas=True) for x in far.T)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.StructArray.from_arrays(arrays, MEASURED.names)], [*keep, name])
 
-    return docs.mapInArrow(run, StructType([docs.schema[c] for c in keep]).add(name, MEASURED))
+    return arrow_map(docs, run, StructType([docs.schema[c] for c in keep]).add(name, MEASURED))
 
 
 def _chance(classes: int, n: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from weft.llm.common import byte_texts, small_batches
+from weft.llm.common import arrow_map, byte_texts, small_batches
 from weft.llm.words import Words, normal_hash
 
 #: Function words of the languages a crawl holds most (fixed values), one line a language: a feature of the quality classifier.
@@ -127,4 +127,4 @@ def text_stats(docs: DataFrame, keep: list[str] | None = None, text_col: str = "
             found = measure([*byte_texts(batch.column(text_col))], COMMON_HASHES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats_array(*found)], [*keep, name])
 
-    return docs.mapInArrow(run, StructType([docs.schema[c] for c in keep]).add(name, STATS))
+    return arrow_map(docs, run, StructType([docs.schema[c] for c in keep]).add(name, STATS))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weft.llm.common import MEMO_BYTES, Memo, small_batches
+from weft.llm.common import MEMO_BYTES, Memo, arrow_map, small_batches
 
 #: White space to `str.split()`, but not to the tokenizer (fixed values).
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -148,5 +148,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    counted = arrow_map(rows, run, f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
