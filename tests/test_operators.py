@@ -1,10 +1,15 @@
 """Operators on a few literal rows."""
 
+import json
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import checks, detect, embed, evaluate, garments, images, outfits, planner, stages, wardrobe
+from weft.functions import geometry
+from weft.operators import assistant, checks, detect, embed, evaluate, garments, images, outfits, planner, ranks, stages, wardrobe, zeroshot
 from weft.sources import io
 from weft.streaming import streams
 
@@ -196,3 +201,102 @@ def test_streams(spark, tmp_path):
     q = streams.unique_results(results).writeStream.outputMode("append").format("memory").queryName("intake").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("intake").count() == 1
+
+
+def test_annotations_join_results(spark):
+    told = [(str(i), f"{i}.png", "val", i == 4, *["dress", None, None, None, None]) for i in range(6)]
+    annotations = spark.createDataFrame(told, "id string, file string, split string, no_clothing boolean, " + ", ".join(f"truth_{a} string" for a in evaluate.ATTRIBUTES))
+    found = [(f"{i}.png", 1, *["dress", None, None, None, None], 0.8, 40.0, 1, "ValueError: x" if i == 2 else None) for i in range(5)]
+    results = spark.createDataFrame(found, "file string, n_items int, " + ", ".join(f"pred_{a} string" for a in evaluate.ATTRIBUTES) + ", confidence double, latency_ms double, attempts int, error string")
+    files = annotations.select("file").where("id <> '1'")
+    joined = evaluate.join_results(annotations, results, files.union(files))
+    assert {r["id"]: r["skipped"] for r in joined.collect()} == {"0": None, "1": "image not found", "2": None, "3": None, "4": None, "5": "no result"}
+    out = evaluate.outcomes(joined.where("skipped is null"))
+    assert {r["id"]: r["outcome"] for r in out.collect()} == {"0": "scored", "2": "crashed", "3": "scored", "4": "negative_hit"}
+    assert evaluate.detection_counts(out).first()[:4] == (4, 2, 1, 1)
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 40])
+def test_nearest_rank_equals_sorting(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g, n in ((1, 1), (2, 2), (3, 11), (4, 700), (5, 1200)) for v in (rng.exponential(size=n) if g != 5 else rng.integers(0, 9, n))] + [(6, None), (4, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for share in (0.0, 0.5, 0.95, 1.0):
+        own = lambda values: sorted(values)[round(share * (len(values) - 1))]
+        got = {r["g"]: r["p"] for r in ranks.nearest_rank(df, "v", share, ["g"], "p").collect()}
+        assert got == {g: own([v for h, v in rows if h == g and v is not None]) for g in range(1, 6)}
+        assert ranks.nearest_rank(df, "v", share, [], "p").first()["p"] == own([v for _, v in rows if v is not None])
+    assert ranks.nearest_rank(df.where("g = 6"), "v", 0.5, ["g"], "p").count() == 0
+
+
+def test_similar_items_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embed, "TILE_QUERIES", 5)
+    monkeypatch.setattr(embed, "TILE_ITEMS", 7)
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(60, 4)), 1)
+    v[30:40] = v[:10]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item_id long, embedding array<float>")
+    got = {}
+    for r in embed.similar_items(df.where("item_id % 3 = 0"), df, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    u = v.astype(np.float32).astype(float)
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-8)
+    sim = np.round(u @ u.T, 6)
+    assert got == {q: sorted((i for i in range(60) if i != q), key=lambda i: (-sim[q, i], i))[:4] for q in range(0, 60, 3)}
+
+
+def test_clusters(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 0.01 + np.eye(3)[i % 3]]) for i in range(30)]
+    got = {r["item_id"]: r["cluster"] for r in embed.cluster_items(spark.createDataFrame(rows, "item_id int, embedding array<float>"), 3).collect()}
+    assert len(got) == 30 and {frozenset(i for i in got if got[i] == c) for c in set(got.values())} == {frozenset(range(k, 30, 3)) for k in range(3)}
+
+
+def test_heads_profiles_labels_layers(spark):
+    heads = spark.createDataFrame([(1, "category"), (1, "color"), (1, "style"), (1, "subcategory")], "id int, attribute string")
+    told, colour = zeroshot.active_heads(heads, ["category", "color", "subcategory"])
+    assert [r["attribute"] for r in told.collect()] == ["category"] and colour.count() == 1
+    assert detect.profile_limits("fast", 0.3, 6) == (0.3, 4) and detect.profile_limits("thorough", 0.2, 6) == (0.15, 8) and detect.profile_limits("standard", 0.3, 6) == (0.3, 6)
+    labels = spark.createDataFrame([(" Shirt",), ("x",), (None,)], "l string").select(detect.coarse_label(F.col("l"), {"shirt": "top"}).alias("g"))
+    assert [r["g"] for r in labels.collect()] == ["top", "other", "other"]
+    worn = spark.createDataFrame([(1, "outer", 2), (1, "top", None), (1, "shoes", 0)], "outfit_id int, slot string, layer_order int")
+    assert outfits.layer_order(worn).first()["slots"] == ["shoes", "top", "outer"]
+    box = [F.lit(2), F.lit(4), F.lit(10), F.lit(12)]
+    rows = spark.range(1).select(*[geometry.mask_row_in_crop(F.lit(y), box, F.lit(50), F.lit(100)).alias(f"y{y}") for y in (0, 7, 95)]).first()
+    assert tuple(rows) == (2, 5, 49)
+
+
+def test_conversation_rollup_with_latency(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", 3, 10.0), (1, 1, "assistant", None, 5, 30.0)], "conv_id int, turn int, role string, text string, tokens int, latency_ms double")
+    r = assistant.conversation_rollup(rows).first()
+    assert (r["tokens"], r["mean_ms"], r["last_role"], r["last_text"]) == (8, 20.0, "assistant", None)
+    assert "tokens" not in assistant.conversation_rollup(rows.drop("tokens")).columns
+
+
+def test_configuration_files_and_sinks(spark, tmp_path):
+    names = ["category", "material", "pattern", "style"]
+    spec = {"attributes": {n: {"labels": [{"value": f"{n}1", "prompt": "a photo", "group": "top"}], "confidence_cap": 0.6} for n in names} | {"season": {"enabled": False, "labels": []}}}
+    (tmp_path / "v.json").write_text(json.dumps(spec, indent=1))
+    words = io.read_vocabulary(spark, str(tmp_path / "v.json"))
+    assert words.count() == 4 and words.where("attribute = 'style'").first()["cap"] == 0.6
+    (tmp_path / "r.json").write_text(json.dumps({"rules": [{"code": "x", "when": {"material_in": ["silk"]}, "message": "no `{material}`"}]}))
+    rule = io.read_rules(spark, str(tmp_path / "r.json"))[0]
+    assert (rule.code, rule.severity, rule.penalty, rule.require) == ("x", "error", 0.1, {})
+    (tmp_path / "a.json").write_text('{"version": 1, "images": [{"id": "x", "file": "x.png", "expected": {"category": "dress", "color": null}}]}')
+    first = io.read_annotations(spark, str(tmp_path / "a.json"))
+    io.write_annotation_document(first, str(tmp_path / "doc"))
+    assert io.read_annotations(spark, str(tmp_path / "doc")).collect() == first.collect()
+    io.write_report(spark.createDataFrame([("a", 1), ("é", None)], "k string, n int"), str(tmp_path / "report"))
+    assert json.loads(spark.read.text(str(tmp_path / "report"), wholetext=True).first()[0]) == [{"k": "a", "n": 1}, {"k": "é"}]
+
+
+def test_read_images(spark, tmp_path):
+    raw = b"\x89PNG\r\n\x1a\n"
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw += chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" + bytes([255, 0, 0, 0, 0, 255]))) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(raw)
+    r = io.read_images(spark, str(tmp_path)).first()
+    assert (r["width"], r["height"], bytes(r["data"])) == (2, 1, bytes([0, 0, 255, 255, 0, 0]))
+    stored = io.admit_uploads(io.read_images(spark, str(tmp_path), decode=False)).first()
+    assert stored["admission"] == "ok" and bytes(stored["content"]) == raw

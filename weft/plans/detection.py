@@ -51,7 +51,7 @@ def profile_detections(spark, d):
     """Of each speed profile: the garments that its limits leave."""
     boxes, out = view(spark, d, "detections"), None
     for profile in detect.PROFILES:
-        rows = detect.filter_by_profile(boxes, profile, 0.3, 0.05, 0.9, 6).select(F.lit(profile).alias("profile"), "image_id", "det_no", F.col("position").cast("long").alias("position"))
+        rows = detect.filter_by_profile(boxes, profile, 0.3, 0.05, 0.9, 6).select(F.lit(profile).alias("profile"), "image_id", F.col("det_no").cast("long").alias("det_no"), F.col("position").cast("long").alias("position"))
         out = rows if out is None else out.union(rows)
     return out
 

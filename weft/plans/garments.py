@@ -74,7 +74,8 @@ def rule_hit_counts(spark, d):
 
 
 def rule_messages(spark, d):
-    return _judged(spark, d).select("garment_id", F.explode("fired").alias("f")).where("f.code in ('category_outside_detected_group', 'leather_requires_outerwear_or_shoes', 'color_contrast_impossible')").select("garment_id", "f.code", "f.detail")
+    """Every message of every rule that fires."""
+    return _judged(spark, d).select("garment_id", F.explode("fired").alias("f")).select("garment_id", "f.code", "f.detail")
 
 
 def color_source_agreement(spark, d):
@@ -166,14 +167,46 @@ i AS (SELECT garment_id, list_filter([
 _FLAGS = "concat_ws(',', " + ", ".join(f"CASE WHEN r{k} THEN '{c}' END" for k, c in enumerate(["silk_must_be_lightweight", "denim_implies_bottom_or_outer", "leather_requires_outerwear_or_shoes", "knit_requires_soft_category", "no_sportswear_material_on_formal_category", "color_source_disagreement", "color_contrast_impossible", "pattern_on_flat_colour", "category_outside_detected_group", "occluded_garment"], 1)) + ")"
 _HITS = " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, count(*) AS n FROM fired WHERE r{k} HAVING count(*) > 0" for k, (c, s) in enumerate([("silk_must_be_lightweight", "error"), ("denim_implies_bottom_or_outer", "error"), ("leather_requires_outerwear_or_shoes", "error"), ("knit_requires_soft_category", "error"), ("no_sportswear_material_on_formal_category", "advisory"), ("color_source_disagreement", "error"), ("color_contrast_impossible", "error"), ("pattern_on_flat_colour", "advisory"), ("category_outside_detected_group", "error"), ("occluded_garment", "error")], 1))
 
+#: Code and message of each rule, in order, as SQL.
+MESSAGES = [
+    ("silk_must_be_lightweight", "'material `silk` is implausible for category `' || category || '`'"),
+    ("denim_implies_bottom_or_outer", "'material `denim` does not match category `' || category || '`'"),
+    ("leather_requires_outerwear_or_shoes", "'material `' || material || '` does not match category `' || category || '`'"),
+    ("knit_requires_soft_category", "'material `knit` does not match category `' || category || '`'"),
+    ("no_sportswear_material_on_formal_category", "'performance material `' || material || '` on category `' || category || '`'"),
+    ("color_source_disagreement", "'zero-shot colour `' || zero_shot_color || '` disagrees with measured colour `' || color || '`'"),
+    ("color_contrast_impossible", "'colours `{primary}` and `{secondary}` are implausible together'"),
+    ("pattern_on_flat_colour", "'pattern `' || pattern || '` on an almost single-colour measurement'"),
+    ("category_outside_detected_group", "'category `' || category || '` contradicts the detected `' || coarse_label || '`'"),
+    ("occluded_garment", "'segmentation fell back to the bounding box; colour may include background'"),
+]
+
+
+def _lab_sql(r, g, b):
+    """l, a, b of sRGB columns as SQL expressions, from the fixed values of the library."""
+    lin = [f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN pow(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) ELSE {c} / 255.0::DOUBLE / 12.92 END" for c in (r, g, b)]
+    xyz = ["((" + " + ".join(f"({v}) * {w}::DOUBLE" for v, w in zip(lin, row)) + f") / {row[3]}::DOUBLE)" for row in color._XYZ]
+    f = [f"CASE WHEN {t} > 0.008856 THEN pow({t}, 1::DOUBLE / 3) ELSE 7.787 * {t} + 16::DOUBLE / 116 END" for t in xyz]
+    light = f"CASE WHEN {xyz[1]} > 0.008856 THEN 116 * ({f[1]}) - 16 ELSE 903.3 * {xyz[1]} END"
+    return f"round_even(({light}) * 255 / 100, 0)", f"round_even(500 * (({f[0]}) - ({f[1]})), 0)", f"round_even(200 * (({f[1]}) - ({f[2]})), 0)"
+
+
+_ANCHORS = ", ".join(f"({i}, '{n}', '{fam}', '{band}', {', '.join(map(str, color._lab_of(h)))})" for i, (n, h, fam, band) in enumerate(color.PALETTE))
+_L, _A, _B = _lab_sql("r", "g", "b")
+NAMING = f"""WITH px AS (SELECT DISTINCT CAST(garment_id % 256 AS INT) AS r, CAST(garment_id * 7 % 256 AS INT) AS g, CAST(garment_id * 13 % 256 AS INT) AS b FROM garments),
+  lab AS (SELECT r, g, b, {_L} AS l, {_A} AS a, {_B} AS bb FROM px),
+  anchor AS (SELECT * FROM (VALUES {_ANCHORS}) AS v(i, name, family, band, l, a, b)),
+  near AS (SELECT p.r, p.g, p.b, n.i, n.name, n.family, sqrt(pow(n.a - p.a, 2) + pow(n.b - p.bb, 2) + pow(n.l - p.l, 2)) AS d FROM lab p JOIN anchor n
+    ON n.band = 'any' OR n.band = CASE WHEN p.l > {color.LIGHT_ABOVE} THEN 'light' WHEN p.l < {color.DARK_BELOW} THEN 'dark' ELSE 'any' END),
+  best AS (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY d, i) AS k FROM near)
+  SELECT name, family, count(*) AS n, round(max(d), 3) AS farthest FROM best WHERE k = 1 GROUP BY 1, 2"""
+
 QUERIES = {
     garment_status_report: f"WITH {JUDGED} SELECT status, count(*) AS n, round(avg(confidence), 4) AS mean_confidence, round(avg(CASE WHEN status = 'uncertain' OR NOT consistent THEN 1 ELSE 0 END), 4) AS review_share FROM judged GROUP BY status",
     garment_confidence: f"WITH {JUDGED} SELECT garment_id, round(color_conf, 6) AS color_conf, round(CAST(penalty AS DOUBLE), 6) AS penalty, consistent, round(confidence, 6) AS confidence, status, status = 'uncertain' OR NOT consistent AS needs_review, {_FLAGS} AS flags FROM judged",
     garment_review_reasons: f"WITH {JUDGED} SELECT garment_id, array_to_string(list_sort(list_filter(string_split({_FLAGS} || CASE WHEN seg_missing OR seg_filled THEN ',color_measured_without_mask' ELSE '' END, ','), lambda x: x <> '')), ',') AS reasons FROM judged WHERE status = 'uncertain' OR NOT consistent",
     rule_hit_counts: f"WITH {JUDGED} {_HITS}",
-    rule_messages: f"""WITH {JUDGED} SELECT garment_id, 'leather_requires_outerwear_or_shoes' AS code, 'material `' || material || '` does not match category `' || category || '`' AS detail FROM fired WHERE r3
-      UNION ALL SELECT garment_id, 'color_contrast_impossible', 'colours `{{primary}}` and `{{secondary}}` are implausible together' FROM fired WHERE r7
-      UNION ALL SELECT garment_id, 'category_outside_detected_group', 'category `' || category || '` contradicts the detected `' || coarse_label || '`' FROM fired WHERE r9""",
+    rule_messages: f"WITH {JUDGED} " + " UNION ALL ".join(f"SELECT garment_id, '{code}' AS code, {detail} AS detail FROM fired WHERE r{k + 1}" for k, (code, detail) in enumerate(MESSAGES)),
     color_source_agreement: "SELECT g.color, a.family = b.family AS agree, count(*) AS n FROM garments g JOIN v_color a ON a.label = g.color JOIN v_color b ON b.label = g.zero_shot_color GROUP BY 1, 2",
     report_floor: "SELECT " + ", ".join(f"count(CASE WHEN {a}_conf >= 0.2 THEN {a} END) AS {a}" for a in ATTRS) + " FROM garments",
     category_gate: """WITH g AS (SELECT *, detector_conf >= 0.45 AND coarse_label <> 'other' AS gate_applied, CASE WHEN garment_id % 2 = 0 THEN 'jeans' ELSE 'dress' END AS alt FROM garments),
@@ -188,7 +221,7 @@ QUERIES = {
     image_quality_verdicts: f"""WITH {_ISSUES} SELECT garment_id, array_to_string(l, ',') AS issues, round(CAST(greatest(0, 1 - coalesce(list_sum(list_transform(l, lambda x:
       CASE split_part(x, ':', 1) WHEN 'low_resolution' THEN 0.35 WHEN 'blurry' THEN 0.30 WHEN 'low_contrast' THEN 0.20 WHEN 'no_foreground' THEN 1.0 ELSE 0.25 END
       * CASE split_part(x, ':', 2) WHEN 'error' THEN 1.5 ELSE 1 END)), 0)) AS DOUBLE), 4) AS score, len(list_filter(l, lambda x: contains(x, ':error'))) = 0 AS usable FROM i""",
-    color_naming: None,
+    color_naming: NAMING,
     flattened_results: """SELECT CAST(image_id AS VARCHAR) AS request_id, true AS success, row_number() OVER (PARTITION BY image_id ORDER BY garment_id) - 1 AS position, format('garment_{:03d}', garment_id) AS id, category FROM garments WHERE image_id % 50 <> 0
       UNION ALL SELECT DISTINCT CAST(image_id AS VARCHAR), false, CAST(NULL AS BIGINT), NULL, NULL FROM garments WHERE image_id % 50 = 0""",
     prediction_rows: "WITH " + ", ".join(f"q_{a} AS (SELECT '{a}' AS attribute, {a} AS value, {a}_conf AS c FROM garments WHERE {a} IS NOT NULL AND image_id % 50 <> 0)" for a in ATTRS)

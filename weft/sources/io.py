@@ -53,7 +53,7 @@ def read_rules(spark: SparkSession, path: str) -> list[Rule]:
 
 def _whole_text(spark: SparkSession, path: str) -> str:
     """A small configuration file, by any path that Spark reads."""
-    return spark.read.option("wholetext", True).text(path).first()[0].removeprefix("\ufeff")
+    return spark.read.text(path, wholetext=True).first()[0].removeprefix("\ufeff")
 
 
 def read_annotation_lines(spark: SparkSession, path: str) -> DataFrame:
