@@ -288,46 +288,52 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return stored(_scored(docs, id_col, text_col, keep))
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _chunk_scores(docs: DataFrame, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int, int, DataFrame]:
+    """Counts of all training tokens, their sum and number, and the rows scored but for the tokens that are not hot; the texts' copy goes at the end."""
     held = hash_mod(F.col(id_col), HELD_OUT[0]) == HELD_OUT[1]
-    rows = keep(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))))
-    tokens = keep(token_counts(rows.where(~F.col("held_out"))))
-    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    hot = tokens.where(F.col("n") >= _least_count(tokens, HOT_TOKENS)).toPandas()
-    values = gram_scores(chunk_grams(rows), pair_counts(rows.where(~F.col("held_out"))))
+    with scratch(docs.sparkSession) as early:
+        rows = early(chunked(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))))
+        tokens = keep(token_counts(rows.where(~F.col("held_out"))))
+        total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        hot = tokens.where(F.col("n") >= _least_count(tokens, HOT_TOKENS)).toPandas()
+        values = gram_scores(chunk_grams(rows), pair_counts(rows.where(~F.col("held_out"))))
+        shared = docs.sparkSession.sparkContext.broadcast({bytes(t): np.log10(n + 0.1) for t, n in zip(hot["token"], hot["n"])})
+
+        def run(table: pa.Table, own: pa.Table) -> pa.Table:
+            value = shared.value.get
+            tails, scores = (own.column(c).to_pylist() for c in ("tails", "scores"))
+            last = np.repeat(own.column("last").to_numpy().astype(np.int64), [len(t) // 4 for t in tails])
+            grams, at = np.unique(_full(last, np.frombuffer(b"".join(tails), np.uint32)), return_index=True)
+            values = np.frombuffer(b"".join(scores), np.float32)[at].astype(np.float64)
+            done = [pa.RecordBatch.from_pylist([], schema=kinds)]
+            for batch in (small for big in table.to_batches() for small in small_batches(big, 64)):
+                texts = [t.lower() for t in byte_texts(batch.column("text"))]
+                n_tokens, n_known, sums, rest = [], [], [], []
+                for text in texts:
+                    words = [*text.split(), END_TOKEN]
+                    got = list(map(value, words))
+                    late = [w for w, v in zip(words, got) if v is None]
+                    n_tokens.append(len(words))
+                    n_known.append(len(words) - len(late))
+                    sums.append(sum(v for v in got if v is not None) if late else sum(got))
+                    rest.append(late)
+                offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+                late = pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for r in rest for w in r], pa.binary()))
+                score = gram_sums(texts, grams, values)
+                same = [batch.column(c) for c in ("chunk", "place", "id", "held_out")]
+                done.append(pa.RecordBatch.from_arrays([*same, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), late, pa.array(score)], schema=kinds))
+            return pa.Table.from_batches(done, kinds)
+
+        kind = rows.schema["id"].dataType
+        types = StructType().add("chunk", "long").add("place", "long").add("id", kind).add("held_out", "boolean").add("n_tokens", "long").add("n_hot", "long").add("hot_sum", "double").add("late", ArrayType(BinaryType())).add("score", "double")
+        kinds = to_arrow_schema(types)
+        paired = rows.groupBy("chunk").cogroup(values.groupBy("chunk"))
+        return tokens, total, distinct, keep(paired.applyInArrow(run, types))
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    tokens, total, distinct, scored = _chunk_scores(docs, id_col, text_col, keep)
     shift = np.log10(total + 0.1 * (distinct + 1))
-    shared = docs.sparkSession.sparkContext.broadcast({bytes(t): np.log10(n + 0.1) for t, n in zip(hot["token"], hot["n"])})
-
-    def run(table: pa.Table, own: pa.Table) -> pa.Table:
-        value = shared.value.get
-        tails, scores = (own.column(c).to_pylist() for c in ("tails", "scores"))
-        last = np.repeat(own.column("last").to_numpy().astype(np.int64), [len(t) // 4 for t in tails])
-        grams, at = np.unique(_full(last, np.frombuffer(b"".join(tails), np.uint32)), return_index=True)
-        values = np.frombuffer(b"".join(scores), np.float32)[at].astype(np.float64)
-        done = [pa.RecordBatch.from_pylist([], schema=kinds)]
-        for batch in (small for big in table.to_batches() for small in small_batches(big, 64)):
-            texts = [t.lower() for t in byte_texts(batch.column("text"))]
-            n_tokens, n_known, sums, rest = [], [], [], []
-            for text in texts:
-                words = [*text.split(), END_TOKEN]
-                got = list(map(value, words))
-                late = [w for w, v in zip(words, got) if v is None]
-                n_tokens.append(len(words))
-                n_known.append(len(words) - len(late))
-                sums.append(sum(v for v in got if v is not None) if late else sum(got))
-                rest.append(late)
-            offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            late = pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for r in rest for w in r], pa.binary()))
-            score = gram_sums(texts, grams, values)
-            same = [batch.column(c) for c in ("chunk", "place", "id", "held_out")]
-            done.append(pa.RecordBatch.from_arrays([*same, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), late, pa.array(score)], schema=kinds))
-        return pa.Table.from_batches(done, kinds)
-
-    kind = rows.schema["id"].dataType
-    types = StructType().add("chunk", "long").add("place", "long").add("id", kind).add("held_out", "boolean").add("n_tokens", "long").add("n_hot", "long").add("hot_sum", "double").add("late", ArrayType(BinaryType())).add("score", "double")
-    kinds = to_arrow_schema(types)
-    paired = rows.groupBy("chunk").cogroup(values.groupBy("chunk"))
-    scored = keep(paired.applyInArrow(run, types))
     late = scored.where(F.size("late") > 0).select("chunk", "place", F.explode("late").alias("token"))
     late = late.groupBy("chunk", "place", "token").agg(F.count(F.lit(1)).alias("k")).join(tokens, "token", "left")
     late = late.groupBy("chunk", "place").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_late"), F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("late_sum"))
