@@ -600,9 +600,10 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch, hot):
     assert ppm.score(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [40, 10**7])
-def test_lm_keeps_every_context(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, held", [(40, 5), (40, 10**6), (10**7, 10**6)])
+def test_lm_keeps_every_context(spark, monkeypatch, chunk, held):
     monkeypatch.setattr(ppm, "CHUNK", chunk)
+    monkeypatch.setattr(ppm, "HELD_GRAMS", held)
     rng = random.Random(3)
     texts = [t for t in ODD if len(t or "") < 1000] + ["the cat sat on the mat", "the hat", "zebra"] * 3
     texts += [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 20))) for _ in range(60)]
@@ -618,6 +619,17 @@ def test_lm_keeps_every_context(spark, monkeypatch, chunk):
         assert got[i + 1] == pytest.approx(brute_ppm(counts, (t or "").encode().lower(), order), abs=1e-4, rel=1e-5), t
 
 
+def test_lm_values_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    grams = np.unique(ppm._full(np.int64(0x6162), rng.integers(0, 4, (3000, 4)) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])))
+    n = rng.integers(0, 3, len(grams))
+    low = np.zeros((256, 256), np.int64)
+    low[0x62, :4], low[0x63, :6] = np.bincount(grams & 255, n, 256)[:4] + 1, 7
+    whole = ppm.gram_values(grams, n, low)
+    monkeypatch.setattr(ppm, "SLICE_GRAMS", 1)
+    assert np.array_equal(ppm.gram_values(grams, n, low), whole) and (whole < 0).all()
+
+
 def test_stats_cover_columns():
     counts, classes, common = (x[0] for x in textstats.measure(["The The the, é\n|".encode()], textstats.COMMON_HASHES))
     assert len(counts) == len(textstats.COUNTS) and classes.sum() == 16 and common[textstats.COMMON.index(b"the")] == 3 and common.sum() == 5

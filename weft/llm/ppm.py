@@ -11,9 +11,10 @@ A symbol's probability depends on it and the `ORDER` bytes before it alone, its
 The rows are dealt into chunks of about `CHUNK` bytes and written once; a chunk's
 distinct grams, with their training counts, are dealt by the two bytes before the
 symbol (`gram_scores`), where all their contexts of two bytes and more meet, and the
-256 x 256 counts of shorter ones are broadcast.  Each chunk gets the values of its own
-grams back and is scored by them, so that no task holds more of the model than a chunk
-or one pair of bytes needs.
+256 x 256 counts of shorter ones are broadcast.  Counts come first there and are added
+up as they come; then each chunk's grams are answered one chunk at a time.  Each chunk
+gets the values of its own grams back and is scored by them, so that no task holds more
+than a chunk's grams or the distinct ones of a pair of bytes, however many chunks ask.
 
 The unigram base needs the exact count of every token.  Tokens seen `n` times or more
 (the smallest n that leaves at most `HOT_TOKENS` of them) are broadcast with their
@@ -49,6 +50,8 @@ END_TOKEN = b" "
 FLUSH, FLUSH_BYTES = 200_000, 64_000_000
 #: Bytes of text that share one table of values.
 CHUNK = 16_000_000
+#: Grams that a task adds up before it passes them on, and about as many as are valued at a time.
+HELD_GRAMS, SLICE_GRAMS = 1_000_000, 500_000
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -87,8 +90,12 @@ def _merged(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Stretches of 4-byte values between `cuts` as binaries."""
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+    """Stretches of 4-byte values between `cuts` as binaries, all first bytes before all second ones, as sorted values then compress well."""
+    return pa.array([values[i:j].view(np.uint8).reshape(-1, 4).T.tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())
+
+
+def _unpack(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view(kind).ravel()
 
 
 def _full(last: np.ndarray, tails: np.ndarray) -> np.ndarray:
@@ -114,44 +121,62 @@ def pair_counts(rows: DataFrame) -> np.ndarray:
 
 
 def chunk_grams(rows: DataFrame) -> DataFrame:
-    """last, chunk, tails, counts: the distinct grams of each chunk of `rows` (chunk, held_out, text) and how often its training rows have them.
+    """last, chunk, tails, counts: the distinct grams of `rows` (chunk, held_out, text).
 
-    A row holds the grams that share the last two context bytes, `last`, as their other four bytes; a chunk that several tasks read has rows of each.
+    A row holds grams that share the last two context bytes, `last`, as their other four bytes.  Rows with `counts` say how often the training rows
+    of some chunks have them; rows without say which a chunk asks for, and a chunk that several tasks read has rows of each.
     """
 
+    def by_last(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        last, tails = (grams >> 8) & 0xFFFF, (grams >> 24) << 8 | grams & 255
+        order = np.argsort(last << 32 | tails)
+        begin, _ = _runs(last[order])
+        return order, last[order][begin], tails[order].astype(np.uint32), np.append(begin, len(order))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, texts, size = None, [], {False: [], True: []}, 0
+        held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        names = ["last", "chunk", "tails", "counts"]
 
         def settle() -> None:
-            for held, of in texts.items():
+            for out, of in texts.items():
                 if of:
                     grams, n = np.unique(np.concatenate(of), return_counts=True)
-                    parts.append((grams, n * (not held)))
+                    parts.append((grams, n * (not out)))
                     of.clear()
 
         def chunk_out() -> pa.RecordBatch:
+            nonlocal held
             settle()
             grams, n = _merged(*(np.concatenate(x) for x in zip(*parts)))
             parts.clear()
-            last, tails = (grams >> 8) & 0xFFFF, (grams >> 24) << 8 | grams & 255
-            order = np.argsort(last << 32 | tails)
-            begin, _ = _runs(last[order])
-            cuts = np.append(begin, len(order))
-            return pa.RecordBatch.from_arrays([pa.array(last[order][begin], pa.int32()), pa.array(np.full(len(begin), now)), _pack(tails[order].astype(np.uint32), cuts), _pack(n[order].astype(np.uint32), cuts)], ["last", "chunk", "tails", "counts"])
+            held = _merged(np.concatenate((held[0], grams)), np.concatenate((held[1], n)))
+            _, last, tails, cuts = by_last(grams)
+            return pa.RecordBatch.from_arrays([pa.array(last, pa.int32()), pa.array(np.full(len(last), now)), _pack(tails, cuts), pa.nulls(len(last), pa.binary())], names)
+
+        def counts_out() -> pa.RecordBatch:
+            nonlocal held
+            grams, n = held
+            held = (grams[:0], n[:0])
+            order, last, tails, cuts = by_last(grams)
+            return pa.RecordBatch.from_arrays([pa.array(last, pa.int32()), pa.nulls(len(last), pa.int64()), _pack(tails, cuts), _pack(n[order].astype(np.uint32), cuts)], names)
 
         for batch in (small for big in batches for small in small_batches(big)):
-            for chunk, held, text in zip(batch.column("chunk").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch.column("text"))):
+            for chunk, out, text in zip(batch.column("chunk").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch.column("text"))):
                 if chunk != now:
                     if now is not None:
                         yield chunk_out()
+                        if len(held[0]) > HELD_GRAMS:
+                            yield counts_out()
                     now, size = chunk, 0
-                texts[held].append(_grams(text.lower()))
+                texts[out].append(_grams(text.lower()))
                 size += len(text)
                 if size > 4_000_000:
                     settle()
                     size = 0
         if now is not None:
             yield chunk_out()
+            yield counts_out()
 
     return arrow_map(rows.select("chunk", "held_out", "text"), run, "last int, chunk long, tails binary, counts binary")
 
@@ -168,16 +193,29 @@ def gram_values(grams: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray
     `n` are the grams' training counts, 0 where only other rows have them; all training grams of the two bytes must be there.
     `low` (256 x 256) has the counts of a symbol by the byte before it.
     """
+    known = [low.sum(axis=0), low[int(grams[0] >> 8) & 255], np.bincount(grams & 255, n, 256).astype(np.int64)]
+    third = (grams >> 24) & 255
+    order = np.argsort(third, kind="stable")
+    cuts = [0]
+    for begin in _runs(third[order])[0]:
+        if begin - cuts[-1] >= SLICE_GRAMS:
+            cuts.append(begin)
+    out = np.empty(len(grams))
+    for i, j in zip(cuts, [*cuts[1:], len(grams)]):
+        out[order[i:j]] = _slice_values(grams[order[i:j]], n[order[i:j]], known)
+    return out
+
+
+def _slice_values(grams: np.ndarray, n: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """gram_values() of all grams with some third context bytes; `known` are the counts of a symbol in their shared contexts of 0, 1 and 2 bytes."""
     symbol = grams & 255
     log = lambda x: np.log10(np.maximum(x, 1))
-    # order 0 and 1, by symbol: counts, totals and numbers of distinct symbols
-    before = int(grams[0] >> 8) & 255
-    zero, one = low.sum(axis=0), low[before]
-    counts = [zero[symbol], one[symbol]]
-    totals, kinds = [np.full(len(grams), zero.sum()), np.full(len(grams), one.sum())], [np.full(len(grams), (zero > 0).sum()), np.full(len(grams), (one > 0).sum())]
+    zero = known[0]
+    counts = [c[symbol] for c in known]
+    totals, kinds = ([np.full(len(grams), c) for c in of] for of in ([c.sum() for c in known], [(c > 0).sum() for c in known]))
     # what is left of an order's shorter context once the symbols seen in it are excluded
-    rest = [None, np.full(len(grams), zero[one == 0].sum())]
-    for k in range(2, ORDER + 1):
+    rest = [None, *(np.full(len(grams), short[long == 0].sum()) for short, long in zip(known, known[1:]))]
+    for k in range(len(known), ORDER + 1):
         key = grams & ((1 << (8 * (k + 1))) - 1)
         order = np.argsort(key, kind="stable")
         begin, run = _runs(key[order])
@@ -211,33 +249,41 @@ def gram_values(grams: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray
     return np.where(done, out, out - np.log10(max(1, 255 - int((zero > 0).sum()))))
 
 
-def gram_scores(asked: DataFrame, low: np.ndarray) -> DataFrame:
-    """last, chunk, tails, scores for every row of `asked` (of chunk_grams()): the grams' log10 probabilities; `low` of pair_counts()."""
-    shared = asked.sparkSession.sparkContext.broadcast(low)
+def gram_scores(grams: DataFrame, low: np.ndarray) -> DataFrame:
+    """last, chunk, tails, scores for every row of `grams` (of chunk_grams()) that asks: the grams' log10 probabilities; `low` of pair_counts()."""
+    shared = grams.sparkSession.sparkContext.broadcast(low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, now, parts = shared.value, None, []
-
-        def scores_out() -> Iterator[pa.RecordBatch]:
-            distinct, n = _merged(*(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
-            value = gram_values(_full(np.int64(now), distinct), n, low).astype(np.float32)
-            for at in range(0, len(parts), 64):
-                some = parts[at : at + 64]
-                tails = np.concatenate([p[1] for p in some])
-                cuts = np.cumsum([0, *(len(p[1]) for p in some)])
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(some), pa.int32()), pa.array([p[0] for p in some], pa.int64()), _pack(tails, cuts), _pack(value[np.searchsorted(distinct, tails)], cuts)], ["last", "chunk", "tails", "scores"])
-            parts.clear()
+        now, parts, size, merged, distinct, value = None, [], 0, 0, None, None
+        answers = []
+
+        def answers_out() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*answers), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["last", "chunk", "tails", "scores"])
+            answers.clear()
+            return out
 
         for batch in batches:
             for last, chunk, tails, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if parts and last != now:
-                    yield from scores_out()
-                now = last
-                parts.append((chunk, np.frombuffer(tails, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64)))
-        if parts:
-            yield from scores_out()
-
-    return arrow_map(asked.repartition("last").sortWithinPartitions("last"), run, "last int, chunk long, tails binary, scores binary")
+                if last != now:
+                    now, parts, size, merged, distinct = last, [], 0, 0, None
+                if counts is not None:
+                    parts.append((_unpack(tails), _unpack(counts).astype(np.int64)))
+                    size += len(tails) // 4
+                    if size > 2 * merged + HELD_GRAMS:  # add up as they come
+                        parts = [_merged(*(np.concatenate(x) for x in zip(*parts)))]
+                        size = merged = len(parts[0][0])
+                    continue
+                if distinct is None:  # all counts of these two bytes are in
+                    distinct, n = _merged(*(np.concatenate(x) for x in zip(*parts)))
+                    parts, value = [], gram_values(_full(np.int64(now), distinct), n, shared.value).astype(np.float32)
+                scores = value[np.searchsorted(distinct, _unpack(tails))]
+                answers.append((last, chunk, tails, scores.view(np.uint8).reshape(-1, 4).T.tobytes()))
+                if len(answers) == 64:
+                    yield answers_out()
+        if answers:
+            yield answers_out()
+
+    return arrow_map(grams.repartition("last").sortWithinPartitions("last", F.col("counts").isNull()), run, "last int, chunk long, tails binary, scores binary")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -303,8 +349,8 @@ def _chunk_scores(docs: DataFrame, id_col: str, text_col: str, keep: Callable[[D
             value = shared.value.get
             tails, scores = (own.column(c).to_pylist() for c in ("tails", "scores"))
             last = np.repeat(own.column("last").to_numpy().astype(np.int64), [len(t) // 4 for t in tails])
-            grams, at = np.unique(_full(last, np.frombuffer(b"".join(tails), np.uint32)), return_index=True)
-            values = np.frombuffer(b"".join(scores), np.float32)[at].astype(np.float64)
+            grams, at = np.unique(_full(last, np.concatenate([_unpack(t) for t in tails])), return_index=True)
+            values = np.concatenate([_unpack(v, np.float32) for v in scores])[at].astype(np.float64)
             done = [pa.RecordBatch.from_pylist([], schema=kinds)]
             for batch in (small for big in table.to_batches() for small in small_batches(big, 64)):
                 texts = [t.lower() for t in byte_texts(batch.column("text"))]
