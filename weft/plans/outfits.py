@@ -91,7 +91,8 @@ def feedback_summary(spark, d):
 
 
 def wardrobe_gaps(spark, d):
-    return O.wardrobe_gaps(view(spark, d, "items").where("NOT (user_id % 4 = 0 AND slot = 'shoes')"))
+    """Small wardrobes, of at most eight items each, in which gaps occur by themselves."""
+    return O.wardrobe_gaps(view(spark, d, "items").withColumn("user_id", F.expr("item_id div 400 * 50 + user_id")))
 
 
 def formality_sets(spark, d):
@@ -105,7 +106,7 @@ def imbalance_alerts(spark, d):
 
 def shopping_picks(spark, d):
     items = view(spark, d, "items")
-    products = items.where("item_id % 10 = 3").select(F.col("item_id").alias("product_id"), ((F.col("user_id") + 1) % 50).alias("user_id"), "slot", "color_family")
+    products = items.select(F.col("item_id").alias("product_id"), ((F.col("user_id") + 1) % 50).alias("user_id"), "slot", "color_family")
     return S.completes_outfits(products, items)
 
 
@@ -156,11 +157,11 @@ QUERIES = {
       SELECT p.user_id, p.item_id AS top, b.n * c.n AS n, b.n AS bottoms, CAST(b.s * c.n AS BIGINT) AS bottom_sum, c.n AS pairs, CAST(c.s * b.n AS BIGINT) AS shoe_sum FROM p JOIN b ON b.user_id = p.user_id JOIN c ON c.user_id = p.user_id WHERE p.slot = 'top'""",
     layers: "SELECT outfit_id, string_agg(slot, ',' ORDER BY CASE WHEN item_id % 5 <> 0 THEN item_id % 3 ELSE 0 END, slot) AS slots FROM outfit_items GROUP BY 1",
     feedback_summary: f"WITH {_FB} SELECT outfit_id, count(*) FILTER (type = 'liked') AS liked, count(*) FILTER (type = 'disliked') AS disliked, count(*) FILTER (type = 'worn') AS worn, count(*) FILTER (type = 'rated') AS rated, round(avg(rating), 6) AS mean_rating FROM fb GROUP BY 1",
-    wardrobe_gaps: """WITH i AS (SELECT * FROM items WHERE NOT (user_id % 4 = 0 AND slot = 'shoes')) SELECT u.user_id, s.slot FROM (SELECT DISTINCT user_id FROM i) u, (VALUES ('top'), ('bottom'), ('shoes')) s(slot)
+    wardrobe_gaps: """WITH i AS (SELECT item_id // 400 * 50 + user_id AS user_id, slot, status FROM items) SELECT u.user_id, s.slot FROM (SELECT DISTINCT user_id FROM i) u, (VALUES ('top'), ('bottom'), ('shoes')) s(slot)
       WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = u.user_id AND i.slot = s.slot AND i.status = 'active')""",
     formality_sets: "SELECT user_id, category, style, count(*) AS n FROM items GROUP BY GROUPING SETS ((user_id, category, style), (user_id, category), (user_id, style), (user_id))",
     imbalance_alerts: "SELECT user_id, slot AS category, count(*) FILTER (item_id % 3 <> 0) AS casual, count(*) FILTER (item_id % 3 = 0) AS formal FROM items GROUP BY 1, 2 HAVING count(*) FILTER (item_id % 3 <> 0) >= 4 AND count(*) FILTER (item_id % 3 = 0) <= 1",
-    shopping_picks: """WITH p AS (SELECT item_id AS product_id, (user_id + 1) % 50 AS user_id, slot, color_family AS f FROM items WHERE item_id % 10 = 3 AND slot IN ('top', 'bottom', 'shoes')),
+    shopping_picks: """WITH p AS (SELECT item_id AS product_id, (user_id + 1) % 50 AS user_id, slot, color_family AS f FROM items WHERE slot IN ('top', 'bottom', 'shoes')),
       x AS (SELECT p.product_id, p.user_id, i.slot, count(*) AS n, count(*) FILTER (NOT ((least(p.f, i.color_family), greatest(p.f, i.color_family)) IN (('blue', 'yellow'), ('purple', 'yellow')))) AS k
         FROM p JOIN items i ON i.user_id = p.user_id AND i.slot <> p.slot AND i.slot IN ('top', 'bottom', 'shoes') AND i.status = 'active' GROUP BY 1, 2, 3)
       SELECT product_id, user_id, CAST(min(k) * max(k) AS BIGINT) AS completes_outfits, round(min(k) * max(k) / (min(n) * max(n)), 4) AS compatibility FROM x GROUP BY 1, 2 HAVING count(*) = 2""",

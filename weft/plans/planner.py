@@ -32,12 +32,14 @@ def trip_days(spark, d):
 
 
 def capsules(spark, d):
-    packed = view(spark, d, "items").where("item_id % 4 = 0").select(F.col("user_id").alias("trip"), "item_id", "slot")
+    """A trip for every eight items of a user, so that the limit leaves none out."""
+    packed = view(spark, d, "items").select(F.expr("item_id div 400 * 50 + user_id").alias("trip"), "item_id", "slot")
     return P.capsule(packed, 8)
 
 
 def _plans(spark, d):
-    return view(spark, d, "calendar_events").where("event_id % 4 <> 0").select("event_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select("event_id", (F.col("event_id") * 10 + F.col("k")).alias("outfit_id"), (F.col("event_id") * F.col("k") % 7).alias("score"))
+    """Three outfits for each event that has a reminder; the others have no plan."""
+    return view(spark, d, "calendar_events").where("remind_enabled").select("event_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select("event_id", (F.col("event_id") * 10 + F.col("k")).alias("outfit_id"), (F.col("event_id") * F.col("k") % 7).alias("score"))
 
 
 def plan_calendar(spark, d):
@@ -91,11 +93,11 @@ QUERIES = {
     due_reminders: f"SELECT event_id FROM calendar_events WHERE remind_enabled AND NOT reminder_sent AND starts_at - to_minutes(reminder_minutes_before) <= TIMESTAMP '{NOW}' AND starts_at > TIMESTAMP '{NOW}'",
     events_in_trips: "SELECT t.user_id, t.trip_no, e.event_id FROM trips t JOIN calendar_events e ON e.user_id = t.user_id AND CAST(e.starts_at AS DATE) BETWEEN t.starts_on AND t.ends_on",
     trip_days: "SELECT user_id, trip_no, CAST(CAST(starts_on + CAST(k AS INT) AS DATE) AS VARCHAR) AS day, CAST(k + 1 AS INT) AS day_no FROM (SELECT *, unnest(range(date_diff('day', starts_on, ends_on) + 1)) AS k FROM trips)",
-    capsules: """WITH p AS (SELECT user_id AS trip, slot, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS r FROM items WHERE item_id % 4 = 0),
+    capsules: """WITH p AS (SELECT item_id // 400 * 50 + user_id AS trip, slot, row_number() OVER (PARTITION BY item_id // 400 * 50 + user_id ORDER BY item_id) AS r FROM items),
       c AS (SELECT trip, count(*) FILTER (slot = 'top') AS tops, count(*) FILTER (slot = 'bottom') AS bottoms, count(*) FILTER (slot = 'shoes') AS shoes, count(*) AS items FROM p WHERE r <= 8 GROUP BY 1) SELECT *, tops * bottoms * shoes AS outfits FROM c""",
-    plan_calendar: """WITH p AS (SELECT event_id, event_id * 10 + k AS outfit_id, row_number() OVER (PARTITION BY event_id ORDER BY event_id * k % 7 DESC, k) AS r FROM calendar_events, range(1, 4) t(k) WHERE event_id % 4 <> 0)
+    plan_calendar: """WITH p AS (SELECT event_id, event_id * 10 + k AS outfit_id, row_number() OVER (PARTITION BY event_id ORDER BY event_id * k % 7 DESC, k) AS r FROM calendar_events, range(1, 4) t(k) WHERE remind_enabled)
       SELECT e.event_id, p.outfit_id FROM calendar_events e LEFT JOIN p ON p.event_id = e.event_id AND p.r = 1""",
-    unplanned_events: "SELECT event_id FROM calendar_events WHERE event_id % 4 = 0",
+    unplanned_events: "SELECT event_id FROM calendar_events WHERE NOT remind_enabled",
     conversation_rollup: """SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, CAST(sum(length(text)) AS BIGINT) AS chars, arg_max(role, turn) AS last_role, arg_max(text, turn) AS last_text FROM interactions GROUP BY 1""",
     keyword_routes: "SELECT CASE WHEN contains(lower(text), 'the') THEN 'the' WHEN contains(lower(text), 'der') THEN 'der' WHEN contains(lower(text), 'que') THEN 'que' WHEN contains(lower(text), 'les') THEN 'les' ELSE 'fallback' END AS route, count(*) AS n FROM interactions WHERE role = 'user' GROUP BY 1",
     usage_report: "SELECT endpoint, provider, count(*) AS calls, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 4) AS success_rate, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(cost_usd), 5) AS cost, round(avg(latency_ms), 3) AS mean_ms FROM ai_usage GROUP BY ROLLUP (endpoint, provider)",
