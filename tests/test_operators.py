@@ -102,6 +102,17 @@ def test_weather_as_of_carries_over_spans(spark):
     assert {r["event_id"]: r["temperature_c"] for r in planner.weather_as_of(e, s).collect()} == {10: 7.0, 11: 7.0, 12: None}
 
 
+def test_reminder_runs_are_those_of_each_time(spark):
+    e = spark.createDataFrame(
+        [(1, "2024-01-01 12:00:00", True, False, 30), (2, "2024-01-01 12:00:01", True, False, 30), (3, "2024-01-01 12:20:00", True, False, 4), (4, "2024-01-01 12:20:00", True, False, 0),
+         (5, "2024-01-01 12:20:00", True, True, 60), (6, "2024-01-01 12:20:00", False, False, 60), (7, None, True, False, 60), (8, "2024-01-01 12:20:00", True, False, None)],
+        "event_id long, starts_at string, remind_enabled boolean, reminder_sent boolean, reminder_minutes_before int").withColumn("starts_at", F.col("starts_at").cast("timestamp"))
+    got = {(r["event_id"], f"{r['run_at']:%H:%M}") for r in planner.reminder_runs(e).collect()}
+    times = [f"{h:02}:{m:02}" for h in (11, 12) for m in (0, 15, 30, 45)]
+    assert got == {(r["event_id"], t) for t in times for r in planner.due_reminders(e, f"2024-01-01 {t}:00").collect()}
+    assert got == {(1, "11:30"), (1, "11:45"), (2, "11:45"), (2, "12:00")}
+
+
 def test_search_and_pages(spark):
     df = spark.createDataFrame([(1, "White tee", "white", "casual", "top"), (2, "Boots", "brown", None, "shoes"), (3, "Sneaker", "white", "sporty", "shoes")], "item_id int, name string, color string, style string, category string")
     assert [r["item_id"] for r in wardrobe.search_items(df, " WHITE ").orderBy("item_id").collect()] == [1, 3]

@@ -33,6 +33,19 @@ def due_reminders(events: DataFrame, now: str) -> DataFrame:
     return events.where(F.col("remind_enabled") & ~F.col("reminder_sent") & (at <= t) & (F.col("starts_at") > t))
 
 
+def reminder_runs(events: DataFrame, minutes: int = 15) -> DataFrame:
+    """event_id, run_at: every run in which an event's unsent reminder is due, of a job that runs each `minutes` from the epoch on.
+
+    What `due_reminders` finds at each of these times, over the whole table at once and without a shuffle.
+    Events without a start, or without a run between reminder and start, have no row.
+    """
+    every = minutes * 60_000_000
+    at = F.col("starts_at").cast("timestamp")
+    first, behind = (F.ceil(F.unix_micros(t) / F.lit(every)) for t in (at - F.make_interval(mins=F.col("reminder_minutes_before")), at))
+    waiting = events.where(F.col("remind_enabled") & ~F.col("reminder_sent")).select("event_id", first.alias("first"), behind.alias("behind")).where("first < behind")
+    return waiting.select("event_id", F.explode(F.expr("sequence(first, behind - 1)")).alias("k")).select("event_id", F.timestamp_micros(F.col("k") * every).alias("run_at"))
+
+
 def events_in_trips(events: DataFrame, trips: DataFrame) -> DataFrame:
     """user_id, trip_no, event_id, starts_at: events on a day of a trip of their user (range join on days).
 
