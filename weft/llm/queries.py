@@ -12,6 +12,7 @@ from weft.llm.chat import format_turns, read_back
 from weft.llm.common import table
 from weft.llm.decontam import find_leaks
 from weft.llm.langid import fit_languages, identify
+from weft.llm.lexical import search
 from weft.llm.neardup import near_duplicates
 from weft.llm.packing import pack
 from weft.llm.ppm import score
@@ -19,6 +20,7 @@ from weft.llm.quality import score_quality
 from weft.llm.rules import judge
 from weft.llm.tokens import count_tokens
 from weft.llm.urlrules import judge_urls
+from weft.llm.vectorcodes import compress
 
 #: Vocabulary of token counts and packing.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +80,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = compress(table(spark, sf_dir, "embeddings"))
+    code = F.concat(*[F.lower(F.lpad(F.hex(F.col("codes")[p]), 2, "0")) for p in range(4)])
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -133,14 +145,55 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN least l ON l.a = s.doc_id
 """
 
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS terms FROM documents),
+docs AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM texts WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+asked AS (SELECT item_id, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+held AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM held, total GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term), total GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+
+def _codes_sql(n_parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds as chained tables; squared distances of integers are exact in doubles."""
+    steps = [
+        "vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings\n"
+        "  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"part AS (SELECT vec_id, p, v[p * {width} + 1 : p * {width} + {width}] AS v FROM vec, (SELECT unnest(range({n_parts})) AS p))",
+        f"book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM part WHERE vec_id IN (SELECT vec_id FROM vec ORDER BY vec_id LIMIT {entries}))",
+    ]
+    apart = "list_inner_product(a.v, a.v) - 2 * list_inner_product(a.v, b.v) + list_inner_product(b.v, b.v)"
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS (SELECT vec_id, p, min(d) AS d, arg_min(e, d * {entries} + e) AS e FROM (SELECT a.vec_id, a.p, b.e, {apart} AS d FROM part a JOIN book{r} b USING (p)) GROUP BY vec_id, p)")
+        if r < rounds:
+            means = ", ".join(f"floor(sum(v[{j + 1}]) / count(*))" for j in range(width))
+            steps.append(f"mean{r} AS (SELECT p, e, [{means}] AS v FROM part JOIN near{r} USING (vec_id, p) GROUP BY p, e)")
+            steps.append(f"book{r + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN mean{r} m ON b.p = m.p AND b.e = m.e)")
+    steps.append(f"coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)")
+    steps.append("sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN vec USING (vec_id) GROUP BY label)")
+    steps.append(f"hash AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, label_error, codebooks_sha256 FROM coded JOIN vec USING (vec_id) JOIN sums ON vec.label IS NOT DISTINCT FROM sums.label, hash"
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_counts, op3_best_fit_packing, op4_chat_formatting, op5_url_filters,
         op6_minhash_near_dedup, op7_benchmark_decontamination, op8_quality_classifier, op9_quality_rules, op10_lm_scoring,
+        op11_ranked_lexical_search, op12_vector_code_compression,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": CHAT_SQL, "op5_url_filters": URL_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL}
+    return {"op4_chat_formatting": CHAT_SQL, "op5_url_filters": URL_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op11_ranked_lexical_search": SEARCH_SQL, "op12_vector_code_compression": _codes_sql()}
