@@ -186,7 +186,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
         found = None
         for block in range(n_blocks):
             some = _search_block(source, asked.where(dealt == block), k, keep)
-            found = some if found is None or some is None else found.unionByName(some)
+            if some is not None:
+                found = some if found is None else found.unionByName(some)
         if found is None:
             found = source.limit(0).select(F.lit(0).cast("long").alias("ask"), F.lit(0).cast("long").alias("score"), "doc_id", F.lit(0).alias("rank"))
         named = found.join(small_enough(asked.select("ask", "item_id")), "ask")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weft.llm.chat import format_turns, read_back
 from weft.llm.common import table
 from weft.llm.decontam import find_leaks
+from weft.llm.jaccardjoin import jaccard_join
 from weft.llm.langid import fit_languages, identify
 from weft.llm.lexical import search
 from weft.llm.neardup import near_duplicates
@@ -90,6 +91,10 @@ def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -125,7 +130,7 @@ SELECT page_id, host, path, rule, CASE
 FROM judged
 """
 
-NEAR_DEDUP_SQL = r"""
+_LINKS_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
@@ -136,15 +141,23 @@ sets AS (
 members AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
 links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+"""
+
+NEAR_DEDUP_SQL = f"""{_LINKS_SQL.replace("{percent}", "75")}
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.b, s.doc_id)) AS component_id,
   s.doc_id = least(s.doc_id, coalesce(l.b, s.doc_id)) AS kept
 FROM sets s LEFT JOIN least l ON l.a = s.doc_id
 """
 
+JACCARD_SQL = f"""{_LINKS_SQL.replace("{percent}", "80")}, partners AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.b, s.doc_id)) AS component_id, coalesce(p.n, 0) AS n_links
+FROM sets s LEFT JOIN least l ON l.a = s.doc_id LEFT JOIN partners p ON p.a = s.doc_id
+"""
+
 TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 SEARCH_SQL = rf"""
@@ -190,10 +203,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_counts, op3_best_fit_packing, op4_chat_formatting, op5_url_filters,
         op6_minhash_near_dedup, op7_benchmark_decontamination, op8_quality_classifier, op9_quality_rules, op10_lm_scoring,
-        op11_ranked_lexical_search, op12_vector_code_compression,
+        op11_ranked_lexical_search, op12_vector_code_compression, op13_ngram_jaccard_join,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": CHAT_SQL, "op5_url_filters": URL_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op11_ranked_lexical_search": SEARCH_SQL, "op12_vector_code_compression": _codes_sql()}
+    return {"op4_chat_formatting": CHAT_SQL, "op5_url_filters": URL_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op11_ranked_lexical_search": SEARCH_SQL, "op12_vector_code_compression": _codes_sql(), "op13_ngram_jaccard_join": JACCARD_SQL}
