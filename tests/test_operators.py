@@ -136,6 +136,12 @@ def test_duplicates_against_all_pairs(spark):
         embed.BLOCK = old
 
 
+def test_percentiles_of_null_groups(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "k string, v int")
+    got = {r["k"]: (r["m"], r["calls"]) for r in ranks.nearest_rank(rows, "v", 0.95, ["k"], "m", calls=F.count(F.lit(1))).collect()}
+    assert got == {"a": (2, 2), None: (4, 2)}
+
+
 def test_similar_items_settle_ties_by_id(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(30 + i, [0.0, 1.0]) for i in range(5)]
     df = spark.createDataFrame(rows, "item_id long, embedding array<float>").repartition(3)
@@ -241,20 +247,70 @@ def test_nearest_rank_equals_sorting(spark, monkeypatch, accuracy):
     assert ranks.nearest_rank(df.where("g = 6"), "v", 0.5, ["g"], "p").count() == 0
 
 
-def test_similar_items_equal_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(embed, "TILE_QUERIES", 5)
-    monkeypatch.setattr(embed, "TILE_ITEMS", 7)
+@pytest.mark.parametrize(("centres", "block"), [(1, 4_096), (40, 7)])
+def test_similar_items_equal_all_pairs(spark, monkeypatch, centres, block):
+    for name, value in (("TILE_QUERIES", 5), ("CELL_BLOCK", block), ("ASKING", 9), ("MOST_CENTRES", centres)):
+        monkeypatch.setattr(embed, name, value)
     rng = np.random.default_rng(6)
-    v = np.round(rng.normal(size=(60, 4)), 1)
-    v[30:40] = v[:10]
-    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item_id long, embedding array<float>")
+    v = np.round(np.repeat(rng.normal(size=(12, 4)), 10, axis=0) + 0.2 * rng.normal(size=(120, 4)), 1)
+    v[30:40], v[50] = v[:10], 0
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item_id long, embedding array<float>").repartition(3)
+    odd = df.union(spark.createDataFrame([(500, None), (None, [1.0, 0.0, 0.0, 0.0])], df.schema))
     got = {}
-    for r in embed.similar_items(df.where("item_id % 3 = 0"), df, 4).orderBy("query_id", "rank").collect():
+    for r in embed.similar_items(odd, odd, 4).orderBy("query_id", "rank").collect():  # all items are queries
         got.setdefault(r["query_id"], []).append(r["item_id"])
     u = v.astype(np.float32).astype(float)
     u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-8)
     sim = np.round(u @ u.T, 6)
-    assert got == {q: sorted((i for i in range(60) if i != q), key=lambda i: (-sim[q, i], i))[:4] for q in range(0, 60, 3)}
+    assert got == {q: sorted((i for i in range(120) if i != q), key=lambda i: (-sim[q, i], i))[:4] for q in range(120)}
+    few = embed.similar_items(df.where("item_id = 3"), df.where("item_id < 3"), 5)
+    assert few.count() == 3 and embed.similar_items(df, df.where("false"), 5).count() == 0
+
+
+def test_a_search_leaves_far_cells_out():
+    rng = np.random.default_rng(8)
+    v = embed._unit(np.repeat(np.eye(16), 50, axis=0) + 0.03 * rng.normal(size=(800, 16)))
+    apart = embed._apart(v, np.eye(16))
+    cell = apart.argmin(axis=1)
+    own = apart[np.arange(800), cell]
+    cells = embed.Cells(np.eye(16), np.bincount(cell, minlength=16), *(np.array([f(own[cell == c]) for c in range(16)]) for f in (np.min, np.max)))
+    home = cells.home(apart, 5)
+    assert (home.sum(axis=1) == 1).all()
+    sim = v @ v.T
+    assert all((sim[:, cell == c].max(axis=1) <= cells.most_alike(apart)[:, c] + 1e-9).all() for c in range(16))
+    fifth = np.sort(sim, axis=1)[:, -6]
+    assert (~home & (cells.most_alike(apart) >= fifth[:, None])).sum() == 0
+
+
+def test_large_owner_is_searched_through_buckets(spark, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    near = rng.normal(size=(600, 24))
+    v = np.concatenate([near, near + 0.3 * rng.normal(size=(600, 24)), rng.normal(size=(1800, 24)), np.repeat(rng.normal(size=(1, 24)), 90, axis=0)])
+    rows = [(1, i, [float(x) for x in r]) for i, r in enumerate(v)] + [(None, 5000, [1.0] * 24), (None, 5001, [1.0] * 24), (None, 5002, [-1.0] * 24), (2, 5000, [1.0] * 24), (2, None, [1.0] * 24), (2, 5003, None)]
+    df = spark.createDataFrame(rows, "user_id int, item_id long, embedding array<float>").repartition(4)
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    sim = u @ u.T
+    want = {(i, j) for i, j in zip(*np.nonzero(sim >= 0.95)) if i < j}
+    found = embed.duplicate_items(df, 0.95).collect()
+    got = [(r["a"], r["b"]) for r in found if r["user_id"] == 1]
+    assert len(got) == len(set(got)) and set(got) <= want  # no pair twice, none wrong
+    border = {p for p in want if p[1] < 1200}
+    assert len(set(got)) >= 0.98 * len(want) and len(border & set(got)) >= 0.9 * len(border) and len(border) > 100
+    assert [(r["a"], r["b"]) for r in found if r["user_id"] is None] == [(5000, 5001)]
+    exact = {(r["a"], r["b"]) for r in embed.duplicate_items(df.where("user_id = 1"), 0.95, recall=1.0).collect()}
+    assert exact == want
+    copies = lambda recall: embed.dealt_blocks(df, 0.95, "user_id", recall).count()
+    assert copies(0.99) < 0.5 * copies(1.0)
+    assert embed.dealt_blocks(df, 0.3, "user_id", 0.99).where("bucket is not null").count() == 0  # buckets would not pay
+
+
+def test_buckets_grow_in_proportion(spark):
+    sizes = spark.createDataFrame([(n,) for n in (1_000, 100_000, 1_000_000, 100_000_000)], "total long")
+    bits, tables = embed._bucket_plan(F.col("total"), 0.95, 0.99)
+    got = [(r["b"], r["t"]) for r in sizes.select(bits.alias("b"), tables.alias("t")).collect()]
+    assert got[0][1] == 0 and got[2][1] < 20 and got[3][1] < 60 < 1_000_000 / embed.BLOCK
 
 
 def test_clusters(spark):
