@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weft.functions import geometry
 from weft.operators import assistant, checks, detect, embed, evaluate, garments, images, outfits, planner, ranks, stages, wardrobe, zeroshot
 from weft.sources import io
-from weft.streaming import streams
+from weft.streaming import counters, streams
 
 
 def eval_row(id_, n_items=1, no_clothing=False, truth=None, pred=None, confidence=0.8, attempts=1):
@@ -202,22 +202,93 @@ def test_results_flatten(spark, tmp_path):
     assert {(r["label"], r["score"]) for r in io.predictions_long(flat).collect()} == {("dress", 0.9), ("skirt", 0.1)}
 
 
-def test_streams(spark, tmp_path):
-    src = tmp_path / "src"
-    rows = [(1, "2024-01-01 10:00:00"), (1, "2024-01-02 10:00:00"), (2, "2024-01-01 11:00:00")]
-    spark.createDataFrame(rows, "item_id int, worn_at string").withColumn("worn_at", F.col("worn_at").cast("timestamp")).coalesce(1).write.parquet(str(src))
-    live = spark.readStream.schema("item_id int, worn_at timestamp").parquet(str(src))
-    streams.keep_counters(streams.wear_counter_stream(live), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r["item_id"]: r["times_worn"] for r in streams.current_counters(spark.read.parquet(str(tmp_path / "out"))).collect()}
-    assert got == {1: 2, 2: 1}
-    calls = live.select(F.lit("view").alias("endpoint"), F.col("worn_at").alias("created_at"), F.lit(3).alias("tokens"))
-    q = streams.usage_windows(calls, "1 hour").writeStream.outputMode("complete").format("memory").queryName("usage").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+def timed(spark, rows, schema, column):
+    return spark.createDataFrame(rows, schema).withColumn(column, F.col(column).cast("timestamp"))
+
+
+def arrive(spark, folder, rows):
+    timed(spark, rows, "item_id int, worn_at string", "worn_at").coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def run_counters(spark, folder):
+    live = spark.readStream.schema("item_id int, worn_at timestamp").parquet(str(folder / "in"))
+    counters.keep_counters(streams.wear_counter_stream(live), str(folder / "table"), str(folder / "cp")).awaitTermination()
+    return {r["item_id"]: (r["times_worn"], f"{r['last_worn_at']:%d %H}") for r in counters.current_counters(spark, str(folder / "table")).collect()}
+
+
+def test_counters_are_merged_into_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counters, "COMPACT", 3)
+    src, table = tmp_path / "in", str(tmp_path / "table")
+    arrive(spark, src, [(1, "2024-01-01 10:00:00"), (1, "2024-01-02 10:00:00"), (2, "2024-01-01 11:00:00")])
+    assert run_counters(spark, tmp_path) == {1: (2, "02 10"), 2: (1, "01 11")}
+    arrive(spark, src, [(1, "2024-01-01 12:00:00"), (3, "2024-01-02 08:00:00")])  # late, within the watermark
+    assert run_counters(spark, tmp_path) == {1: (3, "02 10"), 2: (1, "01 11"), 3: (1, "02 08")}
+    before = counters.versions(spark, table)
+    counters.merge_batch(timed(spark, [(1, "2024-01-01 00:00:00", 99, "2024-01-09 00:00:00")], "item_id int, day string, times_worn long, last_worn_at string", "day"), 0, table)  # a replayed batch
+    assert counters.versions(spark, table) == before
+    want, sizes = {1: 3, 2: 1, 3: 1}, []
+    for day in range(3, 28):
+        arrive(spark, src, [(1, f"2024-01-{day:02} 09:00:00"), (4, f"2024-01-{day:02} 10:00:00")])
+        want[1], want[4] = want[1] + 1, want.get(4, 0) + 1
+        got = run_counters(spark, tmp_path) if day % 6 == 0 or day == 27 else None
+        if got:
+            assert {k: v[0] for k, v in got.items()} == want
+            sizes.append(sum(1 for f in (tmp_path / "table").rglob("*.parquet")))
+    assert max(sizes) <= 2 * (3 + 4) and len(counters.versions(spark, table)) == 2  # files stay bounded
+    arrive(spark, src, [(2, "2024-01-01 11:30:00")])  # past the watermark: dropped
+    assert run_counters(spark, tmp_path)[2] == (1, "01 11")
+    items = spark.createDataFrame([(1, 7), (9, 7)], "item_id int, times_worn int")
+    assert {r["item_id"]: r["times_worn"] for r in counters.counted_items(items, counters.current_counters(spark, table)).collect()} == {1: want[1], 9: 0}
+
+
+def test_counters_close_days_and_keep_the_version_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counters, "COMPACT", 2)
+    path = str(tmp_path / "t")
+    batch = lambda *rows: timed(spark, rows, "item_id int, day string, times_worn long, last_worn_at string", "day").withColumn("last_worn_at", F.col("last_worn_at").cast("timestamp"))
+    counters.merge_batch(batch((1, "2024-01-01", 2, "2024-01-01 10:00:00"), (1, "2024-01-05", 1, "2024-01-05 10:00:00")), 0, path)
+    counters.merge_batch(batch((1, "2024-01-05", 4, "2024-01-05 12:00:00"), (2, "2024-01-06", 1, "2024-01-06 01:00:00")), 1, path)
+    state = counters.manifest(spark, path, 1)
+    rows = {(r["item_id"], r["day"] is None): r["times_worn"] for r in spark.read.parquet(f"{path}/{state['base']}").collect()}
+    assert rows == {(1, True): 2, (1, False): 4, (2, False): 1} and state["changes"] == []
+    assert {r["item_id"]: r["times_worn"] for r in counters.current_counters(spark, path, 0).collect()} == {1: 3}
+    assert {r["item_id"]: r["times_worn"] for r in counters.current_counters(spark, path).collect()} == {1: 6, 2: 1}
+    with pytest.raises(RuntimeError, match="another job"):
+        counters._publish(spark, path, 1, state)
+    with pytest.raises(ValueError, match="no wear counters"):
+        counters.current_counters(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("slide", [None, "30 minutes"])
+def test_usage_windows_in_append_mode(spark, tmp_path, slide):
+    calls = lambda rows: timed(spark, rows, "endpoint string, tokens long, created_at string", "created_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    (tmp_path / "in").mkdir()
+    live = spark.readStream.schema("endpoint string, tokens long, created_at timestamp").parquet(str(tmp_path / "in"))
+
+    def run():
+        q = streams.usage_windows(live, "1 hour", slide, "2 hours").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {(f"{r['start']:%H:%M}", r["endpoint"]): (r["calls"], r["tokens"]) for r in spark.read.schema("start timestamp, endpoint string, calls long, tokens long").parquet(str(tmp_path / "out")).collect()}
+
+    calls([("a", 1, "2024-01-01 10:10:00"), ("a", 2, "2024-01-01 10:40:00"), ("b", 5, "2024-01-01 10:20:00")])
+    assert run() == {}  # no window has ended two hours ago
+    calls([("a", 4, "2024-01-01 10:50:00"), ("a", 1, "2024-01-01 13:05:00")])  # late within the watermark, and what closes 10 to 11
+    first = run()
+    assert first[("10:00", "a")] == (3, 7) and first[("10:00", "b")] == (1, 5) and not any(k[0] >= "11:00" for k in first)
+    assert (first.get(("09:30", "a")), first.get(("10:30", "a"))) == (((1, 1), None) if slide else (None, None))
+    calls([("a", 100, "2024-01-01 10:30:00"), ("a", 1, "2024-01-01 18:00:00")])  # past the watermark
+    last = run()
+    assert last[("10:00", "a")] == (3, 7) and last[("13:00", "a")] == (1, 1) and ("18:00", "a") not in last
+    if slide:  # this window was still open: it ends at 11:30, the watermark was at 11:05
+        assert last[("10:30", "a")] == (3, 106) and last[("09:30", "a")] == (1, 1)
+
+
+def test_intake_is_idempotent(spark, tmp_path):
+    rows = [("same", "2024-01-01 10:00:00"), ("same", "2024-01-01 11:00:00"), ("other", "2024-01-01 11:00:00")]
+    timed(spark, rows, "request_id string, received_at string", "received_at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("request_id string, received_at timestamp").parquet(str(tmp_path / "in"))
+    q = streams.unique_results(live).writeStream.outputMode("append").format("memory").queryName("intake").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("usage").agg(F.sum("calls")).first()[0] == 3
-    results = live.select(F.lit("same").alias("request_id"), F.col("worn_at").alias("received_at"))
-    q = streams.unique_results(results).writeStream.outputMode("append").format("memory").queryName("intake").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("intake").count() == 1
+    assert sorted(r["request_id"] for r in spark.table("intake").collect()) == ["other", "same"]
 
 
 def test_annotations_join_results(spark):

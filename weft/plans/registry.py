@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.plans.fixtures import with_views
 
-MODULES = ["garments", "detection", "evaluation", "wardrobe", "outfits", "planner"]
+MODULES = ["garments", "detection", "evaluation", "wardrobe", "outfits", "planner", "streams"]
 
 
 def _all() -> dict:

@@ -47,15 +47,22 @@ def delete(spark: SparkSession, folder: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A `stored` whose tables are deleted at the end of the block; what leaves the block is stored outside of it."""
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A new folder that is deleted at the end of the block."""
     folder = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     try:
-        yield lambda df: written(df, f"{folder}/{uuid.uuid4().hex}")
+        yield folder
     finally:
         delete(spark, folder)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A `stored` whose tables are deleted at the end of the block; what leaves the block is stored outside of it."""
+    with scratch_folder(spark) as folder:
+        yield lambda df: written(df, f"{folder}/{uuid.uuid4().hex}")
+
+
 def join_same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """left.join(right, by, how) in which nulls of a key are equal."""
     renamed = right.withColumnsRenamed({c: f"_same_{c}" for c in by})

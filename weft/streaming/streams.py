@@ -4,32 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def wear_counter_stream(wears: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """item_id, times_worn, last_worn_at per day, to be merged; wears of the watermark's span still count."""
+    """item_id, day, times_worn, last_worn_at, to be merged into a table of counters; wears of the watermark's span still count."""
     timed = wears.withColumn("worn_at", F.col("worn_at").cast("timestamp")).withWatermark("worn_at", watermark)
     return timed.groupBy("item_id", F.window("worn_at", "1 day")).agg(F.count(F.lit(1)).alias("times_worn"), F.max("worn_at").alias("last_worn_at")).select("item_id", F.col("window.start").alias("day"), "times_worn", "last_worn_at")
 
 
-def keep_counters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Runs the stream over what is there; every batch is written under its own id, so that a repeated batch replaces itself."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-
-
-def current_counters(written: DataFrame) -> DataFrame:
-    """item_id, times_worn, last_worn_at from all batches: the latest state of each day, summed."""
-    days = written.groupBy("item_id", "day").agg(F.max_by(F.struct("times_worn", "last_worn_at"), "batch").alias("s"))
-    return days.groupBy("item_id").agg(F.sum("s.times_worn").alias("times_worn"), F.max("s.last_worn_at").alias("last_worn_at"))
-
-
 def usage_windows(calls: DataFrame, size: str = "1 hour", slide: str | None = None, watermark: str = "1 day") -> DataFrame:
-    """start, endpoint, calls, tokens for each window (sliding if `slide` is given); later rows are dropped."""
+    """start, endpoint, calls, tokens for each window (sliding if `slide` is given).
+
+    In append mode a window comes once, when the watermark has passed its end; rows that come later are dropped.
+    """
     timed = calls.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", watermark)
     window = F.window("created_at", size, slide) if slide else F.window("created_at", size)
     return timed.groupBy(window, "endpoint").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens")).select(F.col("window.start").alias("start"), "endpoint", "calls", "tokens")
