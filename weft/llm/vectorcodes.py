@@ -38,6 +38,8 @@ from weft.llm.common import BROADCAST_WIDE, Memo, arrow_map, scratch, small_batc
 
 #: Steps of a component of 1; least size of an integer component that is too large; levels of the grid, over so many standard deviations on either side.
 STEPS, TOO_LARGE, LEVELS, REACH = 1024, 1 << 27, 16, 4.0
+#: What the greatest distance of a box is raised by, for sums in floats.
+SLACK = 1e-4
 #: Parts into which the rows of a label are dealt.
 SALTS = 16
 
@@ -72,17 +74,17 @@ class Cells:
         high, at = low + grid.width - 1, book.T[:, None, :]
         near = np.maximum(np.maximum(low - at, at - high), 0).astype(np.float64) ** 2
         far = np.maximum(np.abs(at - low), np.abs(at - high)).astype(np.float64) ** 2
-        self.table = np.concatenate([near, far], axis=2).reshape(-1, 2 * len(book))  # (dimension, level) x (least of entries, greatest)
+        self.table = np.concatenate([near, far], axis=2).reshape(-1, 2 * len(book)).astype(np.float32)  # (dimension, level) x (least of entries, greatest)
         self.all = np.arange(len(book), dtype=np.uint16)
         self.memo = Memo(None)
 
     def _learn(self, cells: np.ndarray, keys: list[bytes]) -> None:
         """Puts the entries that no other dominates across each cell's box into the memo."""
-        hot = np.zeros((len(cells), self.table.shape[0]))
+        hot = np.zeros((len(cells), self.table.shape[0]), np.float32)
         hot[np.arange(len(cells))[:, None], np.arange(cells.shape[1]) * LEVELS + cells] = 1
         both = hot @ self.table
         near, far = both[:, : len(self.book)], both[:, len(self.book) :]
-        open_ = near <= far.min(axis=1, keepdims=True) * (1 + 1e-9)
+        open_ = near <= far.min(axis=1, keepdims=True) * np.float32(1 + SLACK)
         for key, row in zip(keys, open_):
             self.memo.remember(key, np.flatnonzero(row).astype(np.uint16))
 
