@@ -1,6 +1,8 @@
 """Operators on a few literal rows."""
 
 import json
+import math
+import random
 import struct
 import zlib
 
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import geometry
-from weft.operators import assistant, checks, detect, embed, evaluate, garments, images, outfits, planner, ranks, stages, wardrobe, zeroshot
+from weft.operators import assistant, bestoutfits, checks, detect, embed, evaluate, garments, images, outfits, pages, planner, ranks, stages, wardrobe, zeroshot
 from weft.sources import io
 from weft.streaming import counters, streams
 
@@ -117,10 +119,93 @@ def test_search_and_pages(spark):
     df = spark.createDataFrame([(1, "White tee", "white", "casual", "top"), (2, "Boots", "brown", None, "shoes"), (3, "Sneaker", "white", "sporty", "shoes")], "item_id int, name string, color string, style string, category string")
     assert [r["item_id"] for r in wardrobe.search_items(df, " WHITE ").orderBy("item_id").collect()] == [1, 3]
     assert [r["item_id"] for r in wardrobe.search_items(df, "brown", "shoes").collect()] == [2]
-    rows, info = wardrobe.page_of(df, ["item_id"], 2, 2)
+    rows, info = pages.page_of(df, ["item_id"], 2, 2)
     assert (rows.count(), info["total_pages"], info["has_next"]) == (1, 2, False)
 
 
+def test_pages_are_slices_of_the_order(spark, monkeypatch):
+    monkeypatch.setattr(pages, "SORTED_ROWS", 40)
+    monkeypatch.setattr(pages, "CUTS", 5)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "c", "d"]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, i int").withColumn("range", F.lit(1)).repartition(4)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    for page in (1, 7, 20, 45, 46):
+        got, info = pages.page_of(df, ["k", "i"], page, 20)
+        assert [(r["k"], r["i"]) for r in got.collect()] == ordered[20 * (page - 1) : 20 * page] and info["total_pages"] == 45
+    for at in (None, 0, 300, 880, 899):
+        last = None if at is None else ordered[at]
+        begin = 0 if at is None else at + 1
+        assert [(r["k"], r["i"]) for r in pages.page_after(df, ["k", "i"], last, 30).collect()] == ordered[begin : begin + 30]
+    found, before = pages.range_of_page(df, ["k", "i"], 500, 520, 900)
+    assert found.count() < 250 and before <= 500  # what lies before the page is not put in order
+    assert pages.page_of(df.where("false"), ["k", "i"])[0].count() == 0
+
+
+def test_a_page_far_into_a_table_reads_one_range(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "id * 3 AS v").repartitionByRange(20, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = pages.page_after(df, ["id"], (150_000,), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), GreaterThanOrEqual(id,150000)]" in plan and "TakeOrderedAndProject" in plan
+    assert [r["id"] for r in pages.page_of(df, ["id"], 100_000 // 50 + 1, 50)[0].collect()] == list(range(100_000, 100_050))
+
+
+def test_capsule_is_the_best_choice(spark):
+    rng = random.Random(5)
+    trips = [[rng.randrange(6) for _ in range(4)] for _ in range(40)] + [[9, 9, 9, 0], [0, 9, 9, 3], [0, 0, 9, 9], [0, 0, 0, 2], [1, 9, 2, 0]]
+    rows, n = [], 0
+    for trip, sizes in enumerate(trips):
+        for slot, size in zip(("top", "bottom", "shoes", "hat"), sizes):
+            for _ in range(size):
+                rows.append((trip if trip else None, n, slot, -n % 7))
+                n += 1
+    df = spark.createDataFrame(rows, "trip int, item_id int, slot string, price int")
+    for limit in (3, 7, 8, 9, 100):
+        got = {r["trip"]: r for r in planner.capsule(df, limit, ["price"]).collect()}
+        for trip, (t, b, s, h) in enumerate(trips):
+            fits = [(x, y, z) for x in range(t + 1) for y in range(b + 1) for z in range(s + 1) if x + y + z <= limit]
+            worth = lambda c, own=(t, b, s): (math.prod(x for x, n in zip(c, own) if n), c)
+            best = max(fits, key=worth)
+            r = got.get(trip or None)
+            if sum((t, b, s, h)):
+                assert (r["tops"], r["bottoms"], r["shoes"]) == best and r["outfits"] == math.prod(best), (trip, limit)
+                assert r["items"] == min(limit, sum(best) + h)
+    packed = planner.pack_capsule(df, 8, ["price"]).where("slot = 'top'").collect()
+    for trip, (t, *_) in enumerate(trips):
+        own = sorted((r[3], r[1]) for r in rows if r[0] == (trip or None) and r[2] == "top")
+        taken = sorted(r["item_id"] for r in packed if r["trip"] == (trip or None))
+        assert taken == sorted(i for _, i in own[: len(taken)])
+    assert planner.capsule(df).where("trip = 40").first()["outfits"] == 729
+
+
+def test_best_outfits_equal_the_full_product(spark):
+    rng = random.Random(8)
+    families, styles = ["blue", "yellow", "black", "red", "purple", None], ["casual", "formal", None]
+    rows = []
+    for user in range(4):
+        for i in range(75 if user == 0 else rng.randrange(25)):
+            rows.append((user, 1000 * user + i, rng.choice(["top", "bottom", "shoes", "hat"]), rng.choice(["active"] * 9 + ["archived"]), rng.choice(families), rng.choice(styles), rng.choice([0, 50, 50, 80, 100, None])))
+    df = spark.createDataFrame(rows, "user_id int, item_id int, slot string, status string, color_family string, style string, value int")
+    harmony = lambda a, b: 10 if a == b else 8 if "black" in (a, b) else 0 if {a, b} in ({"blue", "yellow"}, {"purple", "yellow"}) else 5
+    for k in (1, 12):
+        got = {}
+        for r in bestoutfits.best_outfits(df, k).orderBy("user_id", "rank").collect():
+            got.setdefault(r["user_id"], []).append((r["points"], r["top"], r["bottom"], r["shoes"], r["score"]))
+        want = {}
+        for user in range(4):
+            t, b, s = ([(r[1], r[4] or "", r[5] or "", r[6] or 0) for r in rows if r[0] == user and r[2] == slot and r[3] == "active"] for slot in ("top", "bottom", "shoes"))
+            made = []
+            for x in t:
+                for y in b:
+                    for z in s:
+                        alike = 4 - len({x[2], y[2], z[2]})
+                        points = 160 * (harmony(x[1], y[1]) + harmony(x[1], z[1]) + harmony(y[1], z[1])) + 1300 * alike + 25 * (x[3] + y[3] + z[3])
+                        made.append((-points, x[0], y[0], z[0]))
+            if made:
+                want[user] = [(-p, x, y, z, math.floor(-p * 100 / 16200 + 0.5)) for p, x, y, z in sorted(made)[:k]]
+        assert got == want
+
+
 def test_duplicates_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(80, 8))

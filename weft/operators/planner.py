@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.storage import join_same
+
 
 def weather_as_of(events: DataFrame, snapshots: DataFrame, by: str = "user_id", days: int = 31) -> DataFrame:
     """Each event with the newest snapshot of its user at or before its start (temperature_c, captured_at; null if none).
@@ -62,13 +64,51 @@ def trip_days(trips: DataFrame) -> DataFrame:
     return trips.select("user_id", "trip_no", F.posexplode(F.sequence("starts_on", "ends_on")).alias("k", "day")).select("user_id", "trip_no", "day", (F.col("k") + 1).alias("day_no"))
 
 
-def capsule(packed: DataFrame, limit: int | None = None) -> DataFrame:
-    """trip, tops, bottoms, shoes, items, outfits (their product) from packed items (trip, item_id, slot); the first `limit` items count."""
+#: Slots that make an outfit, in the order in which they get what can't be dealt evenly, and the columns of their counts.
+SLOTS = {"top": "tops", "bottom": "bottoms", "shoes": "shoes"}
+
+
+def even_counts(have: dict[str, Column], limit: Column) -> dict[str, Column]:
+    """How many of each slot to take, so that their product is greatest with at most `limit` in all.
+
+    The product of numbers with a given sum grows the more even they are, so all slots are filled to one level as far as they reach;
+    what is left, fewer than there are slots above the level, goes to these in order.  A slot without items leaves its share to the others.
+    """
+    low, middle, high = (F.sort_array(F.array(*have.values()))[i] for i in range(3))
+    two = F.floor((limit - low) / 2)
+    level = F.when(limit >= low + middle + high, high).when(F.floor(limit / 3) < low, F.floor(limit / 3)).when(two < middle, two).otherwise(limit - low - middle)
+    taken = {s: F.least(n, level) for s, n in have.items()}
+    left = limit - sum(taken.values())
+    out, above = {}, F.lit(0)
+    for slot, n in have.items():
+        above = above + (n > level).cast("int")
+        out[slot] = (taken[slot] + F.when((n > level) & (above <= left), 1).otherwise(0)).cast("long")
+    return out
+
+
+def pack_capsule(packed: DataFrame, limit: int, order: list[str] | None = None) -> DataFrame:
+    """The items of `packed` (trip, item_id, slot) that go into each trip's luggage: at most `limit`, chosen so that they make the most outfits.
+
+    Of each slot the first items in `order` (by id if none is given) are taken; items of other slots fill what is left.
+    """
+    counts = packed.groupBy("trip").agg(*[F.count_if(F.col("slot") == s).alias(f"n_{n}") for s, n in SLOTS.items()])
+    chosen = even_counts({s: F.col(f"n_{n}") for s, n in SLOTS.items()}, F.lit(limit))
+    plan = counts.select("trip", *[c.alias(f"take_{SLOTS[s]}") for s, c in chosen.items()])
+    plan = plan.withColumn("take_other", F.lit(limit) - sum(F.col(f"take_{n}") for n in SLOTS.values()))
+    kind = F.when(F.col("slot").isin([*SLOTS]), F.col("slot")).otherwise(F.lit("other"))
+    w = Window.partitionBy("trip", "kind").orderBy(*(order or []), "item_id")
+    ranked = packed.withColumn("kind", kind).withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
+    take = F.col("take_other")
+    for slot, name in SLOTS.items():
+        take = F.when(F.col("kind") == slot, F.col(f"take_{name}")).otherwise(take)
+    return join_same(ranked, plan, ["trip"]).where(F.col("r") <= take).select(*packed.columns)
+
+
+def capsule(packed: DataFrame, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """trip, tops, bottoms, shoes, items, outfits (their product) from packed items (trip, item_id, slot), or from those that `pack_capsule` takes."""
     if limit is not None:
-        w = Window.partitionBy("trip").orderBy("item_id")
-        packed = packed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
-    counts = {"tops": "top", "bottoms": "bottom", "shoes": "shoes"}
-    out = packed.groupBy("trip").agg(*[F.count_if(F.col("slot") == s).alias(n) for n, s in counts.items()], F.count(F.lit(1)).alias("items"))
+        packed = pack_capsule(packed, limit, order)
+    out = packed.groupBy("trip").agg(*[F.count_if(F.col("slot") == s).alias(n) for s, n in SLOTS.items()], F.count(F.lit(1)).alias("items"))
     return out.withColumn("outfits", F.col("tops") * F.col("bottoms") * F.col("shoes"))
 
 

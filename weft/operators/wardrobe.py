@@ -74,14 +74,6 @@ def search_items(items: DataFrame, query: str = "", category: str = "All") -> Da
     return found if category == "All" else found.where(F.col("category") == category)
 
 
-def page_of(df: DataFrame, order: list, page: int = 1, limit: int = 20) -> tuple[DataFrame, dict]:
-    """Rows of one page in a total order, and total, total_pages, has_next; page is at least 1, limit from 1 to 100."""
-    page, limit = max(1, page), min(100, max(1, limit))
-    total = df.count()
-    pages = -(-total // limit)
-    return df.orderBy(*order).offset((page - 1) * limit).limit(limit), {"page": page, "limit": limit, "total": total, "total_pages": pages, "has_next": page < pages}
-
-
 def active_items(items: DataFrame) -> DataFrame:
     return items.where(F.col("status") == "active")
 

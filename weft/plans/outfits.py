@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.operators import bestoutfits as B
 from weft.operators import outfits as O
 from weft.operators import shopping as S
 from weft.operators.wardrobe import wear_counters
@@ -75,6 +76,12 @@ def recommendations(spark, d):
     return O.recommend(scored, "1997-01-01 00:00:00").select("user_id", "outfit_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def best_outfits(spark, d):
+    """The twelve best of all combinations of each user's items, none left out; an item's own value is made of its warmth and price."""
+    items = view(spark, d, "items").withColumn("value", F.expr("(warmth * 7 + CAST(floor(price) AS BIGINT)) % 101"))
+    return B.best_outfits(items)
+
+
 def candidate_outfits(spark, d):
     """The operator's own limit, the cheapest items first; the combinations are many, so they are told by user and top."""
     made = O.candidate_outfits(view(spark, d, "items"), order=[F.col("price")])
@@ -141,6 +148,9 @@ fac AS (SELECT outfit_id, 'color_harmony' AS factor, value FROM harm UNION ALL S
 rounded AS (SELECT outfit_id, factor, round(value, 5) AS value, CASE factor WHEN 'color_harmony' THEN 0.16 WHEN 'style_compatibility' THEN 0.13 WHEN 'personal_preference' THEN 0.14 WHEN 'recent_usage' THEN 0.06 WHEN 'wardrobe_availability' THEN 0.05 ELSE 0.03 END AS k FROM fac),
 score AS (SELECT outfit_id, CAST(floor(round(100 * sum(CAST(k AS DOUBLE) * value) / sum(CAST(k AS DOUBLE)), 9) + 0.5) AS INT) AS score FROM rounded WHERE value IS NOT NULL GROUP BY 1)"""
 
+#: Tenths of harmony of two families.
+_HARMONY = "CASE WHEN {a} = {b} THEN 10 WHEN {a} IN ('black', 'white', 'gray', 'beige') OR {b} IN ('black', 'white', 'gray', 'beige') THEN 8 WHEN {a} || '-' || {b} IN ('blue-yellow', 'yellow-blue', 'purple-yellow', 'yellow-purple') THEN 0 ELSE 5 END"
+
 QUERIES = {
     outfit_completeness: """SELECT outfit_id, concat_ws(',', CASE WHEN count(*) FILTER (slot = 'top') = 0 THEN 'top' END, CASE WHEN count(*) FILTER (slot = 'bottom') = 0 THEN 'bottom' END, CASE WHEN count(*) FILTER (slot = 'shoes') = 0 THEN 'shoes' END) AS missing,
       count(DISTINCT slot) FILTER (slot IN ('top', 'bottom', 'shoes')) = 3 AS complete FROM outfit_items GROUP BY 1""",
@@ -152,6 +162,14 @@ QUERIES = {
     match_scores: f"WITH {_ALL} SELECT outfit_id, score FROM score",
     recommendations: f"""WITH {_ALL}, r AS (SELECT o.user_id, o.outfit_id, s.score, row_number() OVER (PARTITION BY o.user_id ORDER BY s.score DESC, o.outfit_id) AS rank FROM score s JOIN outfits o ON o.outfit_id = s.outfit_id
       WHERE s.score >= 55 AND CAST(o.created_at AS DATE) + 400 > TIMESTAMP '1997-01-01') SELECT * FROM r WHERE rank <= 12""",
+    best_outfits: f"""WITH i AS (SELECT user_id, item_id, slot, color_family AS f, style AS s, (warmth * 7 + CAST(floor(price) AS BIGINT)) % 101 AS v FROM items WHERE status = 'active' AND slot IN ('top', 'bottom', 'shoes')),
+      c AS (SELECT t.user_id, t.item_id AS top, b.item_id AS bottom, h.item_id AS shoes, t.v + b.v + h.v AS own,
+        {_HARMONY.format(a='t.f', b='b.f')} + {_HARMONY.format(a='t.f', b='h.f')} + {_HARMONY.format(a='b.f', b='h.f')} AS harmony,
+        CASE WHEN t.s = b.s AND b.s = h.s THEN 3 WHEN t.s = b.s OR t.s = h.s OR b.s = h.s THEN 2 ELSE 1 END AS alike
+        FROM i t JOIN i b ON b.user_id = t.user_id AND b.slot = 'bottom' JOIN i h ON h.user_id = t.user_id AND h.slot = 'shoes' WHERE t.slot = 'top'),
+      p AS (SELECT user_id, top, bottom, shoes, CAST(160 * harmony + 1300 * alike + 25 * own AS BIGINT) AS points FROM c),
+      r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY points DESC, top, bottom, shoes) AS place FROM p)
+      SELECT user_id, top, bottom, shoes, points, CAST(floor(points * 100 / 16200.0 + 0.5) AS INT) AS score, CAST(place AS INT) AS rank FROM r WHERE place <= 12""",
     candidate_outfits: """WITH f AS (SELECT user_id, item_id, slot, row_number() OVER (PARTITION BY user_id, slot ORDER BY price, item_id) AS r FROM items WHERE status = 'active' AND slot IN ('top', 'bottom', 'shoes')),
       p AS (SELECT * FROM f WHERE r <= 40), b AS (SELECT user_id, count(*) AS n, sum(item_id) AS s FROM p WHERE slot = 'bottom' GROUP BY 1), c AS (SELECT user_id, count(*) AS n, sum(item_id) AS s FROM p WHERE slot = 'shoes' GROUP BY 1)
       SELECT p.user_id, p.item_id AS top, b.n * c.n AS n, b.n AS bottoms, CAST(b.s * c.n AS BIGINT) AS bottom_sum, c.n AS pairs, CAST(c.s * b.n AS BIGINT) AS shoe_sum FROM p JOIN b ON b.user_id = p.user_id JOIN c ON c.user_id = p.user_id WHERE p.slot = 'top'""",

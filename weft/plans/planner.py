@@ -41,6 +41,18 @@ def capsules(spark, d):
     return P.capsule(packed, 8)
 
 
+def capsule_choice(spark, d):
+    """Trips of up to 24 items of a user, of which nine go into the luggage."""
+    packed = view(spark, d, "items").select(F.expr("item_id div 1200 * 50 + user_id").alias("trip"), "item_id", "slot")
+    return P.capsule(packed, 9)
+
+
+def capsule_items(spark, d):
+    """The nine items themselves, the warmest of each slot first."""
+    packed = view(spark, d, "items").select(F.expr("item_id div 1200 * 50 + user_id").alias("trip"), "item_id", "slot", (-F.col("warmth")).alias("cold"))
+    return P.pack_capsule(packed, 9, ["cold"]).select("trip", "item_id", "slot")
+
+
 def _plans(spark, d):
     """Three outfits for each event that has a reminder; the others have no plan."""
     return view(spark, d, "calendar_events").where("remind_enabled").select("event_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select("event_id", (F.col("event_id") * 10 + F.col("k")).alias("outfit_id"), (F.col("event_id") * F.col("k") % 7).alias("score"))
@@ -92,6 +104,15 @@ def identity_keys(spark, d):
     return c.select("c_custkey", text.identity_key(email, phone, F.lit("apple"), F.col("c_name")).alias("key"))
 
 
+#: Every choice of counts that fits, the best one first; then items by rank.
+_CHOICE = """p AS (SELECT item_id // 1200 * 50 + user_id AS trip, item_id, slot, warmth, CASE WHEN slot IN ('top', 'bottom', 'shoes') THEN slot ELSE 'other' END AS kind FROM items),
+      have AS (SELECT trip, count(*) FILTER (slot = 'top') AS t, count(*) FILTER (slot = 'bottom') AS b, count(*) FILTER (slot = 'shoes') AS s FROM p GROUP BY trip),
+      ways AS (SELECT trip, x, y, z, row_number() OVER (PARTITION BY trip ORDER BY (CASE WHEN t > 0 THEN x ELSE 1 END) * (CASE WHEN b > 0 THEN y ELSE 1 END) * (CASE WHEN s > 0 THEN z ELSE 1 END) DESC, x DESC, y DESC, z DESC) AS place
+        FROM have, range(10) a(x), range(10) b(y), range(10) c(z) WHERE x <= t AND y <= b AND z <= s AND x + y + z <= 9),
+      best AS (SELECT * FROM ways WHERE place = 1),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY trip, kind ORDER BY warmth DESC, item_id) AS r FROM p),
+      taken AS (SELECT r.* FROM ranked r JOIN best USING (trip) WHERE r.r <= CASE kind WHEN 'top' THEN x WHEN 'bottom' THEN y WHEN 'shoes' THEN z ELSE 9 - x - y - z END)"""
+
 QUERIES = {
     weather_as_of: "SELECT e.event_id, strftime(w.captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at FROM calendar_events e ASOF LEFT JOIN weather_snapshots w ON e.user_id = w.user_id AND e.starts_at >= w.captured_at",
     due_reminders: f"SELECT event_id FROM calendar_events WHERE remind_enabled AND NOT reminder_sent AND starts_at - to_minutes(reminder_minutes_before) <= TIMESTAMP '{NOW}' AND starts_at > TIMESTAMP '{NOW}'",
@@ -101,6 +122,9 @@ QUERIES = {
     trip_days: "SELECT user_id, trip_no, CAST(CAST(starts_on + CAST(k AS INT) AS DATE) AS VARCHAR) AS day, CAST(k + 1 AS INT) AS day_no FROM (SELECT *, unnest(range(date_diff('day', starts_on, ends_on) + 1)) AS k FROM trips)",
     capsules: """WITH p AS (SELECT item_id // 400 * 50 + user_id AS trip, slot, row_number() OVER (PARTITION BY item_id // 400 * 50 + user_id ORDER BY item_id) AS r FROM items),
       c AS (SELECT trip, count(*) FILTER (slot = 'top') AS tops, count(*) FILTER (slot = 'bottom') AS bottoms, count(*) FILTER (slot = 'shoes') AS shoes, count(*) AS items FROM p WHERE r <= 8 GROUP BY 1) SELECT *, tops * bottoms * shoes AS outfits FROM c""",
+    capsule_choice: f"""WITH {_CHOICE}, c AS (SELECT trip, count(*) FILTER (slot = 'top') AS tops, count(*) FILTER (slot = 'bottom') AS bottoms, count(*) FILTER (slot = 'shoes') AS shoes, count(*) AS items FROM taken GROUP BY trip)
+      SELECT *, tops * bottoms * shoes AS outfits FROM c""",
+    capsule_items: f"WITH {_CHOICE} SELECT trip, item_id, slot FROM taken",
     plan_calendar: """WITH p AS (SELECT event_id, event_id * 10 + k AS outfit_id, row_number() OVER (PARTITION BY event_id ORDER BY event_id * k % 7 DESC, k) AS r FROM calendar_events, range(1, 4) t(k) WHERE remind_enabled)
       SELECT e.event_id, p.outfit_id FROM calendar_events e LEFT JOIN p ON p.event_id = e.event_id AND p.r = 1""",
     unplanned_events: "SELECT event_id FROM calendar_events WHERE NOT remind_enabled",

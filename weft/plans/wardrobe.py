@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import text
+from weft.operators import pages
 from weft.operators import wardrobe as W
 from weft.plans.fixtures import view
 
@@ -59,10 +60,24 @@ def item_search_category(spark, d):
 
 
 def item_page(spark, d):
-    rows, info = W.page_of(view(spark, d, "items"), ["user_id", "item_id"], 3, 25)
+    rows, info = pages.page_of(view(spark, d, "items"), ["user_id", "item_id"], 3, 25)
     return rows.select("item_id", F.lit(info["total"]).cast("long").alias("total"), F.lit(info["has_next"]).alias("has_next"))
 
 
+def wear_event_page(spark, d):
+    """A page in the middle of all wears, by its number; its range is found without sorting what lies before it."""
+    wears = view(spark, d, "wear_events").select("item_id", "event_id")
+    middle = wears.count() // 2 // 50 + 1
+    return pages.page_of(wears, ["item_id", "event_id"], middle, 50)[0]
+
+
+def wear_event_next_page(spark, d):
+    """The page that follows the latest wear."""
+    wears = view(spark, d, "wear_events").select("item_id", "event_id")
+    last = wears.agg(F.expr("max_by(item_id, event_id)"), F.max("event_id")).first()
+    return pages.page_after(wears, ["item_id", "event_id"], tuple(last), 100)
+
+
 def active_item_counts(spark, d):
     return W.active_items(view(spark, d, "items")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -158,6 +173,8 @@ QUERIES = {
     latest_attributes: """WITH r AS (SELECT event_id % 500 AS item_id, event_type AS name, props AS value, row_number() OVER (PARTITION BY event_id % 500, event_type ORDER BY ts DESC, props DESC) AS k FROM events) SELECT item_id, name, value FROM r WHERE k = 1""",
     item_search: "SELECT item_id, category FROM items WHERE lower(name) LIKE '%bl%' OR lower(color) LIKE '%bl%' OR lower(style) LIKE '%bl%'",
     item_search_category: "SELECT item_id FROM items WHERE category = 'jeans' AND (lower(name) LIKE '%casual%' OR lower(color) LIKE '%casual%' OR lower(style) LIKE '%casual%')",
+    wear_event_page: "WITH r AS (SELECT item_id, event_id, row_number() OVER (ORDER BY item_id, event_id) - 1 AS place, count(*) OVER () AS n FROM wear_events) SELECT item_id, event_id FROM r WHERE place // 50 = n // 2 // 50",
+    wear_event_next_page: "WITH l AS (SELECT item_id AS i, event_id AS e FROM wear_events ORDER BY event_id DESC LIMIT 1) SELECT item_id, event_id FROM wear_events, l WHERE item_id > i OR (item_id = i AND event_id > e) ORDER BY item_id, event_id LIMIT 100",
     item_page: "SELECT item_id, (SELECT count(*) FROM items) AS total, (SELECT count(*) FROM items) > 75 AS has_next FROM items ORDER BY user_id, item_id LIMIT 25 OFFSET 50",
     active_item_counts: "SELECT user_id, count(*) AS n FROM items WHERE status = 'active' GROUP BY 1",
     wear_counters: f"WITH {_COUNT} SELECT i.item_id, coalesce(times_worn, 0) AS times_worn, strftime(last_worn_at, '%Y-%m-%d %H:%M:%S') AS last_worn_at FROM items i LEFT JOIN c ON c.item_id = i.item_id",
