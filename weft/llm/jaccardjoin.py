@@ -8,8 +8,8 @@
    n - ceil(t n) + 1 shingles with the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one,
    whatever the order is; so the estimate decides about cost only.
 3. Token-group matrix: for each of these shingles the groups that have it, with how many members
-   and of what sizes.  A node asks the groups that have one of its first shingles, have members no
-   larger than itself and large enough, and are not itself alone.
+   and of what sizes.  A node asks the groups that have one of its first shingles early enough, with
+   members of fitting size other than itself.
 4. A group holds the union of its members' shingles.  If fewer than t n of a node's shingles are in
    it, no member can be linked and the group stays closed.  An opened group counts the node's shingles
    in all members through lists of members by shingle, and so confirms links on full sets.
@@ -32,16 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import BROADCAST_ROWS, arrow_map, byte_texts, scratch, small_batches, small_enough, stored
-from weft.llm.neardup import SALTS, connected_components, full_sets, linked, shingles
+from weft.llm.neardup import SALTS, connected_components, linked, shingles
 
 #: Shingles of a block of a group, about, and nodes that ask one block in one task.
-BLOCK_SHINGLES, ASKING = 400_000, 4_096
-#: Estimated count from which a shingle is put among the frequent ones.
-FREQUENT = 8
+BLOCK_SHINGLES, ASKING = 200_000, 2_048
+#: More than any text has shingles; a set's size and a place in it are sent as one number.
+PLACES = 1 << 31
+#: Estimated count from which a shingle is put among the frequent ones, and shingles of a task that are counted together.
+FREQUENT, COUNTED = 4, 2_000_000
 
 
 def probe_length(n, percent: int):
@@ -61,21 +63,37 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def signed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """row_id, doc_id, set_key, n, least: one row for each of `docs` (row_id, doc_id, text); the last row of a slice of texts also has `often` and `times`.
+    """row_id, doc_id, set_key, n, least: one row for each of `docs` (row_id, doc_id, text), and rows without `n` that have `often` and `times`.
 
-    These are the shingles that several different sets of the slice have, and in how many.
+    These are the shingles that several different sets of one task have, for every COUNTED shingles of its sets, and in how many.
     """
 
+    def counts(sets: dict[bytes, np.ndarray], doc_type: pa.DataType) -> pa.RecordBatch:
+        token, times = np.unique(np.concatenate([*sets.values()]), return_counts=True)
+        several = times > 1
+        empty = [pa.nulls(1, kind) for kind in (pa.int64(), doc_type, pa.binary(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*empty, _lists([token[several]], pa.int64()), _lists([times[several]], pa.int64())], names)
+
+    names = ["row_id", "doc_id", "set_key", "n", "least", "often", "times"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        size, doc_type = 0, pa.null()
         for batch in (small for big in batches for small in small_batches(big, text_col="text")):
-            sets = shingles([*byte_texts(batch.column("text"))], width)
+            sets, doc_type = shingles([*byte_texts(batch.column("text"))], width), batch.column("doc_id").type
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            token, times = np.unique(np.concatenate([np.empty(0, np.uint64), *dict(zip(keys, sets)).values()]), return_counts=True)
-            empty, several = np.empty(0, np.int64), times > 1
-            often, counts = ([empty] * (len(sets) - 1) + [x] for x in (token[several].view(np.int64), times[several].astype(np.int64)))
             least = pa.array([int(s[:1].view(np.int64)[0]) if len(s) else None for s in sets], pa.int64())
-            columns = [batch.column("row_id"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), least, _lists(often, pa.int64()), _lists(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["row_id", "doc_id", "set_key", "n", "least", "often", "times"])
+            none = pa.nulls(len(sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), least, none, none], names)
+            for key, own in zip(keys, sets):
+                if key is not None and key not in held:
+                    held[key] = own
+                    size += len(own)
+            if size > COUNTED:
+                yield counts(held, doc_type)
+                held, size = {}, 0
+        if held:
+            yield counts(held, doc_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return arrow_map(docs.select("row_id", "doc_id", "text"), run, f"row_id long, doc_id {kind}, set_key binary, n long, least long, often array<long>, times array<long>")
@@ -112,6 +130,19 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
     return arrow_map(docs.select("text"), run, "set_key binary, first array<long>")
 
 
+def wanted_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node, copies, n, members: the full sets of those of `texts` (text, set_key, node, copies) whose set is the node's; a row may share its row_id with another node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (small for big in batches for small in small_batches(big, text_col="text")):
+            sets, keys = shingles([*byte_texts(batch.column("text"))], width), batch.column("set_key").to_pylist()
+            own = [i for i, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == keys[i]]
+            sizes = pa.array([len(sets[i]) for i in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(own, pa.int64())) for c in ("node", "copies")), sizes, _lists([sets[i] for i in own], pa.int64())], ["node", "copies", "n", "members"])
+
+    return arrow_map(texts.select("text", "set_key", "node", "copies"), run, "node long, copies long, n long, members array<long>")
+
+
 class Group:
     """A block of a group: its members' sizes, copies and numbers, and the members that have each shingle of the union."""
 
@@ -144,13 +175,13 @@ class Group:
 def _answers(dealt: DataFrame, percent: int) -> DataFrame:
     """node, links, other: from rows (gid, part, asks, node, n, copies, members) that are together by gid and part, members before what asks them.
 
-    `links` are to be added up by node; `other` is a node that `node` is linked with, or null.
+    Rows that repeat one are next to it and left out.  `links` are to be added up by node; `other` is a node that `node` is linked with, or null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, np.ndarray]] = []
         group: Group | None = None
-        last = None
+        last = before = None
         out: list[tuple[int, int, int | None]] = []
 
         def closed() -> None:
@@ -162,7 +193,10 @@ def _answers(dealt: DataFrame, percent: int) -> DataFrame:
             lists = batch.column("members")
             values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             for i, (gid, part, asks, node, n, copies) in enumerate(zip(*columns)):
-                own = values[at[i] : at[i + 1]]
+                own, now = values[at[i] : at[i + 1]], (gid, part, asks, node)
+                if now == before:
+                    continue
+                before = now
                 if (gid, part) != last:
                     closed()
                     last, group, held = (gid, part), None, []
@@ -203,24 +237,28 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         block = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
         placed = keep(nodes.join(small_enough(keep(sizes)), "least", "left").select("node", "set_key", "row_id", "n", "copies", F.xxhash64("least", block).alias("gid")))
 
-        firsts = prefixes(source, frequent_shingles(signed), width, percent).groupBy("set_key").agg(F.first("first").alias("first"))
-        firsts = keep(firsts.join(placed.select("set_key", "node", "n", "gid"), "set_key").drop("set_key"))
-        rows = firsts.select("node", "n", "gid", F.posexplode("first").alias("pos", "token"))
-        several = keep(rows.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token"))
-        indexed = F.col("pos") < F.expr(f"n + floor(-{2 * percent} * n / {100 + percent}) + 1")
-        rows = keep(rows.join(small_enough(several, wide=False), "token", "left_semi").select("token", "node", "n", "gid", indexed.alias("indexed")))
-        matrix = rows.where("indexed").groupBy("token", "gid").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("from"), F.max("n").alias("to")).withColumnRenamed("gid", "asked")
+        # One shuffle by set brings a text's first shingles together with its node, one by shingle finds those that several nodes have.
+        both = prefixes(source, frequent_shingles(signed), width, percent).select("set_key", "first", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("n"))
+        both = both.union(placed.select("set_key", F.lit(None).cast("array<long>"), "node", "n")).groupBy("set_key").agg(F.first("first", ignorenulls=True).alias("first"), F.max("node").alias("node"), F.max("n").alias("n"))
+        rows = both.select("node", "n", F.posexplode("first").alias("pos", "token")).select("token", "node", (F.col("n") * PLACES + F.col("pos")).alias("np"))
+        rows = keep(rows.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("times > 1").drop("times"))
+        rows = rows.select("token", "node", F.floor(F.col("np") / PLACES).alias("n"), (F.col("np") % PLACES).alias("pos")).join(small_enough(placed.select("node", "gid"), wide=False), "node")
+        rows = rows.withColumn("indexed", F.col("pos") < F.expr(f"n + floor(-{2 * percent} * n / {100 + percent}) + 1"))
+        # The first shingle that two sets share leaves at most n - pos to be shared; `reach` is the largest set that a member can then be linked with.
+        reach = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+        matrix = rows.where("indexed").groupBy("token", "gid").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("from"), F.max("n").alias("to"), F.max(reach).alias("reach")).withColumnRenamed("gid", "asked")
         others = (F.col("asked") != F.col("gid")) | (F.col("times") > F.col("indexed").cast("int"))
-        asking = keep(rows.join(matrix, "token").where(others & (F.col("from") <= F.col("n")) & (F.col("to") * 100 >= F.col("n") * percent)).select("node", F.col("asked").alias("gid")).distinct())
+        sized = (F.col("from") <= F.col("n")) & (F.col("to") * 100 >= F.col("n") * percent) & (F.col("reach") >= F.col("n"))
+        placed_early = (F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.greatest(F.col("from"), F.ceil(F.col("n") * percent / 100)))
+        asking = keep(rows.join(matrix, "token").where(others & sized & placed_early).select("node", F.col("asked").alias("gid")).distinct())
 
         asked = keep(asking.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("parts")))
         base = keep(placed.join(small_enough(asked), "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "node"))
         probes = asking.join(small_enough(asked), "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "node")
         dealt = keep(base.union(probes))
-        wanted = keep(dealt.select("node").distinct().join(placed.select("node", "set_key", "row_id", "n", "copies"), "node"))
-        texts = source.join(small_enough(wanted.select("row_id").distinct(), wide=False), "row_id", "left_semi")
-        sets = keep(full_sets(texts, width).drop("n").join(wanted.drop("row_id"), "set_key").dropDuplicates(["node"]).drop("set_key"))
-        met = dealt.join(sets, "node").repartition("gid", "part").sortWithinPartitions("gid", "part", "asks").select("gid", "part", "asks", "node", "n", "copies", "members")
+        wanted = keep(placed.join(small_enough(keep(dealt.select("node").distinct()), wide=False), "node", "left_semi").select("row_id", "set_key", "node", "copies"))
+        sets = wanted_sets(source.join(small_enough(wanted, wide=False), "row_id"), width)
+        met = sets.join(small_enough(dealt, wide=False), "node").repartition("gid", "part").sortWithinPartitions("gid", "part", "asks", "node").select("gid", "part", "asks", "node", "n", "copies", "members")
         answers = keep(_answers(met, percent))
 
         classes = connected_components(answers.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -232,5 +270,5 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         out = keep(out.select("set_key", F.coalesce("component_id", "least_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
         worded = signed.where("set_key is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_id"), F.lit(SALTS)))
         out = worded.join(out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["set_key", "salt"]).select("doc_id", "n", "component_id", "n_links")
-        out = out.union(signed.where("set_key is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+        out = out.union(signed.where("set_key is null and n is not null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
         return stored(out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links"))
