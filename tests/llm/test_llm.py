@@ -310,7 +310,8 @@ def brute_leaks(texts, items):
                 held = any(words[j : j + len(own)] == own for j in range(len(words)))
             else:
                 seeds = {tuple(own[j : j + 3]) for j in range(len(own) - 2)}
-                held = any(tuple(words[j : j + 3]) in seeds for j in range(len(words) - 2)) and brute_alignment(own, words) >= decontam.MIN_SCORE
+                near = len(own) >= decontam.SHORT or any(tuple(words[j : j + 3]) in seeds for j in range(len(words) - 2))
+                held = near and brute_alignment(own, words) >= decontam.MIN_SCORE
             if held:
                 found.add((i + 1, k))
     return found
@@ -338,6 +339,57 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i + 1 for i in range(len(texts))} - {d for d, _ in brute_leaks(texts, long_items)}
 
 
+EDITS = {
+    "one put in after every second": lambda rng, w: [x for k, y in enumerate(w) for x in ([y, f"new{k}"] if k % 2 else [y])],
+    "one put in after every third": lambda rng, w: [x for k, y in enumerate(w) for x in ([y, f"new{k}"] if k % 3 == 2 else [y])],
+    "every third replaced": lambda rng, w: [f"new{k}" if k % 3 == 2 else y for k, y in enumerate(w)],
+    "every third left out": lambda rng, w: [y for k, y in enumerate(w) if k % 3 != 2],
+    "every fourth replaced": lambda rng, w: [f"new{k}" if k % 4 == 3 else y for k, y in enumerate(w)],
+    "a quarter replaced": lambda rng, w: [f"new{k}" if rng.random() < 0.25 else y for k, y in enumerate(w)],
+    "a third replaced": lambda rng, w: [f"new{k}" if rng.random() < 0.33 else y for k, y in enumerate(w)],
+    "a fifth put in or left out": lambda rng, w: [x for k, y in enumerate(w) for x in rng.choice([[], [y, f"new{k}"]] + [[y]] * 8)],
+    "the first half alone": lambda rng, w: w[: (len(w) + 1) // 2],
+    "halves changed round": lambda rng, w: w[len(w) // 2 :] + w[: len(w) // 2],
+}
+
+
+def test_every_kind_of_edit_is_found(monkeypatch):
+    """Against alignment of all items with all documents, without any seed."""
+    rng = random.Random(31)
+    words = [f"v{n}" for n in range(3000)] + ["the", "of", "and", "to"] * 150
+    items = [" ".join(rng.choices(words, k=rng.randint(20, 60))).encode() for _ in range(60)]
+    short, long = decontam.seeds_of_block(items)
+    assert not any(seeds.items for seeds in short) and len(long.items) == 60
+    for hits in (2_000_000, 50):
+        monkeypatch.setattr(decontam, "HITS", hits)
+        for name, edit in EDITS.items():
+            texts = [" ".join([*rng.choices(words, k=30), *edit(rng, i.decode().split()), *rng.choices(words, k=30)]).encode() for i in items]
+            codes = [decontam.word_codes(t, long.index) for t in texts]
+            found = decontam.long_leaks(codes, long)
+            n_aligned = 0
+            for t, own in enumerate(codes):
+                score, *_ = decontam.align(long.items[t], own)
+                n_aligned += score >= decontam.MIN_SCORE
+                assert (t in {x[0] for x in found[t]}) == (score >= decontam.MIN_SCORE), name
+                assert all(x[1] == pytest.approx(score) for x in found[t] if x[0] == t)
+            assert n_aligned > 20 or name in ("the first half alone",), name
+
+
+def test_a_stem_that_many_items_share_costs_little():
+    rng = random.Random(32)
+    stem = "which of the following is".split()
+    words = [f"v{n}" for n in range(20_000)]
+    text = " ".join(rng.choices(words, k=400) + stem * 10).encode()
+    sizes = {}
+    for n in (100, 10_000):
+        _, seeds = decontam.seeds_of_block([" ".join([*stem, *rng.choices(words, k=25)]).encode() for _ in range(n)])
+        degree = np.diff(seeds.start)
+        assert not degree[[seeds.index[w.encode()] for w in stem]].any()
+        codes = decontam.word_codes(text, seeds.index)
+        sizes[n] = int(degree[codes].sum())
+    assert sizes[10_000] < 30 * len(text.split())  # a word is a seed of the few items that have it, never of all
+
+
 def test_bound_of_alignment():
     rng = np.random.default_rng(5)
     for _ in range(300):
