@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a list that is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Folders of the `scratch` blocks that are open, the innermost last.
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("open_folders", default=())
 
 
 @cache
@@ -37,8 +40,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    return written(df, f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}")
+    """Write `df` to the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    Called in a `scratch` block, for what is to outlive it: the table belongs to the block around that one, and goes with it.
+    Without one around, it is a result, and stays.
+    """
+    around = _OPEN.get()[:-1]
+    return written(df, f"{around[-1] if around else shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}")
 
 
 def delete(spark: SparkSession, folder: str) -> None:
@@ -58,9 +66,13 @@ def scratch_folder(spark: SparkSession) -> Iterator[str]:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A `stored` whose tables are deleted at the end of the block; what leaves the block is stored outside of it."""
+    """A `stored` whose tables are deleted at the end of the block, with what blocks inside it have stored for it."""
     with scratch_folder(spark) as folder:
-        yield lambda df: written(df, f"{folder}/{uuid.uuid4().hex}")
+        token = _OPEN.set((*_OPEN.get(), folder))
+        try:
+            yield lambda df: written(df, f"{folder}/{uuid.uuid4().hex}")
+        finally:
+            _OPEN.reset(token)
 
 
 def join_same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
