@@ -7,7 +7,8 @@ common word, with all others as one more class.  A document is compared by Jense
 distance (base 2, so from 0 to 1) with every reference and judged by the nearest one, so
 that a wrong or missing language code does it no harm.
 
-Guards: below `MIN_CHARS` and `MIN_WORDS` the verdict is left to the base rules.  A
+Guards: a document in a language without a reference is left to the base rules, as those of
+other languages say nothing about it; below `MIN_CHARS` and `MIN_WORDS` so is any.  A
 histogram of n counts in k classes is off its source by about sqrt(k / (8 n ln 2)) by
 chance alone, which is granted on top of the limits.  A word that fewer than `MIN_HELD`
 documents of a language hold is not common, and without any there is no reference.
@@ -191,16 +192,19 @@ def _chance(classes: int, n: Column) -> Column:
 
 def judge(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", name: str = "verdict") -> DataFrame:
     """The columns `keep` (all, if not given) of `docs` and a struct `name`: COUNTS, class_distance, word_distance, base_failed, kept."""
-    blocks = language_references(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")))
-    out, keep = docs, keep or docs.columns
+    lang, keep = F.col(lang_col).cast("string"), keep or docs.columns
+    blocks = language_references(docs.select(lang.alias("lang"), F.col(text_col).alias("text")))
+    known = free_name(docs, "known_language")
+    out = docs.withColumn(known, F.coalesce(lang.isin([x for refs in blocks for x in refs.langs]), F.lit(True)))
     for k, refs in enumerate(blocks or [None]):
         last = k + 1 >= len(blocks)
-        out = _measured(out, refs, keep if last else docs.columns, text_col, name)
+        out = _measured(out, refs, [*(keep if last else docs.columns), known], text_col, name)
     v = F.col(name)
     far = (v["class_distance"] > MAX_CLASS_DISTANCE + _chance(len(CLASSES), v["n_chars"])) & (v["n_chars"] >= MIN_CHARS)
     far = far | (v["word_distance"] > MAX_WORD_DISTANCE + _chance(COMMON_OF_LANGUAGE + 1, v["n_words"])) & (v["n_words"] >= MIN_WORDS)
+    far = far & F.col(known)
     failed = base_failed(v["n_words"], v["n_repeat_words"])
-    return out.withColumn(name, v.withField("base_failed", failed).withField("kept", ~failed & ~F.coalesce(far, F.lit(False))))
+    return out.withColumn(name, v.withField("base_failed", failed).withField("kept", ~failed & ~F.coalesce(far, F.lit(False)))).drop(known)
 
 
 @any_names
