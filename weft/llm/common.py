@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from functools import cache, wraps
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weft.storage import scratch, shared_dir, stored
+
+__all__ = ["Memo", "any_names", "arrow_map", "byte_texts", "free_name", "hash_mod", "scratch", "shared_dir", "small_batches", "small_enough", "stored", "table"]
+
 #: Bytes that a memo of a worker may hold, and bytes of text in one slice of a batch.
 MEMO_BYTES, SLICE_BYTES = 16_000_000, 1_000_000
 #: Rows of a list of numbers, and of wider rows, that is broadcast; a longer one is joined by a shuffle.
@@ -23,43 +24,6 @@ BROADCAST_ROWS, BROADCAST_WIDE = 500_000, 50_000
 ARROW_ROWS = 512
 
 
-@cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-weft-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode, where they are one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local-cluster") or not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_dir(spark.sparkContext.applicationId)
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}")
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A `stored` whose tables are deleted at the end of the block; what leaves the block is stored outside of it."""
-    folder = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
-    try:
-        yield lambda df: _written(df, f"{folder}/{uuid.uuid4().hex}")
-    finally:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_enough(rows: DataFrame, wide: bool = True) -> DataFrame:
     """`rows` (stored), marked for broadcast if there are few; joins give the same either way."""
     return F.broadcast(rows) if rows.count() <= (BROADCAST_WIDE if wide else BROADCAST_ROWS) else rows

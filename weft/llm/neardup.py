@@ -203,12 +203,13 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """One row of `docs` (doc_id, text and others) for each class of near-duplicates, with all its columns: one of the least id, never a null one if there is another.
 
     Goes by rows: of rows that repeat an id and differ in text each stays unless it has a near-duplicate, and of equal rows one stays.  Texts without words all stay.
-    Rows are numbered in a stored copy; the numbers of those that go are broadcast if they are few, and joined otherwise.
+    Rows are numbered in a stored copy; the numbers of those that go are broadcast if they are few, and joined otherwise.  Both tables belong to the caller's `scratch` block.
     """
     key = free_name(docs, "row_number")
-    numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()))
-    rows = numbered.select(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(key).alias("c")).alias("doc_id"), "text")
-    gone = stored(near_duplicates(rows, width, percent).where("not kept").select(F.col("doc_id")["c"].alias(key)))
+    with scratch(docs.sparkSession):
+        numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()))
+        rows = numbered.select(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col(key).alias("c")).alias("doc_id"), "text")
+        gone = stored(near_duplicates(rows, width, percent).where("not kept").select(F.col("doc_id")["c"].alias(key)))
     return numbered.join(small_enough(gone, wide=False), key, "left_anti").drop(key)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_map, small_batches, stored
+from weft.llm.common import arrow_map, scratch, small_batches, stored
 from weft.llm.tokens import TextEncoder, load_vocabulary
 
 #: Pieces that the sum-of-squares rule places one by one, for each level of the plan.
@@ -134,16 +134,17 @@ def rank_in_length(pieces: DataFrame, n_rows: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     spark = docs.sparkSession
-    pieces = stored(cut_documents(docs, path, capacity, id_col, text_col))
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    ranges, slots = plan_packing(counts, capacity)
-    whole = "length long, level long, first long, each long, copies long, unit_bins long, base long"
-    ranges = spark.createDataFrame(ranges, whole)
-    slots = spark.createDataFrame(slots[["level", "length", "slot", "bin", "offset"]], "level long, length long, slot long, bin long, offset long")
-    ranked = rank_in_length(pieces, sum(counts.values()))
-    placed = ranked.join(F.broadcast(ranges), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("each") * F.col("copies")))
-    at = F.col("rank") - F.col("first")
-    placed = placed.withColumns({"copy": F.floor(at / F.col("each")), "slot": at % F.col("each")})
-    found = placed.join(F.broadcast(slots), ["level", "length", "slot"])
-    sequence = F.col("base") + F.col("copy") * F.col("unit_bins") + F.col("bin")
-    return found.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
+    with scratch(spark) as keep:
+        pieces = keep(cut_documents(docs, path, capacity, id_col, text_col))
+        counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+        ranges, slots = plan_packing(counts, capacity)
+        whole = "length long, level long, first long, each long, copies long, unit_bins long, base long"
+        ranges = spark.createDataFrame(ranges, whole)
+        slots = spark.createDataFrame(slots[["level", "length", "slot", "bin", "offset"]], "level long, length long, slot long, bin long, offset long")
+        ranked = rank_in_length(pieces, sum(counts.values()))
+        placed = ranked.join(F.broadcast(ranges), "length").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("each") * F.col("copies")))
+        at = F.col("rank") - F.col("first")
+        placed = placed.withColumns({"copy": F.floor(at / F.col("each")), "slot": at % F.col("each")})
+        found = placed.join(F.broadcast(slots), ["level", "length", "slot"])
+        sequence = F.col("base") + F.col("copy") * F.col("unit_bins") + F.col("bin")
+        return stored(found.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset"))
