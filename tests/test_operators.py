@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import geometry
-from weft.operators import assistant, bestoutfits, checks, detect, embed, evaluate, garments, images, outfits, pages, planner, ranks, stages, wardrobe, zeroshot
+from weft.operators import assistant, bestoutfits, checks, detect, embed, evaluate, garments, images, itemtable, outfits, pages, planner, ranks, shopping, stages, wardrobe, zeroshot
 from weft.sources import io
 from weft.streaming import counters, streams
 
@@ -123,6 +123,84 @@ def test_search_and_pages(spark):
     assert (rows.count(), info["total_pages"], info["has_next"]) == (1, 2, False)
 
 
+def test_crowded_photos_are_met_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(detect, "CROWD", 20)
+    monkeypatch.setattr(detect, "GRID", 8)
+    rng = random.Random(4)
+    rows = []
+    for image, n in ((1, 300), (2, 20), (None, 5), (3, 25), (4, 1)):
+        for k in range(n):
+            x, y, w, h = rng.randrange(0, 2000, 10), rng.randrange(0, 1200, 10), rng.choice([0, 10, 60, 120, 900]), rng.choice([10, 50, 100])
+            rows.append((image, k, float(x), float(y), float(x + w), float(y + h)))
+    rows += [(3, 100 + k, 50.0, 50.0, 90.0, 90.0) for k in range(4)]  # equal boxes
+    df = spark.createDataFrame(rows, "image_id int, det_no int, x1 double, y1 double, x2 double, y2 double").withColumn("side", F.lit(1)).repartition(3)
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[0] == b[0] and a[0] is not None:
+                w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+                if w > 0 and h > 0:
+                    areas = [(r[4] - r[2]) * (r[5] - r[3]) for r in (a, b)]
+                    want[a[0], min(a[1], b[1]), max(a[1], b[1])] = round(w * h / (sum(areas) - w * h), 9)
+    found = detect.pairwise_iou(df).collect()
+    assert len(found) == len(want) and {(r["image_id"], r["det_a"], r["det_b"]): round(r["iou"], 9) for r in found} == want
+    crowd = df.where("image_id = 1 and x2 > x1 and y2 > y1").withColumns({"left": F.lit(0.0), "above": F.lit(0.0), "side": F.lit(250.0)})
+    assert detect.box_cells(crowd).groupBy("cx", "cy").count().agg(F.max("count")).first()[0] < 60  # no task has all boxes
+
+
+def test_lowest_price_equals_one_window(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, None]), f"2024-{rng.randrange(1, 13):02}-{rng.randrange(1, 28):02}" if rng.random() < 0.95 else None, float(rng.randrange(20, 99))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "product_id int, seen_at string, price double").withColumn("seen_at", F.to_date("seen_at")).withColumn("span", F.lit("mine"))
+    got = sorted((r["product_id"] or 0, str(r["seen_at"] or ""), r["price"], r["lowest_so_far"]) for r in shopping.lowest_price(df, 20).collect())
+    want, least = [], {}
+    for product, at, price in sorted((r[0] or 0, r[1] or "", r[2]) for r in rows):
+        least[product] = min(price, least.get(product, price))
+        want.append((product, at, price, least[product]))
+    assert got == want and "span" in shopping.lowest_price(df).columns
+
+
+def item_rows(spark, ids, **more):
+    rows = [(i, *(f"{a}{i % 3}" for a in wardrobe.MERGED), ["color"] if i % 5 == 0 else []) for i in ids]
+    return spark.createDataFrame(rows, "item_id long, " + ", ".join(f"{a} string" for a in wardrobe.MERGED) + ", corrected array<string>")
+
+
+def test_a_merge_rewrites_only_what_it_touches(spark, tmp_path):
+    path, items = str(tmp_path / "items"), item_rows(spark, range(2000))
+    itemtable.write_items(items, path, 64)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "items").rglob("*.parquet")}
+    before = files()
+    values = [f"concat('new', item_id) AS {a}" for a in wardrobe.MERGED] + [f"0.9D AS {a}_conf" for a in wardrobe.MERGED if a != "color"]
+    patches = spark.createDataFrame([(7,), (1005,), (9001,)], "item_id long").selectExpr("item_id", *values)
+    touched = itemtable.merge_into(spark, path, patches, buckets=64)
+    after = files()
+    assert len(touched) <= 3 and len({k for k, v in before.items() if after.get(k) == v}) == len(before) - len(touched)
+    got = itemtable.read_items(spark, path).drop("bucket")
+    want = wardrobe.merge_patches(items, patches)
+    assert got.count() == 2001 and got.select(want.columns).exceptAll(want).count() == 0 and want.exceptAll(got.select(want.columns)).count() == 0
+    assert itemtable.merge_into(spark, path, patches.where("false"), buckets=64) == [] and files() == after
+    with pytest.raises(ValueError, match="not written with"):
+        itemtable.merge_into(spark, path, patches, buckets=63)
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    words = ["linen", "Shirt", "blue", "Été", "street", "wear", "a", "", "navy-blue", "ninety"]
+    rows = [(i, " ".join(rng.choices(words, k=3)), rng.choice([None, "blue", "red"]), rng.choice([None, "Street", "formal"]), rng.choice(["top", "shoes"])) for i in range(400)] + [(900, "a rare kimono", "red", None, "top"), (None, None, None, None, None)]
+    items = spark.createDataFrame(rows, "item_id int, name string, color string, style string, category string")
+    itemtable.write_search_index(items, str(tmp_path / "grams"), files=8)
+    index = spark.read.parquet(str(tmp_path / "grams"))
+    for named in (1_000, 5):
+        monkeypatch.setattr(itemtable, "NAMED", named)
+        for query, category in (("", "All"), (" STREET ", "All"), ("blu", "top"), ("ü", "All"), ("été", "All"), ("n s", "All"), ("kimono", "All"), ("zzz", "All"), ("ee", "shoes"), ("nin", "All")):
+            got = {r["item_id"] for r in itemtable.search_indexed(items, index, query, category).collect()}
+            assert got == {r["item_id"] for r in wardrobe.search_items(items, query, category).collect()}, query
+    read = index.where(F.col("gram").isin("kim", "imo")).select(F.input_file_name()).distinct().count()
+    assert read <= 2  # most files hold none of a rare query's trigrams
+    plan = index.where(F.col("gram").isin("kim", "imo"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan
+
+
 def test_pages_are_slices_of_the_order(spark, monkeypatch):
     monkeypatch.setattr(pages, "SORTED_ROWS", 40)
     monkeypatch.setattr(pages, "CUTS", 5)

@@ -30,12 +30,43 @@ def coarse_label(label: Column, groups: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.trim(label))), F.lit("other"))
 
 
-def pairwise_iou(detections: DataFrame) -> DataFrame:
-    """image_id, det_a, det_b, iou for the overlapping pairs of a photo's boxes (a before b)."""
-    a = detections.select("image_id", F.col("det_no").alias("det_a"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    b = detections.select("image_id", F.col("det_no").alias("det_b"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+#: Boxes from which a photo is crowded, and the most cells along a side of its grid.
+CROWD, GRID = 64, 32
+
+
+def _pairs(boxes: DataFrame, on: list[str]) -> DataFrame:
+    """Overlapping pairs of boxes that are equal in `on`, a before b."""
+    a = boxes.select(*on, F.col("det_no").alias("det_a"), *[F.col(c).alias(f"a_{c}") for c in BOX])
+    b = boxes.select(*on, F.col("det_no").alias("det_b"), *[F.col(c).alias(f"b_{c}") for c in BOX])
     overlap = iou(tuple(F.col(f"a_{c}") for c in BOX), tuple(F.col(f"b_{c}") for c in BOX))
-    return a.join(b, "image_id").where("det_a < det_b").select("image_id", "det_a", "det_b", overlap.alias("iou")).where("iou > 0")
+    return a.join(b, on).where("det_a < det_b").withColumn("iou", overlap).where("iou > 0")
+
+
+def box_cells(crowded: DataFrame) -> DataFrame:
+    """The boxes of crowded photos (with left, above and side of the photo's grid) once for each cell (cx, cy) that they reach into."""
+    place = lambda c, begin: F.floor((F.col(c) - F.col(begin)) / F.col("side")).cast("int")
+    wide = crowded.withColumn("cx", F.explode(F.sequence(place("x1", "left"), place("x2", "left"))))
+    return wide.withColumn("cy", F.explode(F.sequence(place("y1", "above"), place("y2", "above"))))
+
+
+def pairwise_iou(detections: DataFrame) -> DataFrame:
+    """image_id, det_a, det_b, iou for the overlapping pairs of a photo's boxes (a before b).
+
+    A photo of more than CROWD boxes is cut into cells about as large as its boxes are in the mean, at most GRID along a side, and its pairs
+    are met in cells, each a group of its own.  A pair that shares several cells counts in the one that holds the
+    upper left corner of its overlap, so it comes once.  Boxes without an area overlap nothing.
+    """
+    boxes = detections.select("image_id", "det_no", *BOX).where("x2 > x1 and y2 > y1")
+    extent = F.greatest(F.max("x2") - F.min("x1"), F.max("y2") - F.min("y1"))
+    mean = F.greatest(F.avg(F.col("x2") - F.col("x1")), F.avg(F.col("y2") - F.col("y1")))
+    photos = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.min("x1").alias("left"), F.min("y1").alias("above"), F.greatest(mean, extent / GRID).alias("side"))
+    crowded = photos.where(F.col("n") > CROWD).select("image_id", "left", "above", "side")
+    few = _pairs(boxes.join(crowded, "image_id", "left_anti"), ["image_id"])
+    many = _pairs(box_cells(boxes.join(crowded, "image_id")), ["image_id", "left", "above", "side", "cx", "cy"])
+    corner = lambda c, begin: F.floor((F.greatest(f"a_{c}", f"b_{c}") - F.col(begin)) / F.col("side"))
+    many = many.where((F.col("cx") == corner("x1", "left")) & (F.col("cy") == corner("y1", "above")))
+    columns = ["image_id", "det_a", "det_b", "iou"]
+    return few.select(columns).union(many.select(columns))
 
 
 def suppress(detections: DataFrame, threshold: float = 0.6, min_score: float = 0.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.operators.outfits import REQUIRED, pair_harmony
+from weft.storage import join_same
 
 
 def completes_outfits(products: DataFrame, items: DataFrame) -> DataFrame:
@@ -24,10 +25,19 @@ def completes_outfits(products: DataFrame, items: DataFrame) -> DataFrame:
     return both.where("k = 2").select("product_id", "user_id", (F.col("a") * F.col("b")).alias("completes_outfits"), F.round(F.col("a") * F.col("b") / (F.col("c") * F.col("d")), 4).alias("compatibility"))
 
 
-def lowest_price(prices: DataFrame) -> DataFrame:
-    """Adds lowest_so_far: the running minimum of a product's price."""
-    w = Window.partitionBy("product_id").orderBy("seen_at", "price").rowsBetween(Window.unboundedPreceding, 0)
-    return prices.withColumn("lowest_so_far", F.min("price").over(w))
+def lowest_price(prices: DataFrame, days: int = 31) -> DataFrame:
+    """Adds lowest_so_far: the running minimum of a product's price in the order of seen_at, then price.
+
+    A product's history is cut into spans of `days`.  Each span's minimum is one row, whose running minimum says what came
+    before a span; inside a span the window starts from that.  So a product with very many prices is many windows.
+    """
+    rows = prices.withColumn("span", F.floor(F.datediff(F.to_date("seen_at"), F.to_date(F.lit("1970-01-01"))) / days))
+    spans = rows.groupBy("product_id", "span").agg(F.min("price").alias("least"))
+    earlier = Window.partitionBy("product_id").orderBy(F.asc_nulls_first("span")).rowsBetween(Window.unboundedPreceding, -1)
+    before = spans.select("product_id", "span", F.min("least").over(earlier).alias("before"))
+    inside = Window.partitionBy("product_id", "span").orderBy("seen_at", "price").rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_same(rows.withColumn("own", F.min("price").over(inside)), before, ["product_id", "span"])
+    return joined.withColumn("lowest_so_far", F.least("own", "before")).select(*prices.columns, "lowest_so_far")
 
 
 def price_alerts(wishes: DataFrame, prices: DataFrame) -> DataFrame:

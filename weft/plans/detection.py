@@ -14,6 +14,16 @@ def box_overlaps(spark, d):
     return pairs.groupBy("image_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("iou"), 6).alias("most"))
 
 
+def sheet_overlaps(spark, d):
+    """Overlaps on contact sheets: a hundred photos in a square of ten by ten, with some hundreds of boxes a sheet."""
+    photo = F.col("image_id") % 100
+    across, down = (photo % 10) * 500.0, F.floor(photo / 10) * 500.0
+    moved = {"x1": F.col("x1") + across, "x2": F.col("x2") + across, "y1": F.col("y1") + down, "y2": F.col("y2") + down}
+    sheets = view(spark, d, "detections").withColumns({**moved, "det_no": F.col("image_id") * 10 + F.col("det_no"), "image_id": F.floor(F.col("image_id") / 100)})
+    pairs = detect.pairwise_iou(sheets)
+    return pairs.groupBy("image_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("iou"), 6).alias("most"))
+
+
 def suppressed_boxes(spark, d):
     return detect.suppress(view(spark, d, "detections"), 0.6).select("image_id", F.col("det_no").cast("long").alias("det_no"), "score")
 
@@ -127,6 +137,9 @@ _EARTH = """ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER
 
 QUERIES = {
     box_overlaps: f"WITH {_PAIRS} SELECT image_id, count(*) AS pairs, round(max(i / (s + t - i)), 6) AS most FROM pairs WHERE i > 0 GROUP BY image_id",
+    sheet_overlaps: """WITH sheet AS (SELECT image_id // 100 AS s, image_id * 10 + det_no AS det_no, x1 + image_id % 10 * 500 AS x1, x2 + image_id % 10 * 500 AS x2, y1 + image_id % 100 // 10 * 500 AS y1, y2 + image_id % 100 // 10 * 500 AS y2 FROM detections),
+      p AS (SELECT a.s AS image_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) AS m, (b.x2 - b.x1) * (b.y2 - b.y1) AS n FROM sheet a JOIN sheet b ON a.s = b.s AND a.det_no < b.det_no)
+      SELECT image_id, count(*) AS pairs, round(max(i / (m + n - i)), 6) AS most FROM p WHERE i > 0 GROUP BY image_id""",
     suppressed_boxes: f"""WITH RECURSIVE {_EARTH},
       hits AS (SELECT b.image_id, b.r AS hit, a.r AS lead FROM ranked a JOIN ranked b ON a.image_id = b.image_id AND a.r < b.r
         WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))

@@ -119,7 +119,8 @@ def shopping_picks(spark, d):
 
 def lowest_prices(spark, d):
     p = view(spark, d, "purchases").select(F.col("item_id").alias("product_id"), F.col("purchased_on").alias("seen_at"), "price")
-    return S.lowest_price(p).groupBy("product_id").agg(F.min("lowest_so_far").alias("least"), F.round(F.avg("lowest_so_far"), 3).alias("mean_low"))
+    low = S.lowest_price(p).repartition("product_id").sortWithinPartitions("product_id", "seen_at", "price")  # added up in this order, as the mean's last digit depends on it
+    return low.groupBy("product_id").agg(F.min("lowest_so_far").alias("least"), F.round(F.avg("lowest_so_far"), 3).alias("mean_low"))
 
 
 def price_alerts(spark, d):

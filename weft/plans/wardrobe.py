@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import text
-from weft.operators import pages
+from weft.operators import itemtable, pages
 from weft.operators import wardrobe as W
 from weft.plans.fixtures import view
+from weft.storage import scratch_folder, stored
 
 AS_OF = "2024-02-01"
 
@@ -46,6 +47,15 @@ def merged_items(spark, d):
     return out.select("item_id", *W.MERGED)
 
 
+def merged_table(spark, d):
+    """The same items as a table on disk, into which the patches are merged."""
+    items = view(spark, d, "items").withColumn("corrected", F.when(F.col("item_id") % 10 == 0, F.array(F.lit("color"), F.lit("style"))).otherwise(F.array().cast("array<string>")))
+    with scratch_folder(spark) as folder:
+        itemtable.write_items(items.select("item_id", *W.MERGED, "corrected"), f"{folder}/items", 16)
+        itemtable.merge_into(spark, f"{folder}/items", _patches(spark, d), buckets=16)
+        return stored(itemtable.read_items(spark, f"{folder}/items").select("item_id", *W.MERGED))
+
+
 def latest_attributes(spark, d):
     e = view(spark, d, "events").select((F.col("event_id") % 500).alias("item_id"), F.col("event_type").alias("name"), F.col("props").alias("value"), F.col("ts").alias("updated_at"))
     return W.latest_values(e).select("item_id", "name", "value")
@@ -59,6 +69,14 @@ def item_search_category(spark, d):
     return W.search_items(view(spark, d, "items"), "casual", "jeans").select("item_id")
 
 
+def item_search_indexed(spark, d):
+    """A search through the trigrams of all items."""
+    items = view(spark, d, "items")
+    with scratch_folder(spark) as folder:
+        itemtable.write_search_index(items, f"{folder}/grams")
+        return stored(itemtable.search_indexed(items, spark.read.parquet(f"{folder}/grams"), " Street ").select("item_id", "style"))
+
+
 def item_page(spark, d):
     rows, info = pages.page_of(view(spark, d, "items"), ["user_id", "item_id"], 3, 25)
     return rows.select("item_id", F.lit(info["total"]).cast("long").alias("total"), F.lit(info["has_next"]).alias("has_next"))
@@ -170,8 +188,13 @@ QUERIES = {
         coalesce(CASE WHEN pattern_conf >= 0.2 THEN p.pattern END, i.pattern) AS pattern, coalesce(CASE WHEN style_conf >= 0.2 AND i.item_id % 10 <> 0 THEN p.style END, i.style) AS style, coalesce(CASE WHEN material_conf >= 0.2 THEN p.material END, i.material) AS material
       FROM items i LEFT JOIN p ON p.item_id = i.item_id
       UNION ALL SELECT item_id, CASE WHEN category_conf >= 0.2 THEN category END, color, CASE WHEN pattern_conf >= 0.2 THEN pattern END, CASE WHEN style_conf >= 0.2 THEN style END, CASE WHEN material_conf >= 0.2 THEN material END FROM p WHERE item_id NOT IN (SELECT item_id FROM items)""",
+    merged_table: f"""WITH {_PATCH} SELECT i.item_id, coalesce(CASE WHEN category_conf >= 0.2 THEN p.category END, i.category) AS category, coalesce(CASE WHEN i.item_id % 10 <> 0 THEN p.color END, i.color) AS color,
+        coalesce(CASE WHEN pattern_conf >= 0.2 THEN p.pattern END, i.pattern) AS pattern, coalesce(CASE WHEN style_conf >= 0.2 AND i.item_id % 10 <> 0 THEN p.style END, i.style) AS style, coalesce(CASE WHEN material_conf >= 0.2 THEN p.material END, i.material) AS material
+      FROM items i LEFT JOIN p ON p.item_id = i.item_id
+      UNION ALL SELECT item_id, CASE WHEN category_conf >= 0.2 THEN category END, color, CASE WHEN pattern_conf >= 0.2 THEN pattern END, CASE WHEN style_conf >= 0.2 THEN style END, CASE WHEN material_conf >= 0.2 THEN material END FROM p WHERE item_id NOT IN (SELECT item_id FROM items)""",
     latest_attributes: """WITH r AS (SELECT event_id % 500 AS item_id, event_type AS name, props AS value, row_number() OVER (PARTITION BY event_id % 500, event_type ORDER BY ts DESC, props DESC) AS k FROM events) SELECT item_id, name, value FROM r WHERE k = 1""",
     item_search: "SELECT item_id, category FROM items WHERE lower(name) LIKE '%bl%' OR lower(color) LIKE '%bl%' OR lower(style) LIKE '%bl%'",
+    item_search_indexed: "SELECT item_id, style FROM items WHERE lower(name) LIKE '%street%' OR lower(color) LIKE '%street%' OR lower(style) LIKE '%street%'",
     item_search_category: "SELECT item_id FROM items WHERE category = 'jeans' AND (lower(name) LIKE '%casual%' OR lower(color) LIKE '%casual%' OR lower(style) LIKE '%casual%')",
     wear_event_page: "WITH r AS (SELECT item_id, event_id, row_number() OVER (ORDER BY item_id, event_id) - 1 AS place, count(*) OVER () AS n FROM wear_events) SELECT item_id, event_id FROM r WHERE place // 50 = n // 2 // 50",
     wear_event_next_page: "WITH l AS (SELECT item_id AS i, event_id AS e FROM wear_events ORDER BY event_id DESC LIMIT 1) SELECT item_id, event_id FROM wear_events, l WHERE item_id > i OR (item_id = i AND event_id > e) ORDER BY item_id, event_id LIMIT 100",
