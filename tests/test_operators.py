@@ -201,6 +201,71 @@ def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
     assert "PushedFilters: [In(gram" in plan
 
 
+def test_retries_keep_the_original_box(spark):
+    rows = [(1, 1, 0.3, True, 10.0), (1, 2, 0.5, True, 99.0), (1, 3, 0.4, True, 98.0), (2, 1, 0.9, False, 20.0), (2, 2, 0.95, False, 97.0)]
+    df = spark.createDataFrame(rows, "garment_id int, attempt int, confidence double, wants_retry boolean, x1 double")
+    got = {r["garment_id"]: tuple(r)[1:] for r in garments.resolve_retries(df).collect()}
+    assert got == {1: (2, 0.5, 3, 10.0), 2: (1, 0.9, 1, 20.0)}
+    assert garments.resolve_retries(df.drop("x1")).columns == ["garment_id", "attempt", "confidence", "attempts"]
+    assert garments.resolve_retries(df.withColumn("view", F.lit("v")), carry=["view"]).columns[-1] == "view"
+
+
+def test_labels_allowed_by_garment(spark):
+    labels = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0]), (2, "c", [1.0, 1.0])], "idx int, label string, embedding array<double>")
+    items = spark.createDataFrame([(1, [1.0, 0.0], ["b", "c"]), (2, [1.0, 0.0], ["zzz"]), (3, [1.0, 0.0], None), (4, [1.0, 0.0], []), (5, [0.0, 1.0], ["a"])], "item_id int, embedding array<double>, own array<string>")
+    got = {}
+    for r in zeroshot.softmax_scores(items, labels, allowed_col="own").collect():
+        got.setdefault(r["item_id"], {})[r["label"]] = r["score"]
+    assert got[1].keys() == {"b", "c"} and got[1]["c"] > 0.99 and sum(got[1].values()) == pytest.approx(1)
+    assert got[2].keys() == got[3].keys() == got[4].keys() == {"a", "b", "c"} and got[5] == {"a": 1.0}
+    full = {r["label"]: r["score"] for r in zeroshot.softmax_scores(items.where("item_id = 3"), labels).collect()}
+    assert got[3] == pytest.approx(full)
+
+
+VOCABULARY = """
+version: 1
+attributes:
+  category:
+    gated_by_detector: true
+    confidence_cap: 0.9
+    labels:
+      - { value: kilt, group: bottom, prompt: "a kilt" }
+      - { value: clog, group: shoes, prompt: "a clog" }
+  material: { labels: [{ value: hemp, prompt: hemp }] }
+  pattern: { labels: [{ value: dotted, prompt: dots }] }
+  style: { labels: [{ value: loud, prompt: loud }] }
+  subcategory: { enabled: false, labels: [{ value: x, prompt: x }] }
+detector_group_map: { " Skirt": bottom, shoe: shoes }
+"""
+RULE_FILE = """
+rules:
+  - code: no_hemp_clogs
+    severity: advisory
+    penalty: 0.1
+    when: { material_in: [hemp] }
+    require: { category_not_in: [clog] }
+    message: "{material} clogs"
+  - code: plain
+    when: { pattern_in: [dotted] }
+material_groups: { plant: [hemp, flax] }
+"""
+
+
+def test_yaml_files_are_read(spark, tmp_path):
+    (tmp_path / "labels.yaml").write_text("\ufeff" + VOCABULARY)
+    (tmp_path / "rules.yaml").write_text(RULE_FILE)
+    words = {(r["attribute"], r["label"]): r for r in io.read_vocabulary(spark, str(tmp_path / "labels.yaml")).collect()}
+    assert set(words) == {("category", "kilt"), ("category", "clog"), ("material", "hemp"), ("pattern", "dotted"), ("style", "loud")}
+    assert (words["category", "kilt"]["grp"], words["category", "kilt"]["cap"], words["style", "loud"]["grp"], words["style", "loud"]["cap"]) == ("bottom", 0.9, "other", 1.0)
+    assert io.read_detector_groups(spark, str(tmp_path / "labels.yaml")) == {"skirt": "bottom", "shoe": "shoes"}
+    rules = io.read_rules(spark, str(tmp_path / "rules.yaml"))
+    assert [(r.code, r.severity, r.penalty, r.require) for r in rules] == [("no_hemp_clogs", "advisory", 0.1, {"category_not_in": ["clog"]}), ("plain", "error", 0.1, {})]
+    assert io.read_material_groups(spark, str(tmp_path / "rules.yaml")) == {"plant": ["hemp", "flax"]}
+    (tmp_path / "short.yaml").write_text("attributes:\n  category: { labels: [] }\n")
+    with pytest.raises(ValueError):
+        io.read_vocabulary(spark, str(tmp_path / "short.yaml"))
+
+
 def test_pages_are_slices_of_the_order(spark, monkeypatch):
     monkeypatch.setattr(pages, "SORTED_ROWS", 40)
     monkeypatch.setattr(pages, "CUTS", 5)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions import rules as R
 from weft.functions import scoring as S
 from weft.functions.color import colors_agree
+from weft.operators.detect import BOX
 
 #: The detector score from which its group gates the category.
 GATE_SCORE = 0.45
@@ -75,18 +76,21 @@ def apply_report_floor(df: DataFrame, attributes: list[str], floor: float = S.RE
     return df.withColumns({a: S.reportable(F.col(a), F.col(f"{a}_conf"), floor) for a in attributes})
 
 
-def resolve_retries(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
-    """garment_id, attempt, confidence, attempts of the kept pass, from (garment_id, attempt, confidence, wants_retry).
+def resolve_retries(attempts: DataFrame, max_retries: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """garment_id, attempt, confidence, attempts of the kept pass, from (garment_id, attempt, confidence, wants_retry), and the columns `carry` of the first pass.
 
     Pass n + 1 counts only if every pass up to n asked for a retry and improved on the one before; attempts also counts the retry that was not better.
+    A retry looks at another view of the same garment, so what says where the garment is (`carry`: by default the box, where there is one) is that of the original detection.
     """
+    carry = [c for c in BOX if c in attempts.columns] if carry is None else carry
     w = Window.partitionBy("garment_id").orderBy("attempt")
     before = attempts.where(F.col("attempt") <= max_retries + 1)
     steps = before.withColumns({"asked": F.coalesce(F.lag("wants_retry").over(w), F.lit(True)), "better": F.coalesce(F.col("confidence") > F.lag("confidence").over(w), F.lit(True)), "gap": F.coalesce(F.col("attempt") - F.lag("attempt").over(w) != 1, F.col("attempt") != 1)})
     steps = steps.withColumn("broken", F.sum(F.when(F.col("asked") & F.col("better") & ~F.col("gap"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = steps.where("broken = 0").groupBy("garment_id").agg(F.max_by(F.struct("attempt", "confidence", "wants_retry"), "attempt").alias("k"))
+    first = [F.min_by(F.struct(*carry), "attempt").alias("first")] if carry else []
+    kept = steps.where("broken = 0").groupBy("garment_id").agg(F.max_by(F.struct("attempt", "confidence", "wants_retry"), "attempt").alias("k"), *first)
     more = F.when(F.col("k.wants_retry") & (F.col("k.attempt") <= max_retries), 1).otherwise(0)
-    return kept.select("garment_id", "k.attempt", "k.confidence", (F.col("k.attempt") + more).alias("attempts"))
+    return kept.select("garment_id", "k.attempt", "k.confidence", (F.col("k.attempt") + more).alias("attempts"), *[f"first.{c}" for c in carry])
 
 
 def rule_counts(judged: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 SCALE, MAX_LABELS = 100.0, 10_000
 
 
-def softmax_scores(items: DataFrame, labels: DataFrame, allowed: list[str] | None = None) -> DataFrame:
+def softmax_scores(items: DataFrame, labels: DataFrame, allowed: list[str] | None = None, allowed_col: str | None = None) -> DataFrame:
     """item_id, label, idx, score: long rows, each item's scores summing to 1.
 
     items: item_id, embedding; labels: idx, label, embedding (a vocabulary, at most MAX_LABELS).
-    allowed: restricts the labels; if that leaves none, all take part.
+    allowed: restricts the labels of all items; allowed_col: an array of labels by item, which restricts that item's, as its detected group does.
+    A restriction that leaves no label is none; so is a null or empty array.
     """
     vocab = labels.select("idx", "label", "embedding").orderBy("idx").limit(MAX_LABELS + 1).toPandas()
     if len(vocab) > MAX_LABELS:
@@ -25,17 +26,34 @@ def softmax_scores(items: DataFrame, labels: DataFrame, allowed: list[str] | Non
     names, idx = vocab["label"].tolist(), vocab["idx"].astype(int).tolist()
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
     matrix = unit(np.stack(vocab["embedding"].to_list()).astype(np.float64)) if len(vocab) else np.zeros((0, 1))
-    shared = items.sparkSession.sparkContext.broadcast(matrix)
+    places: dict[str, list[int]] = {}
+    for place, name in enumerate(names):
+        places.setdefault(name, []).append(place)
+    shared = items.sparkSession.sparkContext.broadcast((matrix, places))
 
     @F.pandas_udf("array<double>")
-    def scores(vectors: pd.Series) -> pd.Series:
-        logits = SCALE * unit(np.stack(vectors.to_list()).astype(np.float64)) @ shared.value.T
+    def scores(vectors: pd.Series, own: pd.Series) -> pd.Series:
+        matrix, places = shared.value
+        logits = SCALE * unit(np.stack(vectors.to_list()).astype(np.float64)) @ matrix.T
+        for row, told in enumerate(own):
+            at = [p for x in told for p in places.get(x, [])] if told is not None else []
+            if at:
+                left_out = np.ones(logits.shape[1], bool)
+                left_out[at] = False
+                logits[row, left_out] = -np.inf
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return pd.Series([[x if y > -np.inf else None for x, y in zip(p, q)] for p, q in zip(e / e.sum(axis=1, keepdims=True), logits)])
+
+    @F.pandas_udf("array<double>")
+    def all_scores(vectors: pd.Series) -> pd.Series:
+        logits = SCALE * unit(np.stack(vectors.to_list()).astype(np.float64)) @ shared.value[0].T
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
 
     labelled = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(n).alias("label")) for i, n in zip(idx, names)])
-    pairs = items.select("item_id", F.explode(F.arrays_zip(labelled.alias("l"), scores("embedding").alias("score"))).alias("p"))
-    return pairs.select("item_id", F.col("p.l.label").alias("label"), F.col("p.l.idx").alias("idx"), F.col("p.score").alias("score"))
+    found = scores("embedding", allowed_col) if allowed_col else all_scores("embedding")
+    pairs = items.select("item_id", F.explode(F.arrays_zip(labelled.alias("l"), found.alias("score"))).alias("p"))
+    return pairs.select("item_id", F.col("p.l.label").alias("label"), F.col("p.l.idx").alias("idx"), F.col("p.score").alias("score")).where("score is not null")
 
 
 def active_heads(heads: DataFrame, active: list[str], colour: str = "color") -> tuple[DataFrame, DataFrame]:

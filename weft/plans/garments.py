@@ -100,6 +100,13 @@ def retry_resolution(spark, d):
     return G.resolve_retries(view(spark, d, "attempts")).withColumn("attempt", F.col("attempt").cast("long")).withColumn("attempts", F.col("attempts").cast("long"))
 
 
+def retry_boxes(spark, d):
+    """The kept pass of each garment with the box of its original detection, though every pass has a box of its own."""
+    boxes = view(spark, d, "detections").select(F.col("image_id").alias("garment_id"), F.col("det_no").alias("attempt"), "x1", "y1", "x2", "y2")
+    kept = G.resolve_retries(view(spark, d, "attempts").join(boxes, ["garment_id", "attempt"]))
+    return kept.select("garment_id", F.col("attempt").cast("long").alias("attempt"), "x1", "y1", "x2", "y2", F.col("attempts").cast("long").alias("attempts"))
+
+
 def retry_decisions(spark, d):
     j = _judged(spark, d).withColumns({"entropy": 1 - F.col("detector_conf"), "margin": F.col("style_conf"), "attempt": (F.col("garment_id") % 3 + 1)})
     return j.groupBy("status", scoring.should_retry(F.col("status"), F.col("entropy"), F.col("margin"), F.col("attempt"), F.col("consistent"), 2).alias("retry")).agg(F.count(F.lit(1)).alias("n"))
@@ -217,6 +224,10 @@ QUERIES = {
       b AS (SELECT *, sum(CASE WHEN coalesce(asked, true) AND coalesce(confidence > prev, true) THEN 0 ELSE 1 END) OVER (PARTITION BY garment_id ORDER BY attempt) AS broken FROM a),
       k AS (SELECT *, row_number() OVER (PARTITION BY garment_id ORDER BY attempt DESC) AS r FROM b WHERE broken = 0)
       SELECT garment_id, CAST(attempt AS BIGINT) AS attempt, confidence, CAST(attempt + CASE WHEN wants_retry AND attempt <= 3 THEN 1 ELSE 0 END AS BIGINT) AS attempts FROM k WHERE r = 1""",
+    retry_boxes: """WITH a AS (SELECT *, lag(wants_retry) OVER w AS asked, lag(confidence) OVER w AS prev FROM attempts WHERE attempt <= 4 WINDOW w AS (PARTITION BY garment_id ORDER BY attempt)),
+      b AS (SELECT *, sum(CASE WHEN coalesce(asked, true) AND coalesce(confidence > prev, true) THEN 0 ELSE 1 END) OVER (PARTITION BY garment_id ORDER BY attempt) AS broken FROM a),
+      k AS (SELECT *, row_number() OVER (PARTITION BY garment_id ORDER BY attempt DESC) AS r FROM b WHERE broken = 0)
+      SELECT garment_id, CAST(attempt AS BIGINT) AS attempt, d.x1, d.y1, d.x2, d.y2, CAST(attempt + CASE WHEN wants_retry AND attempt <= 3 THEN 1 ELSE 0 END AS BIGINT) AS attempts FROM k JOIN detections d ON d.image_id = k.garment_id AND d.det_no = 1 WHERE r = 1""",
     retry_decisions: f"WITH {JUDGED} SELECT status, garment_id % 3 < 2 AND (status = 'uncertain' OR 1 - detector_conf >= 0.62 OR style_conf < 0.12 OR NOT consistent) AS retry, count(*) AS n FROM judged GROUP BY 1, 2",
     image_quality_verdicts: f"""WITH {_ISSUES} SELECT garment_id, array_to_string(l, ',') AS issues, round(CAST(greatest(0, 1 - coalesce(list_sum(list_transform(l, lambda x:
       CASE split_part(x, ':', 1) WHEN 'low_resolution' THEN 0.35 WHEN 'blurry' THEN 0.30 WHEN 'low_contrast' THEN 0.20 WHEN 'no_foreground' THEN 1.0 ELSE 0.25 END

@@ -37,18 +37,39 @@ def write_annotation_document(df: DataFrame, path: str, version: int = 1) -> Non
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """vocabulary() of a JSON file: {"attributes": {name: {"labels": [{"value", "prompt", "group"}], "confidence_cap", "enabled"}}}; attributes that are not enabled are left out."""
-    payload = json.loads(_whole_text(spark, path))
+    """vocabulary() of a YAML or JSON file: {"attributes": {name: {"labels": [{"value", "prompt", "group"}], "confidence_cap", "enabled"}}}; attributes that are not enabled are left out."""
     entries = {}
-    for name, spec in payload.get("attributes", {}).items():
+    for name, spec in (_payload(spark, path).get("attributes") or {}).items():
         if spec.get("enabled", True) or name in REQUIRED_ATTRIBUTES:
-            entries[name] = [{"label": x["value"], "prompt": x.get("prompt"), "group": x.get("group", "other"), "cap": spec.get("confidence_cap", 1.0)} for x in spec.get("labels", [])]
+            entries[name] = [{"label": x["value"], "prompt": x.get("prompt"), "group": x.get("group", "other"), "cap": float(spec.get("confidence_cap", 1.0))} for x in spec.get("labels") or []]
     return vocabulary(spark, entries)
 
 
+def read_detector_groups(spark: SparkSession, path: str) -> dict[str, str]:
+    """The detector's labels and their coarse groups, for coarse_label(), from the same file."""
+    return {str(k).strip().lower(): v for k, v in (_payload(spark, path).get("detector_group_map") or {}).items()}
+
+
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Consistency rules of a JSON file: {"rules": [{"code", "severity", "penalty", "when", "require", "message"}]}, in order."""
-    return [Rule(x["code"], x.get("severity", "error"), float(x.get("penalty", 0.1)), x.get("when") or {}, x.get("require") or {}, x.get("message", "")) for x in json.loads(_whole_text(spark, path)).get("rules", [])]
+    """Consistency rules of a YAML or JSON file: {"rules": [{"code", "severity", "penalty", "when", "require", "message"}]}, in order."""
+    return [Rule(x["code"], x.get("severity", "error"), float(x.get("penalty", 0.1)), x.get("when") or {}, x.get("require") or {}, x.get("message", "")) for x in _payload(spark, path).get("rules") or []]
+
+
+def read_material_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Groups of materials, by name, from a file of rules."""
+    return {k: list(v) for k, v in (_payload(spark, path).get("material_groups") or {}).items()}
+
+
+def _payload(spark: SparkSession, path: str) -> dict:
+    """What a configuration file holds: JSON if it begins as such, YAML otherwise."""
+    text = _whole_text(spark, path)
+    if text.lstrip().startswith("{") and path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as missing:
+        raise ImportError(f"reading {path} needs PyYAML; a .json file does not") from missing
+    return yaml.safe_load(text) or {}
 
 
 def _whole_text(spark: SparkSession, path: str) -> str:
