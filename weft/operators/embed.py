@@ -12,13 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
-from weft.functions.vectors import normalise
 from weft.storage import join_same, scratch, small_enough, stored
 
 #: Vectors that centres are learned from, most centres, and rounds of learning; they set what a search costs, never what it finds.
@@ -280,7 +276,61 @@ def duplicate_items(items: DataFrame, threshold: float = 0.95, by: str = "user_i
     return dealt_blocks(items, threshold, by, recall).groupBy(by, "bucket", "i", "j").applyInPandas(pairs, f"{by} {kind}, a long, b long, similarity double")
 
 
-def cluster_items(items: DataFrame, k: int = 8, seed: int = 1) -> DataFrame:
-    """item_id, cluster by k-means on unit vectors."""
-    rows = items.select("item_id", array_to_vector(normalise(F.col("embedding"))).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(rows).transform(rows).select("item_id", F.col("prediction").alias("cluster"))
+def _cluster_sums(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """cluster, n, sums: of the unit vectors that each task finds nearest to each centre, a row for each at most."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros_like(shared.value), np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                v = _unit(_matrix(batch.column("embedding")))
+                near = _apart(v, shared.value).argmin(axis=1)
+                np.add.at(sums, near, v)
+                counts += np.bincount(near, minlength=len(counts))
+        some = np.flatnonzero(counts)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some]), pa.array(list(sums[some]), pa.list_(pa.float64()))], ["cluster", "n", "sums"])
+
+    return rows.select("embedding").mapInArrow(run, "cluster int, n long, sums array<double>")
+
+
+def learn_clusters(items: DataFrame, k: int = 8, rounds: int = 10) -> np.ndarray:
+    """Centres of unit vectors, from all items: they begin as the vectors of the k least ids, and `rounds` times each becomes the mean of those nearest to it.
+
+    A centre without vectors stays, and of equally near ones the first counts.  The driver holds the centres alone.
+    """
+    rows = items.where("item_id is not null and embedding is not null")
+    start = rows.groupBy("item_id").agg(F.min("embedding").alias("embedding")).orderBy("item_id").limit(k).collect()
+    if not start:
+        return np.zeros((0, 1))
+    centres = _unit(np.array([r["embedding"] for r in start], np.float64))
+    for _ in range(rounds):
+        found = _cluster_sums(rows, centres).groupBy("cluster").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[j]) for j in range(centres.shape[1])]).alias("sums")).collect()  # k rows at most
+        moved = centres.copy()
+        for r in found:
+            moved[r["cluster"]] = np.array(r["sums"]) / r["n"]
+        if (moved == centres).all():
+            break
+        centres = moved
+    return centres
+
+
+def assign_clusters(items: DataFrame, centres: np.ndarray) -> DataFrame:
+    """item_id, cluster (the nearest centre), apart (its distance) for every item that has a vector."""
+    shared = items.sparkSession.sparkContext.broadcast(centres)
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(shared.value):
+                apart = _apart(_unit(_matrix(batch.column("embedding"))), shared.value)
+                near = apart.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(near, pa.int32()), pa.array(apart[np.arange(len(near)), near])], ["item_id", "cluster", "apart"])
+
+    return items.where("embedding is not null").select("item_id", "embedding").mapInArrow(run, f"item_id {kind}, cluster int, apart double")
+
+
+def cluster_items(items: DataFrame, k: int = 8, rounds: int = 10) -> DataFrame:
+    """item_id, cluster, apart by k-means on unit vectors."""
+    return assign_clusters(items, learn_clusters(items, k, rounds))

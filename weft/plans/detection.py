@@ -132,8 +132,7 @@ def duplicate_items(spark, d):
 
 
 def item_clusters(spark, d):
-    v = view(spark, d, "item_vectors").select("item_id", "embedding", "label")
-    return embed.cluster_items(v, 8).join(v.select("item_id", "label"), "item_id").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    return embed.cluster_items(view(spark, d, "item_vectors"), 8).select("item_id", "cluster", F.round("apart", 5).alias("apart"))
 
 
 _PAIRS = """pairs AS (SELECT a.image_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
@@ -143,6 +142,23 @@ e AS (SELECT u.item_id, l.idx, l.label, exp(100 * list_cosine_similarity(CAST(u.
 soft AS (SELECT item_id, idx, label, x / sum(x) OVER (PARTITION BY item_id) AS score FROM e)"""
 _EARTH = """ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, x1, y1, det_no) AS r FROM detections)"""
 
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """k-means from the k least ids on, a table a round."""
+    steps = [
+        "unit AS (SELECT item_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM item_vectors)",
+        f"centre0 AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS c, v FROM unit ORDER BY item_id LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"near{r} AS (SELECT item_id, c, d FROM (SELECT item_id, c, d, row_number() OVER (PARTITION BY item_id ORDER BY round(d, 12), c) AS place FROM (SELECT item_id, c, list_distance(u.v, k.v) AS d FROM unit u, centre{r} k)) WHERE place = 1)")
+        if r < rounds:
+            means = ", ".join(f"avg(v[{j + 1}])" for j in range(size))
+            steps.append(f"mean{r} AS (SELECT c, [{means}] AS v FROM unit JOIN near{r} USING (item_id) GROUP BY c)")
+            steps.append(f"centre{r + 1} AS (SELECT k.c, coalesce(m.v, k.v) AS v FROM centre{r} k LEFT JOIN mean{r} m ON m.c = k.c)")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT item_id, CAST(c AS INT) AS cluster, round(d, 5) AS apart FROM near{rounds}"
+
+
 QUERIES = {
     box_overlaps: f"WITH {_PAIRS} SELECT image_id, count(*) AS pairs, round(max(i / (s + t - i)), 6) AS most FROM pairs WHERE i > 0 GROUP BY image_id",
     sheet_overlaps: """WITH sheet AS (SELECT image_id // 100 AS s, image_id * 10 + det_no AS det_no, x1 + image_id % 10 * 500 AS x1, x2 + image_id % 10 * 500 AS x2, y1 + image_id % 100 // 10 * 500 AS y1, y2 + image_id % 100 // 10 * 500 AS y2 FROM detections),
@@ -195,5 +211,5 @@ QUERIES = {
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, item_id) AS rank FROM p) SELECT query_id, item_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5""",
     duplicate_items: """SELECT a.user_id, a.item_id AS a, b.item_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity
       FROM item_vectors a JOIN item_vectors b ON a.user_id = b.user_id AND a.item_id < b.item_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3""",
-    item_clusters: None,
+    item_clusters: _clusters_sql(),
 }
