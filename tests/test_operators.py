@@ -546,9 +546,9 @@ def test_nearest_rank_equals_sorting(spark, monkeypatch, accuracy):
     assert ranks.nearest_rank(df.where("g = 6"), "v", 0.5, ["g"], "p").count() == 0
 
 
-@pytest.mark.parametrize(("centres", "block"), [(1, 4_096), (40, 7)])
-def test_similar_items_equal_all_pairs(spark, monkeypatch, centres, block):
-    for name, value in (("TILE_QUERIES", 5), ("CELL_BLOCK", block), ("ASKING", 9), ("MOST_CENTRES", centres)):
+@pytest.mark.parametrize(("one", "centres", "block"), [(50_000, 1, 4_096), (50_000, 1, 50), (0, 1, 4_096), (0, 40, 7)])
+def test_similar_items_equal_all_pairs(spark, monkeypatch, one, centres, block):
+    for name, value in (("TILE_QUERIES", 5), ("CELL_BLOCK", block), ("ASKING", 9), ("MOST_CENTRES", centres), ("ONE_CELL", one)):
         monkeypatch.setattr(embed, name, value)
     rng = np.random.default_rng(6)
     v = np.round(np.repeat(rng.normal(size=(12, 4)), 10, axis=0) + 0.2 * rng.normal(size=(120, 4)), 1)

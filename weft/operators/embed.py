@@ -21,6 +21,9 @@ from weft.storage import join_same, scratch, small_enough, stored
 CENTRE_SAMPLE, MOST_CENTRES, CENTRE_ROUNDS = 10_000, 1_024, 4
 #: Items of a cell in one block, queries that one block's task answers, and queries of one product of matrices.
 CELL_BLOCK, ASKING, TILE_QUERIES = 4_096, 8_192, 512
+DEALT = ["cell", "block", "deal", "asks", "item_id", "embedding"]
+#: Items up to which all are one cell, as finding cells costs more than it spares.
+ONE_CELL = 50_000
 #: Vectors of one owner, or bucket, in one block of the duplicate search.
 BLOCK = 1_024
 #: Blocks from which an owner is searched through buckets, if these take fewer copies; the most bits of a bucket's key.
@@ -124,23 +127,31 @@ def _visits(asks: DataFrame, cells: Cells, k: int, reached: str | None = None) -
 def _met(visits: DataFrame, placed: DataFrame, k: int, keep) -> DataFrame:
     """query_id, item_id, similarity: the k items of each block that are most like each query that visits the block's cell.
 
-    A block is at most about CELL_BLOCK items of a cell, and ASKING visits of it are a task's work; items come before the queries, which are streamed.
+    A block is at most about CELL_BLOCK items of a cell, and ASKING visits of it are a task's work.
     """
     visits = keep(visits)
     plan = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_BLOCK).cast("int").alias("blocks"))
     plan = keep(plan.join(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKING).cast("int").alias("deals")), "cell"))
     plan = small_enough(plan)
-    dealt = lambda n: F.pmod(F.xxhash64("item_id"), F.col(n)).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = placed.join(plan, "cell").withColumn("block", dealt("blocks")).withColumn("deal", span("deals")).withColumn("asks", F.lit(False))
-    probe = visits.join(plan, "cell").withColumn("deal", dealt("deals")).withColumn("block", span("blocks")).withColumn("asks", F.lit(True))
-    columns = ["cell", "block", "deal", "asks", "item_id", "embedding"]
-    rows = base.select(columns).union(probe.select(columns)).repartition("cell", "block", "deal").sortWithinPartitions("cell", "block", "deal", "asks")
+    return _answers(_dealt(placed.join(plan, "cell"), visits.join(plan, "cell"), F.col("blocks"), F.col("deals")), k)
+
+
+def _dealt(base: DataFrame, probe: DataFrame, blocks: Column, deals: Column) -> DataFrame:
+    """Items and the queries that visit their cells, together by cell, block and deal, items first."""
+    dealt = lambda n: F.pmod(F.xxhash64("item_id"), n).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = base.withColumn("block", dealt(blocks)).withColumn("deal", span(deals)).withColumn("asks", F.lit(False))
+    probe = probe.withColumn("deal", dealt(deals)).withColumn("block", span(blocks)).withColumn("asks", F.lit(True))
+    return base.select(DEALT).union(probe.select(DEALT)).repartition("cell", "block", "deal").sortWithinPartitions("cell", "block", "deal", "asks")
+
+
+def _answers(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, item_id, similarity from `_dealt` rows; a block's items are held, what asks it is streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, ids, vectors = None, [], np.empty(0, np.int64), None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[:4]], axis=1)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in DEALT[:4]], axis=1)
             if not len(keys):
                 continue
             names, v = batch.column("item_id").to_numpy(), _unit(_matrix(batch.column("embedding")))
@@ -173,16 +184,18 @@ def similar_items(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame
     queries, items: item_id, embedding; all items may be queries.  Items lie in cells around centres.  A query visits the nearest
     cells that hold more than k items, and then only cells that can hold a better item than the k-th found (triangle inequality).
     Queries are rows that are dealt to the cells they visit; the driver holds centres and one row a cell.  A repeated query id counts once.
+    Up to ONE_CELL items are one cell.
     """
     spark = items.sparkSession
     told = lambda df: df.where("item_id is not null and embedding is not null").select(F.col("item_id").cast("long").alias("item_id"), "embedding")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rows, asks = told(items), told(queries).dropDuplicates(["item_id"])
+    total = rows.count()
+    if total <= ONE_CELL:
+        parts = [F.lit(max(1, -(-n // size))) for n, size in ((total, CELL_BLOCK), (asks.count(), ASKING))]
+        return ranked(_answers(_dealt(*(df.withColumn("cell", F.lit(0)) for df in (rows, asks)), *parts), k))
     with scratch(spark) as keep:
-        rows, asks = told(items), told(queries).dropDuplicates(["item_id"])
-        total = rows.count()
-        if not total:
-            return stored(spark.createDataFrame([], "query_id long, item_id long, similarity double, rank int"))
         centres = learn_centres(rows, min(MOST_CENTRES, max(1, math.isqrt(total) // 2)))
         placed = keep(_placed(rows, centres))
         found = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("apart").alias("inner"), F.max("apart").alias("outer")).collect()}
