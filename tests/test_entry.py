@@ -14,6 +14,22 @@ def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_absent_modules_are_left_out_and_broken_ones_are_not(monkeypatch):
+    real = entry.importlib.import_module
+
+    def load(name):
+        if name in entry.OPTIONAL:
+            raise ModuleNotFoundError(name=missing)
+        return real(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", load)
+    missing = "weft.llm"
+    assert "best_outfits" in entry.queries() and not any(n.startswith("op1") for n in entry.queries())
+    missing = "weft.llm.worms"
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
