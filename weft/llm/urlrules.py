@@ -8,7 +8,8 @@ token, which every URL has.  A URL's tokens fetch its candidates, and only those
 their regular expression.
 
 DataFrame functions only.  URLs are judged once per distinct host + path, so that a
-very common one costs a row.  The rule index is broadcast if it has at most
+very common one costs a row; the rows of one are dealt out to get its verdict, and URLs
+without host and path get theirs without a join.  The rule index is broadcast if it has at most
 `BROADCAST_RULES` rows and joined by token otherwise.
 
 Null URLs and URLs without `://` have an empty host and path, which no rule fits.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_RULES = 50_000
+#: Parts into which the rows of a URL are dealt.
+SALTS = 8
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -74,5 +77,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     fits = tokens.join(index, "token").where(F.rlike(F.col("key"), F.col("regex")))
     order = F.struct("tier", F.length("rule"), F.struct("action"))
     best = fits.groupBy("key").agg(F.max_by(F.struct("rule", "tier", "action"), order).alias("best"))
-    judged = urls.withColumn("key", F.concat("host", "path")).join(best, "key", "left")
+    keyed = urls.withColumn("key", F.concat("host", "path"))
+    dealt = keyed.where("key <> ''").withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)))
+    judged = dealt.join(best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"], "left").select("id", "host", "path", "best")
+    judged = judged.union(keyed.where("key = ''").select("id", "host", "path", F.lit(None).cast(best.schema["best"].dataType)))
     return judged.select(F.col("id").alias(id_col), "host", "path", "best.rule", "best.tier", "best.action")
