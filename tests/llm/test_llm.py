@@ -810,6 +810,70 @@ def test_pipeline(spark):
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
 
 
+def brute_rules(texts, langs):
+    """Places of the texts that pass the quality rules."""
+    stats = [brute_stats(t) for t in texts]
+    failed = [s[0] < 50 or 100 * s[4] > 50 * s[0] for s in stats]
+    refs = {}
+    for lang in sorted({x for x in langs if x is not None}):
+        held = Counter(w for t, x in zip(texts, langs) if x == lang for w in {plain(w) for w in (t or "").encode().split()} if w)
+        signed = lambda w: int(np.uint64(words.normal_hash(w)).view(np.int64))
+        common = [w for w, n in sorted(held.items(), key=lambda x: (-x[1], signed(x[0]))) if n >= rules.MIN_HELD][: rules.COMMON_OF_LANGUAGE]
+        own = [brute_histograms(t, common) for t, x, f in zip(texts, langs, failed) if x == lang and not f]
+        if common and own:
+            refs[lang] = (common, *([sum(v) for v in zip(*(h[k] for h in own))] for k in (0, 1)))
+    kept = set()
+    for i, t in enumerate(texts):
+        n_chars, n_words, a, b = len(t or ""), stats[i][0], 0, 0
+        if refs and langs[i] in (*refs, None):
+            far = [(brute_divergence(h[0], classes), brute_divergence(h[1], counts)) for common, classes, counts in refs.values() for h in [brute_histograms(t, common)]]
+            a, b = min(far, key=sum)
+        chance = lambda k, n: math.sqrt(k / (8 * n * math.log(2))) if n else 0
+        rejected = n_chars >= 200 and a > 0.25 + chance(len(textstats.CLASSES), n_chars) or n_words >= 60 and b > 0.15 + chance(33, n_words)
+        kept |= set() if failed[i] or rejected else {i}
+    return kept
+
+
+def test_pipeline_equals_brute_force(spark, library, tmp_path):
+    """Each stage against a plain Python version on its own input, over a table of 500 rows."""
+    sf, small = "/root/testdata/sf0.01", str(tmp_path)
+    spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(500).write.parquet(f"{small}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{small}/benchmark.parquet")
+    # Labels of which enough are left after the first stage: long texts are the good ones.
+    spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0").selectExpr("doc_id", "CAST(size(split(text, ' ')) > 150 AS INT) AS quality").write.parquet(f"{small}/labels.parquet")
+    labels, items = spark.read.parquet(f"{small}/labels.parquet"), [r["text"].encode() for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    index = decontam.index_words(items)
+    codes = [decontam.word_codes(t, index) for t in items]
+
+    def expected(name, docs, texts, langs):
+        if name == "quality_rules":
+            return brute_rules(texts, langs)
+        if name == "quality_classifier":
+            model = quality.learn_quality(docs, labels)
+            assert model.rules
+            total = lambda x: model.intercept + sum(w for w, tests in model.rules if all((x[f] <= c) if at_most else (x[f] > c) for f, at_most, c in tests))
+            return {i for i, t in enumerate(texts) if 1 / (1 + math.exp(-total(brute_features(t)))) >= 0.7}
+        if name == "near_dedup":
+            return {i - 1 for i, (_, own) in brute_components(texts).items() if own == i}
+        found = [decontam.align_many(codes, [decontam.word_codes(t.encode(), index)] * len(codes)) for t in texts]
+        return {i for i, scores in enumerate(found) if max(s[0] for s in scores) < decontam.MIN_SCORE}
+
+    kept, sizes = spark.read.parquet(f"{small}/documents.parquet"), []
+    for name, stage in pipeline.STAGES[:4]:
+        rows = kept.select("doc_id", "text", "lang").orderBy("doc_id").collect()
+        want = expected(name, kept, [r["text"] for r in rows], [r["lang"] for r in rows])
+        kept = common.stored(stage(spark, kept, small))
+        assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {rows[i]["doc_id"] for i in want}, name
+        sizes.append((len(rows), len(want)))
+    assert all(a > b > 0 for a, b in sizes)  # every stage had something to do
+    texts = [r["text"] for r in kept.collect()]
+    lengths = [n for t in texts for ids in [len(library.encode(t or "", add_special_tokens=False).ids) + 1] for n in [2048] * (ids // 2048) + [ids % 2048] * (ids % 2048 > 0)]
+    by_sequence = {}
+    for r in pipeline.run(spark, small).collect():
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert Counter(tuple(sorted(x)) for x in by_sequence.values()) == brute_packing(lengths, 2048)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_stages_take_odd_rows(spark, name):
     """Nulls in every column, empty and long texts, repeated rows, an empty table, columns of clashing names."""
