@@ -395,6 +395,8 @@ def test_photo_kernels(spark):
     df = spark.createDataFrame(rows, "image_id int, width int, height int, data binary, mask binary")
     m = {r["image_id"]: r for r in images.measure_photos(df).collect()}
     assert m[1]["brightness_mean"] == 128.0 and m[1]["entropy"] == 0.0 and m[2]["entropy"] is None
+    odd = spark.createDataFrame([(4, 64, 64, bytearray(photo((9, 9, 9)).tobytes()), bytearray(b"\xff" * 7))], df.schema)
+    assert images.garment_colors(odd).first()["primary"] == "unknown"
     c = {r["image_id"]: r for r in images.garment_colors(df).collect()}
     assert c[1]["primary"] == "gray" and c[2]["primary"] == "unknown" and 0 < c[3]["pixel_count"] <= 5000
 

@@ -210,7 +210,7 @@ def dominant_colors(pixels: np.ndarray, max_secondary: int = 2) -> dict:
 
 
 def garment_colors(photos: DataFrame, bgr: bool = False) -> DataFrame:
-    """image_id and dominant_colors() of photos with an optional `mask` (bytes, above 0 inside)."""
+    """image_id and dominant_colors() of photos with an optional `mask` (bytes, above 0 inside); with a mask of another size the colour is unknown."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -218,7 +218,9 @@ def garment_colors(photos: DataFrame, bgr: bool = False) -> DataFrame:
             for r in frame.itertuples(index=False):
                 image = to_pixels(r.data, r.width, r.height, bgr)
                 pixels = np.empty((0, 3), np.uint8) if image is None else image.reshape(-1, 3)
-                if image is not None and r.mask is not None:
+                if image is not None and r.mask is not None and len(r.mask) != r.height * r.width:
+                    pixels = pixels[:0]  # a mask of another size says nothing; the row has no colour, the job goes on
+                elif image is not None and r.mask is not None:
                     inside = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > 0
                     tight = morph(inside, 3, False) if inside.any() else inside
                     pixels = image[tight if tight.any() else inside]

@@ -64,10 +64,13 @@ VIEWS = {
     "calendar_events": """SELECT event_id, user_id % 50 AS user_id, ts AS starts_at, event_id % 3 = 0 AS remind_enabled, event_id % 5 = 0 AS reminder_sent, CAST(event_id % 4 * 30 AS INT) AS reminder_minutes_before
   FROM events
   WHERE event_type = 'signup'""",
-    "trips": """SELECT user_id % 50 AS user_id, CAST(EXTRACT(YEAR FROM ts) * 12 + EXTRACT(MONTH FROM ts) AS BIGINT) AS trip_no, min(ts) AS starts_at, min(CAST(ts AS DATE)) AS starts_on, max(CAST(ts AS DATE)) AS ends_on, count(*) AS n
+    "user_calendar": """SELECT event_id, user_id, ts AS starts_at
+  FROM events
+  WHERE event_type = 'signup'""",
+    "trips": """SELECT user_id, CAST(EXTRACT(YEAR FROM ts) * 12 + EXTRACT(MONTH FROM ts) AS BIGINT) AS trip_no, min(ts) AS starts_at, min(CAST(ts AS DATE)) AS starts_on, max(CAST(ts AS DATE)) AS ends_on, count(*) AS n
   FROM events
   WHERE event_type = 'error'
-  GROUP BY user_id % 50, CAST(EXTRACT(YEAR FROM ts) * 12 + EXTRACT(MONTH FROM ts) AS BIGINT)""",
+  GROUP BY user_id, CAST(EXTRACT(YEAR FROM ts) * 12 + EXTRACT(MONTH FROM ts) AS BIGINT)""",
     "ai_usage": """SELECT event_id, user_id, event_type AS endpoint, CASE WHEN event_id % 3 = 0 THEN 'rule-engine' ELSE 'http' END AS provider, ts AS created_at, CAST(floor(value * 10) AS INT) AS latency_ms, CAST(event_id % 500 AS INT) AS tokens, CAST(event_id % 500 AS DOUBLE) / CAST(100000 AS DOUBLE) AS cost_usd, event_type <> 'error' AS success
   FROM events""",
     "interactions": """SELECT conv_id, turn, role, text, length(text) AS n_chars

@@ -28,7 +28,7 @@ def reminder_runs(spark, d):
 
 
 def events_in_trips(spark, d):
-    return P.events_in_trips(view(spark, d, "calendar_events"), view(spark, d, "trips")).select("user_id", "trip_no", "event_id")
+    return P.events_in_trips(view(spark, d, "user_calendar"), view(spark, d, "trips")).select("user_id", "trip_no", "event_id")
 
 
 def trip_days(spark, d):
@@ -118,7 +118,7 @@ QUERIES = {
     due_reminders: f"SELECT event_id FROM calendar_events WHERE remind_enabled AND NOT reminder_sent AND starts_at - to_minutes(reminder_minutes_before) <= TIMESTAMP '{NOW}' AND starts_at > TIMESTAMP '{NOW}'",
     reminder_runs: """SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS run_at FROM (SELECT event_id, starts_at, starts_at - to_minutes(reminder_minutes_before) AS due_at, time_bucket(INTERVAL 15 MINUTE, starts_at - INTERVAL 2 HOUR) AS t0 FROM calendar_events WHERE remind_enabled AND NOT reminder_sent),
       LATERAL (SELECT unnest(generate_series(t0, starts_at, INTERVAL 15 MINUTE)) AS t) WHERE t >= due_at AND t < starts_at""",
-    events_in_trips: "SELECT t.user_id, t.trip_no, e.event_id FROM trips t JOIN calendar_events e ON e.user_id = t.user_id AND CAST(e.starts_at AS DATE) BETWEEN t.starts_on AND t.ends_on",
+    events_in_trips: "SELECT t.user_id, t.trip_no, e.event_id FROM trips t JOIN user_calendar e ON e.user_id = t.user_id AND CAST(e.starts_at AS DATE) BETWEEN t.starts_on AND t.ends_on",
     trip_days: "SELECT user_id, trip_no, CAST(CAST(starts_on + CAST(k AS INT) AS DATE) AS VARCHAR) AS day, CAST(k + 1 AS INT) AS day_no FROM (SELECT *, unnest(range(date_diff('day', starts_on, ends_on) + 1)) AS k FROM trips)",
     capsules: """WITH p AS (SELECT item_id // 400 * 50 + user_id AS trip, slot, row_number() OVER (PARTITION BY item_id // 400 * 50 + user_id ORDER BY item_id) AS r FROM items),
       c AS (SELECT trip, count(*) FILTER (slot = 'top') AS tops, count(*) FILTER (slot = 'bottom') AS bottoms, count(*) FILTER (slot = 'shoes') AS shoes, count(*) AS items FROM p WHERE r <= 8 GROUP BY 1) SELECT *, tops * bottoms * shoes AS outfits FROM c""",
