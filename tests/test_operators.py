@@ -488,6 +488,20 @@ def test_counters_close_days_and_keep_the_version_before(spark, tmp_path, monkey
         counters.current_counters(spark, str(tmp_path / "none"))
 
 
+def test_a_batch_of_wears_is_counted_by_many_tasks(spark, tmp_path):
+    spread = spark.range(0, 40, numPartitions=4).select(F.col("id").cast("int").alias("item_id"), F.timestamp_seconds(F.lit(0)).alias("day"), F.spark_partition_id().cast("long").alias("times_worn"), F.timestamp_seconds("id").alias("last_worn_at"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        counters.merge_batch(spread, 0, str(tmp_path / "t"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tasks = [tracker.getStageInfo(s).numTasks for job in tracker.getJobIdsForGroup("counted") for s in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(s)]
+    assert 4 in tasks and 1 not in tasks  # the four parts of the batch are worked out apart, and no task has them all
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= counters.CHANGE_FILES
+    assert {r["item_id"]: r["times_worn"] for r in counters.current_counters(spark, str(tmp_path / "t")).collect()} == {i: i // 10 for i in range(40)}
+
+
 @pytest.mark.parametrize("slide", [None, "30 minutes"])
 def test_usage_windows_in_append_mode(spark, tmp_path, slide):
     calls = lambda rows: timed(spark, rows, "endpoint string, tokens long, created_at string", "created_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

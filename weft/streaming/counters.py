@@ -24,8 +24,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weft.storage import delete
 
-#: Changes until base and changes become one; files of a change, and of a base for each million of its rows.
-COMPACT, CHANGE_FILES, ROWS_A_FILE = 8, 1, 1_000_000
+#: Changes until base and changes become one; files of a change at most, and of a base for each million of its rows.
+COMPACT, CHANGE_FILES, ROWS_A_FILE = 8, 8, 1_000_000
 
 SCHEMA = "item_id {kind}, day timestamp, times_worn long, last_worn_at timestamp"
 
@@ -91,7 +91,8 @@ def merge_batch(days: DataFrame, batch_id: int, path: str, lateness: str = "1 da
         return
     version = known[-1] + 1 if known else 0
     change = f"change/{batch_id}-{uuid.uuid4().hex}"
-    days.select("item_id", F.col("day").cast("timestamp").alias("day"), F.col("times_worn").cast("long").alias("times_worn"), F.col("last_worn_at").cast("timestamp").alias("last_worn_at")).coalesce(CHANGE_FILES).write.parquet(f"{path}/{change}")
+    rows = days.select("item_id", F.col("day").cast("timestamp").alias("day"), F.col("times_worn").cast("long").alias("times_worn"), F.col("last_worn_at").cast("timestamp").alias("last_worn_at"))
+    rows.repartition(CHANGE_FILES, "item_id").write.parquet(f"{path}/{change}")  # a coalesce would run the batch's joins and counts of all partitions in one task
     after = now | {"changes": [*now["changes"], {"path": change, "batch": batch_id}], "batch": batch_id}
     if len(after["changes"]) >= COMPACT:
         after = _compacted(spark, path, version, after, lateness)
