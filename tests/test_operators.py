@@ -201,6 +201,22 @@ def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
     assert "PushedFilters: [In(gram" in plan
 
 
+def test_index_is_written_without_a_table_of_all_pairs(spark, tmp_path, monkeypatch):
+    rows = [(1, "abcabc", "blue", "casual"), (1, "bcd", None, "formal"), (1, "bcd", None, "formal"), (2, "xabcdx", "red", None), (3, "ab", "bcd", ""), (None, "abcd", "", "")]
+    items = spark.createDataFrame(rows, "item_id int, name string, color string, style string")
+    kind = type(items)
+    plans, by_range = [], kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or by_range(df, *a))
+    itemtable.write_search_index(items, str(tmp_path / "grams"))
+    assert len(plans) == 1 and "Generate" in plans[0] and "Aggregate" not in plans[0]
+    index = spark.read.parquet(str(tmp_path / "grams"))
+    assert {tuple(r) for r in index.where("item_id > 1").collect()} == {*((g, 2) for g in ("xab", "abc", "bcd", "cdx", "red")), ("bcd", 3)}
+    assert [r["item_id"] for r in itemtable.search_indexed(items, index, "abcd").collect()] == [2]  # item 1 has both trigrams, in two rows of it
+    for query in ("bcd", "abc", "formal", "cabc"):
+        got = sorted(tuple(r)[:2] for r in itemtable.search_indexed(items.where("item_id is not null"), index, query).collect())
+        assert got == sorted(tuple(r)[:2] for r in wardrobe.search_items(items.where("item_id is not null"), query).collect()), query
+
+
 def test_retries_keep_the_original_box(spark):
     rows = [(1, 1, 0.3, True, 10.0), (1, 2, 0.5, True, 99.0), (1, 3, 0.4, True, 98.0), (2, 1, 0.9, False, 20.0), (2, 2, 0.95, False, 97.0)]
     df = spark.createDataFrame(rows, "garment_id int, attempt int, confidence double, wants_retry boolean, x1 double")

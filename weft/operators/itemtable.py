@@ -61,11 +61,20 @@ def trigrams(text: Column) -> Column:
     return F.coalesce(F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, 3))), F.array().cast("array<string>"))
 
 
+def _grams(items: DataFrame) -> DataFrame:
+    """item_id, grams: the trigrams of each row's name, colour and style; few large splits of `items` become as many tasks as there are."""
+    told = items.where("item_id is not null").select("item_id", "name", "color", "style").repartition("item_id")
+    return told.select("item_id", F.array_distinct(F.concat(*[trigrams(F.col(c)) for c in ("name", "color", "style")])).alias("grams"))
+
+
 def write_search_index(items: DataFrame, path: str, files: int | None = None) -> None:
-    """gram, item_id for the names, colours and styles of `items`, in order of grams over files, so that a gram's rows are in few of them."""
-    grams = F.array_distinct(F.concat(*[trigrams(F.col(c)) for c in ("name", "color", "style")]))
-    rows = items.where("item_id is not null").select(F.explode(grams).alias("gram"), "item_id").distinct()
-    files = files or max(1, rows.count() // INDEX_ROWS)
+    """gram, item_id for the names, colours and styles of `items`, in order of grams over files, so that a gram's rows are in few of them.
+
+    Each row of `items` gives its trigrams once, so no task holds pairs to compare them; a pair may repeat for an item in several rows.
+    """
+    own = _grams(items)
+    files = files or max(1, (own.agg(F.sum(F.size("grams"))).first()[0] or 0) // INDEX_ROWS)
+    rows = own.select(F.explode("grams").alias("gram"), "item_id")
     rows.repartitionByRange(files, "gram", "item_id").sortWithinPartitions("gram", "item_id").write.parquet(path)
 
 
@@ -78,7 +87,7 @@ def search_indexed(items: DataFrame, index: DataFrame, query: str = "", category
     found = items
     if len(text) >= 3:
         grams = list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2)))
-        having = index.where(F.col("gram").isin(grams)).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select("item_id")
+        having = index.where(F.col("gram").isin(grams)).groupBy("item_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("item_id")
         few = [r[0] for r in having.limit(NAMED + 1).collect()]
         found = items.where(F.col("item_id").isin(few)) if len(few) <= NAMED else items.join(having, "item_id", "left_semi")
     found = found.where(matches_search(query, F.col("name"), F.col("color"), F.col("style")))
