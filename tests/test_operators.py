@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import geometry
 from weft.operators import assistant, bestoutfits, checks, detect, embed, evaluate, garments, images, itemtable, outfits, pages, planner, ranks, shopping, stages, wardrobe, zeroshot
+from weft.plans import fixtures
 from weft.sources import io
 from weft.streaming import counters, streams
 
@@ -217,6 +218,26 @@ def test_index_is_written_without_a_table_of_all_pairs(spark, tmp_path, monkeypa
         assert got == sorted(tuple(r)[:2] for r in wardrobe.search_items(items.where("item_id is not null"), query).collect()), query
 
 
+def test_months_of_style_come_from_one_pass(spark, tmp_path):
+    rows = [(1, "2024-03-31", 4.0), (1, "2024-03-01", 6.0), (1, "2024-01-15", 3.0), (1, "2023-09-30", 9.0), (1, None, 9.0), (2, "2023-12-31", None), (3, None, 1.0), (None, "2024-02-01", 5.0)]
+    spark.createDataFrame(rows, "user_id int, at string, score double").withColumn("at", F.col("at").cast("timestamp")).write.parquet(str(tmp_path / "scored"))
+    out = wardrobe.style_evolution(spark.read.parquet(str(tmp_path / "scored")), 4)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r["user_id"], str(r["month"])[:7]): r["score"] for r in out.collect()}
+    none = {(u, m): None for u, ms in ((1, ("2023-12", "2024-02")), (2, ("2023-09", "2023-10", "2023-11", "2023-12")), (None, ("2023-11", "2023-12", "2024-01", "2024-02"))) for m in ms}
+    assert got == {(1, "2024-01"): 3.0, (1, "2024-03"): 5.0} | none
+
+
+@pytest.mark.parametrize("bound", [500_000, 3])
+def test_purchases_are_those_of_the_view(spark, monkeypatch, bound):
+    monkeypatch.setattr(fixtures, "SUPPLIERS", bound)
+    d = "/root/testdata/sf0.001"
+    want = fixtures.view(spark, d, "purchases")
+    for last in ("items", "orders"):
+        got = fixtures.purchases(spark, d, last=last)
+        assert got.columns == want.columns and got.dtypes == want.dtypes and got.count() == want.count() and not got.exceptAll(want).count()
+
+
 def test_retries_keep_the_original_box(spark):
     rows = [(1, 1, 0.3, True, 10.0), (1, 2, 0.5, True, 99.0), (1, 3, 0.4, True, 98.0), (2, 1, 0.9, False, 20.0), (2, 2, 0.95, False, 97.0)]
     df = spark.createDataFrame(rows, "garment_id int, attempt int, confidence double, wants_retry boolean, x1 double")

@@ -135,9 +135,12 @@ def color_palette(items: DataFrame) -> DataFrame:
 
 def style_evolution(scored: DataFrame, months: int = 6) -> DataFrame:
     """user_id, month, score: the mean of the last `months` months up to each user's latest, months without rows included."""
-    by = scored.groupBy("user_id", F.to_date(F.date_trunc("month", "at")).alias("month")).agg(F.avg("score").alias("score"))
-    spine = by.groupBy("user_id").agg(F.max("month").alias("last")).select("user_id", F.explode(F.sequence(F.add_months("last", -(months - 1)), F.col("last"), F.expr("interval 1 month"))).alias("month"))
-    return spine.join(by, ["user_id", "month"], "left")
+    by = scored.groupBy("user_id", F.to_date(F.date_trunc("month", "at")).alias("month")).agg(F.avg("score").alias("score")).where("month is not null")
+    latest = Window.partitionBy("user_id").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, 0)
+    recent = by.withColumn("last", F.max("month").over(latest)).where(F.col("month") >= F.add_months("last", -(months - 1)))
+    told = recent.groupBy("user_id").agg(F.max("last").alias("last"), F.map_from_entries(F.collect_list(F.struct("month", "score"))).alias("scores"))
+    spine = told.select("user_id", "scores", F.explode(F.sequence(F.add_months("last", -(months - 1)), F.col("last"), F.expr("interval 1 month"))).alias("month"))
+    return spine.select("user_id", "month", F.when(F.col("user_id").isNotNull(), F.try_element_at("scores", F.col("month"))).alias("score"))
 
 
 def style_memory(signals: DataFrame) -> DataFrame:

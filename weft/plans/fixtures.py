@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -122,3 +123,25 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(rf"\b(?:FROM|JOIN)\s+{table}\b", sql):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(sql)
+
+
+#: Suppliers up to which their few columns are broadcast.
+SUPPLIERS = 500_000
+
+
+def purchases(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, last: str = "items") -> DataFrame:
+    """The rows of the view `purchases`, for large tables: suppliers are joined first, where the lines lie, and no shuffle carries their keys.
+
+    lines: lineitem, or what a query has made of its columns.  last: `items` or `orders`; rows come dealt out by this one's key, and the
+    other's key stays behind.
+    """
+    supplier = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("store"), F.when(F.col("s_nationkey") % 3 == 0, "EUR").otherwise("USD").alias("currency"))
+    supplier = F.broadcast(supplier) if supplier.count() <= SUPPLIERS else supplier
+    sides = {
+        "orders": (view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("user_id")), "l_orderkey"),
+        "items": (view(spark, sf_dir, "items").select(F.col("item_id").alias("l_partkey"), "brand", "category"), "l_partkey"),
+    }
+    rows = (view(spark, sf_dir, "lineitem") if lines is None else lines).join(supplier, "l_suppkey")
+    for name in sorted(sides, key=lambda x: x == last):
+        rows = rows.join(*sides[name])
+    return rows.select("user_id", F.col("l_partkey").alias("item_id"), F.col("l_extendedprice").alias("price"), "brand", "category", F.col("l_shipdate").alias("purchased_on"), "store", "currency")

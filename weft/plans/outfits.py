@@ -8,7 +8,7 @@ from weft.operators import bestoutfits as B
 from weft.operators import outfits as O
 from weft.operators import shopping as S
 from weft.operators.wardrobe import wear_counters
-from weft.plans.fixtures import view
+from weft.plans.fixtures import purchases, view
 
 AS_OF = "2024-02-01"
 
@@ -118,19 +118,19 @@ def shopping_picks(spark, d):
 
 
 def lowest_prices(spark, d):
-    p = view(spark, d, "purchases").select(F.col("item_id").alias("product_id"), F.col("purchased_on").alias("seen_at"), "price")
+    p = purchases(spark, d).select(F.col("item_id").alias("product_id"), F.col("purchased_on").alias("seen_at"), "price")
     low = S.lowest_price(p).repartition("product_id").sortWithinPartitions("product_id", "seen_at", "price")  # added up in this order, as the mean's last digit depends on it
     return low.groupBy("product_id").agg(F.min("lowest_so_far").alias("least"), F.round(F.avg("lowest_so_far"), 3).alias("mean_low"))
 
 
 def price_alerts(spark, d):
-    p = view(spark, d, "purchases").select(F.col("item_id").alias("product_id"), F.col("purchased_on").alias("seen_at"), "price")
+    p = purchases(spark, d).select(F.col("item_id").alias("product_id"), F.col("purchased_on").alias("seen_at"), "price")
     wishes = view(spark, d, "items").select("user_id", F.col("item_id").alias("product_id"), (F.col("price") * 20).alias("target_price"), (F.col("item_id") % 3 != 0).alias("alert_enabled"), "status")
     return S.price_alerts(wishes, p).select("user_id", "product_id", "price")
 
 
 def spend(spark, d):
-    return S.spend(view(spark, d, "purchases")).withColumns({"total": F.round(F.col("total").cast("double"), 2), "month": F.col("month").cast("string")})
+    return S.spend(purchases(spark, d)).withColumns({"total": F.round(F.col("total").cast("double"), 2), "month": F.col("month").cast("string")})
 
 
 _WORN = "w AS (SELECT o.outfit_id, o.slot, o.item_id, i.user_id, i.color, i.color_family AS f, i.style, i.status FROM outfit_items o JOIN items i ON i.item_id = o.item_id)"

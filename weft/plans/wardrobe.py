@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weft.functions import text
 from weft.operators import itemtable, pages
 from weft.operators import wardrobe as W
-from weft.plans.fixtures import view
+from weft.plans.fixtures import purchases, view
 from weft.storage import scratch_folder, stored
 
 AS_OF = "2024-02-01"
@@ -139,7 +139,8 @@ def category_mix(spark, d):
 
 
 def style_evolution(spark, d):
-    scored = view(spark, d, "purchases").select("user_id", F.col("purchased_on").alias("at"), F.col("price").alias("score"))
+    months = view(spark, d, "lineitem").withColumn("l_shipdate", F.to_date(F.date_trunc("month", "l_shipdate")))  # before the joins: a month is shorter than a time
+    scored = purchases(spark, d, months, last="orders").select("user_id", F.col("purchased_on").alias("at"), F.col("price").alias("score"))
     return W.style_evolution(scored, 6).select("user_id", F.col("month").cast("string").alias("month"), F.floor("score").alias("score"))
 
 
