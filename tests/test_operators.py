@@ -161,6 +161,23 @@ def test_lowest_price_equals_one_window(spark):
     assert got == want and "span" in shopping.lowest_price(df).columns
 
 
+@pytest.mark.parametrize("hot", [0, 60, 10_000])
+def test_lowest_prices_with_and_without_products_that_are_cut(spark, monkeypatch, hot):
+    monkeypatch.setattr(shopping, "HOT", hot)
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None, None]), f"2024-{rng.randrange(1, 13):02}-{rng.randrange(1, 28):02}" if rng.random() < 0.95 else None, float(rng.randrange(20, 999)) if rng.random() < 0.95 else None) for _ in range(400)]
+    df = spark.createDataFrame(rows, "product_id int, seen_at string, price double").withColumn("seen_at", F.to_date("seen_at"))
+    low = shopping.lowest_price(df, 20, parts=7)
+    plan = low._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(product_id#" in plan and ", 7)" in plan and "SortMergeJoin" not in plan  # many small sorts, no second shuffle of all prices
+    got = sorted((r["product_id"] or 0, str(r["seen_at"] or ""), r["price"] or 0, r["lowest_so_far"] or 0) for r in low.collect())
+    want, least = [], {}
+    for product, at, price in sorted((r[0] or 0, r[1] or "", r[2] or 0) for r in rows):
+        least[product] = min((x for x in (price, least.get(product)) if x), default=0)
+        want.append((product, at, price, least[product]))
+    assert got == want
+
+
 def item_rows(spark, ids, **more):
     rows = [(i, *(f"{a}{i % 3}" for a in wardrobe.MERGED), ["color"] if i % 5 == 0 else []) for i in ids]
     return spark.createDataFrame(rows, "item_id long, " + ", ".join(f"{a} string" for a in wardrobe.MERGED) + ", corrected array<string>")

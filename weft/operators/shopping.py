@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from weft.operators.outfits import REQUIRED, pair_harmony
 from weft.storage import join_same
 
+#: Prices of a product up to which its history is one window.
+HOT = 200_000
+
 
 def completes_outfits(products: DataFrame, items: DataFrame) -> DataFrame:
     """product_id, user_id, completes_outfits, compatibility.
@@ -25,19 +28,23 @@ def completes_outfits(products: DataFrame, items: DataFrame) -> DataFrame:
     return both.where("k = 2").select("product_id", "user_id", (F.col("a") * F.col("b")).alias("completes_outfits"), F.round(F.col("a") * F.col("b") / (F.col("c") * F.col("d")), 4).alias("compatibility"))
 
 
-def lowest_price(prices: DataFrame, days: int = 31) -> DataFrame:
+def lowest_price(prices: DataFrame, days: int = 31, parts: int | None = None) -> DataFrame:
     """Adds lowest_so_far: the running minimum of a product's price in the order of seen_at, then price.
 
-    A product's history is cut into spans of `days`.  Each span's minimum is one row, whose running minimum says what came
-    before a span; inside a span the window starts from that.  So a product with very many prices is many windows.
+    A product of more than HOT prices is cut into spans of `days`, each a window of its own.  A span's minimum is one row, whose
+    running minimum says what came before the span.  Those rows are few and broadcast; so are the products that are cut.
+    parts: into how many tasks windows are dealt; none: as Spark decides.
     """
-    rows = prices.withColumn("span", F.floor(F.datediff(F.to_date("seen_at"), F.to_date(F.lit("1970-01-01"))) / days))
-    spans = rows.groupBy("product_id", "span").agg(F.min("price").alias("least"))
-    earlier = Window.partitionBy("product_id").orderBy(F.asc_nulls_first("span")).rowsBetween(Window.unboundedPreceding, -1)
-    before = spans.select("product_id", "span", F.min("least").over(earlier).alias("before"))
-    inside = Window.partitionBy("product_id", "span").orderBy("seen_at", "price").rowsBetween(Window.unboundedPreceding, 0)
-    joined = join_same(rows.withColumn("own", F.min("price").over(inside)), before, ["product_id", "span"])
-    return joined.withColumn("lowest_so_far", F.least("own", "before")).select(*prices.columns, "lowest_so_far")
+    hot = prices.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("product_id", F.lit(True).alias("_cut"))
+    day = F.floor(F.datediff(F.to_date("seen_at"), F.to_date(F.lit("1970-01-01"))) / days)
+    rows = join_same(prices, F.broadcast(hot), ["product_id"], "left").withColumn("_span", F.when(F.col("_cut"), day))
+    spans = rows.where("_cut").groupBy("product_id", "_span").agg(F.min("price").alias("_least"))
+    earlier = Window.partitionBy("product_id").orderBy(F.asc_nulls_first("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    before = spans.select("product_id", "_span", F.min("_least").over(earlier).alias("_before"))
+    inside = Window.partitionBy("product_id", "_span").orderBy("seen_at", "price").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = rows.repartition(parts, "product_id", "_span") if parts else rows.repartition("product_id", "_span")
+    joined = join_same(dealt.withColumn("_own", F.min("price").over(inside)), F.broadcast(before), ["product_id", "_span"], "left")
+    return joined.select(*prices.columns, F.least("_own", "_before").alias("lowest_so_far"))
 
 
 def price_alerts(wishes: DataFrame, prices: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from weft.operators.wardrobe import wear_counters
 from weft.plans.fixtures import purchases, view
 
 AS_OF = "2024-02-01"
+#: Purchases of which a task sorts so many.
+ROWS_A_TASK = 500_000
 
 
 def _worn(spark, d):
@@ -119,7 +121,8 @@ def shopping_picks(spark, d):
 
 def lowest_prices(spark, d):
     p = purchases(spark, d).select(F.col("item_id").alias("product_id"), F.col("purchased_on").alias("seen_at"), "price")
-    low = S.lowest_price(p).repartition("product_id").sortWithinPartitions("product_id", "seen_at", "price")  # added up in this order, as the mean's last digit depends on it
+    parts = view(spark, d, "lineitem").count() // ROWS_A_TASK + 1
+    low = S.lowest_price(p, parts=parts).repartition(parts, "product_id").sortWithinPartitions("product_id", "seen_at", "price")  # added up in this order, as the mean's last digit depends on it
     return low.groupBy("product_id").agg(F.min("lowest_so_far").alias("least"), F.round(F.avg("lowest_so_far"), 3).alias("mean_low"))
 
 
