@@ -403,6 +403,20 @@ def test_best_outfits_equal_the_full_product(spark):
         assert got == want
 
 
+def test_pairs_bound_their_outfits_and_ties_keep_their_order(spark):
+    families, styles = ["blue", "yellow", "black", "red", ""], ["casual", "formal", "sporty"]
+    one = spark.createDataFrame([(f, s) for f in families for s in styles], "f string, s string")
+    a, b, c = (one.toDF(f"f{x}", f"s{x}") for x in "abc")
+    all_ = a.crossJoin(b).crossJoin(c).select(bestoutfits.pair_points(F.col("fa"), F.col("fb"), F.col("sa"), F.col("sb")).alias("pair"), bestoutfits.kind_points([F.col(f"f{x}") for x in "abc"], [F.col(f"s{x}") for x in "abc"]).alias("whole"))
+    assert all_.where("pair < whole").count() == 0 and all_.where("pair = whole").count() > 0
+    rows = [(1, 3 * i + j, slot, "active", ("red", "blue")[i % 2], "casual", 100 if i < 20 else 99) for j, slot in enumerate(("top", "bottom", "shoes")) for i in range(24)]
+    df = spark.createDataFrame(rows, "user_id int, item_id int, slot string, status string, color_family string, style string, value int")
+    got = [(r["points"], r["top"], r["bottom"], r["shoes"]) for r in bestoutfits.best_outfits(df).orderBy("rank").collect()]
+    points = 160 * 30 + 1300 * 3 + 25 * 300
+    tied = sorted((3 * x, 3 * y + 1, 3 * z + 2) for p in (0, 1) for x in range(p, 20, 2) for y in range(p, 20, 2) for z in range(p, 20, 2))
+    assert got == [(points, *t) for t in tied[:12]]
+
+
 def test_duplicates_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(80, 8))
